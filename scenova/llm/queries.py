@@ -10,6 +10,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenova.llm.quality import fit_quality, score_quality
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, read(spark, sf_dir, "labels"))
+    return score_quality(docs, model).select("doc_id", "expected_grade", "tail_prob", "kept")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scenova.llm.token_counts import token_counts
 
@@ -17,6 +25,9 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {"op5_token_counts": op5_token_counts}
+QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op5_token_counts": op5_token_counts,
+}
 
 ORACLE_SQL: dict[str, str] = {}
