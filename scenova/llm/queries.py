@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    # Python workers of a session that was started elsewhere find this package too.
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -18,6 +22,13 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", "expected_grade", "tail_prob", "kept")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenova.llm.packing import pack
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(docs, path=public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scenova.llm.token_counts import token_counts
 
@@ -27,6 +38,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
 }
 
