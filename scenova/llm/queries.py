@@ -22,6 +22,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", "expected_grade", "tail_prob", "kept")
 
 
+def op3_consistent_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenova.llm.sharding import shard_rows
+
+    return shard_rows(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scenova.llm.packing import pack
 
@@ -36,10 +42,18 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenova.llm.mixing import mix
+
+    return mix(read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op3_consistent_hash_sharding": op3_consistent_hash_sharding,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
+    "op8_poisson_mixing": op8_poisson_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
