@@ -42,6 +42,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op7_robust_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenova.llm.rules import quality_rules
+
+    return quality_rules(read(spark, sf_dir, "documents"))
+
+
 def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scenova.llm.mixing import mix
 
@@ -53,6 +59,7 @@ QUERIES = {
     "op3_consistent_hash_sharding": op3_consistent_hash_sharding,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
+    "op7_robust_quality_rules": op7_robust_quality_rules,
     "op8_poisson_mixing": op8_poisson_mixing,
 }
 
