@@ -6,6 +6,7 @@ from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,6 +55,12 @@ def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
 
 
+def op10_block_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenova.llm.nearest import nearest
+
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_consistent_hash_sharding": op3_consistent_hash_sharding,
@@ -61,6 +68,18 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op7_robust_quality_rules": op7_robust_quality_rules,
     "op8_poisson_mixing": op8_poisson_mixing,
+    "op10_block_nearest": op10_block_nearest,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_block_nearest": """
+        WITH held AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0
+        ), met AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v) AS score
+            FROM held q JOIN held c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM met)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+}
