@@ -23,6 +23,15 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", "expected_grade", "tail_prob", "kept")
 
 
+def op2_content_defined_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenova.llm.substrings import drop_repeated_passages
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = drop_repeated_passages(docs)
+    removed = F.aggregate("repeated_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "repeated_spans", removed.alias("removed_bytes"), "text")
+
+
 def op3_consistent_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scenova.llm.sharding import shard_rows
 
@@ -63,6 +72,7 @@ def op10_block_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_content_defined_dedup": op2_content_defined_dedup,
     "op3_consistent_hash_sharding": op3_consistent_hash_sharding,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
