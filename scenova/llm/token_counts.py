@@ -109,12 +109,11 @@ class Counter:
             else:
                 extra.append(0)
                 found.append(self.find(text))
-        new = set().union(*found).difference(self.known)
+        met = set().union(*found)
+        new = sorted(met.difference(self.known))
         if new:
-            if len(self.known) + len(new) > self.most:
-                self.known = {}
-                new = set().union(*found)
-            new = sorted(new)
+            if len(self.known) + len(new) > self.most:  # words of these texts stay, the others go
+                self.known = {w: self.known[w] for w in met.intersection(self.known)}
             self.known.update(zip(new, self.merge.count([w.encode() for w in new]).tolist()))
         get = self.known.__getitem__
         return [e + sum(map(get, words)) for e, words in zip(extra, found)]
