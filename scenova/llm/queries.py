@@ -52,6 +52,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenova.llm.jaccard import similar_groups
+
+    groups = similar_groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
 def op7_robust_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scenova.llm.rules import quality_rules
 
@@ -76,6 +83,7 @@ QUERIES = {
     "op3_consistent_hash_sharding": op3_consistent_hash_sharding,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_chosen_path_join": op6_chosen_path_join,
     "op7_robust_quality_rules": op7_robust_quality_rules,
     "op8_poisson_mixing": op8_poisson_mixing,
     "op10_block_nearest": op10_block_nearest,
