@@ -10,9 +10,11 @@ a run are then extended byte by byte against the text around the chunk that
 stays, which finds the exact ends of the passage. Runs of at least
 ``min_words`` whole words leave the text.
 
-Sizes: a digest and a place travel for each chunk (twice), each text travels
-by its id only. A digest that fills a third of all chunks is counted before the
-shuffle and meets one row in the join, which Spark can split.
+Sizes: a digest travels for each chunk, then a digest and a place, and each
+text travels by its id, once to be quoted and once to be cleaned. What is left
+after each step is written to the checkpoint folder, so that shuffle files of
+one step are gone in the next. A digest that fills a third of all chunks is
+counted before the shuffle and meets one row in the join, which Spark can split.
 
 Defined cases: rows with equal id and equal text are one document, so each of
 them keeps what that document keeps; rows with a null id come last and are told
@@ -30,10 +32,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenova.llm.common import fresh, slices, utf8
+from scenova.llm.common import cut, fresh, slices, utf8
 
 GEAR_WINDOW = 16
-LONGEST = 512
+LONGEST = 192
 CHUNKS = "array<struct<digest:bigint,start:int,end:int>>"
 RUN_ENDS = "array<struct<run_start:int,run_end:int,side:int,first_id:bigint,first_key:bigint,first_at:int>>"
 SNIPPETS = "array<struct<side:int,first_at:int,snippet:binary>>"
@@ -228,23 +230,25 @@ def drop_repeated_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "
 
     chunks = slim.select("id", "key", F.explode(chunk_column(F.col("text"), reach, min_words)).alias("c")).select("id", "key", "c.*")
     place = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("i"), F.col("key").alias("k"), F.col("start").alias("s"))
-    firsts = chunks.groupBy("digest").agg(F.min(place).alias("f"), F.count("*").alias("n")).where(F.col("n") > 1)
+    again = chunks.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("digest")
+    chunks = cut(chunks.join(again, "digest", "left_semi"))
+    firsts = chunks.groupBy("digest").agg(F.min(place).alias("f"))
     firsts = firsts.select("digest", F.col("f.i").alias("first_id"), F.col("f.k").alias("first_key"), F.col("f.s").alias("first_at"))
     later = ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")) & (F.col("start") == F.col("first_at")))
     marks = chunks.join(firsts, "digest").where(later)
 
     by_doc = marks.groupBy("id", "key").agg(F.collect_list(F.struct("start", "end", "first_id", "first_key", "first_at")).alias("marks"))
-    ends = by_doc.select("id", "key", F.explode(F.arrow_udf(run_ends, RUN_ENDS)("marks")).alias("e")).select("id", "key", "e.*")
+    ends = cut(by_doc.select("id", "key", F.explode(F.arrow_udf(run_ends, RUN_ENDS)("marks")).alias("e")).select("id", "key", "e.*"))
 
     asked = ends.groupBy("first_id", "first_key").agg(F.collect_set(F.struct("side", "first_at")).alias("asked"))
     met = slim.join(asked, slim["id"].eqNullSafe(asked["first_id"]) & (slim["key"] == asked["first_key"]))
-    cut = met.select("first_id", "first_key", F.explode(F.arrow_udf(snippets, SNIPPETS)("text", "asked")).alias("s")).select("first_id", "first_key", "s.*")
-    cut = cut.dropDuplicates(["first_id", "first_key", "side", "first_at"])  # rows with equal id and text
-    right = cut.select(*[F.col(c).alias(f"_{c}") for c in cut.columns])
+    quoted = met.select("first_id", "first_key", F.explode(F.arrow_udf(snippets, SNIPPETS)("text", "asked")).alias("s")).select("first_id", "first_key", "s.*")
+    quoted = quoted.dropDuplicates(["first_id", "first_key", "side", "first_at"])  # rows with equal id and text
+    right = quoted.select(*[F.col(c).alias(f"_{c}") for c in quoted.columns])
     same = ends["first_id"].eqNullSafe(right["_first_id"]) & (ends["first_key"] == right["_first_key"]) & (ends["side"] == right["_side"]) & (ends["first_at"] == right["_first_at"])
     known = ends.join(right, same).groupBy("id", "key").agg(F.collect_list(F.struct("run_start", "run_end", "side", F.col("_snippet").alias("snippet"))).alias("ends"))
 
-    known = known.select(F.col("id").alias("_i"), F.col("key").alias("_k"), "ends")
+    known = cut(known).select(F.col("id").alias("_i"), F.col("key").alias("_k"), "ends")
     cleaned, ends_name = fresh("cleaned"), fresh("ends")
     out = told.join(known.withColumnRenamed("ends", ends_name), told[name].eqNullSafe(known["_i"]) & (told[key] == known["_k"]), "left")
     out = out.withColumn(cleaned, without_repeats(F.col(text), F.col(ends_name), min_words))
