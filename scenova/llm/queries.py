@@ -71,6 +71,14 @@ def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
 
 
+def op9_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenova.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    net = fit_toxicity(docs, read(spark, sf_dir, "labels"))
+    return score_toxicity(docs, net).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_block_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scenova.llm.nearest import nearest
 
@@ -86,10 +94,12 @@ QUERIES = {
     "op6_chosen_path_join": op6_chosen_path_join,
     "op7_robust_quality_rules": op7_robust_quality_rules,
     "op8_poisson_mixing": op8_poisson_mixing,
+    "op9_recurrent_toxicity": op9_recurrent_toxicity,
     "op10_block_nearest": op10_block_nearest,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_recurrent_toxicity": op9_recurrent_toxicity,
     "op10_block_nearest": """
         WITH held AS (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
