@@ -1,17 +1,66 @@
-"""A training corpus from raw documents: reject, deduplicate, mix and pack."""
+"""A training corpus from raw documents: reject, deduplicate, mix and pack.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all
+but the last return the columns of ``docs``. Rows that a stage drops: the
+quality classifier those it rejects; the near-copy stage all but one of each
+group; substring dedup those whose text, not blank before, is repeated
+throughout and so blank after; mixing those whose drawn count is 0.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scenova.llm import jaccard, mixing, packing, quality, substrings
+from scenova.llm.queries import read
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit_quality(docs, read(spark, sf_dir, "labels"))
+    scored = quality.score_quality(docs.withColumns({f"_was_{c}": F.col(c) for c in docs.columns if c in ("expected_grade", "tail_prob", "kept")}), model)
+    back = [F.col(f"_was_{c}").alias(c) if c in ("expected_grade", "tail_prob", "kept") else F.col(c) for c in docs.columns]
+    return scored.where("kept").select(*back)
+
+
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs).select(*docs.columns)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rest = substrings.drop_repeated_passages(docs.withColumn("_before", F.length(F.col("text"))), spans="_spans")
+    blank = F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")) == ""
+    emptied = F.coalesce(blank & (F.length("text") < F.col("_before")), F.lit(False))
+    kept = rest.where(~emptied)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.length("text") < F.col("_before"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs, copy="_copy").select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, path=public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", near_copy_stage),
+    ("substring dedup", substring_stage),
+    ("mixing sources", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
 
+#: No SQL for a trained classifier and seeded hashes; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole ``documents`` table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

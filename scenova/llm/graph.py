@@ -1,4 +1,4 @@
-"""Connected components of an edge list, by shrinking labels."""
+"""Connected components of an edge list, by contraction."""
 
 from __future__ import annotations
 
@@ -11,21 +11,28 @@ from scenova.llm.common import cut
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, label) of every node of ``edges`` (two longs): label is the smallest node it is connected with.
 
-    Each round takes the smallest label among the neighbours (counted before
-    the shuffle, so a hub is no single task's) and then the label of that label,
-    which halves distances; it ends when nothing changes. A node without edges
-    isn't there. Nothing leaves the executors but one count for each round.
+    In each round every node points to its smallest neighbour, if that is
+    smaller (the minimum is taken before the shuffle, so a hub is no single
+    task's), pointers are followed once more, and the edges are rewritten to
+    what their ends point to; edges that became loops or copies vanish. It ends
+    when no edge is left. Nothing leaves the executors but whether one is.
     """
-    both = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a != b")
-    both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    left = cut(edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).where("a != b").distinct())
+    labels = None
     while True:
-        there = labels.select(F.col("node").alias("b"), F.col("label").alias("there"))
-        near = both.join(there, "b").groupBy("a").agg(F.min("there").alias("near")).withColumnRenamed("a", "node")
-        low = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("low"))
-        up = labels.select(F.col("node").alias("low"), F.col("label").alias("up"))
-        moved = cut(low.join(up, "low").select("node", "old", F.least("low", "up").alias("label")))
-        changed = moved.where("label != old").limit(1).count()
-        labels = moved.select("node", "label")
-        if not changed:
+        # A node that is nowhere the larger end points to itself.
+        ends = left.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(left.select(F.col("b").alias("node"), F.col("b").alias("to")))
+        step = ends.groupBy("node").agg(F.min("to").alias("to"))
+        step = cut(step)
+        up = step.select(F.col("node").alias("to"), F.col("to").alias("up"))
+        step = cut(step.join(up, "to").select("node", F.col("up").alias("to")))
+        if labels is None:
+            labels = step.select("node", F.col("to").alias("label"))
+        else:
+            moved = step.select(F.col("node").alias("label"), "to")
+            labels = cut(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        for end in "ab":
+            left = left.join(step.select(F.col("node").alias(end), F.col("to").alias(f"{end}2")), end).drop(end).withColumnRenamed(f"{end}2", end)
+        left = cut(left.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
+        if not left.limit(1).count():
             return labels

@@ -40,7 +40,9 @@ from pyspark.sql import functions as F
 from scenova.llm.common import cut, slices, utf8
 from scenova.llm.graph import components
 
-SKETCH = 128
+SKETCH = 64
+#: Up to this many rows (some 50 bytes each) the list of texts to read again is sent to every task; beyond, texts are shuffled to it.
+SENT_ROWS = 1_000_000
 SET_ROW = "struct<a:bigint,b:bigint,n:int,sketch:binary>"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -292,7 +294,7 @@ def runs_for(recall: float, similarity: float, lam: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - p))
 
 
-def candidate_edges(classes: DataFrame, *, lam: float, runs: int, limit: int, depth: int, least: float, same: float = 0.9) -> DataFrame:
+def candidate_edges(classes: DataFrame, *, lam: float, runs: int, limit: int, depth: int, least: float, same: float = 0.95) -> DataFrame:
     """Edges (u, v) between classes (c, sketch) by chosen paths."""
     sketches = classes.select("c", "sketch")
     rows = sketches.select("c", F.explode(first_paths(runs, lam)("sketch")).alias("path"))
@@ -347,7 +349,9 @@ def similar_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text", w
     sizes = parts.groupBy("label").agg(F.count("*").alias("size"))
     members = parts.join(sizes, "label").select(F.col("node").alias("c"), F.col("label").alias("comp"), "size")
     asked = classes.join(members, "c").select("c", "copies", "comp", "size", F.col("place.id").alias("_id"), F.col("place.key").alias("_key"))
-    held = slim.join(asked, slim["id"].eqNullSafe(asked["_id"]) & (slim["key"] == asked["_key"]))
+    asked = cut(asked)
+    few = asked.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+    held = slim.join(F.broadcast(asked) if few else asked, slim["id"].eqNullSafe(asked["_id"]) & (slim["key"] == asked["_key"]))
     held = held.dropDuplicates(["c"]).select("c", "copies", "comp", "size", whole_sets(width)("text").alias("tokens"))
     split = block_pairs(held, F.col("size"), F.xxhash64("c"), block).select("comp", "i", "j", "block", "c", "copies", "tokens")
     split = split.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")

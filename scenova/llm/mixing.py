@@ -72,8 +72,8 @@ def source_rates(docs: DataFrame, *, source: str, text: str, weights: dict[str |
     return weighed.select("source", rate.alias("rate"))
 
 
-def mix(docs: DataFrame, *, id: str = "doc_id", source: str = "source", text: str = "text", weights: dict[str | None, float] | None = None, flatten: float = 0.5, budget: float = 1.0, seed: int = 20) -> DataFrame:
-    """``docs`` mixed to ``weights``, with copy (from 0 in each document) as a new last column.
+def mix(docs: DataFrame, *, id: str = "doc_id", source: str = "source", text: str = "text", weights: dict[str | None, float] | None = None, flatten: float = 0.5, budget: float = 1.0, seed: int = 20, copy: str = "copy") -> DataFrame:
+    """``docs`` mixed to ``weights``, with the number of the copy (from 0 in each document) in column ``copy``, which replaces one of that name.
 
     Without weights a source weighs its characters to the power ``flatten``:
     1 leaves the shares as they are, 0 makes them equal.
@@ -84,6 +84,6 @@ def mix(docs: DataFrame, *, id: str = "doc_id", source: str = "source", text: st
     few = len(rates.select(F.lit(1)).limit(SENT_SOURCES + 1).collect()) <= SENT_SOURCES
     rated = docs.join(F.broadcast(rates) if few else rates, docs[source].eqNullSafe(F.col(name)))
     drawn = rated.withColumn(count, poisson_inverse(uniform(seed, F.col(id), F.crc32(F.coalesce(F.col(text), F.lit("")))), F.col(rate))).drop(name, rate)
-    copies = drawn.where(F.col(count) > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(count) - 1))).drop(count)
-    copies = copies.withColumn(place, F.xxhash64(F.lit(seed + 1), F.col(id), F.col(text), "copy"))
-    return copies.repartition(F.col(place)).sortWithinPartitions(place, id, "copy").drop(place)
+    copies = drawn.where(F.col(count) > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(count) - 1))).drop(count)
+    copies = copies.withColumn(place, F.xxhash64(F.lit(seed + 1), F.col(id), F.col(text), copy))
+    return copies.repartition(F.col(place)).sortWithinPartitions(place, id, copy).drop(place)

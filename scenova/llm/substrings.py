@@ -221,8 +221,8 @@ def without_repeats(text: Column, ends: Column, min_words: int) -> Column:
     return clean(text, ends)
 
 
-def drop_repeated_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_words: int = 50, reach: int = 24) -> DataFrame:
-    """``docs`` with repeated passages taken out of ``text``, and repeated_spans (bytes of the text before) as a new column."""
+def drop_repeated_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_words: int = 50, reach: int = 24, spans: str = "repeated_spans") -> DataFrame:
+    """``docs`` with repeated passages taken out of ``text`` and their spans (bytes of the text before) in column ``spans``, which replaces one of that name."""
     key, name = fresh("key"), fresh("id")
     body = F.col(text)
     told = docs.withColumns({name: F.col(id).cast("long"), key: F.when(F.col(id).isNull(), F.xxhash64(body)).otherwise(F.hash(body).cast("long"))})
@@ -252,5 +252,5 @@ def drop_repeated_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "
     cleaned, ends_name = fresh("cleaned"), fresh("ends")
     out = told.join(known.withColumnRenamed("ends", ends_name), told[name].eqNullSafe(known["_i"]) & (told[key] == known["_k"]), "left")
     out = out.withColumn(cleaned, without_repeats(F.col(text), F.col(ends_name), min_words))
-    out = out.withColumns({text: F.col(cleaned)["text"], "repeated_spans": F.col(cleaned)["spans"]})
-    return out.select(*docs.columns, "repeated_spans") if "repeated_spans" not in docs.columns else out.select(*docs.columns)
+    out = out.withColumns({text: F.col(cleaned)["text"], spans: F.col(cleaned)["spans"]})
+    return out.select(*dict.fromkeys([*docs.columns, spans]))
