@@ -294,7 +294,7 @@ def runs_for(recall: float, similarity: float, lam: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - p))
 
 
-def candidate_edges(classes: DataFrame, *, lam: float, runs: int, limit: int, depth: int, least: float, same: float = 0.95) -> DataFrame:
+def candidate_edges(classes: DataFrame, *, lam: float, runs: int, limit: int, depth: int, least: float, block: int = 1024, same: float = 0.9) -> DataFrame:
     """Edges (u, v) between classes (c, sketch) by chosen paths."""
     sketches = classes.select("c", "sketch")
     rows = sketches.select("c", F.explode(first_paths(runs, lam)("sketch")).alias("path"))
@@ -309,7 +309,7 @@ def candidate_edges(classes: DataFrame, *, lam: float, runs: int, limit: int, de
             break
         members = rows.join(large, "path")
         if level == depth:
-            split = block_pairs(members, F.col("size"), F.xxhash64("c"), limit)
+            split = block_pairs(members, F.col("size"), F.xxhash64("c"), block)
             leaves.append(split.select("path", "c", "i", "j"))
             break
         pivots = sketches.select(F.col("c").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
@@ -329,7 +329,7 @@ def candidate_edges(classes: DataFrame, *, lam: float, runs: int, limit: int, de
     return found
 
 
-def similar_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 5, threshold: tuple[int, int] = (4, 5), recall: float = 0.99, lam: float = 0.7, limit: int = 200, depth: int = 6, block: int = 256) -> DataFrame:
+def similar_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 5, threshold: tuple[int, int] = (4, 5), recall: float = 0.99, lam: float = 0.7, limit: int = 256, depth: int = 4, block: int = 256) -> DataFrame:
     """One row for each row: id, key (of its text), class_id, n_links, class_key (the key of the row that names the class)."""
     num, den = threshold
     at = num / den
