@@ -201,7 +201,7 @@ def geometry_standardize(spark, sf_dir) -> DataFrame:
     return met.groupBy("split").agg(F.count("*").alias("n"), *[(F.round(F.avg((F.col(c) - F.col(f"m{c}")) / scale(c)), 6) + 0.0).alias(f"z{c}") for c in "xy"])
 
 
-@query("SELECT split, category, count(*) AS n, round(avg(sx), 6) AS mean_sx, round(avg(dx), 6) AS mean_dx, round(avg(px), 6) AS mean_px FROM (SELECT split, a_category AS category, ax AS sx, dx, ax * bx AS px FROM pairs) GROUP BY ALL", heads="p")
+@query("SELECT split, category, count(*) AS n, round(avg(sx), 6) AS mean_sx, round(avg(dx), 6) AS mean_dx, round(avg(px), 6) AS mean_px FROM (SELECT split, a_category AS category, x1 AS sx, dx, x1 * x2 AS px FROM pairs) GROUP BY ALL", heads="p")
 def directed_pair_features(spark, sf_dir) -> DataFrame:
     """Directed pair features [s, t, s - t, s * t] as arrays, averaged."""
     met = pairs(objects(spark, sf_dir), keep=["split", "category", "x", "y", "z"])

@@ -81,7 +81,7 @@ def pairs(objs: DataFrame, *, ordered: bool = True, keep: list[str] | None = Non
 PAIRS_SQL = """
 pairs AS (
     SELECT a.scene_id, a.split, a.platform, a.object_id AS a_id, b.object_id AS b_id, a.category AS a_category, b.category AS b_category,
-        a.caption AS a_caption, b.caption AS b_caption, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by, b.z AS bz,
+        a.caption AS a_caption, b.caption AS b_caption, a.x AS x1, a.y AS y1, a.z AS z1, b.x AS x2, b.y AS y2, b.z AS z2,
         a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz
     FROM objects a JOIN objects b ON a.scene_id = b.scene_id AND a.object_id <> b.object_id
 )"""
