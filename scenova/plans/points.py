@@ -1 +1,149 @@
-"""Queries."""
+"""Point clouds: neighbourhood, pooling and sampling queries. A customer's objects are a cloud."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from scenova.operators import neighbours as N
+from scenova.operators import sequential as S
+from scenova.plans.base import query
+from scenova.sources.scenes import objects
+
+CLOUD_SQL = "cloud AS (SELECT cloud AS scene_id, object_id AS point_id, CAST(row_number() OVER (PARTITION BY cloud ORDER BY object_id) - 1 AS INTEGER) AS idx, x, y, z, score AS f FROM objects)"
+D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
+
+
+def cloud(spark, sf_dir) -> DataFrame:
+    rows = objects(spark, sf_dir).select(F.col("cloud").alias("scene_id"), F.col("object_id").alias("point_id"), "x", "y", "z", F.col("score").alias("f"))
+    return rows.withColumn("idx", (F.row_number().over(Window.partitionBy("scene_id").orderBy("point_id")) - 1).cast("int"))
+
+
+def centres(points: DataFrame) -> DataFrame:
+    return points.where("idx % 4 = 0")
+
+
+def ball_sql(predicate: str, n: int = 8) -> str:
+    return f"""WITH {CLOUD_SQL}, h AS (SELECT a.scene_id, a.point_id, b.idx, row_number() OVER (PARTITION BY a.scene_id, a.point_id ORDER BY b.idx) AS rn FROM cloud a JOIN cloud b ON a.scene_id = b.scene_id AND a.idx % 4 = 0 AND {predicate}),
+    g AS (SELECT scene_id, point_id, list(idx ORDER BY idx) AS l FROM h WHERE rn <= {n} GROUP BY ALL)
+    SELECT c.scene_id, c.point_id, coalesce(array_to_string(l, ',') || repeat(',' || l[1], {n} - len(l)::INTEGER), '') AS neighbours FROM cloud c LEFT JOIN g ON c.scene_id = g.scene_id AND c.point_id = g.point_id WHERE c.idx % 4 = 0"""
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    return rows.select("scene_id", "point_id", F.array_join("neighbours", ",").alias("neighbours"))
+
+
+@query(ball_sql(f"{D2} < 16.0"), heads="o")
+def ball_query(spark, sf_dir) -> DataFrame:
+    """First eight points by index strictly within 4 m, padded with the first."""
+    p = cloud(spark, sf_dir)
+    return shown(N.ball_query(centres(p), p, 4.0, 8))
+
+
+@query(ball_sql(f"({D2} = 0 OR ({D2} >= 4.0 AND {D2} < 16.0))"), heads="o")
+def annulus_query(spark, sf_dir) -> DataFrame:
+    """Points at 2 to 4 m, or at none."""
+    p = cloud(spark, sf_dir)
+    return shown(N.ball_query(centres(p), p, 4.0, 8, least=2.0))
+
+
+@query(ball_sql(f"{D2} <= 16.0"), heads="o")
+def voxel_query(spark, sf_dir) -> DataFrame:
+    """Neighbours over voxel cells, the radius included."""
+    p = cloud(spark, sf_dir)
+    return shown(N.ball_query(centres(p), p, 4.0, 8, inclusive=True))
+
+
+NN_SQL = f"WITH {CLOUD_SQL}, n AS (SELECT a.scene_id, a.point_id, b.point_id AS p_point_id, b.f, {D2} AS d2, row_number() OVER (PARTITION BY a.scene_id, a.point_id ORDER BY {D2}, b.idx) AS rank FROM cloud a JOIN cloud b ON a.scene_id = b.scene_id AND a.idx % 4 = 0 AND b.idx % 4 <> 0)"
+
+
+@query(NN_SQL + " SELECT scene_id, point_id, rank, p_point_id, round(sqrt(d2), 6) AS d FROM n WHERE rank <= 3", heads="o")
+def three_nn(spark, sf_dir) -> DataFrame:
+    p = cloud(spark, sf_dir)
+    return N.three_nearest(centres(p), p.where("idx % 4 <> 0")).select("scene_id", "point_id", F.col("rank").cast("long").alias("rank"), "p_point_id", F.round("d", 6).alias("d"))
+
+
+@query(NN_SQL + " SELECT scene_id, point_id, round(sum(f / (sqrt(d2) + 1e-8)) / sum(1 / (sqrt(d2) + 1e-8)), 4) AS value FROM n WHERE rank <= 3 GROUP BY ALL", heads="o")
+def idw_interpolate(spark, sf_dir) -> DataFrame:
+    """Inverse-distance weighting over three neighbours."""
+    p = cloud(spark, sf_dir)
+    return N.interpolate(centres(p), p.where("idx % 4 <> 0"), "f").select("scene_id", "point_id", F.round("value", 4).alias("value"))
+
+
+@query(f"WITH {CLOUD_SQL} SELECT scene_id, CAST(floor(x / 10) AS INTEGER) AS cx, CAST(floor(y / 10) AS INTEGER) AS cy, CAST(floor(z / 10) AS INTEGER) AS cz, count(*) AS n, round(avg(f), 7) AS mean, max(f) AS most, arg_min(f, idx) AS first FROM cloud GROUP BY ALL", heads="o")
+def voxel_pool(spark, sf_dir) -> DataFrame:
+    rows = N.voxel_pool(cloud(spark, sf_dir), 10.0, "f")
+    return rows.select("scene_id", "cx", "cy", "cz", "n", F.round("mean", 7).alias("mean"), "most", "first")
+
+
+@query(f"WITH {CLOUD_SQL} SELECT c.scene_id, c.point_id, round(avg(p.f), 4) AS mean, count(*) AS n FROM cloud c JOIN cloud p ON c.scene_id = p.scene_id AND p.idx IN (c.idx, c.idx + 1, c.idx + 2) GROUP BY ALL", heads="o")
+def gather_features(spark, sf_dir) -> DataFrame:
+    """Features gathered by index."""
+    p = cloud(spark, sf_dir)
+    asked = p.select("scene_id", "point_id", F.explode(F.array(F.col("idx"), F.col("idx") + 1, F.col("idx") + 2)).alias("idx"))
+    met = asked.join(p.select("scene_id", "idx", "f"), ["scene_id", "idx"])
+    return met.groupBy("scene_id", "point_id").agg(F.round(F.avg("f"), 4).alias("mean"), F.count("*").alias("n"))
+
+
+@query(f"WITH {CLOUD_SQL} SELECT a.scene_id, a.point_id, count(*) AS n, round(avg(b.x - a.x), 6) + 0.0 AS mean_dx FROM cloud a JOIN cloud b ON a.scene_id = b.scene_id AND a.idx % 4 = 0 AND {D2} < 16.0 GROUP BY ALL", heads="o")
+def group_points(spark, sf_dir) -> DataFrame:
+    """Neighbourhoods with the centre subtracted."""
+    p = cloud(spark, sf_dir)
+    met = N.near_pairs(centres(p), p, 4.0).where("d2 < 16.0")
+    return met.groupBy("scene_id", "point_id").agg(F.count("*").alias("n"), (F.round(F.avg(F.col("p_x") - F.col("x")), 6) + 0.0).alias("mean_dx"))
+
+
+@query(f"WITH {CLOUD_SQL} SELECT scene_id, CAST(floor((x + 25) / 5) AS INTEGER) * 65536 + CAST(floor(y / 5) AS INTEGER) * 256 + CAST(floor(z / 5) AS INTEGER) AS code, count(*) AS n, max(f) AS most FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, floor((x + 25) / 5), floor(y / 5), floor(z / 5) ORDER BY idx) AS rn FROM cloud WHERE x BETWEEN -25 AND 24.9 AND y BETWEEN 0 AND 49.9) WHERE rn <= 3 GROUP BY ALL", heads="o")
+def roi_pool(spark, sf_dir) -> DataFrame:
+    """Packed voxels of a region, three points of each at most by index (a pooling operator's cap), largest feature kept."""
+    p = cloud(spark, sf_dir).where("x between -25 and 24.9 and y between 0 and 49.9")
+    cells = [F.floor((F.col("x") + 25) / 5), F.floor(F.col("y") / 5), F.floor(F.col("z") / 5)]
+    p = p.withColumn("code", (F.shiftleft(cells[0].cast("int"), 16) + F.shiftleft(cells[1].cast("int"), 8) + cells[2].cast("int")))
+    capped = p.withColumn("rn", F.row_number().over(Window.partitionBy("scene_id", "code").orderBy("idx"))).where("rn <= 3")
+    return capped.groupBy("scene_id", "code").agg(F.count("*").alias("n"), F.max("f").alias("most"))
+
+
+@query(f"WITH {CLOUD_SQL} SELECT count(*) AS n, round(avg({D2}), 4) AS mean FROM cloud a JOIN cloud b ON a.scene_id = b.scene_id", heads="o")
+def square_distances(spark, sf_dir) -> DataFrame:
+    """Squared distances of all pairs of a cloud, by direct differences."""
+    p = cloud(spark, sf_dir)
+    q = p.select("scene_id", *[F.col(c).alias(f"q{c}") for c in "xyz"])
+    d2 = sum((F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in "xyz")
+    return p.join(q, "scene_id").agg(F.count("*").alias("n"), F.round(F.avg(d2), 4).alias("mean"))
+
+
+@query(f"WITH {CLOUD_SQL} SELECT scene_id, point_id, stratum::INTEGER AS stratum FROM (SELECT *, ntile(4) OVER (PARTITION BY scene_id ORDER BY sqrt(x * x + y * y), idx) AS stratum FROM cloud)", heads="o")
+def radius_strata(spark, sf_dir) -> DataFrame:
+    """Four equal strata of a cloud by radius, for stratified sampling."""
+    w = Window.partitionBy("scene_id").orderBy(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")), "idx")
+    return cloud(spark, sf_dir).select("scene_id", "point_id", F.ntile(4).over(w).alias("stratum"))
+
+
+@query()
+def farthest_points(spark, sf_dir) -> DataFrame:
+    """Farthest-point sampling: sequential in a cloud, so a helper on each cloud; tests hold it against brute force."""
+    return S.farthest_points(cloud(spark, sf_dir), 8)
+
+
+@query()
+def strata_farthest_points(spark, sf_dir) -> DataFrame:
+    """Farthest-point sampling in each stratum of a cloud."""
+    p = cloud(spark, sf_dir).join(radius_strata(spark, sf_dir), ["scene_id", "point_id"])
+    p = p.withColumn("scene_id", F.col("scene_id") * 4 + F.col("stratum") - 1)
+    return S.farthest_points(p, 2)
+
+
+@query()
+def seeded_point_sample(spark, sf_dir) -> DataFrame:
+    """A numpy generator's sample of each cloud, seeded by the cloud's id; with replacement when it is short."""
+    import hashlib
+
+    def pick(g: S.Columns) -> S.Columns:
+        name = f"val:{g['scene_id'][0]}"
+        rng = np.random.default_rng(int.from_bytes(hashlib.sha1(name.encode()).digest()[:8], "little"))
+        n = len(g["idx"])
+        at = rng.choice(n, 16, replace=n < 16)
+        return {"scene_id": g["scene_id"][at], "place": np.arange(16), "point_id": g["point_id"][at]}
+
+    return S.per_group(cloud(spark, sf_dir).select("scene_id", "point_id", "idx"), ["scene_id"], ["idx"], pick, "scene_id bigint, place long, point_id string")

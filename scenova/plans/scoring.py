@@ -1 +1,165 @@
-"""Queries."""
+"""Evaluators: boxes, texts and assignments scored."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from scenova.functions import geometry as G
+from scenova.functions import text as T
+from scenova.operators import sequential as S
+from scenova.plans.aggregates import rate, scored
+from scenova.plans.base import query
+from scenova.plans.generators import directed
+from scenova.plans.geometry import IOU_SQL
+from scenova.sources.scenes import objects, pairs, table
+
+
+@query()
+def rotated_iou(spark, sf_dir) -> DataFrame:
+    """IoU of each turned box and its shifted prediction, by clipping footprints; tests hold it against closed forms."""
+    rows = objects(spark, sf_dir)
+    return rows.select("object_id", F.round(S.rotated_iou(S.box_array(), S.box_array(shift=F.col("shift"))), 6).alias("iou"))
+
+
+@query()
+def nms3d(spark, sf_dir) -> DataFrame:
+    """Greedy suppression inside each scene."""
+    return S.nms(objects(spark, sf_dir))
+
+
+@query()
+def nms3d_by_class(spark, sf_dir) -> DataFrame:
+    return S.nms(objects(spark, sf_dir), by_class=True, own_area=True)
+
+
+@query()
+def assign_queries(spark, sf_dir) -> DataFrame:
+    """Cheapest one-to-one assignment of objects to shifted predictions by L1 distance."""
+    objs = objects(spark, sf_dir).select("scene_id", "object_id", "x", "y", "z", "shift")
+    left = objs.select("scene_id", F.col("object_id").alias("truth"), *[F.col(c).alias(f"t{c}") for c in "xyz"])
+    right = objs.select("scene_id", F.col("object_id").alias("guess"), (F.col("x") + F.col("shift")).alias("gx"), F.col("y").alias("gy"), F.col("z").alias("gz"))
+    cost = sum(F.abs(F.col(f"t{c}") - F.col(f"g{c}")) for c in "xyz")
+    return S.assign(left.join(right, "scene_id").withColumn("cost", cost), "cost", "truth", "guess")
+
+
+@query()
+def greedy_average_precision(spark, sf_dir) -> DataFrame:
+    """AP by class with one match for each truth: matching by scene in a helper, the curve in windows."""
+    rows = scored(spark, sf_dir).select("scene_id", "category", "object_id", "caption", "score", "iou")
+
+    def match(g: S.Columns) -> S.Columns:
+        return {c: g[c] for c in ("category", "object_id", "score")} | {"tp": S.greedy_matches(g["caption"], g["score"], g["iou"], 0.5)}
+
+    hits = S.per_group(rows, ["scene_id", "category"], ["object_id"], match, "category int, object_id string, score double, tp long")
+    order = Window.partitionBy("category").orderBy(F.desc("score"), "object_id")
+    run = hits.select("category", F.row_number().over(order).alias("pos"), F.sum("tp").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("ctp"), F.count("*").over(Window.partitionBy("category")).alias("npos"))
+    run = run.select("category", "pos", (F.col("ctp") / (F.col("npos") + 1e-8)).alias("recall"), (F.col("ctp") / F.col("pos")).alias("precision"))
+    by_pos = Window.partitionBy("category").orderBy("pos")
+    run = run.select("category", "recall", F.max("precision").over(by_pos.rowsBetween(0, Window.unboundedFollowing)).alias("envelope"), F.coalesce(F.lag("recall").over(by_pos), F.lit(0.0)).alias("prev"))
+    return run.groupBy("category").agg(F.round(F.sum((F.col("recall") - F.col("prev")) * F.col("envelope")), 6).alias("ap"))
+
+
+@query(f"WITH {IOU_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY score DESC, object_id) AS rn FROM iou), t AS (SELECT unnest([0.25, 0.5]) AS threshold), k AS (SELECT unnest([1, 5, 10]) AS k) SELECT threshold::DOUBLE AS threshold, k, count(DISTINCT scene_id) AS scenes, count(DISTINCT CASE WHEN rn <= k AND iou - gap > threshold THEN scene_id END) AS right_n FROM r, t, k GROUP BY ALL", heads="o")
+def grounding_accuracy(spark, sf_dir) -> DataFrame:
+    """Scenes right at 1, 5 and 10 candidates by generalised IoU."""
+    w = Window.partitionBy("scene_id").orderBy(F.desc("score"), "object_id")
+    from scenova.plans.geometry import box
+
+    _, giou = G.aligned_iou(box(), box(shift=True))
+    points = F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(k).alias("k")) for t in (0.25, 0.5) for k in (1, 5, 10)])
+    rows = objects(spark, sf_dir).withColumns({"giou": giou}).withColumn("rn", F.row_number().over(w))
+    rows = rows.select("scene_id", "rn", "giou", F.explode(points).alias("p")).select("scene_id", "rn", "giou", "p.*")
+    per = rows.groupBy("threshold", "k", "scene_id").agg(F.bool_or((F.col("rn") <= F.col("k")) & (F.col("giou") > F.col("threshold"))).alias("ok"))
+    return per.groupBy("threshold", "k").agg(F.count("*").alias("scenes"), F.count_if("ok").alias("right_n"))
+
+
+def replay(spark, sf_dir) -> DataFrame:
+    """Questions with their keys and the oracle's own sentences."""
+    rows = directed(spark, sf_dir).withColumn("r", G.dominant_relation(F.col("dx"), F.col("dy"))).where("r is not null")
+    phrase = F.when(F.col("r") == "front", "in front of").when(F.col("r") == "behind", "behind").otherwise(F.concat(F.lit("to the "), F.col("r"), F.lit(" of")))
+    a, b = (F.concat(F.lit("the "), F.col(c), F.lit(" in the front view")) for c in ("a_caption", "b_caption"))
+    return rows.select("scene_id", "a_id", "b_id", "r", a.alias("subject"), b.alias("object"), F.concat(T.capital(a), F.lit(" is "), phrase, F.lit(" "), b, F.lit(".")).alias("said"))
+
+
+@query("SELECT 'oracle' AS arm, count(*) AS n, 1.0::DOUBLE AS svo, 1.0::DOUBLE AS sentence FROM pairs WHERE greatest(abs(dx), abs(dy)) >= 1 UNION ALL SELECT 'swapped', count(*), 0.0, 1.0 FROM pairs WHERE greatest(abs(dx), abs(dy)) >= 1", heads="p")
+def oracle_replay(spark, sf_dir) -> DataFrame:
+    """The oracle's sentences score 1; the same sentences against the opposite key score 0."""
+    rows = replay(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    arms = rows.withColumn("arm", F.lit("oracle")).unionByName(rows.withColumns({"arm": F.lit("swapped"), "r": G.inverse_relation(F.col("r"))}))
+    ok = T.triple_ok(F.col("said"), F.lit("spatial_triple"), F.col("subject"), F.col("r"), F.col("object"), none, F.lit(None).cast("double"), none)
+    return arms.groupBy("arm").agg(F.count("*").alias("n"), rate(ok).alias("svo"), rate(T.one_sentence(F.col("said"))).alias("sentence"))
+
+
+@query("SELECT scenario, count(*) AS n, 1.0::DOUBLE AS accuracy FROM (SELECT 'which_is_left' AS scenario FROM pairs WHERE a_id < b_id AND abs(dy) >= 2 UNION ALL SELECT 'relative_location' FROM pairs WHERE a_id < b_id AND abs(dx) >= 3 AND abs(dy) >= 1.5) GROUP BY scenario", heads="p")
+def scenario_scores(spark, sf_dir) -> DataFrame:
+    """Keys read back from made sentences, by scenario."""
+    rows = directed(spark, sf_dir).where("a_id < b_id")
+    left = rows.where(F.abs("dy") >= 2).select(F.lit("which_is_left").alias("scenario"), F.when(F.col("dy") > 0, "A").otherwise("B").alias("key"), F.when(F.col("dy") > 0, "Object A is further left.").otherwise("Object B is further left.").alias("said"))
+    place = rows.withColumn("key", G.dead_zone_relation(F.col("dx"), F.col("dy"))).where(F.col("key").contains("_"))
+    place = place.select(F.lit("relative_location").alias("scenario"), "key", F.concat(F.lit("It is to the "), F.split_part("key", F.lit("_"), F.lit(1)), F.lit(" and "), F.split_part("key", F.lit("_"), F.lit(2)), F.lit(".")).alias("said"))
+    both = left.unionByName(place)
+    return both.groupBy("scenario").agg(F.count("*").alias("n"), rate(T.parsed_key(F.col("scenario"), F.col("said")) == F.col("key")).alias("accuracy"))
+
+
+@query("SELECT count(*) AS groups, count(*) FILTER (WHERE n = 2) AS pairs_n FROM (SELECT least(a_id, b_id) AS l, greatest(a_id, b_id) AS g, count(*) AS n FROM pairs WHERE abs(dy) >= 1.5 AND abs(dx) >= 3 GROUP BY ALL)", heads="p")
+def swap_consistency(spark, sf_dir) -> DataFrame:
+    """Groups of two whose answers invert each other; other sizes fail."""
+    rows = directed(spark, sf_dir).withColumn("key", G.dead_zone_relation(F.col("dx"), F.col("dy"))).where(F.col("key").contains("_"))
+    per = rows.groupBy(F.least("a_id", "b_id").alias("l"), F.greatest("a_id", "b_id").alias("g")).agg(F.sort_array(F.collect_list(F.struct("a_id", "key"))).alias("k"))
+    ok = (F.size("k") == 2) & (F.col("k")[0]["key"] == G.inverse_relation(F.get("k", F.lit(1))["key"]))
+    return per.agg(F.count("*").alias("groups"), F.count_if(F.coalesce(ok, F.lit(False))).alias("pairs_n"))
+
+
+@query("SELECT CASE WHEN dx > 0 THEN 'front' ELSE 'behind' END AS truth, count(*) AS n, count(*) FILTER (WHERE ('0x' || substr(sha1('base|' || a_id || '|' || b_id), 1, 2))::INTEGER % 2 = CASE WHEN dx > 0 THEN 1 ELSE 0 END) AS hits FROM pairs GROUP BY ALL", heads="p")
+def random_baseline(spark, sf_dir) -> DataFrame:
+    """Answers drawn from a hash, against the truth."""
+    from scenova.functions.ids import hash_order
+
+    draw = F.conv(F.substr(hash_order("base", F.col("a_id"), F.col("b_id")), F.lit(1), F.lit(2)), 16, 10).cast("int") % 2
+    truth = F.when(F.col("dx") > 0, "front").otherwise("behind")
+    return directed(spark, sf_dir).groupBy(truth.alias("truth")).agg(F.count("*").alias("n"), F.count_if(draw == F.when(F.col("dx") > 0, 1).otherwise(0)).alias("hits"))
+
+
+@query()
+def ridge_probe(spark, sf_dir) -> DataFrame:
+    """Closed-form ridge on standardised token arrays: moments are summed on the executors, a 64 x 64 system is solved."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("double").alias("y"), (F.col("vec_id") % 7 == 0).alias("held"))
+    train = e.where(~F.col("held"))
+
+    def moments(batches):
+        total = None
+        for pdf in batches:
+            x = np.column_stack([np.stack(pdf["v"].to_numpy()), np.ones(len(pdf)), pdf["y"].to_numpy()])
+            total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pd.DataFrame({"k": np.arange(total.size), "s": total.ravel()})
+
+    sums = train.mapInPandas(moments, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).orderBy("k").collect()  # 66 x 66 numbers
+    m = np.array([r["s"] for r in sums]).reshape(66, 66)
+    n, mean = m[64, 64], m[64, :64] / m[64, 64]
+    cov = m[:64, :64] / n - np.outer(mean, mean)
+    scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+    y_mean = m[64, 65] / n
+    xy = (m[:64, 65] / n - mean * y_mean) / scale
+    w = np.linalg.solve(cov / np.outer(scale, scale) + 1.0 / n * np.eye(64), xy) / scale
+    guess = G.dot(F.col("v"), F.array(*[F.lit(float(a)) for a in w])) + F.lit(float(y_mean - mean @ w))
+    return e.groupBy("held").agg(F.count("*").alias("n"), F.round(1 - F.sum((F.col("y") - guess) ** 2) / (F.var_pop("y") * F.count("*")), 6).alias("r2"))
+
+
+@query("SELECT CAST(floor(l_discount * 100) AS INTEGER) % 4 AS bucket, count(*) AS n, round(avg(CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0 END), 6) AS hit FROM lineitem GROUP BY ALL")
+def bucket_hit_rate(spark, sf_dir) -> DataFrame:
+    """A flag's rate by bucket, empty buckets left out."""
+    return table(spark, sf_dir, "lineitem").groupBy((F.floor(F.col("l_discount") * 100).cast("int") % 4).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("l_quantity") > 25, 1.0).otherwise(0.0)), 6).alias("hit"))
+
+
+@query("SELECT a_id AS object_id, count(*) AS labels FROM (SELECT a_id, row_number() OVER (PARTITION BY a_id ORDER BY dx * dx + dy * dy + dz * dz, b_id) AS rn FROM pairs WHERE a_category = b_category) WHERE rn <= 4 GROUP BY a_id", heads="p")
+def hard_topk_labels(spark, sf_dir) -> DataFrame:
+    """The four nearest candidates of each target among those of its own class."""
+    met = pairs(objects(spark, sf_dir), keep=["category", "x", "y", "z"]).where("a_category = b_category")
+    d2 = sum((F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in "xyz")
+    ranked = met.withColumn("rn", F.row_number().over(Window.partitionBy("a_object_id").orderBy(d2, "b_object_id"))).where("rn <= 4")
+    return ranked.groupBy(F.col("a_object_id").alias("object_id")).agg(F.count("*").alias("labels"))

@@ -26,6 +26,7 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select(
         F.col("l_orderkey").alias("scene_id"),
         F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("object_id"),
+        F.col("o_custkey").alias("cloud"),
         F.concat(F.lit("seq"), F.pmod("o_custkey", F.lit(40)).cast("string")).alias("sequence"),
         F.concat(F.lit("platform"), F.pmod("o_custkey", F.lit(3)).cast("string")).alias("platform"),
         F.when(F.col("o_orderstatus") == "O", "train").when(F.col("o_orderstatus") == "F", "val").otherwise("test").alias("split"),
@@ -48,6 +49,7 @@ OBJECTS_SQL = """
 objects AS (
     SELECT l_orderkey AS scene_id,
         concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS object_id,
+        o_custkey AS cloud,
         'seq' || CAST(o_custkey % 40 AS VARCHAR) AS sequence,
         'platform' || CAST(o_custkey % 3 AS VARCHAR) AS platform,
         CASE o_orderstatus WHEN 'O' THEN 'train' WHEN 'F' THEN 'val' ELSE 'test' END AS split,
