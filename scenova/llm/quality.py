@@ -147,7 +147,7 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, *, id: str = "doc_id", text
     rated = rated.orderBy(F.xxhash64(key), key, level).limit(max_ratings)
     # Bounded by max_ratings rows of two numbers, so it can be sent to every task.
     picked = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(rated), F.col("id") == F.col(key))
-    rows = picked.select("id", F.col(level).alias("level"), features("text").alias("x")).orderBy(F.xxhash64("id"), "id", "level", F.xxhash64("x")).limit(max_ratings).toPandas()
+    rows = picked.select("id", F.col(level).alias("level"), features("text").alias("x"), F.xxhash64("text").alias("h")).orderBy(F.xxhash64("id"), "id", "level", "h").limit(max_ratings).select("level", "x").toPandas()
     grades = sorted(int(g) for g in set(rows["level"]))
     if len(grades) < 2:
         return OrdinalModel(grades or [0], np.zeros((len(ORDERS), size)), np.zeros(LEVELS), np.zeros(0))

@@ -218,7 +218,8 @@ def without_repeats(text: Column, ends: Column, min_words: int) -> Column:
         span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
         return pa.array(out, pa.struct([("text", pa.string()), ("spans", pa.list_(span))]))
 
-    return clean(text, ends)
+    # Else a filter on the result would be pushed below it and clean every text twice.
+    return clean.asNondeterministic()(text, ends)
 
 
 def drop_repeated_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_words: int = 50, reach: int = 24, spans: str = "repeated_spans") -> DataFrame:

@@ -94,7 +94,7 @@ def merger(path: str) -> Merger:
 class Counter:
     """Counts of whole texts, with a cache of at most ``most`` pre-tokens."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 120_000):
         self.merge, self.most, self.known = merger(path), most, {}
         self.find = regex.compile(PRE_TOKEN).findall
         self.cut = regex.compile("|".join(map(regex.escape, self.merge.special))) if self.merge.special else None
