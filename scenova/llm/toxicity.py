@@ -24,7 +24,9 @@ toxic labels; repeated rows score alike; an empty table stays empty.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +48,15 @@ def slot(s: str, size: int) -> int:
     return xxhash.xxh32_intdigest(s.encode("utf-8", "surrogatepass")) % size
 
 
+@lru_cache(maxsize=1 << 17)
+def gram_row(gram: str) -> int:
+    return 1 + slot(gram, GRAMS - 1)
+
+
 def grams_of(word: str) -> list[int]:
     """Table rows of a word's character 3-grams."""
     framed = f"<{word}>"
-    return [1 + slot(framed[i : i + 3], GRAMS - 1) for i in range(len(framed) - 2)]
+    return [gram_row(framed[i : i + 3]) for i in range(len(framed) - 2)]
 
 
 def heads_of(word: str) -> list[str]:
@@ -248,7 +255,7 @@ def log_odds(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.maximum(odds - 2 * np.sqrt(1 / (counts[1] + 0.5) + 1 / (counts[0] + 0.5)), 0)
 
 
-def vocabulary(found: list[set[str]], toxic: np.ndarray, least: int) -> tuple[list[str], np.ndarray]:
+def vocabulary(found: Iterable[set[str]], toxic: np.ndarray, least: int) -> tuple[list[str], np.ndarray]:
     """What at least ``least`` texts hold, in order, and its log-odds."""
     counts: dict[str, list[int]] = {}
     for held, y in zip(found, toxic.tolist()):
@@ -267,9 +274,8 @@ def train(texts: list[str], toxic: np.ndarray, *, steps: int = 250, batch: int =
     share = float(toxic.mean()) if len(toxic) else 0.0
     if share in (0.0, 1.0):
         return Network({}, prior=share)
-    found = [set(TOKEN.findall(t.lower())) for t in texts]
-    words, word_odds = vocabulary(found, toxic, least)
-    heads, head_odds = vocabulary([{h for w in held for h in heads_of(w)} for held in found], toxic, least)
+    words, word_odds = vocabulary((set(TOKEN.findall(t.lower())) for t in texts), toxic, least)
+    heads, head_odds = vocabulary(({h for w in set(TOKEN.findall(t.lower())) for h in heads_of(w)} for t in texts), toxic, least)
     net = Network.fresh(seed, words, heads)
     net.p["word"][1:, 0] = word_odds
     net.p["head"][1:, 0] = head_odds
