@@ -13,9 +13,10 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 
     In each round every node points to its smallest neighbour, if that is
     smaller (the minimum is taken before the shuffle, so a hub is no single
-    task's), pointers are followed once more, and the edges are rewritten to
-    what their ends point to; edges that became loops or copies vanish. It ends
-    when no edge is left. Nothing leaves the executors but whether one is.
+    task's); pointers are doubled until they end, which takes the logarithm of
+    the longest chain; then the edges are rewritten to what their ends point
+    to, and those that became loops or copies vanish. It ends when no edge is
+    left. Nothing leaves the executors but whether there is one.
     """
     left = cut(edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).where("a != b").distinct())
     labels = None
@@ -24,8 +25,13 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         ends = left.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(left.select(F.col("b").alias("node"), F.col("b").alias("to")))
         step = ends.groupBy("node").agg(F.min("to").alias("to"))
         step = cut(step)
-        up = step.select(F.col("node").alias("to"), F.col("to").alias("up"))
-        step = cut(step.join(up, "to").select("node", F.col("up").alias("to")))
+        while True:
+            up = step.select(F.col("node").alias("to"), F.col("to").alias("up"))
+            step = cut(step.join(up, "to").select("node", "to", "up"))
+            ended = not step.where("up != to").limit(1).count()
+            step = step.select("node", F.col("up").alias("to"))
+            if ended:
+                break
         if labels is None:
             labels = step.select("node", F.col("to").alias("label"))
         else:
