@@ -37,11 +37,11 @@ def audit_violations(spark, sf_dir) -> DataFrame:
     )
 
 
-@query("SELECT unnest(['duplicate_id', 'crossing_scene', 'same_object', 'unknown_split']) AS rule, unnest([0, 0, 0, 0])::BIGINT AS violations, count(*) AS n FROM pairs", heads="p")
+@query("SELECT unnest(['empty_id', 'crossing_scene', 'same_object', 'unknown_split']) AS rule, unnest([0, 0, 0, 0])::BIGINT AS violations, count(*) AS n FROM (SELECT DISTINCT scene_id, a_id, b_id FROM pairs)", heads="p")
 def strict_audit(spark, sf_dir) -> DataFrame:
     """Rules that must hold; a broken one ends the job."""
-    rows = directed(spark, sf_dir).groupBy("scene_id", "a_id", "b_id").agg(F.count("*").alias("copies"), F.countDistinct("split").alias("splits"), F.min("split").alias("split"))
-    rules = {"duplicate_id": F.col("copies") > 1, "crossing_scene": F.col("splits") > 1, "same_object": F.col("a_id") == F.col("b_id"), "unknown_split": ~F.col("split").isin("train", "val", "test")}
+    rows = directed(spark, sf_dir).groupBy("scene_id", "a_id", "b_id").agg(F.countDistinct("split").alias("splits"), F.min("split").alias("split"))
+    rules = {"empty_id": (F.col("a_id") == "") | (F.col("b_id") == ""), "crossing_scene": F.col("splits") > 1, "same_object": F.col("a_id") == F.col("b_id"), "unknown_split": ~F.col("split").isin("train", "val", "test")}
     return demand(violations(rows, rules))
 
 

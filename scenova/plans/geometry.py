@@ -95,11 +95,11 @@ def frame_transform(spark, sf_dir) -> DataFrame:
     return objects(spark, sf_dir).select("object_id", *[(F.round(v, 6) + 0.0).alias(n) for v, n in ((rx, "rx"), (ry, "ry"), (G.wrap_angle(F.col("yaw") - F.radians(F.lit(45.0))), "ryaw"))])
 
 
-@query(f"WITH {IOU_SQL} SELECT object_id, round(iou, 9) AS iou, round(iou - gap, 9) AS giou FROM iou", heads="o")
+@query(f"WITH {IOU_SQL} SELECT object_id, round(iou, 9) + 0.0 AS iou, round(iou - gap, 9) + 0.0 AS giou FROM iou", heads="o")
 def aligned_iou(spark, sf_dir) -> DataFrame:
     """IoU and generalised IoU of each true box and its prediction."""
     iou, giou = G.aligned_iou(box(), box(shift=True))
-    return objects(spark, sf_dir).select("object_id", F.round(iou, 9).alias("iou"), F.round(giou, 9).alias("giou"))
+    return objects(spark, sf_dir).select("object_id", (F.round(iou, 9) + 0.0).alias("iou"), (F.round(giou, 9) + 0.0).alias("giou"))
 
 
 @query(f"WITH {IOU_SQL} SELECT {BUCKET_SQL} AS bucket, count(*) AS n FROM iou GROUP BY ALL", heads="o")

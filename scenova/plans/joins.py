@@ -116,10 +116,10 @@ def roster_diff(spark, sf_dir) -> DataFrame:
     return met.groupBy(side.alias("side")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT object_id, donor FROM (SELECT a.object_id, a.n, list_extract(a.ids, CAST((a.i * 17 + 42) % a.n + 1 AS INTEGER)) AS donor FROM (SELECT object_id, i, list_filter(ids, lambda o: o <> object_id) AS ids, len(ids) - 1 AS n FROM (SELECT object_id, row_number() OVER (PARTITION BY scene_id ORDER BY object_id) - 1 AS i, list(object_id ORDER BY object_id) OVER (PARTITION BY scene_id) AS ids FROM objects)) a WHERE n > 0)", heads="o")
+@query("SELECT object_id, donor FROM (SELECT a.object_id, a.n, list_extract(a.ids, CAST((a.i * 17 + 42) % a.n + 1 AS INTEGER)) AS donor FROM (SELECT object_id, i, list_filter(ids, lambda o: o <> object_id) AS ids, len(ids) - 1 AS n FROM (SELECT object_id, row_number() OVER (PARTITION BY scene_id ORDER BY object_id) - 1 AS i, list(object_id ORDER BY object_id) OVER (PARTITION BY scene_id) AS ids FROM (SELECT DISTINCT scene_id, object_id FROM objects))) a WHERE n > 0)", heads="o")
 def donor_tokens(spark, sf_dir) -> DataFrame:
     """A donor of the same group for each object, never itself, chosen by (place * 17 + 42) mod the others."""
-    groups = objects(spark, sf_dir).groupBy("scene_id").agg(F.sort_array(F.collect_list("object_id")).alias("ids")).where(F.size("ids") > 1)
+    groups = objects(spark, sf_dir).groupBy("scene_id").agg(F.sort_array(F.collect_set("object_id")).alias("ids")).where(F.size("ids") > 1)
     rows = groups.select("ids", F.posexplode("ids").alias("i", "object_id"))
     others = F.filter("ids", lambda o: o != F.col("object_id"))
     return rows.select("object_id", F.element_at(others, ((F.col("i") * 17 + 42) % F.size(others) + 1).cast("int")).alias("donor"))
