@@ -157,16 +157,20 @@ def agreement(a: np.ndarray, b: np.ndarray) -> float:
     return len(np.intersect1d(a, b, assume_unique=True)) / max(len(a), len(b), 1)
 
 
-def next_paths(lam: float, same: float):
-    """Of a member of a large bucket: whether the pivot stands for it, and its continued paths if not."""
+def next_paths(lam: float, same: float, least: float):
+    """Of a member of a large bucket: whether it is linked to the pivot, and its continued paths.
+
+    The pivot stands for members that are nearly its equals; members that pick
+    no token, and so leave the run here, are linked to it if they agree.
+    """
 
     def paths(path: pa.Array, sketch: pa.Array, pivot: pa.Array, is_pivot: pa.Array) -> pa.Array:
         near, more = [], []
         for p, raw, other, own in zip(path.to_numpy(zero_copy_only=False).view(np.uint64), sketch.to_pylist(), pivot.to_pylist(), is_pivot.to_pylist()):
             tokens = np.frombuffer(raw, np.uint32)
-            covered = not own and agreement(tokens, np.frombuffer(other, np.uint32)) >= same
-            near.append(covered)
-            more.append([] if covered else chosen(p, tokens, lam).view(np.int64).tolist())
+            near_by = 0.0 if own else agreement(tokens, np.frombuffer(other, np.uint32))
+            more.append([] if near_by >= same else chosen(p, tokens, lam).view(np.int64).tolist())
+            near.append(near_by >= least and not more[-1])
         return pa.StructArray.from_arrays([pa.array(near, pa.bool_()), pa.array(more, pa.list_(pa.int64()))], ["near", "paths"])
 
     return F.arrow_udf(paths, "struct<near:boolean,paths:array<bigint>>")
@@ -315,7 +319,7 @@ def candidate_edges(classes: DataFrame, *, lam: float, runs: int, limit: int, de
         pivots = sketches.select(F.col("c").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
         pivots = large.join(pivots, "pivot").select("path", "pivot", "pivot_sketch")
         known = members.select("path", "c").join(pivots, "path").join(sketches, "c")
-        grown = known.withColumn("next", next_paths(lam, same)("path", "sketch", "pivot_sketch", F.col("c") == F.col("pivot"))).select("c", "pivot", "next")
+        grown = known.withColumn("next", next_paths(lam, same, least)("path", "sketch", "pivot_sketch", F.col("c") == F.col("pivot"))).select("c", "pivot", "next")
         grown = cut(grown)
         edges.append(grown.where("next.near").select(F.col("c").alias("u"), F.col("pivot").alias("v")))
         rows = grown.select("c", F.explode("next.paths").alias("path"))
