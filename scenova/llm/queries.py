@@ -99,7 +99,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op9_recurrent_toxicity": op9_recurrent_toxicity,
     "op10_block_nearest": """
         WITH held AS (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
