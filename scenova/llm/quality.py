@@ -92,13 +92,13 @@ def scores(data: np.ndarray, offsets: np.ndarray, model: OrdinalModel) -> np.nda
 
 
 def fit_cumulative_link(x: np.ndarray, grade: np.ndarray, steps: int = 200, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by full-batch Adam. ``grade`` counts from 0; every grade occurs."""
+    """Weights and thresholds by full-batch Adam. ``grade`` counts from 0; every grade occurs. ``x`` (float32) is scaled in place."""
     n, levels = len(x), int(grade.max()) + 1
     share = np.cumsum(np.bincount(grade, minlength=levels))[:-1] / n
     theta = np.log(share / (1 - share))
     gaps = np.log(np.maximum(np.diff(theta), 1e-3))
     scale = 1 / (x.std(0) + 0.02 * x.std() + 1e-8)
-    x = x * scale.astype(np.float32)
+    x *= scale.astype(np.float32)
     mean = x.mean(0)
     params = np.concatenate([np.zeros(x.shape[1]), theta[:1], gaps])
     first = np.zeros_like(params)
@@ -134,7 +134,7 @@ def fit_cumulative_link(x: np.ndarray, grade: np.ndarray, steps: int = 200, rate
     return params[:d] * scale, cuts + float(mean @ params[:d].astype(np.float32))
 
 
-def fit_quality(docs: DataFrame, ratings: DataFrame, *, id: str = "doc_id", text: str = "text", grade: str = "quality", max_ratings: int = 4000, size: int = 2048) -> OrdinalModel:
+def fit_quality(docs: DataFrame, ratings: DataFrame, *, id: str = "doc_id", text: str = "text", grade: str = "quality", max_ratings: int = 2500, size: int = 2048) -> OrdinalModel:
     """Fit on at most ``max_ratings`` rated rows. ``size`` (a power of 2): hash buckets for each n-gram order."""
 
     @F.arrow_udf("binary")
@@ -151,8 +151,12 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, *, id: str = "doc_id", text
     grades = sorted(int(g) for g in set(rows["level"]))
     if len(grades) < 2:
         return OrdinalModel(grades or [0], np.zeros((len(ORDERS), size)), np.zeros(LEVELS), np.zeros(0))
-    x = np.stack([np.frombuffer(b, np.float16) for b in rows["x"]]).astype(np.float32)
-    weights, cuts = fit_cumulative_link(x, np.searchsorted(grades, rows["level"].to_numpy()))
+    x = np.empty((len(rows), len(ORDERS) * size + LEVELS), np.float32)
+    for i, b in enumerate(rows["x"]):
+        x[i] = np.frombuffer(b, np.float16)
+    known = np.searchsorted(grades, rows["level"].to_numpy())
+    del rows
+    weights, cuts = fit_cumulative_link(x, known)
     return OrdinalModel(grades, weights[:-LEVELS].reshape(len(ORDERS), size), weights[-LEVELS:], cuts)
 
 

@@ -29,7 +29,7 @@ def test_ordinal_regression_orders_grades():
     x = np.abs(rng.normal(size=(3000, 40))).astype(np.float32)
     hidden = x @ np.r_[np.linspace(-2, 2, 16), np.zeros(24)] + rng.logistic(size=3000) * 0.5
     grade = np.digitize(hidden, [-2.0, 0.0, 2.0])
-    w, cuts = quality.fit_cumulative_link(x[:2000], grade[:2000], steps=800, rate=0.3)
+    w, cuts = quality.fit_cumulative_link(x[:2000].copy(), grade[:2000], steps=800, rate=0.3)
     assert len(cuts) == 3 and (np.diff(cuts) > 0).all()
     model = quality.OrdinalModel([0, 1, 2, 3], np.zeros((2, 2)), np.zeros(quality.LEVELS), cuts)
     score = (x[2000:] @ w).astype(float)
