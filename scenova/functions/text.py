@@ -141,9 +141,9 @@ def norm_plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
-def in_order(text: Column, entities: Column) -> Column:
-    """Whether the entities occur one after the other, each behind the one before."""
-    held = norm_decimal(text)
+def in_order(text: Column, entities: Column, held: Column | None = None) -> Column:
+    """Whether the entities occur one after the other, each behind the one before. ``held``: the text normalised already."""
+    held = norm_decimal(text) if held is None else held
     at = F.aggregate(F.transform(entities, norm_decimal), F.lit(1), lambda at, e: _next(held, e, at))
     return at > 0
 
@@ -153,29 +153,29 @@ def _next(held: Column, entity: Column, at: Column) -> Column:
     return F.when((at > 0) & (found > 0), found + F.length(entity)).otherwise(F.lit(0))
 
 
-def _has(text: Column, phrase: str) -> Column:
-    return F.contains(norm_decimal(text), F.lit(phrase))
-
-
-def predicate_ok(prediction: Column, relation: Column) -> Column:
-    """The relation's phrase is there and its opposite's isn't."""
+def predicate_ok(held: Column, relation: Column) -> Column:
+    """The relation's phrase is in a normalised text and its opposite's isn't."""
     ok = F.lit(False)
     for name, phrase in RELATION_PHRASES.items():
-        this = _has(prediction, phrase)
+        this = F.contains(held, F.lit(phrase))
         if name in OPPOSITE:
-            this = this & ~_has(prediction, RELATION_PHRASES[OPPOSITE[name]])
+            this = this & ~F.contains(held, F.lit(RELATION_PHRASES[OPPOSITE[name]]))
         ok = F.when(relation == name, this).otherwise(ok)
     return ok
 
 
-def triple_ok(prediction: Column, kind: Column, subject: Column, relation: Column, object: Column, comparison: Column, meters: Column, motion: Column) -> Column:
-    """Subject, predicate and object of an answer by the kind of its key. Metric answers hold one number within 0.051 m."""
-    two = in_order(prediction, F.array(subject, object))
-    three = in_order(prediction, F.array(subject, object, F.coalesce(comparison, F.lit(""))))
+def triple_ok(prediction: Column, kind: Column, subject: Column, relation: Column, object: Column, comparison: Column, meters: Column, motion: Column, held: Column | None = None) -> Column:
+    """Subject, predicate and object of an answer by the kind of its key. Metric answers hold one number within 0.051 m.
+
+    ``held`` is ``norm_decimal(prediction)``, where a column of it is at hand: it is used many times.
+    """
+    held = norm_decimal(prediction) if held is None else held
+    two = in_order(prediction, F.array(subject, object), held)
+    three = in_order(prediction, F.array(subject, object, F.coalesce(comparison, F.lit(""))), held)
     numbers = F.regexp_extract_all(F.lower(prediction), F.lit(r"(?<![a-z0-9])([0-9]+(?:\.[0-9]+)?)\s*meters?\b"), F.lit(1))
     metric = two & (F.size(numbers) == 1) & (F.abs(F.get(numbers, F.lit(0)).cast("double") - meters) < 0.051)
-    said = predicate_ok(prediction, relation)
-    moving = two & said & F.contains(norm_decimal(prediction), norm_decimal(F.coalesce(motion, F.lit(""))))
+    said = predicate_ok(held, relation)
+    moving = two & said & F.contains(held, norm_decimal(F.coalesce(motion, F.lit(""))))
     return F.coalesce(F.when(kind == "metric_distance", metric).when(kind == "relative_distance", three & said).when(kind == "motion_relation", moving).when(kind == "spatial_triple", two & said), F.lit(False))
 
 

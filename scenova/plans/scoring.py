@@ -87,10 +87,10 @@ def replay(spark, sf_dir) -> DataFrame:
 @query("SELECT 'oracle' AS arm, count(*) AS n, 1.0::DOUBLE AS svo, 1.0::DOUBLE AS sentence FROM pairs WHERE greatest(abs(dx), abs(dy)) >= 1 UNION ALL SELECT 'swapped', count(*), 0.0, 1.0 FROM pairs WHERE greatest(abs(dx), abs(dy)) >= 1", heads="p")
 def oracle_replay(spark, sf_dir) -> DataFrame:
     """The oracle's sentences score 1; the same sentences against the opposite key score 0."""
-    rows = replay(spark, sf_dir)
+    rows = replay(spark, sf_dir).withColumn("held", T.norm_decimal(F.col("said")))
     none = F.lit(None).cast("string")
     arms = rows.withColumn("arm", F.lit("oracle")).unionByName(rows.withColumns({"arm": F.lit("swapped"), "r": G.inverse_relation(F.col("r"))}))
-    ok = T.triple_ok(F.col("said"), F.lit("spatial_triple"), F.col("subject"), F.col("r"), F.col("object"), none, F.lit(None).cast("double"), none)
+    ok = T.triple_ok(F.col("said"), F.lit("spatial_triple"), F.col("subject"), F.col("r"), F.col("object"), none, F.lit(None).cast("double"), none, F.col("held"))
     return arms.groupBy("arm").agg(F.count("*").alias("n"), rate(ok).alias("svo"), rate(T.one_sentence(F.col("said"))).alias("sentence"))
 
 
