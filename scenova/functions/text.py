@@ -258,3 +258,47 @@ def category_mentions(caption: Column, words: Column) -> Column:
         return pd.Series([[{"start": s, "end": e, "word": w} for s, e, w in find_mentions(c, list(ws))] for c, ws in zip(captions, lists)])
 
     return find(caption, words)
+
+
+def summary_part(text: Column) -> Column:
+    """What follows the last "Summary:"; the whole text without one."""
+    return F.trim(F.element_at(F.split(text, "Summary:"), -1))
+
+
+def plan_phrase_ok(text: Column, kind: Column, safe: Column, steer: Column, pass_side: Column, blocker: Column) -> Column:
+    """Whether an answer says what a plan key asks: a verdict on safety, a stop, or a steer with its passing side."""
+    held = norm_plain(text)
+    has = lambda *parts: F.rlike(held, F.concat(F.lit(r"\b"), *parts, F.lit(r"\b")))
+    unsafe = has(F.lit("is unsafe"))
+    verdict = F.when(safe, has(F.lit("is safe")) & ~unsafe).otherwise(unsafe)
+    moving = has(F.lit("steer "), steer) & has(F.lit("continue forward")) & has(F.lit("passing to the "), pass_side, F.lit(" of object "), F.lower(blocker))
+    return F.coalesce(F.when(kind == "candidate_maneuver_safety", verdict).when(steer == "stop", has(F.lit("should stop"))).otherwise(moving), F.lit(False))
+
+
+# Words that introduce another entity, and words that end such an introduction.
+INTRODUCTIONS = ["relationship with the surrounding environment:", "there is", "there are", "there was", "there were", "another", "with", "beside", "alongside", "near", *(f"{a} {b}" for a in ("and", "while") for b in ("a", "an", "the", "another"))]
+BREAKERS = {"is", "are", "was", "were", "to", "of", "on", "in", "from", "than", "behind", "front", "left", "right", "ahead", "near", "beside", "adjacent"}
+
+
+def introduced(before: str, most: int = 7) -> bool:
+    """Whether a clause ends in an introduction and ``most`` plain words at most."""
+    words = re.sub(r"\s*:\s*", ": ", before.lower()).split()
+    for fill in range(min(most, len(words)) + 1):
+        tail = words[len(words) - fill :]
+        if any(w in BREAKERS or not re.fullmatch(r"[a-z0-9-]+", w) for w in tail):
+            return False
+        head = " ".join(words[: len(words) - fill])
+        if any(re.search(rf"{re.escape(i)}$", head) for i in INTRODUCTIONS):
+            return True
+    return False
+
+
+def find_secondary(caption: str | None, words: list[str], main: tuple[int, int]) -> list[tuple[int, int, str]]:
+    """Mentions behind the main one that their own clause introduces as another entity."""
+    out = []
+    for start, end, word in find_mentions(caption, words):
+        if start > main[1]:
+            clause = re.split(r"[.;!?]", caption[max(main[1], start - 180) : start])[-1]
+            if introduced(clause):
+                out.append((start, end, word))
+    return out

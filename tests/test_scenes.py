@@ -104,6 +104,23 @@ def test_mentions():
     assert T.find_mentions(None, ["car"]) == [] and T.find_mentions("carpet", ["car"]) == []
 
 
+def test_secondary_mentions():
+    text = "a red truck is parked; the truck is tall. There is a small white truck. It stands behind the truck."
+    main = T.find_mentions(text, ["truck"])[0]
+    assert [text[a - 6 : b] for a, b, _ in T.find_secondary(text, ["truck"], main[:2])] == ["white truck"]
+    assert T.introduced(" and a big") and not T.introduced(" a guardrail is behind the") and not T.introduced("")
+
+
+def test_plan_phrases(spark):
+    none = F.lit(None).cast("string")
+    ok = lambda s, kind, safe, steer, side, blocker: value(spark, T.plan_phrase_ok(F.lit(s), F.lit(kind), F.lit(safe), F.lit(steer), F.lit(side) if side else none, F.lit(blocker) if blocker else none))
+    assert ok("The ego should stop.", "plan", None, "stop", None, None)
+    assert ok("Steer left and continue forward, passing to the left of Object B.", "plan", None, "left", "left", "B")
+    assert not ok("Steer left and continue forward, passing to the right of Object B.", "plan", None, "left", "left", "B")
+    assert ok("It is safe.", "candidate_maneuver_safety", True, "left", None, None) and not ok("It is safe.", "candidate_maneuver_safety", False, "left", None, None)
+    assert value(spark, T.summary_part(F.lit("x Summary: a car "))) == "a car"
+
+
 def frame(root, platform, sequence, name, held):
     path = root / platform / sequence / name
     path.mkdir(parents=True)
