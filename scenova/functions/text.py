@@ -270,7 +270,7 @@ def plan_phrase_ok(text: Column, kind: Column, safe: Column, steer: Column, pass
     held = norm_plain(text)
     has = lambda *parts: F.rlike(held, F.concat(F.lit(r"\b"), *parts, F.lit(r"\b")))
     unsafe = has(F.lit("is unsafe"))
-    verdict = F.when(safe, has(F.lit("is safe")) & ~unsafe).otherwise(unsafe)
+    verdict = F.when(safe.cast("boolean"), has(F.lit("is safe")) & ~unsafe).otherwise(unsafe)
     moving = has(F.lit("steer "), steer) & has(F.lit("continue forward")) & has(F.lit("passing to the "), pass_side, F.lit(" of object "), F.lower(blocker))
     return F.coalesce(F.when(kind == "candidate_maneuver_safety", verdict).when(steer == "stop", has(F.lit("should stop"))).otherwise(moving), F.lit(False))
 
