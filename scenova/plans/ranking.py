@@ -14,7 +14,6 @@ from scenova.plans.joins import NUMBERED_SQL, numbered
 from scenova.sources.scenes import objects, pairs, table
 
 UP = Window.unboundedPreceding
-DOWN = Window.unboundedFollowing
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "rn") -> DataFrame:
@@ -60,7 +59,8 @@ def ap_curve_rows(spark, sf_dir) -> DataFrame:
     order = Window.partitionBy("category").orderBy(F.desc("score"), "object_id")
     run = rows.select("category", F.row_number().over(order).alias("pos"), F.sum("tp").over(order.rowsBetween(UP, 0)).alias("ctp"), F.count("*").over(Window.partitionBy("category")).alias("npos"))
     curve = run.select("category", "pos", (F.col("ctp") / (F.col("npos") + 1e-8)).alias("recall"), (F.col("ctp") / F.col("pos")).alias("precision"))
-    return curve.withColumn("envelope", F.max("precision").over(Window.partitionBy("category").orderBy("pos").rowsBetween(0, DOWN)))
+    # A running maximum from the far end: a frame that ends in "unbounded following" would be summed up anew for each row.
+    return curve.withColumn("envelope", F.max("precision").over(Window.partitionBy("category").orderBy(F.desc("pos")).rowsBetween(UP, 0)))
 
 
 @query(AP_SQL + " SELECT category, count(*) AS n, round(sum((recall - prev) * envelope), 6) AS ap FROM (SELECT *, coalesce(lag(recall) OVER (PARTITION BY category ORDER BY pos), 0) AS prev FROM e) GROUP BY category", heads="o")

@@ -58,7 +58,7 @@ def greedy_average_precision(spark, sf_dir) -> DataFrame:
     run = hits.select("category", F.row_number().over(order).alias("pos"), F.sum("tp").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("ctp"), F.count("*").over(Window.partitionBy("category")).alias("npos"))
     run = run.select("category", "pos", (F.col("ctp") / (F.col("npos") + 1e-8)).alias("recall"), (F.col("ctp") / F.col("pos")).alias("precision"))
     by_pos = Window.partitionBy("category").orderBy("pos")
-    run = run.select("category", "recall", F.max("precision").over(by_pos.rowsBetween(0, Window.unboundedFollowing)).alias("envelope"), F.coalesce(F.lag("recall").over(by_pos), F.lit(0.0)).alias("prev"))
+    run = run.select("category", "recall", F.max("precision").over(Window.partitionBy("category").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)).alias("envelope"), F.coalesce(F.lag("recall").over(by_pos), F.lit(0.0)).alias("prev"))
     return run.groupBy("category").agg(F.round(F.sum((F.col("recall") - F.col("prev")) * F.col("envelope")), 6).alias("ap"))
 
 
