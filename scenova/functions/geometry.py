@@ -166,3 +166,17 @@ def local_plan(boxes: Column) -> Column:
     offset = F.when(straight == best, 0.0).when(left == best, 3.0).otherwise(-3.0)
     side = F.when(best >= -0.5, F.when(offset > near["y"], "left").otherwise("right"))
     return F.when(F.size(ahead) > 0, F.struct(steer.alias("steer"), side.alias("pass_side"), near["ord"].alias("blocker"), best.alias("clearance")))
+
+
+def apply_pose(m: Column, x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    """A point through a pose of 16 numbers, row by row."""
+    return tuple(m[4 * i] * x + m[4 * i + 1] * y + m[4 * i + 2] * z + m[4 * i + 3] for i in range(3))
+
+
+def inverse_pose(m: Column) -> Column:
+    """Inverse of a rigid pose of 16 numbers: the rotation transposed, the shift turned back."""
+    rows = []
+    for i in range(3):
+        turned = [m[i], m[4 + i], m[8 + i]]
+        rows += [*turned, -(turned[0] * m[3] + turned[1] * m[7] + turned[2] * m[11])]
+    return F.array(*rows, *[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)])

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from scenova.plans import aggregates, audits, generators, geometry, joins, points, ranking, scoring, texts  # noqa: F401
+from scenova.plans import aggregates, annotations, audits, generators, geometry, joins, points, ranking, scoring, texts  # noqa: F401
 from scenova.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
