@@ -11,8 +11,10 @@ one with the lower determinant is kept, group by group. A row is rejected
 when its squared Mahalanobis distance exceeds ``cutoff``.
 
 Everything on the main path is a DataFrame operation: map-side combined
-aggregates, a join with the group table (whose way Spark chooses by its size)
-and closed-form linear algebra in columns.
+aggregates, joins with the group table and closed-form linear algebra in
+columns. A group table of up to ``sent_groups`` rows, which is counted first,
+goes to every task; a larger one is repeated for SALTS salts and joined on
+group and salt, so that a hot group is never one task's.
 
 Defined cases: a null text has no words and no lines, so it fails the base
 rules; null lang and null source are values of their own; groups of fewer than
@@ -32,6 +34,8 @@ from scenova.llm.common import cut
 SPACE = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: Parts that a group's rows are dealt into where the group table is too large to be sent.
+SALTS = 32
 
 #: Least scale of each transformed statistic: differences below it are not held against a row.
 FLOORS = {"v_words": 0.6, "v_chars": 0.35, "v_symbols": 0.1, "v_lines": 0.1, "v_repeats": 0.1}
@@ -96,6 +100,17 @@ def pairs() -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(STATS) for b in STATS[: i + 1]]
 
 
+def met_groups(rows: DataFrame, groups: DataFrame, key: str, sent: bool, how: str = "inner") -> DataFrame:
+    """``rows`` (with _salt) with the columns of their group's one row of ``groups``."""
+    if sent:
+        return rows.join(F.broadcast(groups), key, how)
+    return rows.join(groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"], how)
+
+
+def at_most(df: DataFrame, n: int) -> bool:
+    return df.limit(n + 1).count() <= n
+
+
 def moments(rows: DataFrame, keep: Column) -> DataFrame:
     """Per group: means m_* and covariances c_* (with floors on the diagonal) of the rows to keep."""
     on = lambda x: F.when(keep, x)
@@ -116,9 +131,9 @@ def factored(groups: DataFrame) -> DataFrame:
     return groups.withColumn("log_det", sum((2 * F.log(f"l_{a}_{a}") for a in STATS), F.lit(0.0))).drop(*[f"c_{a}_{b}" for a, b in pairs()])
 
 
-def with_distance(rows: DataFrame, estimates: DataFrame, name: str) -> DataFrame:
+def with_distance(rows: DataFrame, estimates: DataFrame, name: str, sent: bool) -> DataFrame:
     """``rows`` with the squared Mahalanobis distance under their group's estimate."""
-    met = rows.join(estimates, "group", "left")
+    met = met_groups(rows, estimates, "group", sent, "left")
     total = F.lit(0.0)
     for i, a in enumerate(STATS):
         rest = F.col(a) - F.col(f"m_{a}")
@@ -134,11 +149,11 @@ def grid(distance: Column) -> Column:
     return F.floor(F.log(distance + 1e-6) * 64).cast("long")
 
 
-def concentrate(rows: DataFrame, estimates: DataFrame, share: float) -> DataFrame:
+def concentrate(rows: DataFrame, estimates: DataFrame, share: float, sent: bool) -> DataFrame:
     """One concentration step: estimates over the ``share`` of each group that is nearest under ``estimates``."""
-    near = with_distance(rows, estimates, "_d").withColumn("_g", grid(F.col("_d")))
+    near = with_distance(rows, estimates, "_d", sent).withColumn("_g", grid(F.col("_d")))
     limits = near.groupBy("group").agg(F.expr(f"percentile_disc({share}) within group (order by _g)").alias("_limit"))
-    return moments(near.join(limits, "group"), F.col("_g") <= F.col("_limit"))
+    return moments(met_groups(near, limits, "group", sent), F.col("_g") <= F.col("_limit"))
 
 
 def spread_start(rows: DataFrame) -> DataFrame:
@@ -152,30 +167,32 @@ def spread_start(rows: DataFrame) -> DataFrame:
     return factored(held.select("group", *mean, *cov))
 
 
-def robust_estimates(rows: DataFrame, share: float, steps: int) -> DataFrame:
+def robust_estimates(rows: DataFrame, share: float, steps: int, sent: bool = True) -> DataFrame:
     """The estimate of the lower determinant of two starts, per group."""
     found = []
     for start in (spread_start(rows), moments(rows, F.lit(True))):
         for _ in range(steps):
-            start = cut(concentrate(rows, start, share))
+            start = cut(concentrate(rows, start, share, sent))
         found.append(start)
     best = found[0].unionByName(found[1]).groupBy("group").agg(F.min_by(F.struct(*[c for c in found[0].columns if c != "group"]), "log_det").alias("e"))
     return best.select("group", "e.*")
 
 
-def quality_rules(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", share: float = 0.75, steps: int = 2, least_rows: int = 50, cutoff: float = 30.0) -> DataFrame:
+def quality_rules(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", share: float = 0.75, steps: int = 2, least_rows: int = 50, cutoff: float = 30.0, sent_groups: int = 10_000) -> DataFrame:
     """One row for each row: id, the base statistics, base_failed, distance and kept."""
     slim = docs.select(F.col(id).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
-    slim = cut(base_statistics(slim).drop("text").withColumns(transformed()))
+    slim = base_statistics(slim).drop("text").withColumns(transformed())
+    slim = cut(slim.withColumn("_salt", F.pmod(F.xxhash64("doc_id", *STATS), F.lit(SALTS)).cast("int")))
     passed = ~F.col("base_failed")
     own = F.struct(F.col("lang").alias("lang"), F.col("source").alias("source"), F.lit(True).alias("own"))
     pool = F.struct(F.col("lang").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(False).alias("own"))
-    sizes = slim.where(passed).groupBy(own.alias("own_group")).count().where(F.col("count") >= least_rows).select("own_group")
-    keyed = slim.withColumn("own_group", own).join(sizes.withColumn("large", F.lit(True)), "own_group", "left")
+    sizes = cut(slim.where(passed).groupBy(own.alias("own_group")).count().where(F.col("count") >= least_rows).select("own_group"))
+    keyed = met_groups(slim.withColumn("own_group", own), sizes.withColumn("large", F.lit(True)), "own_group", at_most(sizes, sent_groups), "left")
     keyed = keyed.withColumn("group", F.when(F.col("large"), F.col("own_group")).otherwise(pool)).drop("own_group", "large", "lang", "source")
-    rows = keyed.where(passed).select("group", *STATS)
-    enough = rows.groupBy("group").count().where(F.col("count") >= least_rows).select("group")
-    estimates = robust_estimates(rows.join(enough, "group"), share, steps)
-    judged = with_distance(keyed, estimates, "distance")
+    rows = keyed.where(passed).select("group", "_salt", *STATS)
+    enough = cut(rows.groupBy("group").count().where(F.col("count") >= least_rows).select("group"))
+    sent = at_most(enough, sent_groups)
+    estimates = robust_estimates(met_groups(rows, enough, "group", sent), share, steps, sent)
+    judged = with_distance(keyed, estimates, "distance", sent)
     kept = passed & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

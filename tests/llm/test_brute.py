@@ -283,6 +283,12 @@ def test_rule_statistics(spark, texts):
     assert all(r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]) for r in rows)
 
 
+def test_rules_agree_whether_groups_are_sent_or_salted(spark):
+    docs = queries.read(spark, SF, "documents")
+    told = [{r["doc_id"]: (r["kept"], r["distance"] and round(r["distance"], 6)) for r in rules.quality_rules(docs, sent_groups=n).collect()} for n in (10_000, 0)]
+    assert told[0] == told[1] and any(d is not None for _, d in told[0].values())
+
+
 def test_robust_estimate_is_numpy_s(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(400, 5)) * [1, 0.5, 0.2, 0.1, 0.1]
