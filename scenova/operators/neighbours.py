@@ -33,37 +33,43 @@ def near_pairs(centres: DataFrame, points: DataFrame, radius: float) -> DataFram
     return left.join(right, keys).drop(*keys[1:]).withColumn("d2", d2)
 
 
-def ball_query(centres: DataFrame, points: DataFrame, radius: float, n: int, *, least: float | None = None, inclusive: bool = False) -> DataFrame:
+def ball_query(centres: DataFrame, points: DataFrame, radius: float, n: int, *, least: float | None = None, inclusive: bool = False, key: str = "point_id") -> DataFrame:
     """For each centre the first ``n`` points by index with d < radius (<= when inclusive), padded with the first one.
 
     With ``least`` only those at that distance or more, or at none, count. A centre without any has an empty array.
+    ``key`` tells the centres of a cloud apart; ``idx`` does so where ids repeat.
     """
     met = near_pairs(centres, points, radius)
     hit = F.col("d2") <= radius * radius if inclusive else F.col("d2") < radius * radius
     if least is not None:
         hit = hit & ((F.col("d2") == 0) | (F.col("d2") >= least * least))
-    ranked = met.where(hit).withColumn("rn", F.row_number().over(Window.partitionBy("scene_id", "point_id").orderBy("p_idx"))).where(F.col("rn") <= n)
-    found = ranked.groupBy("scene_id", "point_id").agg(F.sort_array(F.collect_list("p_idx")).alias("held"))
+    ranked = met.where(hit).withColumn("rn", F.row_number().over(Window.partitionBy("scene_id", key).orderBy("p_idx"))).where(F.col("rn") <= n)
+    found = ranked.groupBy("scene_id", key).agg(F.sort_array(F.collect_list("p_idx")).alias("held"))
     held = F.col("held")
     padded = F.concat(held, F.array_repeat(held[0], F.lit(n) - F.size(held)))
-    met = centres.select("scene_id", "point_id").join(found, ["scene_id", "point_id"], "left")
-    return met.select("scene_id", "point_id", F.when(held.isNull(), F.array().cast("array<int>")).otherwise(padded).alias("neighbours"))
+    met = centres.select(*dict.fromkeys(["scene_id", key, "point_id"])).join(found, ["scene_id", key], "left")
+    return met.select(*dict.fromkeys(["scene_id", key, "point_id"]), F.when(held.isNull(), F.array().cast("array<int>")).otherwise(padded).alias("neighbours"))
 
 
-def three_nearest(centres: DataFrame, points: DataFrame) -> DataFrame:
-    """The three nearest points of each centre's cloud, the lowest index on ties: rows (scene_id, point_id, rank, p_point_id, d)."""
+def three_nearest(centres: DataFrame, points: DataFrame, *, others: bool = False, key: str = "point_id") -> DataFrame:
+    """The three nearest points of each centre's cloud, the lowest index on ties: rows (scene_id, point_id, rank, p_point_id, d).
+
+    With ``others`` centres are points of the cloud themselves, and none meets its own index.
+    """
     right = points.select("scene_id", *[F.col(c).alias(f"p_{c}") for c in points.columns if c != "scene_id"])
     met = centres.join(right, "scene_id")
+    if others:
+        met = met.where(F.col("idx") != F.col("p_idx"))
     d2 = sum((F.col(c) - F.col(f"p_{c}")) * (F.col(c) - F.col(f"p_{c}")) for c in AXES)
-    w = Window.partitionBy("scene_id", "point_id").orderBy("d2", "p_idx")
+    w = Window.partitionBy("scene_id", key).orderBy("d2", "p_idx")
     return met.withColumn("d2", d2).withColumn("rank", F.row_number().over(w)).where("rank <= 3").withColumn("d", F.sqrt("d2"))
 
 
-def interpolate(centres: DataFrame, points: DataFrame, feature: str) -> DataFrame:
+def interpolate(centres: DataFrame, points: DataFrame, feature: str, *, others: bool = False, key: str = "point_id") -> DataFrame:
     """Feature of each centre by inverse distance over its three nearest points."""
     weight = 1 / (F.col("d") + 1e-8)
-    near = three_nearest(centres, points)
-    return near.groupBy("scene_id", "point_id").agg((F.sum(weight * F.col(f"p_{feature}")) / F.sum(weight)).alias("value"))
+    near = three_nearest(centres, points, others=others, key=key)
+    return near.groupBy(*dict.fromkeys(["scene_id", key, "point_id"])).agg((F.sum(weight * F.col(f"p_{feature}")) / F.sum(weight)).alias("value"))
 
 
 def voxel_pool(points: DataFrame, width: float, feature: str) -> DataFrame:

@@ -34,6 +34,18 @@ def token_scene_join(spark, sf_dir) -> DataFrame:
     return met.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "SELECT CASE WHEN o_orderkey IS NULL THEN 'no_scene' WHEN p_partkey IS NULL THEN 'no_caption' ELSE 'joined' END AS outcome, count(*) AS n FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey GROUP BY ALL"
+)
+def whole_token_scene_join(spark, sf_dir) -> DataFrame:
+    """``token_scene_join`` over whole tables: what is lost is what the tables lack."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    scenes, captions = table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "part").select("p_partkey")
+    met = line.join(scenes, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(captions, F.col("l_partkey") == F.col("p_partkey"), "left")
+    outcome = F.when(F.col("o_orderkey").isNull(), "no_scene").when(F.col("p_partkey").isNull(), "no_caption").otherwise("joined")
+    return met.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT CASE WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END AS match, count(*) AS n_rows FROM (SELECT count(*) OVER (PARTITION BY scene_id, category) AS n FROM objects) GROUP BY ALL", heads="o")
 def match_ambiguity(spark, sf_dir) -> DataFrame:
     """Whether a (scene, category) key finds one row or several."""
@@ -116,6 +128,15 @@ def roster_diff(spark, sf_dir) -> DataFrame:
     return met.groupBy(side.alias("side")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT side, count(*) AS n FROM (SELECT CASE WHEN o_custkey IS NULL THEN 'right_only' WHEN c_custkey IS NULL THEN 'left_only' ELSE 'both' END AS side FROM (SELECT DISTINCT o_custkey FROM orders) a FULL JOIN customer ON o_custkey = c_custkey) GROUP BY ALL")
+def whole_roster_diff(spark, sf_dir) -> DataFrame:
+    """``roster_diff`` over whole tables; customers without orders are the missing keys."""
+    a = table(spark, sf_dir, "orders").select("o_custkey").distinct()
+    met = a.join(table(spark, sf_dir, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "full_outer")
+    side = F.when(F.col("o_custkey").isNull(), "right_only").when(F.col("c_custkey").isNull(), "left_only").otherwise("both")
+    return met.groupBy(side.alias("side")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT object_id, donor FROM (SELECT a.object_id, a.n, list_extract(a.ids, CAST((a.i * 17 + 42) % a.n + 1 AS INTEGER)) AS donor FROM (SELECT object_id, i, list_filter(ids, lambda o: o <> object_id) AS ids, len(ids) - 1 AS n FROM (SELECT object_id, row_number() OVER (PARTITION BY scene_id ORDER BY object_id) - 1 AS i, list(object_id ORDER BY object_id) OVER (PARTITION BY scene_id) AS ids FROM (SELECT DISTINCT scene_id, object_id FROM objects))) a WHERE n > 0)", heads="o")
 def donor_tokens(spark, sf_dir) -> DataFrame:
     """A donor of the same group for each object, never itself, chosen by (place * 17 + 42) mod the others."""

@@ -30,8 +30,15 @@ def ball_sql(predicate: str, n: int = 8) -> str:
     SELECT c.scene_id, c.point_id, coalesce(array_to_string(l, ',') || repeat(',' || l[1], {n} - len(l)::INTEGER), '') AS neighbours FROM cloud c LEFT JOIN g ON c.scene_id = g.scene_id AND c.point_id = g.point_id WHERE c.idx % 4 = 0"""
 
 
-def shown(rows: DataFrame) -> DataFrame:
-    return rows.select("scene_id", "point_id", F.array_join("neighbours", ",").alias("neighbours"))
+def whole_ball_sql(predicate: str, n: int = 8) -> str:
+    """``ball_sql`` with every point a centre, also where ids repeat."""
+    return f"""WITH {CLOUD_SQL}, h AS (SELECT a.scene_id, a.idx AS place, b.idx, row_number() OVER (PARTITION BY a.scene_id, a.idx ORDER BY b.idx) AS rn FROM cloud a JOIN cloud b ON a.scene_id = b.scene_id AND {predicate}),
+    g AS (SELECT scene_id, place, list(idx ORDER BY idx) AS l FROM h WHERE rn <= {n} GROUP BY ALL)
+    SELECT c.scene_id, c.idx, c.point_id, coalesce(array_to_string(l, ',') || repeat(',' || l[1], {n} - len(l)::INTEGER), '') AS neighbours FROM cloud c LEFT JOIN g ON c.scene_id = g.scene_id AND c.idx = g.place"""
+
+
+def shown(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("scene_id", *more, "point_id", F.array_join("neighbours", ",").alias("neighbours"))
 
 
 @query(ball_sql(f"{D2} < 16.0"), heads="o")
@@ -71,6 +78,44 @@ def idw_interpolate(spark, sf_dir) -> DataFrame:
     return N.interpolate(centres(p), p.where("idx % 4 <> 0"), "f").select("scene_id", "point_id", F.round("value", 4).alias("value"))
 
 
+@query(whole_ball_sql(f"{D2} < 16.0"), heads="o")
+def whole_ball_query(spark, sf_dir) -> DataFrame:
+    """``ball_query`` about every point of the cloud."""
+    p = cloud(spark, sf_dir)
+    return shown(N.ball_query(p, p, 4.0, 8, key="idx"), "idx")
+
+
+@query(whole_ball_sql(f"({D2} = 0 OR ({D2} >= 4.0 AND {D2} < 16.0))"), heads="o")
+def whole_annulus_query(spark, sf_dir) -> DataFrame:
+    """``annulus_query`` about every point of the cloud."""
+    p = cloud(spark, sf_dir)
+    return shown(N.ball_query(p, p, 4.0, 8, least=2.0, key="idx"), "idx")
+
+
+@query(whole_ball_sql(f"{D2} <= 16.0"), heads="o")
+def whole_voxel_query(spark, sf_dir) -> DataFrame:
+    """``voxel_query`` about every point of the cloud."""
+    p = cloud(spark, sf_dir)
+    return shown(N.ball_query(p, p, 4.0, 8, inclusive=True, key="idx"), "idx")
+
+
+WHOLE_NN_SQL = f"WITH {CLOUD_SQL}, n AS (SELECT a.scene_id, a.idx, a.point_id, b.point_id AS p_point_id, b.f, {D2} AS d2, row_number() OVER (PARTITION BY a.scene_id, a.idx ORDER BY {D2}, b.idx) AS rank FROM cloud a JOIN cloud b ON a.scene_id = b.scene_id AND a.idx <> b.idx)"
+
+
+@query(WHOLE_NN_SQL + " SELECT scene_id, idx, point_id, rank, p_point_id, round(sqrt(d2), 6) AS d FROM n WHERE rank <= 3", heads="o")
+def whole_three_nn(spark, sf_dir) -> DataFrame:
+    """The three nearest of all other points of the cloud, for every point."""
+    p = cloud(spark, sf_dir)
+    return N.three_nearest(p, p, others=True, key="idx").select("scene_id", "idx", "point_id", F.col("rank").cast("long").alias("rank"), "p_point_id", F.round("d", 6).alias("d"))
+
+
+@query(WHOLE_NN_SQL + " SELECT scene_id, idx, point_id, round(sum(f / (sqrt(d2) + 1e-8)) / sum(1 / (sqrt(d2) + 1e-8)), 4) AS value FROM n WHERE rank <= 3 GROUP BY ALL", heads="o")
+def whole_idw_interpolate(spark, sf_dir) -> DataFrame:
+    """Inverse-distance weighting over the three nearest other points, for every point."""
+    p = cloud(spark, sf_dir)
+    return N.interpolate(p, p, "f", others=True, key="idx").select("scene_id", "idx", "point_id", F.round("value", 4).alias("value"))
+
+
 @query(f"WITH {CLOUD_SQL} SELECT scene_id, CAST(floor(x / 10) AS INTEGER) AS cx, CAST(floor(y / 10) AS INTEGER) AS cy, CAST(floor(z / 10) AS INTEGER) AS cz, count(*) AS n, round(avg(f), 7) AS mean, max(f) AS most, arg_min(f, idx) AS first FROM cloud GROUP BY ALL", heads="o")
 def voxel_pool(spark, sf_dir) -> DataFrame:
     rows = N.voxel_pool(cloud(spark, sf_dir), 10.0, "f")
@@ -94,6 +139,14 @@ def group_points(spark, sf_dir) -> DataFrame:
     return met.groupBy("scene_id", "point_id").agg(F.count("*").alias("n"), (F.round(F.avg(F.col("p_x") - F.col("x")), 6) + 0.0).alias("mean_dx"))
 
 
+@query(f"WITH {CLOUD_SQL} SELECT a.scene_id, a.idx, a.point_id, count(*) AS n, round(avg(b.x - a.x), 6) + 0.0 AS mean_dx FROM cloud a JOIN cloud b ON a.scene_id = b.scene_id AND {D2} < 16.0 GROUP BY ALL", heads="o")
+def whole_group_points(spark, sf_dir) -> DataFrame:
+    """``group_points`` about every point of the cloud."""
+    p = cloud(spark, sf_dir)
+    met = N.near_pairs(p, p, 4.0).where("d2 < 16.0")
+    return met.groupBy("scene_id", "idx", "point_id").agg(F.count("*").alias("n"), (F.round(F.avg(F.col("p_x") - F.col("x")), 6) + 0.0).alias("mean_dx"))
+
+
 @query(f"WITH {CLOUD_SQL} SELECT scene_id, CAST(floor((x + 25) / 5) AS INTEGER) * 65536 + CAST(floor(y / 5) AS INTEGER) * 256 + CAST(floor(z / 5) AS INTEGER) AS code, count(*) AS n, max(f) AS most FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, floor((x + 25) / 5), floor(y / 5), floor(z / 5) ORDER BY idx) AS rn FROM cloud WHERE x BETWEEN -25 AND 24.9 AND y BETWEEN 0 AND 49.9) WHERE rn <= 3 GROUP BY ALL", heads="o")
 def roi_pool(spark, sf_dir) -> DataFrame:
     """Packed voxels of a region, three points of each at most by index (a pooling operator's cap), largest feature kept."""
