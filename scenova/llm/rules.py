@@ -5,10 +5,12 @@ covariance of the transformed statistics over the most central ``share`` of
 the group's rows. Concentration steps find them: distances under the present
 estimate, their exact quantile (on a fixed grid of logarithms, so that its
 memory is bounded and its value does not depend on task order), and estimates
-over the rows within it. Each step can only lower the determinant. Two starts
-are followed (one from medians and spreads, one from the plain mean) and the
-one with the lower determinant is kept, group by group. A row is rejected
-when its squared Mahalanobis distance exceeds ``cutoff``.
+over the rows within it. Two starts are followed for ``steps`` steps (one from
+medians and spreads, one from the plain mean), the one with the lower
+determinant is kept, group by group, and steps go on from there until no
+group's determinant falls any more. Covariances are then scaled to be
+consistent for normal rows, and a row is rejected when its squared Mahalanobis
+distance exceeds the chi-square quantile of ``level``.
 
 Everything on the main path is a DataFrame operation: map-side combined
 aggregates, joins with the group table and closed-form linear algebra in
@@ -19,12 +21,16 @@ group and salt, so that a hot group is never one task's.
 Defined cases: a null text has no words and no lines, so it fails the base
 rules; null lang and null source are values of their own; groups of fewer than
 ``least_rows`` rows that pass the base rules share one estimate per lang, and
-where that has too few rows still, the base rules alone decide; statistics that
-do not vary get the floor of their scale, so the covariance is never singular.
+where that has too few rows still, the base rules alone decide; a statistic
+that does not vary over ``share`` of a group's rows (by TINY or less) gets the
+floor of its scale there, and no other does.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +43,13 @@ WINDOW = 8
 #: Parts that a group's rows are dealt into where the group table is too large to be sent.
 SALTS = 32
 
-#: Least scale of each transformed statistic: differences below it are not held against a row.
+#: Scale of each transformed statistic where it does not vary: differences below it are not held against a row.
 FLOORS = {"v_words": 0.6, "v_chars": 0.35, "v_symbols": 0.1, "v_lines": 0.1, "v_repeats": 0.1}
 STATS = list(FLOORS)
+#: A statistic whose shortest interval with ``share`` of a group's rows is no longer than this does not vary there.
+TINY = 1e-3
+#: Least fall of a log determinant that asks for another step.
+FALL = 1e-9
 
 
 def words_of(text: Column) -> Column:
@@ -111,12 +121,46 @@ def at_most(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() <= n
 
 
-def moments(rows: DataFrame, keep: Column) -> DataFrame:
-    """Per group: means m_* and covariances c_* (with floors on the diagonal) of the rows to keep."""
+def chi_square(x: float, k: int) -> float:
+    """P(X <= x) for a chi-square of an odd number ``k`` of degrees of freedom."""
+    term, total = math.sqrt(2 * x / math.pi) * math.exp(-x / 2), math.erf(math.sqrt(x / 2))
+    for i in range(1, k, 2):
+        total -= term
+        term *= x / (i + 2)
+    return total
+
+
+def chi_square_quantile(share: float, k: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square(mid, k) < share else (low, mid)
+    return low
+
+
+def consistency(share: float) -> float:
+    """What the covariance of the ``share`` most central normal rows is multiplied by to be that of all."""
+    k = len(STATS)
+    return share / chi_square(chi_square_quantile(share, k), k + 2)
+
+
+def floored(rows: DataFrame, share: float) -> DataFrame:
+    """Per group f_*: the floor's square where a statistic does not vary over ``share`` of the rows, else 0."""
+    at = [i * (1 - share) / 10 for i in range(11)]
+    held = rows.groupBy("group").agg(*[F.expr(f"percentile(cast(round({a} * 10000) as long), array({', '.join(map(str, [*at, *[x + share for x in at]]))}))").alias(f"q_{a}") for a in STATS])
+    width = lambda a: F.least(*[F.col(f"q_{a}")[11 + i] - F.col(f"q_{a}")[i] for i in range(11)]) / 10000
+    return held.select("group", *[F.when(width(a) <= TINY, F.lit(FLOORS[a] ** 2)).otherwise(F.lit(0.0)).alias(f"f_{a}") for a in STATS])
+
+
+def moments(rows: DataFrame, keep: Column, floors: DataFrame | None = None) -> DataFrame:
+    """Per group: means m_* and covariances c_* of the rows to keep, with FLOORS or the group's own ``floors`` on the diagonal."""
     on = lambda x: F.when(keep, x)
     sums = [F.avg(on(F.col(a))).alias(f"m_{a}") for a in STATS] + [F.avg(on(F.col(a) * F.col(b))).alias(f"e_{a}_{b}") for a, b in pairs()]
     held = rows.groupBy("group").agg(*sums)
-    cov = [(F.col(f"e_{a}_{b}") - F.col(f"m_{a}") * F.col(f"m_{b}") + (FLOORS[a] ** 2 if a == b else 0.0)).alias(f"c_{a}_{b}") for a, b in pairs()]
+    floor = lambda a: F.lit(FLOORS[a] ** 2) if floors is None else F.col(f"f_{a}")
+    if floors is not None:
+        held = held.join(floors, "group")
+    cov = [(F.col(f"e_{a}_{b}") - F.col(f"m_{a}") * F.col(f"m_{b}") + (floor(a) if a == b else F.lit(0.0))).alias(f"c_{a}_{b}") for a, b in pairs()]
     return factored(held.select("group", *[f"m_{a}" for a in STATS], *cov))
 
 
@@ -149,36 +193,58 @@ def grid(distance: Column) -> Column:
     return F.floor(F.log(distance + 1e-6) * 64).cast("long")
 
 
-def concentrate(rows: DataFrame, estimates: DataFrame, share: float, sent: bool) -> DataFrame:
+def concentrate(rows: DataFrame, estimates: DataFrame, share: float, sent: bool, floors: DataFrame | None = None) -> DataFrame:
     """One concentration step: estimates over the ``share`` of each group that is nearest under ``estimates``."""
     near = with_distance(rows, estimates, "_d", sent).withColumn("_g", grid(F.col("_d")))
     limits = near.groupBy("group").agg(F.expr(f"percentile_disc({share}) within group (order by _g)").alias("_limit"))
-    return moments(met_groups(near, limits, "group", sent), F.col("_g") <= F.col("_limit"))
+    return moments(met_groups(near, limits, "group", sent), F.col("_g") <= F.col("_limit"), floors)
 
 
-def spread_start(rows: DataFrame) -> DataFrame:
+def spread_start(rows: DataFrame, floors: DataFrame | None = None) -> DataFrame:
     """Start from medians and interquartile ranges, statistic by statistic."""
     steps = 1000
     pick = [F.expr(f"percentile(cast(round({a} * {steps}) as long), array(0.25, 0.5, 0.75))").alias(f"q_{a}") for a in STATS]
     held = rows.groupBy("group").agg(*pick)
     at = lambda a, k: F.col(f"q_{a}")[k] / steps
     mean = [at(a, 1).alias(f"m_{a}") for a in STATS]
-    cov = [(F.pow((at(a, 2) - at(a, 0)) / 1.349, F.lit(2.0)) + FLOORS[a] ** 2 if a == b else F.lit(0.0)).alias(f"c_{a}_{b}") for a, b in pairs()]
+    if floors is not None:
+        held = held.join(floors, "group")
+    floor = lambda a: F.lit(FLOORS[a] ** 2) if floors is None else F.greatest(F.col(f"f_{a}"), F.lit(TINY**2))
+    cov = [(F.pow((at(a, 2) - at(a, 0)) / 1.349, F.lit(2.0)) + floor(a) if a == b else F.lit(0.0)).alias(f"c_{a}_{b}") for a, b in pairs()]
     return factored(held.select("group", *mean, *cov))
 
 
-def robust_estimates(rows: DataFrame, share: float, steps: int, sent: bool = True) -> DataFrame:
+def robust_estimates(rows: DataFrame, share: float, steps: int, sent: bool = True, floors: DataFrame | None = None) -> DataFrame:
     """The estimate of the lower determinant of two starts, per group."""
     found = []
-    for start in (spread_start(rows), moments(rows, F.lit(True))):
+    for start in (spread_start(rows, floors), moments(rows, F.lit(True), floors)):
         for _ in range(steps):
-            start = cut(concentrate(rows, start, share, sent))
+            start = cut(concentrate(rows, start, share, sent, floors))
         found.append(start)
-    best = found[0].unionByName(found[1]).groupBy("group").agg(F.min_by(F.struct(*[c for c in found[0].columns if c != "group"]), "log_det").alias("e"))
+    return lower(found[0].unionByName(found[1]))
+
+
+def lower(estimates: DataFrame) -> DataFrame:
+    """Of each group's estimates the one of the lower determinant."""
+    best = estimates.groupBy("group").agg(F.min_by(F.struct(*[c for c in estimates.columns if c != "group"]), "log_det").alias("e"))
     return best.select("group", "e.*")
 
 
-def quality_rules(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", share: float = 0.75, steps: int = 2, least_rows: int = 50, cutoff: float = 30.0, sent_groups: int = 10_000) -> DataFrame:
+def converged(rows: DataFrame, estimates: DataFrame, share: float, sent: bool, floors: DataFrame) -> DataFrame:
+    """``estimates`` after as many steps as lower a group's determinant; groups that are done take no further ones."""
+    done, going = [], cut(estimates)
+    while True:
+        after = concentrate(met_groups(rows, going.select("group"), "group", sent), going, share, sent, floors)
+        was = going.select("group", F.col("log_det").alias("_was"))
+        after = cut(after.join(was, "group").withColumn("_falls", F.col("log_det") < F.col("_was") - FALL))
+        still = after.where("_falls").drop("_was", "_falls")
+        done.append(going.join(F.broadcast(still.select("group")) if sent else still.select("group"), "group", "left_anti"))
+        if still.isEmpty():
+            return cut(reduce(DataFrame.unionByName, done))
+        going = still
+
+
+def quality_rules(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", share: float = 0.75, steps: int = 2, least_rows: int = 50, level: float = 0.999, sent_groups: int = 10_000) -> DataFrame:
     """One row for each row: id, the base statistics, base_failed, distance and kept."""
     slim = docs.select(F.col(id).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
     slim = base_statistics(slim).drop("text").withColumns(transformed())
@@ -192,7 +258,9 @@ def quality_rules(docs: DataFrame, *, id: str = "doc_id", text: str = "text", la
     rows = keyed.where(passed).select("group", "_salt", *STATS)
     enough = cut(rows.groupBy("group").count().where(F.col("count") >= least_rows).select("group"))
     sent = at_most(enough, sent_groups)
-    estimates = robust_estimates(met_groups(rows, enough, "group", sent), share, steps, sent)
-    judged = with_distance(keyed, estimates, "distance", sent)
-    kept = passed & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)
+    met = met_groups(rows, enough, "group", sent)
+    floors = cut(floored(met, share))
+    estimates = converged(met, robust_estimates(met, share, steps, sent, floors), share, sent, floors)
+    judged = with_distance(keyed, estimates, "distance", sent).withColumn("distance", F.col("distance") / consistency(share))
+    kept = passed & (F.coalesce(F.col("distance"), F.lit(0.0)) <= chi_square_quantile(level, len(STATS)))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

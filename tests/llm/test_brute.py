@@ -417,3 +417,18 @@ def test_pipeline_is_its_stages_by_brute_force(spark, texts):
     assert set(rates) == {r["source"] for r in steps[3].select("source").distinct().collect()}
     assert {r["doc_id"] for r in steps[4].collect()} <= set(held[3])
     assert steps[5].where("piece = 0").count() == steps[4].count()
+
+
+def test_plain_outliers_of_a_tight_group_go(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+
+    def marked(text, share):
+        return "".join("#" if c != " " and rng.random() < share else c for c in text)
+
+    rows = [(i, marked(prose(round(100 * math.exp(rng.gauss(0, 0.25)))), rng.uniform(0.005, 0.025)), "en", "a") for i in range(400)]
+    rows += [(1000, marked(prose(2000), 0.015), "en", "a"), (1001, marked(prose(100), 0.25), "en", "a")]
+    kept = {r["doc_id"]: r["kept"] for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not kept[1000] and not kept[1001]
+    assert sum(kept[i] for i in range(400)) >= 380
