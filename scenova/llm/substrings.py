@@ -4,17 +4,21 @@ A text is cut where its gear hash (over the last 16 bytes) is the largest
 within ``reach`` bytes to either side, so that the cuts follow the content: an
 insertion moves no cut outside its own surroundings. Chunks are between
 ``reach`` and LONGEST bytes long. Chunks of equal digest are duplicates; the
-first one, by document id and place, stays. Neighbouring duplicate chunks form
-a run. Since a repeated passage begins and ends inside chunks, the two ends of
-a run are then extended byte by byte against the text around the chunk that
-stays, which finds the exact ends of the passage. Runs of at least
-``min_words`` whole words leave the text.
-
-Sizes: a digest travels for each chunk, then a digest and a place, and each
-text travels by its id, once to be quoted and once to be cleaned. What is left
-after each step is written to the checkpoint folder, so that shuffle files of
-one step are gone in the next. A digest that fills a third of all chunks is
-counted before the shuffle and meets one row in the join, which Spark can split.
+first one, by document id and place, stays. Neighbouring duplicate chunks whose
+first ones are neighbours too, in one document, form a stretch. Since a
+repeated passage begins and ends inside chunks, the two ends of a stretch are
+then extended byte by byte, up to QUOTE bytes, against the text around the
+chunks that stay; stretches of one document at one distance that meet are one
+passage. A passage whose whole words, here and there, are ``min_words`` or more
+leaves the text with the white space after it, so words on its two sides stay
+two words. So every word that goes is in a passage of ``min_words`` words that
+stands at one earlier place.
+
+Sizes: a digest and a place travel for each chunk, twice, and each text travels
+by its id, once to be quoted and once to be cleaned. What is left after each
+step is written to the checkpoint folder, so that shuffle files of one step are
+gone in the next. A digest that fills a third of all chunks is counted before
+the shuffle and meets one row in the join, which Spark can split.
 
 Defined cases: rows with equal id and equal text are one document, so each of
 them keeps what that document keeps; rows with a null id come last and are told
@@ -36,9 +40,11 @@ from scenova.llm.common import cut, fresh, slices, utf8
 
 GEAR_WINDOW = 16
 LONGEST = 192
+#: Bytes of the text around a stretch that its ends are held against.
+QUOTE = 384
 CHUNKS = "array<struct<digest:bigint,start:int,end:int>>"
-RUN_ENDS = "array<struct<run_start:int,run_end:int,side:int,first_id:bigint,first_key:bigint,first_at:int>>"
-SNIPPETS = "array<struct<side:int,first_at:int,snippet:binary>>"
+STRETCHES = "array<struct<start:int,end:int,first_id:bigint,first_key:bigint,first_at:int>>"
+QUOTES = "array<struct<first_at:int,size:int,before:binary,after:binary>>"
 CLEANED = "struct<text:string,spans:array<struct<start:int,end:int>>>"
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -133,37 +139,33 @@ def chunk_column(text: Column, reach: int, min_words: int) -> Column:
     return F.when(F.octet_length(text) >= 2 * min_words - 1, chunk(text))
 
 
-def run_ends(marks: pa.Array) -> pa.Array:
-    """Left and right ends of the runs of neighbouring duplicate chunks, with the place of the chunk that stays."""
+def stretches(marks: pa.Array) -> pa.Array:
+    """Neighbouring duplicate chunks whose first ones are neighbours in one document, put together."""
     counts, rows = [0], []
     for held in marks.to_pylist():
         held.sort(key=lambda c: c["start"])
-        i = 0
-        while i < len(held):
-            j = i
-            while j + 1 < len(held) and held[j + 1]["start"] == held[j]["end"]:
-                j += 1
-            a, b = held[i], held[j]
-            span = {"run_start": a["start"], "run_end": b["end"]}
-            rows.append(span | {"side": 0, "first_id": a["first_id"], "first_key": a["first_key"], "first_at": a["first_at"]})
-            rows.append(span | {"side": 1, "first_id": b["first_id"], "first_key": b["first_key"], "first_at": b["first_at"] + b["end"] - b["start"]})
-            i = j + 1
+        for k, c in enumerate(held):
+            last = rows[-1] if k else None
+            if k and c["start"] == last["end"] and (c["first_id"], c["first_key"]) == (last["first_id"], last["first_key"]) and c["first_at"] - last["first_at"] == c["start"] - last["start"]:
+                last["end"] = c["end"]
+            else:
+                rows.append(c)
         counts.append(len(rows))
-    kind = pa.struct([("run_start", pa.int32()), ("run_end", pa.int32()), ("side", pa.int32()), ("first_id", pa.int64()), ("first_key", pa.int64()), ("first_at", pa.int32())])
+    kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first_id", pa.int64()), ("first_key", pa.int64()), ("first_at", pa.int32())])
     return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(rows, kind))
 
 
-def snippets(texts: pa.Array, asked: pa.Array) -> pa.Array:
-    """Up to LONGEST bytes before (side 0) or after (side 1) each asked place."""
+def quotes(texts: pa.Array, asked: pa.Array) -> pa.Array:
+    """Up to QUOTE bytes before and after each asked piece of a text."""
     data, offsets = utf8(texts)
     counts, rows = [0], []
     for k, places in enumerate(asked.to_pylist()):
         raw = data[offsets[k] : offsets[k + 1]].tobytes()
         for p in places:
-            at = p["first_at"]
-            rows.append({"side": p["side"], "first_at": at, "snippet": raw[at : at + LONGEST] if p["side"] else raw[max(0, at - LONGEST) : at]})
+            at, end = p["first_at"], p["first_at"] + p["size"]
+            rows.append(p | {"before": raw[max(0, at - QUOTE) : at], "after": raw[end : end + QUOTE]})
         counts.append(len(rows))
-    kind = pa.struct([("side", pa.int32()), ("first_at", pa.int32()), ("snippet", pa.binary())])
+    kind = pa.struct([("first_at", pa.int32()), ("size", pa.int32()), ("before", pa.binary()), ("after", pa.binary())])
     return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(rows, kind))
 
 
@@ -175,42 +177,62 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return int(np.argmax(differ))
 
 
-def repeated_spans(raw: bytes, ends: list[dict], min_words: int) -> list[tuple[int, int]]:
-    """Byte spans of whole words that occur earlier, from run ends and their snippets."""
-    runs: dict[tuple[int, int], list[int]] = {}
-    for e in ends:
-        grown = runs.setdefault((e["run_start"], e["run_end"]), [0, 0])
-        if e["side"]:
-            grown[1] = common_prefix(raw[e["run_end"] : e["run_end"] + LONGEST], e["snippet"])
+def reached(own: bytes, quote: bytes) -> tuple[int, bool]:
+    """How far two texts agree from one point on, and whether a word of the quoted one ends there."""
+    n = common_prefix(own, quote)
+    return n, quote[n] in BLANK if n < len(quote) else len(quote) < QUOTE
+
+
+def repeated_spans(raw: bytes, held: list[dict], min_words: int) -> list[tuple[int, int]]:
+    """Byte spans (whole words and the white space after them) that stand earlier, from stretches and quotes."""
+    by_source: dict[tuple, list[tuple[int, int, bool, bool]]] = {}
+    for s in held:
+        left, starts = reached(raw[max(0, s["start"] - QUOTE) : s["start"]][::-1], s["before"][::-1])
+        right, stops = reached(raw[s["end"] : s["end"] + QUOTE], s["after"])
+        by_source.setdefault((s["first_id"], s["first_key"], s["start"] - s["first_at"]), []).append((s["start"] - left, s["end"] + right, starts, stops))
+    passages = []
+    for found in by_source.values():
+        met: list[list] = []
+        for a, b, starts, stops in sorted(found):
+            if met and a <= met[-1][1]:
+                if b > met[-1][1]:
+                    met[-1][1], met[-1][3] = b, stops
+                elif b == met[-1][1]:
+                    met[-1][3] |= stops
+            else:
+                met.append([a, b, starts, stops])
+        for a, b, starts, stops in met:
+            # A word at an edge counts only if it is whole in both texts.
+            if a < b and raw[a] not in BLANK and not (starts and (a == 0 or raw[a - 1] in BLANK)):
+                while a < b and raw[a] not in BLANK:
+                    a += 1
+            if a < b and raw[b - 1] not in BLANK and not (stops and (b == len(raw) or raw[b] in BLANK)):
+                while a < b and raw[b - 1] not in BLANK:
+                    b -= 1
+            words = [m.span() for m in WORD.finditer(raw, a, b)]
+            if len(words) >= min_words:
+                passages.append((words[0][0], words[-1][1]))
+    spans: list[tuple[int, int]] = []
+    for a, b in sorted(passages):
+        while b < len(raw) and raw[b] in BLANK:
+            b += 1
+        if spans and a <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(spans[-1][1], b))
         else:
-            grown[0] = common_prefix(raw[max(0, e["run_start"] - LONGEST) : e["run_start"]][::-1], e["snippet"][::-1])
-    merged: list[list[int]] = []
-    for a, b in sorted((s - left, e + right) for (s, e), (left, right) in runs.items()):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
-    spans = []
-    for a, b in merged:
-        while 0 < a < b and raw[a - 1] not in BLANK and raw[a] not in BLANK:
-            a += 1
-        while a < b < len(raw) and raw[b - 1] not in BLANK and raw[b] not in BLANK:
-            b -= 1
-        if b > a and sum(1 for _ in WORD.finditer(raw, a, b)) >= min_words:
             spans.append((a, b))
     return spans
 
 
-def without_repeats(text: Column, ends: Column, min_words: int) -> Column:
+def without_repeats(text: Column, held: Column, min_words: int) -> Column:
     @F.arrow_udf(CLEANED)
-    def clean(texts: pa.Array, run_ends: pa.Array) -> pa.Array:
+    def clean(texts: pa.Array, known: pa.Array) -> pa.Array:
         data, offsets = utf8(texts)
         out = []
-        for k, (text, ends) in enumerate(zip(texts.to_pylist(), run_ends.to_pylist())):
+        for k, (text, held) in enumerate(zip(texts.to_pylist(), known.to_pylist())):
             spans = []
-            if ends:
+            if held:
                 raw = data[offsets[k] : offsets[k + 1]].tobytes()
-                spans = repeated_spans(raw, ends, min_words)
+                spans = repeated_spans(raw, held, min_words)
                 if spans:
                     edges = [0, *(x for s in spans for x in s), len(raw)]
                     text = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])).decode()
@@ -219,7 +241,7 @@ def without_repeats(text: Column, ends: Column, min_words: int) -> Column:
         return pa.array(out, pa.struct([("text", pa.string()), ("spans", pa.list_(span))]))
 
     # Else a filter on the result would be pushed below it and clean every text twice.
-    return clean.asNondeterministic()(text, ends)
+    return clean.asNondeterministic()(text, held)
 
 
 def drop_repeated_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_words: int = 50, reach: int = 24, spans: str = "repeated_spans") -> DataFrame:
@@ -231,27 +253,28 @@ def drop_repeated_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "
 
     chunks = slim.select("id", "key", F.explode(chunk_column(F.col("text"), reach, min_words)).alias("c")).select("id", "key", "c.*")
     place = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("i"), F.col("key").alias("k"), F.col("start").alias("s"))
-    again = chunks.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("digest")
-    chunks = cut(chunks.join(again, "digest", "left_semi"))
-    firsts = chunks.groupBy("digest").agg(F.min(place).alias("f"))
-    firsts = firsts.select("digest", F.col("f.i").alias("first_id"), F.col("f.k").alias("first_key"), F.col("f.s").alias("first_at"))
+    firsts = chunks.groupBy("digest").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f != l")
+    # Written first, so that both sides of the join are plain exchanges and Spark can split a hot digest.
+    firsts = cut(firsts.select("digest", F.col("f.i").alias("first_id"), F.col("f.k").alias("first_key"), F.col("f.s").alias("first_at")))
     later = ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")) & (F.col("start") == F.col("first_at")))
     marks = chunks.join(firsts, "digest").where(later)
 
-    by_doc = marks.groupBy("id", "key").agg(F.collect_list(F.struct("start", "end", "first_id", "first_key", "first_at")).alias("marks"))
-    ends = cut(by_doc.select("id", "key", F.explode(F.arrow_udf(run_ends, RUN_ENDS)("marks")).alias("e")).select("id", "key", "e.*"))
+    # Sets, since rows that are repeated outright mark the same places.
+    by_doc = marks.groupBy("id", "key").agg(F.collect_set(F.struct("start", "end", "first_id", "first_key", "first_at")).alias("marks"))
+    held = by_doc.select("id", "key", F.explode(F.arrow_udf(stretches, STRETCHES)("marks")).alias("s")).select("id", "key", "s.*", (F.col("s.end") - F.col("s.start")).alias("size"))
+    held = cut(held)
 
-    asked = ends.groupBy("first_id", "first_key").agg(F.collect_set(F.struct("side", "first_at")).alias("asked"))
+    asked = held.groupBy("first_id", "first_key").agg(F.collect_set(F.struct("first_at", "size")).alias("asked"))
     met = slim.join(asked, slim["id"].eqNullSafe(asked["first_id"]) & (slim["key"] == asked["first_key"]))
-    quoted = met.select("first_id", "first_key", F.explode(F.arrow_udf(snippets, SNIPPETS)("text", "asked")).alias("s")).select("first_id", "first_key", "s.*")
-    quoted = quoted.dropDuplicates(["first_id", "first_key", "side", "first_at"])  # rows with equal id and text
+    quoted = met.select("first_id", "first_key", F.explode(F.arrow_udf(quotes, QUOTES)("text", "asked")).alias("q")).select("first_id", "first_key", "q.*")
+    quoted = cut(quoted.dropDuplicates(["first_id", "first_key", "first_at", "size"]))  # rows with equal id and text
     right = quoted.select(*[F.col(c).alias(f"_{c}") for c in quoted.columns])
-    same = ends["first_id"].eqNullSafe(right["_first_id"]) & (ends["first_key"] == right["_first_key"]) & (ends["side"] == right["_side"]) & (ends["first_at"] == right["_first_at"])
-    known = ends.join(right, same).groupBy("id", "key").agg(F.collect_list(F.struct("run_start", "run_end", "side", F.col("_snippet").alias("snippet"))).alias("ends"))
+    same = held["first_id"].eqNullSafe(right["_first_id"]) & (held["first_key"] == right["_first_key"]) & (held["first_at"] == right["_first_at"]) & (held["size"] == right["_size"])
+    known = held.join(right, same).groupBy("id", "key").agg(F.collect_list(F.struct("start", "end", "first_id", "first_key", "first_at", F.col("_before").alias("before"), F.col("_after").alias("after"))).alias("known"))
 
-    known = cut(known).select(F.col("id").alias("_i"), F.col("key").alias("_k"), "ends")
-    cleaned, ends_name = fresh("cleaned"), fresh("ends")
-    out = told.join(known.withColumnRenamed("ends", ends_name), told[name].eqNullSafe(known["_i"]) & (told[key] == known["_k"]), "left")
-    out = out.withColumn(cleaned, without_repeats(F.col(text), F.col(ends_name), min_words))
+    cleaned, known_name = fresh("cleaned"), fresh("known")
+    known = cut(known).select(F.col("id").alias("_i"), F.col("key").alias("_k"), F.col("known").alias(known_name))
+    out = told.join(known, told[name].eqNullSafe(known["_i"]) & (told[key] == known["_k"]), "left")
+    out = out.withColumn(cleaned, without_repeats(F.col(text), F.col(known_name), min_words))
     out = out.withColumns({text: F.col(cleaned)["text"], spans: F.col(cleaned)["spans"]})
     return out.select(*dict.fromkeys([*docs.columns, spans]))
