@@ -11,8 +11,9 @@
    that depends on ``size`` and not on the number of documents.
 3. Each piece gets its rank among the pieces of its length (counts of hash
    buckets, summed up, plus a rank inside the bucket, so a length that holds a
-   third of all rows is still dealt over many tasks) and from the plan its
-   sequence and its place there.
+   third of all rows is still dealt over many tasks, as are rows that are
+   repeated outright) and from the plan its sequence and its place there. The
+   counts of buckets are summed up in two levels.
 
 Defined cases: a null text is empty and has the end id alone. Rows with equal
 ids and texts are packed each on its own. An empty table gives no rows.
@@ -118,51 +119,68 @@ class Plan:
 
 
 class Complements:
-    """Lengths still available, and whether sums of one, two or three of them make a gap."""
+    """Lengths still available, and an index from sums to the pairs and triples of lengths that make them.
+
+    ``pair_of[s]`` and ``triple_of[s]`` hold the largest length of such a pair or
+    triple, 0 where there is none. Counts only fall, so an entry is checked when
+    it is used and found anew when its lengths are spent.
+    """
 
     def __init__(self, counts: np.ndarray, size: int):
         self.left, self.size = counts.copy(), size
-        self.pairs: np.ndarray | None = None
+        self.left[0] = 0
+        self.pair_of, self.triple_of = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
+        lengths = np.flatnonzero(self.left)
+        for a in lengths.tolist():
+            small = lengths[(lengths < a + (self.left[a] > 1)) & (lengths <= size - a)]
+            self.pair_of[a + small] = a
+        for a in lengths.tolist():
+            self.triple_of[a + np.flatnonzero(self.pair_of[: size + 1 - a])] = a
 
     def spend(self, parts: list[int], times: int) -> None:
         for p in parts:
             self.left[p] -= times
-        if any(not self.left[p] for p in parts):
-            self.pairs = None
-
-    def pair_sums(self) -> np.ndarray:
-        """pair_sums()[s]: whether two available lengths make s."""
-        if self.pairs is None:
-            there = np.fft.rfft((self.left > 0).astype(float), 2 * (self.size + 1))
-            self.pairs = np.fft.irfft(there * there)[: self.size + 1] > 0.5
-        return self.pairs
-
-    def enough(self, parts: list[int], used: list[int]) -> bool:
-        return all(self.left[p] >= parts.count(p) + used.count(p) for p in parts)
-
-    def pair(self, gap: int, used: list[int]) -> list[int] | None:
-        have = self.left[: gap + 1] > 0
-        high = np.flatnonzero(have & have[::-1])
-        for a in high[::-1]:
-            if 2 * a < gap:
-                break
-            if self.enough(found := [int(a), gap - int(a)], used):
-                return found
+
+    @staticmethod
+    def largest_pair(total: int, left: np.ndarray) -> int:
+        """The largest of two lengths in ``left`` that make ``total``, 0 if there are none."""
+        both = (left[: total + 1] > 0) & (left[total::-1] > 0)
+        if total % 2 == 0 and left[total // 2] < 2:
+            both[total // 2] = False
+        found = np.flatnonzero(both)
+        return int(found[-1]) if len(found) else 0
+
+    def pair(self, total: int, free: np.ndarray) -> list[int] | None:
+        """Two lengths of ``free`` (those left, less what the open sequence has) that make ``total``."""
+        if not (a := int(self.pair_of[total])):
+            return None
+        b = total - a
+        if free[a] <= 0 or free[b] <= (a == b):
+            self.pair_of[total] = self.largest_pair(total, self.left)
+            a = self.largest_pair(total, free)
+        return [a, total - a] if a else None
+
+    def triple(self, total: int, free: np.ndarray) -> list[int] | None:
+        """Three lengths of ``free`` that make ``total``, of all there are."""
+        if not self.triple_of[total]:
+            return None
+        first = np.flatnonzero((self.left[: total + 1] > 0) & (self.pair_of[total::-1] > 0))
+        self.triple_of[total] = first[-1] if len(first) else 0
+        for a in first[::-1].tolist():
+            if free[a] > 0:
+                free[a] -= 1
+                two = self.pair(total - a, free)
+                free[a] += 1
+                if two:
+                    return [a, *two]
         return None
 
     def fill(self, gap: int, used: list[int]) -> list[int] | None:
         """One, two or three lengths that make the gap exactly."""
-        if self.left[gap] > used.count(gap):
-            return [gap]
-        pairs = self.pair_sums()
-        if gap >= 2 and pairs[gap] and (found := self.pair(gap, used)):
-            return found
-        if gap >= 3:
-            have = (self.left[: gap + 1] > 0) & pairs[gap::-1]
-            for a in np.flatnonzero(have)[::-1][:16]:
-                if self.left[a] > used.count(int(a)) and (two := self.pair(gap - int(a), [*used, int(a)])):
-                    return [int(a), *two]
-        return None
+        free = self.left.copy()
+        for p in used:
+            free[p] -= 1
+        return [gap] if free[gap] > 0 else self.pair(gap, free) or self.triple(gap, free)
 
 
 def plan_packing(counts: np.ndarray, size: int) -> Plan:
@@ -213,10 +231,11 @@ def place(plan: Plan, length: Column, rank: Column) -> Column:
     return find(length, rank)
 
 
-def pack(docs: DataFrame, *, path: str, id: str = "doc_id", text: str = "text", size: int = 4096, end_id: int = 1, bucket_rows: int = 2_000) -> DataFrame:
+def pack(docs: DataFrame, *, path: str, id: str = "doc_id", text: str = "text", size: int = 4096, end_id: int = 1, bucket_rows: int = 500) -> DataFrame:
     """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     rows = docs.select(F.col(id).alias("doc_id"), F.explode(pieces(F.col(text), path, size, end_id)).alias("p"))
-    rows = cut(rows.select("doc_id", "p.*").withColumn("spread", F.xxhash64("doc_id", "piece", "ids_crc32")))
+    # The written rows keep their order, so their numbers are the same whenever they are read.
+    rows = cut(rows.select("doc_id", "p.*")).withColumn("spread", F.xxhash64(F.monotonically_increasing_id()))
 
     counts = np.zeros(size + 1, np.int64)
     for n, c in rows.groupBy("length").count().collect():  # at most ``size`` rows
@@ -226,10 +245,17 @@ def pack(docs: DataFrame, *, path: str, id: str = "doc_id", text: str = "text",
     # The fullest length sets how many buckets each length has; empty ones cost nothing.
     buckets = int(min(1 << 30, max(1, -(-int(counts.max()) // bucket_rows))))
     rows = rows.withColumn("bucket", F.pmod("spread", F.lit(buckets)))
-    sizes = rows.groupBy("length", "bucket").count()
-    before = F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("spread", "doc_id", "piece", "start", "ids_crc32"))
-    rows = rows.withColumn("inside", inside - 1).join(sizes, ["length", "bucket"])
+    rows = rows.withColumn("inside", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("spread")) - 1)
+    rows = rows.join(before_buckets(rows.groupBy("length", "bucket").count()), ["length", "bucket"])
     rows = rows.withColumn("at", place(plan, F.col("length"), F.col("before") + F.col("inside")))
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")
+
+
+def before_buckets(sizes: DataFrame, fan: int = 4096) -> DataFrame:
+    """(length, bucket, before): how many rows of the length are in earlier buckets, ``fan`` of which are summed up together."""
+    sizes = sizes.withColumn("high", F.floor(F.col("bucket") / fan))
+    before = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sizes.groupBy("length", "high").agg(F.sum("count").alias("n"))
+    groups = groups.select("length", "high", before(Window.partitionBy("length").orderBy("high"), "n").alias("base"))
+    within = sizes.withColumn("near", before(Window.partitionBy("length", "high").orderBy("bucket"), "count"))
+    return within.join(groups, ["length", "high"]).select("length", "bucket", (F.col("base") + F.col("near")).alias("before"))
