@@ -33,26 +33,29 @@ def uniform(seed: int, *cols: Column) -> Column:
 
 
 def poisson_inverse(u: Column, mean: Column) -> Column:
-    """The least k with P(X <= k) > u for X ~ Poisson(mean).
+    """The least k with P(X <= k) > u for X ~ Poisson(mean), for any mean.
 
-    Means up to 500 are summed from 0. Larger ones, whose first term would
-    vanish, take a normal approximation with its skewness term.
+    Terms are summed from 12 deviations below the mean (0 where that is not
+    above 16) to 12 above it; what is outside is below 2**-60. The first term
+    is exp(-d - s) / sqrt(2 pi k), with the deviance d of k from the mean and
+    the remainder s of Stirling's formula, which doesn't overflow or vanish.
     """
     state = "struct<k:int,p:double,c:double>"
-    start = F.struct(F.lit(0).alias("k"), F.exp(-mean).alias("p"), F.exp(-mean).alias("c")).cast(state)
-    most = F.ceil(mean + 12 * F.sqrt(mean) + 20).cast("int")
+    reach = 12 * F.sqrt(mean) + 20
+    low = F.floor(mean - reach)
+    low = F.when(low < 16, F.lit(0)).otherwise(low).cast("int")
+    k = low.cast("double")
+    deviance = k * F.log(k / mean) + mean - k
+    stirling = (1 / (12 * k)) * (1 - (1 / (30 * k * k)) * (1 - (2 / (7 * k * k)) * (1 - 3 / (4 * k * k))))
+    first = F.when(low == 0, F.exp(-mean)).otherwise(F.exp(-deviance - stirling) / F.sqrt(2 * math.pi * k))
 
     def step(s, i):
         p = s["p"] * mean / i
-        return F.when(s["c"] > u, s).otherwise(F.struct(i.cast("int").alias("k"), p.alias("p"), (s["c"] + p).alias("c")).cast(state))
-
-    summed = F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["k"])
-    # Acklam-free normal quantile: rational form of Abramowitz and Stegun, 26.2.23.
-    t = F.sqrt(-2 * F.log(F.least(u, 1 - u)))
-    z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
-    z = F.when(u < 0.5, -z).otherwise(z)
-    near = F.greatest(F.lit(0), F.floor(mean + z * F.sqrt(mean) + (z * z - 1) / 6 + 0.5)).cast("int")
-    return F.when(mean <= 0, F.lit(0)).when(mean <= 500, summed).otherwise(near)
+        return F.when(s["c"] > u, s).otherwise(F.struct(i.alias("k"), p.alias("p"), (s["c"] + p).alias("c")).cast(state))
+
+    start = F.struct(low.alias("k"), first.alias("p"), first.alias("c")).cast(state)
+    summed = F.aggregate(F.sequence(low + 1, F.ceil(mean + reach).cast("int")), start, step, lambda s: s["k"])
+    return F.when(mean > 0, summed).otherwise(0)
 
 
 def source_rates(docs: DataFrame, *, source: str, text: str, weights: dict[str | None, float] | None, flatten: float, budget: float) -> DataFrame:
