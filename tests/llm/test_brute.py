@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
 import collections
+import itertools
 import math
 import random
 import re
@@ -342,19 +343,43 @@ def test_robust_estimate_is_numpy_s(spark):
 
 def test_poisson_inverse(spark):
     rng = np.random.default_rng(1)
-    rows = [(float(u), float(m)) for m in (0.0, 0.2, 1.0, 7.5, 120.0, 499.0) for u in rng.random(200)]
+    rows = [(float(u), float(m)) for m in (0.0, 0.2, 1.0, 7.5, 120.0, 215.0, 260.0, 499.0, 600.0, 5000.0, 123456.7) for u in [*rng.random(60), 1e-16, 1 - 2.0**-54]]
     got = spark.createDataFrame(rows, "u double, m double").select("u", "m", mixing.poisson_inverse(F.col("u"), F.col("m")).alias("k")).collect()
-    for r in got:
-        if not r["m"]:
-            assert r["k"] == 0
+    for m in {m for _, m in rows}:
+        mine = sorted((r["u"], r["k"]) for r in got if r["m"] == m)
+        if not m:
+            assert all(k == 0 for _, k in mine)
             continue
-        p = c = math.exp(-r["m"])
-        k = 0
-        while c <= r["u"]:
-            k += 1
-            p *= r["m"] / k
-            c += p
-        assert r["k"] == k
+        low = max(0, int(m - 20 * math.sqrt(m) - 50))
+        k = np.arange(low, int(m + 20 * math.sqrt(m) + 50))
+        c = np.cumsum(np.exp(k * math.log(m) - m - np.array([math.lgamma(x + 1) for x in k.tolist()])))
+        for u, found in mine:
+            want = int(np.searchsorted(c, u, "right")) + low
+            assert found == want or u < 1e-15 or u > 1 - 1e-9, (m, u)
+
+
+def test_the_seventeenth_first_term_fills():
+    # Each of the seventeen largest first terms needs the 5 that the open sequence has.
+    counts = np.zeros(1001, np.int64)
+    counts[[5, 331, 333, 336]] = 1
+    counts[500 + 10 * np.arange(17)] = 1
+    counts[495 - 10 * np.arange(17)] = 1
+    assert packing.Complements(counts, 1000).fill(1000, [5]) == [336, 333, 331]
+    brute = lambda gap, used: next((t for n in (1, 2, 3) for t in itertools.combinations([x for x in np.repeat(np.arange(size + 1), have.left).tolist() if x not in used], n) if sum(t) == gap), None)
+    rng, size = np.random.default_rng(0), 60
+    for _ in range(300):
+        counts = np.zeros(61, np.int64)
+        counts[rng.integers(1, 61, 12)] += 1
+        have = packing.Complements(counts, size)
+        used: list[int] = []
+        for _ in range(4):
+            gap = int(rng.integers(1, 61))
+            found, want = have.fill(gap, used), brute(gap, used)
+            assert (found is None) == (want is None) and (found is None or sum(found) == gap)
+            used = [int(rng.choice(np.flatnonzero(have.left)))] if have.left.any() else []
+            if found and rng.random() < 0.5:
+                have.spend(found, 1)
+                used = []
 
 
 def test_mixing_meets_its_weights(spark):

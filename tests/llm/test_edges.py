@@ -141,6 +141,33 @@ def test_nearest(spark):
     assert nearest.nearest(vectors.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [2, 8192])
+def test_nearest_with_repeated_rows(spark, blocks):
+    rows = [(0, [1.0, 0.0])] * 3 + [(0, [0.0, 2.0])] + [(7, [1.0, 0.0])] * 30 + [(8, [0.5, 0.5]), (20, [0.0, 1.0]), (20, [0.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = nearest.nearest(vectors, F.col("vec_id") % 20 == 0, candidate_block=blocks, query_block=blocks, fan=2).collect()
+    want = []
+    for q, x in sorted({(q, tuple(x)) for q, x in rows if q % 20 == 0}):
+        rest = list(rows)
+        rest.remove((q, list(x)))
+        scored = sorted(((-(x[0] * y[0] + x[1] * y[1]), i) for i, y in rest))[:20]
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
+def test_nearest_long_vectors(spark):
+    vectors = spark.range(45).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda j: F.sin(F.col("id") * j)).alias("embedding"))
+    held = {r["vec_id"]: r["embedding"] for r in vectors.collect()}
+    rows = nearest.nearest(vectors, F.col("vec_id") % 20 == 0).collect()
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    for q in (0, 20, 40):
+        found = {r["rank"]: r["vec_id"] for r in rows if r["query_id"] == q}
+        if q:
+            assert [found[k] for k in range(1, 21)] == sorted((i for i in held if i not in (q, 0)), key=lambda i: -dot(held[q], held[i]))[:20]
+        else:
+            assert not found  # a zero vector takes no part
+
+
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
 def test_stages(spark, docs, labels, tmp_path, name, stage):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
@@ -150,6 +177,15 @@ def test_stages(spark, docs, labels, tmp_path, name, stage):
     assert stage(spark, empty(docs), str(tmp_path)).count() == 0
 
 
+def test_mixing_of_repeated_rows_and_large_means(spark, docs):
+    rows = [(1, "same text", "a")] * 40 + [(i, "x" * 100_000, "b") for i in range(2, 12)]
+    held = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(held, weights={"a": 1.0, "b": 1.0}).collect()
+    copies = [r["copy"] for r in out if r["source"] == "a"]
+    # Equal rows draw equal counts, near their rate of 500,000 characters to 360.
+    assert len(copies) == 40 * (max(copies) + 1) and abs(max(copies) + 1 - 500_180 / 360) < 200
+
+
 def test_last_stage(spark, docs, tmp_path):
     name, stage = corpus_pipeline.STAGES[-1]
     assert stage(spark, docs, str(tmp_path)).where("piece = 0").count() == 13
