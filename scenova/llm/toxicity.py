@@ -10,15 +10,19 @@ states, and the pooled state gives the window's logit. A text's score is the
 chance of its highest window.
 
 The network is trained here, in numpy, on at most ``max_docs`` labelled rows
-(all toxic ones first in hash order, up to half, then others), a documented
-bound; windows learn from their text's label, and after the first round only
-the windows that score highest stand for a toxic text, since most of its
-windows are harmless. One embedding component starts from the smoothed
-log-odds of the word among the training texts; all of it is then trained.
+(toxic ones up to half, others up to half, each in hash order), whole texts of
+``max_bytes`` in all at most: a text that doesn't fit any more is passed over.
+These two numbers bound what the driver holds. Windows learn from their text's
+label, and only the windows that score highest stand for a toxic text, since
+most of its windows are harmless. One embedding component starts from the
+smoothed log-odds of the word among the training texts, and the first round
+picks windows by it; all of it is then trained, and scores come from the
+pooled states alone.
 
 Defined cases: null, empty and blank texts have no window and score the logit
 bias alone; with no labels, or one label only, every score is the share of
-toxic labels; repeated rows score alike; an empty table stays empty.
+toxic labels; repeated rows score alike (scores
+have six digits); an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -89,7 +93,7 @@ class Network:
             p["W" + d] = r.normal(0, 1 / np.sqrt(WIDE), (WIDE, 3 * HIDDEN))
             p["U" + d] = r.normal(0, 1 / np.sqrt(HIDDEN), (HIDDEN, 3 * HIDDEN))
             p["c" + d] = np.zeros(3 * HIDDEN)
-        p |= {"A": r.normal(0, 0.3, (2 * HIDDEN, HIDDEN)), "a": r.normal(0, 0.3, HIDDEN), "v": r.normal(0, 0.3, 2 * HIDDEN), "w": np.array([0.5]), "b": np.zeros(1)}
+        p |= {"A": r.normal(0, 0.3, (2 * HIDDEN, HIDDEN)), "a": r.normal(0, 0.3, HIDDEN), "v": r.normal(0, 0.3, 2 * HIDDEN), "b": np.zeros(1)}
         return Network({k: x.astype(np.float32) for k, x in p.items()}, {w: i for i, w in enumerate(words, 1)}, {h: i for i, h in enumerate(heads, 1)})
 
     def forward(self, x: np.ndarray, mask: np.ndarray) -> dict:
@@ -119,15 +123,14 @@ class Network:
         e = np.exp(e - e.max(0))
         alpha = e / e.sum(0)
         pooled = (alpha[:, :, None] * s).sum(0)
-        odds = x[:, :, 0].max(0, where=mask > 0, initial=-20)
-        keep |= {"s": s, "k": k, "alpha": alpha, "pooled": pooled, "odds": odds, "logit": pooled @ p["v"] + p["w"][0] * odds + p["b"][0]}
+        keep |= {"s": s, "k": k, "alpha": alpha, "pooled": pooled, "logit": pooled @ p["v"] + p["b"][0]}
         return keep
 
     def backward(self, keep: dict, g_logit: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the parameters and of x for the gradient of the logits."""
         p, x, mask, s, k, alpha = self.p, keep["x"], keep["mask"], keep["s"], keep["k"], keep["alpha"]
         t = len(x)
-        g = {"v": keep["pooled"].T @ g_logit, "w": np.array([keep["odds"] @ g_logit]), "b": np.array([g_logit.sum()])}
+        g = {"v": keep["pooled"].T @ g_logit, "b": np.array([g_logit.sum()])}
         g_pooled = g_logit[:, None] * p["v"]
         g_alpha = (s * g_pooled[None]).sum(2)
         g_e = alpha * (g_alpha - (alpha * g_alpha).sum(0))
@@ -159,8 +162,6 @@ class Network:
             g["W" + d] = np.tensordot(x, g_gx, ((0, 1), (0, 1)))
             g["c" + d] = g_gx.sum((0, 1))
             g_x += g_gx @ p["W" + d].T
-        best = np.where(mask > 0, x[:, :, 0], -np.inf).argmax(0)
-        g_x[best, np.arange(x.shape[1]), 0] += p["w"][0] * g_logit
         return g, g_x
 
     def update(self, g: dict, rate: float) -> None:
@@ -180,6 +181,7 @@ class Rows:
     def __init__(self):
         self.flat: list[int] = []
         self.ends: list[int] = [0, 0]
+        self.arrays: tuple[np.ndarray, np.ndarray] | None = None
 
     def add(self, rows: list[int]) -> None:
         self.flat += rows
@@ -195,10 +197,12 @@ class Rows:
 
     def spread(self, table: np.ndarray, words: np.ndarray, step: np.ndarray) -> None:
         """Add to the table rows of ``words`` their share of ``step``."""
-        ends = np.array(self.ends)
+        if self.arrays is None or len(self.arrays[0]) != len(self.ends):
+            self.arrays = np.array(self.ends), np.array(self.flat, np.int64)
+        ends, flat = self.arrays
         n = ends[words + 1] - ends[words]
         at = np.repeat(ends[words] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        np.add.at(table, np.array(self.flat, np.int64)[at], np.repeat(step / np.maximum(n, 1)[:, None], n, axis=0))
+        table += summed(np.repeat(step / np.maximum(n, 1)[:, None], n, axis=0), flat[at], len(table))
 
 
 class Reader:
@@ -249,6 +253,11 @@ def windows(numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(owner)
 
 
+def summed(values: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the values of each of ``size`` rows."""
+    return np.column_stack([np.bincount(rows, values[:, j], size) for j in range(values.shape[1])])
+
+
 def log_odds(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Lower bounds (two deviations, 0 at least) of the log-odds of what occurs in counts[1] of n[1] toxic and counts[0] of n[0] other texts."""
     odds = np.log((counts[1] + 0.2) / (n[1] + 0.4)) - np.log((counts[0] + 0.8) / (n[0] + 1.6))
@@ -266,7 +275,7 @@ def vocabulary(found: Iterable[set[str]], toxic: np.ndarray, least: int) -> tupl
     return names, log_odds(table, np.bincount(toxic, minlength=2))
 
 
-def train(texts: list[str], toxic: np.ndarray, *, steps: int = 250, batch: int = 128, rate: float = 0.01, clean_windows: int = 6, least: int = 4, seed: int = 9) -> Network:
+def train(texts: list[str], toxic: np.ndarray, *, steps: int = 400, batch: int = 128, rate: float = 0.01, clean_windows: int = 6, least: int = 4, seed: int = 9) -> Network:
     """Fit on whole texts. In each round a toxic text gives its likeliest windows, another one its likeliest and some others.
 
     Rounds go on, four at least, until ``steps`` batches are done.
@@ -283,18 +292,20 @@ def train(texts: list[str], toxic: np.ndarray, *, steps: int = 250, batch: int =
     rows, owner = windows(reader.numbers(texts))
     rng = np.random.default_rng(seed)
     label = toxic[owner]
+    of_text = np.bincount(owner, minlength=len(texts))[owner]
     turn = 0
     while turn < 4 or net.steps < steps:
         vectors = reader.vectors(net)
-        logits = np.concatenate([net.forward(vectors[rows[i : i + 4096].T], (rows[i : i + 4096].T > 0).astype(np.float32))["logit"] for i in range(0, len(rows), 4096)]) if turn else vectors[:, 0][rows].max(1)
-        order = np.lexsort((-logits, owner))
-        first = np.searchsorted(owner[order], np.arange(len(texts)))
-        rank = np.empty(len(rows), np.int64)
-        rank[order] = np.arange(len(rows)) - first[owner[order]]
-        of_text = np.bincount(owner, minlength=len(texts))[owner]
-        picked = np.flatnonzero((rank < 2) | ((label == 0) & (rng.random(len(rows)) < clean_windows / of_text)))
+        pool = np.flatnonzero((label == 1) | (rng.random(len(rows)) < 2 * clean_windows / of_text))
+        seen = rows[pool]
+        logits = np.concatenate([net.forward(vectors[seen[i : i + 4096].T], (seen[i : i + 4096].T > 0).astype(np.float32))["logit"] for i in range(0, len(seen), 4096)]) if turn else vectors[:, 0][seen].max(1)
+        order = np.lexsort((-logits, owner[pool]))
+        first = np.searchsorted(owner[pool][order], np.arange(len(texts)))
+        rank = np.empty(len(pool), np.int64)
+        rank[order] = np.arange(len(pool)) - first[owner[pool][order]]
         # A second window of a toxic text counts only where it looks toxic itself.
-        picked = picked[(label[picked] == 0) | (rank[picked] == 0) | (logits[picked] > 0)]
+        told = np.where(label[pool] == 1, (rank == 0) | ((rank == 1) & (logits > 0)), (rank < 2) | (rng.random(len(pool)) < 0.5))
+        picked = pool[told]
         rng.shuffle(picked)
         for i in range(0, len(picked), batch):
             take = rows[picked[i : i + batch]]
@@ -306,9 +317,7 @@ def train(texts: list[str], toxic: np.ndarray, *, steps: int = 250, batch: int =
             g, g_x = net.backward(keep, g_logit)
             net.update(g, rate)
             # Embeddings take plain steps on the rows that occur; sums of their words follow at the next round.
-            step = np.zeros_like(x_used)
-            np.add.at(step, local.ravel(), g_x.reshape(-1, WIDE))
-            step *= -rate * 20
+            step = (-rate * 20 * summed(g_x.reshape(-1, WIDE), local.ravel(), len(used))).astype(np.float32)
             step[used == 0] = 0
             vectors[used] += step
             for k, held in reader.tables.items():
@@ -328,7 +337,6 @@ class Scorer:
     def __init__(self, net: Network):
         self.net, self.reader = net, Reader(net.words, net.heads)
         self.gates: np.ndarray | None = None
-        self.odds: np.ndarray | None = None
 
     def refresh(self) -> None:
         have = 0 if self.gates is None or len(self.gates) > len(self.reader) else len(self.gates)
@@ -336,12 +344,7 @@ class Scorer:
             return
         p, x = self.net.p, self.reader.vectors(self.net, have)
         new = np.concatenate([x @ p["Wf"] + p["cf"], x @ p["Wb"] + p["cb"]], axis=1).astype(np.float32)
-        if have:
-            new, odds = np.concatenate([self.gates, new]), np.concatenate([self.odds, x[:, 0]])
-        else:
-            odds = x[:, 0].copy()
-            odds[0] = -20
-        self.gates, self.odds = new, odds
+        self.gates = np.concatenate([self.gates, new]) if have else new
 
     def logits(self, rows: np.ndarray) -> np.ndarray:
         p, h2 = self.net.p, 2 * HIDDEN
@@ -376,7 +379,7 @@ class Scorer:
         np.exp(e, out=e)
         e /= e.sum(0)
         pooled = np.einsum("tb,tbh->bh", e, states)
-        return pooled @ p["v"] + p["w"][0] * self.odds[time].max(0) + p["b"][0]
+        return pooled @ p["v"] + p["b"][0]
 
     def scores(self, texts: list[str]) -> np.ndarray:
         net = self.net
@@ -386,9 +389,13 @@ class Scorer:
         self.refresh()
         rows, owner = windows(numbers)
         best = np.full(len(texts), -np.inf)
-        for i in range(0, len(rows), 2048):
-            np.maximum.at(best, owner[i : i + 2048], self.logits(rows[i : i + 2048]))
-        return sigmoid(np.where(np.isfinite(best), best, net.p["b"][0]).astype(np.float64))
+        # Blocks of whole 64 rows, so that a window's result does not depend on its place in the block.
+        n = len(rows)
+        rows = np.concatenate([rows, np.zeros((-n % 64, WINDOW), np.int64)])
+        for i in range(0, n, 2048):
+            held = owner[i : i + 2048]
+            np.maximum.at(best, held, self.logits(rows[i : i + 2048])[: len(held)])
+        return np.round(sigmoid(np.where(np.isfinite(best), best, net.p["b"][0]).astype(np.float64)), 6)
 
 
 SCORERS: dict[str, Scorer] = {}
@@ -416,17 +423,35 @@ def held_out(id: Column) -> Column:
     return F.coalesce(F.crc32(id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = 3000) -> Network:
-    """Train on at most ``max_docs`` labelled rows that are not held out."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = 3000, max_bytes: int = 64 << 20) -> Network:
+    """Train on at most ``max_docs`` labelled rows, of ``max_bytes``, that are not held out."""
     known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull() & ~held_out(F.col(id))).select(F.col(id).alias("k"), F.col(label).cast("int").alias("y"))
     toxic = known.where("y = 1").orderBy(F.xxhash64("k"), "k").limit(max_docs // 2)
     other = known.where("y = 0").orderBy(F.xxhash64("k"), "k").limit(max_docs // 2)
     # Bounded by max_docs pairs of numbers.
-    picked = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(toxic.unionByName(other)), F.col("id") == F.col("k"))
-    rows = picked.select("id", "y", "text").orderBy(F.xxhash64("id"), "id", "y", F.xxhash64("text")).limit(max_docs).collect()
+    told = known_rows(docs, toxic.unionByName(other), id, text)
+    order = [F.xxhash64("id"), F.col("id"), F.col("y"), F.col("sum")]
+    sizes = told.select("id", "y", "sum", "bytes").orderBy(*order).limit(max_docs).collect()
+    taken, left = set(), max_bytes
+    for r in sizes:
+        if r["bytes"] <= left:
+            taken.add((r["id"], r["y"], r["sum"]))
+            left -= r["bytes"]
+    whole = docs.sparkSession.createDataFrame(sorted(taken), "k long, y int, sum long") if taken else told.select(F.col("id").alias("k"), "y", "sum").limit(0)
+    rows = known_rows(docs, whole, id, text).orderBy(*order).limit(max_docs).collect()
     return train([r["text"] or "" for r in rows], np.array([r["y"] for r in rows], np.int64))
 
 
+def known_rows(docs: DataFrame, picked: DataFrame, id: str, text: str) -> DataFrame:
+    """One row (id, y, sum, bytes, text) for each picked id and text. ``picked``: k, y and maybe the text's sum; max_docs rows at most."""
+    slim = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("sum"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).alias("bytes"))
+    same = F.col("id") == F.col("k")
+    if "sum" in picked.columns:
+        picked = picked.withColumnRenamed("sum", "_sum")
+        same = same & (F.col("sum") == F.col("_sum"))
+    return slim.join(F.broadcast(picked), same).select("id", "y", "sum", "bytes", "text").dropDuplicates(["id", "y", "sum"])
+
+
 def score_toxicity(docs: DataFrame, net: Network, *, id: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` with held_out, score and predicted (existing columns of these names are replaced)."""
     out = docs.withColumns({"held_out": held_out(F.col(id)), "score": toxicity(F.col(text), net)})

@@ -410,6 +410,65 @@ def test_gradients_are_differences():
         assert abs((high - low) / 2e-4 - g[at]) < 1e-6, name
 
 
+def plain_logit(net, x):
+    """The network on one window, written out unit by unit."""
+    p, H = {k: v.astype(float) for k, v in net.p.items()}, toxicity.HIDDEN
+    squash = lambda v: 1 / (1 + np.exp(-v))
+    states = {}
+    for d, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+        h = np.zeros(H)
+        for i in order:
+            gx, u = x[i] @ p["W" + d] + p["c" + d], h @ p["U" + d]
+            z, r = squash(gx[:H] + u[:H]), squash(gx[H : 2 * H] + u[H : 2 * H])
+            h = z * h + (1 - z) * np.tanh(gx[2 * H :] + r * u[2 * H :])
+            states[d, i] = h
+    s = [np.r_[states["f", i], states["b", i]] for i in range(len(x))]
+    e = np.exp([np.tanh(v @ p["A"]) @ p["a"] for v in s])
+    return sum(a * v for a, v in zip(e / e.sum(), s)) @ p["v"] + p["b"][0]
+
+
+def test_scores_are_those_of_the_plain_network(spark):
+    net = toxicity.Network.fresh(3, ["idiot", "hello"], ["zog", "zogw"])
+    net.steps = 1
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["idiot", "hello", "zogwort", "plain", "naïve", "x"]) for _ in range(n)) for n in (1, 31, 32, 33, 48, 49, 200)]
+    rows = [(i, t, "x") for i, t in enumerate([*texts, None, "", " \t\n", texts[3], "?!"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    found = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, net).collect()}
+
+    def vector(w):
+        own = net.p["word"][net.words[w]] if w in net.words else 0
+        heads = [net.p["head"][net.heads[h]] for h in (w[:n] for n in (3, 4, 5, 6) if len(w) > n) if h in net.heads]
+        framed = f"<{w}>"
+        grams = [net.p["gram"][toxicity.gram_row(framed[i : i + 3])] for i in range(len(framed) - 2)]
+        return own + (np.mean(heads, axis=0) if heads else 0) + np.mean(grams, axis=0)
+
+    for i, t, _ in rows:
+        x = [vector(w) for w in toxicity.TOKEN.findall((t or "").lower())]
+        starts = range(0, max(1, len(x) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)
+        logit = max(plain_logit(net, x[a : a + toxicity.WINDOW]) for a in starts) if x else net.p["b"][0]
+        assert abs(found[i] - 1 / (1 + math.exp(-logit))) < 1e-5, i  # scores have six digits
+    assert found[3] == found[10]
+    reader = toxicity.Reader(net.words, net.heads)
+    numbers, _ = toxicity.windows(reader.numbers(texts))
+    logits = net.forward(reader.vectors(net)[numbers.T], (numbers.T > 0).astype(np.float32))["logit"]
+    scorer = toxicity.Scorer(net)
+    again, _ = toxicity.windows(scorer.reader.numbers(texts))
+    scorer.refresh()
+    assert np.allclose(scorer.logits(again), logits, atol=1e-5)
+
+
+def test_training_texts_are_bounded_and_whole(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w" * (1000 * (i % 7 + 1)), i % 2) for i in range(200)] + [(500, "y" * 10_000_000, 1)], "doc_id long, text string, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: seen.append((texts, toxic)))
+    toxicity.fit_toxicity(docs, docs.select("doc_id", "toxic"), max_bytes=300_000)
+    toxicity.fit_toxicity(docs, docs.select("doc_id", "toxic"), max_docs=60)
+    held = {r["text"] for r in docs.collect()}
+    assert 250_000 < sum(map(len, seen[0][0])) <= 300_000 and set(seen[0][0]) <= held
+    assert len(seen[1][0]) == 60 and len(seen[1][1]) == 60
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 7)))
