@@ -1,7 +1,8 @@
 """Neighbourhoods of points as joins on grid cells.
 
 Cells are as wide as the radius, so a point meets the 27 cells about it and
-nothing is compared across the cloud. Order among neighbours is by index.
+nothing is compared across the cloud; without a radius the cell follows from
+how dense the cloud is. Order among neighbours is by index.
 """
 
 from __future__ import annotations
@@ -51,25 +52,64 @@ def ball_query(centres: DataFrame, points: DataFrame, radius: float, n: int, *,
     return met.select(*dict.fromkeys(["scene_id", key, "point_id"]), F.when(held.isNull(), F.array().cast("array<int>")).otherwise(padded).alias("neighbours"))
 
 
-def three_nearest(centres: DataFrame, points: DataFrame, *, others: bool = False, key: str = "point_id") -> DataFrame:
-    """The three nearest points of each centre's cloud, the lowest index on ties: rows (scene_id, point_id, rank, p_point_id, d).
+def voxel_query(centres: DataFrame, points: DataFrame, *, width: float, reach: int, radius: float, n: int) -> DataFrame:
+    """For each centre the points of up to ``n`` voxels, in z, y, x order, ``reach`` voxels away at most and within the radius.
 
-    With ``others`` centres are points of the cloud themselves, and none meets its own index.
+    A voxel's first point by index stands for it. The list is padded with its first one; a centre without any has an empty array.
     """
-    right = points.select("scene_id", *[F.col(c).alias(f"p_{c}") for c in points.columns if c != "scene_id"])
-    met = centres.join(right, "scene_id")
-    if others:
-        met = met.where(F.col("idx") != F.col("p_idx"))
-    d2 = sum((F.col(c) - F.col(f"p_{c}")) * (F.col(c) - F.col(f"p_{c}")) for c in AXES)
-    w = Window.partitionBy("scene_id", key).orderBy("d2", "p_idx")
-    return met.withColumn("d2", d2).withColumn("rank", F.row_number().over(w)).where("rank <= 3").withColumn("d", F.sqrt("d2"))
-
-
-def interpolate(centres: DataFrame, points: DataFrame, feature: str, *, others: bool = False, key: str = "point_id") -> DataFrame:
-    """Feature of each centre by inverse distance over its three nearest points."""
+    cells = [f"c{c}" for c in AXES]
+    held = celled(points, width).groupBy("scene_id", *cells).agg(F.min_by(F.struct("idx", *AXES), "idx").alias("p"))
+    near = celled(centres, width)
+    for c in cells:
+        near = near.withColumn(c, F.explode(F.sequence(F.col(c) - reach, F.col(c) + reach)))
+    met = near.join(held, ["scene_id", *cells]).where(sum((F.col(c) - F.col(f"p.{c}")) * (F.col(c) - F.col(f"p.{c}")) for c in AXES) <= radius * radius)
+    first = F.slice(F.sort_array(F.collect_list(F.struct("cz", "cy", "cx", F.col("p.idx").alias("i")))), 1, n)
+    found = met.groupBy("scene_id", "idx").agg(F.transform(first, lambda v: v["i"]).alias("h"))
+    padded = F.concat("h", F.array_repeat(F.get("h", F.lit(0)), F.lit(n) - F.size("h")))
+    return centres.select("scene_id", "idx", "point_id").join(found, ["scene_id", "idx"], "left").select("scene_id", "idx", "point_id", F.coalesce(padded, F.array().cast("array<int>")).alias("neighbours"))
+
+
+def nearest_first(met: DataFrame, n: int) -> DataFrame:
+    """The ``n`` nearest p_ points of each (scene_id, idx), the lowest index on ties."""
+    met = met.where("idx <> p_idx").withColumn("d2", sum((F.col(c) - F.col(f"p_{c}")) * (F.col(c) - F.col(f"p_{c}")) for c in AXES))
+    w = Window.partitionBy("scene_id", "idx").orderBy("d2", "p_idx")
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).withColumn("d", F.sqrt("d2"))
+
+
+def three_nearest(points: DataFrame, *, whole: int = 512, n: int = 3) -> DataFrame:
+    """The three nearest other points of each point's cloud: rows (scene_id, idx, point_id, rank, p_point_id, d).
+
+    Clouds of up to ``whole`` points are compared whole. In larger ones a point
+    takes the finest of the grids, each twice as fine as the one before, where
+    its own cell holds more than ``n`` points: they are within a cell's
+    diagonal, so all nearest ones are in the cells two steps about it.
+    """
+    named = lambda df: df.select(*[F.col(c).alias(c if c in ("scene_id", "level") or c[0] == "c" else f"p_{c}") for c in df.columns])
+    low, high = [F.min(c).alias(f"low_{c}") for c in AXES], [F.max(c).alias(f"high_{c}") for c in AXES]
+    clouds = points.groupBy("scene_id").agg(F.count("*").alias("size"), *low, *high)
+    small = points.join(clouds.where(F.col("size") <= whole).select("scene_id"), "scene_id")
+    found = nearest_first(small.join(named(points), "scene_id"), n)
+    extent = F.greatest(*[F.col(f"high_{c}") - F.col(f"low_{c}") for c in AXES], F.lit(1e-9)) * 1.0000001
+    depth = F.ceil(F.log2(F.col("size")) / 3).cast("int") + 3
+    large = clouds.where(F.col("size") > whole).select("scene_id", extent.alias("extent"), depth.alias("depth"), *[f"low_{c}" for c in AXES])
+    cells = [f"c{c}" for c in AXES]
+    grids = points.join(large, "scene_id").withColumn("level", F.explode(F.sequence(F.lit(0), F.col("depth"))))
+    grids = grids.withColumns({f"c{c}": F.floor((F.col(c) - F.col(f"low_{c}")) * F.pow(F.lit(2.0), F.col("level")) / F.col("extent")).cast("int") for c in AXES})
+    grids = grids.select(*points.columns, "level", *cells)
+    full = grids.groupBy("scene_id", "level", *cells).count().where(F.col("count") > n).drop("count")
+    own = grids.join(full, ["scene_id", "level", *cells]).groupBy("scene_id", "idx").agg(F.max("level").alias("level"))
+    centres = grids.join(own, ["scene_id", "idx", "level"])
+    for c in cells:
+        centres = centres.withColumn(c, F.explode(F.sequence(F.col(c) - 2, F.col(c) + 2)))
+    met = centres.join(named(grids), ["scene_id", "level", *cells]).drop("level", *cells)
+    return found.unionByName(nearest_first(met, n))
+
+
+def interpolate(points: DataFrame, feature: str, **how) -> DataFrame:
+    """Feature of each point by inverse distance over its three nearest other points."""
     weight = 1 / (F.col("d") + 1e-8)
-    near = three_nearest(centres, points, others=others, key=key)
-    return near.groupBy(*dict.fromkeys(["scene_id", key, "point_id"])).agg((F.sum(weight * F.col(f"p_{feature}")) / F.sum(weight)).alias("value"))
+    near = three_nearest(points, **how)
+    return near.groupBy("scene_id", "idx", "point_id").agg((F.sum(weight * F.col(f"p_{feature}")) / F.sum(weight)).alias("value"))
 
 
 def voxel_pool(points: DataFrame, width: float, feature: str) -> DataFrame:

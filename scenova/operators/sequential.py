@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,52 +52,74 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], run: Callable[[C
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(stream, schema)
 
 
-def footprint(x: float, y: float, l: float, w: float, yaw: float) -> np.ndarray:  # noqa: E741
-    """Corners of a turned rectangle, counter-clockwise."""
-    c, s = np.cos(yaw), np.sin(yaw)
-    local = np.array([[l, w], [-l, w], [-l, -w], [l, -w]]) / 2
-    return local @ np.array([[c, s], [-s, c]]) + [x, y]
-
-
-def clip(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """The part of a convex polygon inside another one, both counter-clockwise."""
-    out = list(subject)
-    for a, b in zip(window, np.roll(window, -1, axis=0)):
-        edge, held, out = b - a, out, []
-        side = [edge[0] * (p[1] - a[1]) - edge[1] * (p[0] - a[0]) for p in held]
-        for k, p in enumerate(held):
-            q, d, e = held[k - 1], side[k], side[k - 1]
-            if (d >= 0) != (e >= 0):
-                out.append(q + (p - q) * (e / (e - d)))
-            if d >= 0:
-                out.append(p)
-    return np.array(out)
-
-
-def area(polygon: np.ndarray) -> float:
-    if len(polygon) < 3:
-        return 0.0
-    x, y = polygon[:, 0], polygon[:, 1]
-    return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
+def footprints(boxes: np.ndarray) -> np.ndarray:
+    """Corners (n, 4, 2) of turned rectangles, counter-clockwise."""
+    c, s = np.cos(boxes[:, 6]), np.sin(boxes[:, 6])
+    local = np.array([[1, 1], [-1, 1], [-1, -1], [1, -1]]) * boxes[:, None, 3:5] / 2
+    turn = np.stack([np.stack([c, s], 1), np.stack([-s, c], 1)], 1)
+    return local @ turn + boxes[:, None, :2]
+
+
+def cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a[..., 0] * b[..., 1] - a[..., 1] * b[..., 0]
+
+
+def shared_areas(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Areas that pairs of convex quadrilaterals (n, 4, 2) share.
+
+    The corners of the shared part are corners of one inside the other and
+    crossings of edges: 24 candidates for each pair, put in order by angle.
+    """
+    n = len(p)
+    ep, eq = np.roll(p, -1, 1) - p, np.roll(q, -1, 1) - q
+    size = 1e-9 * (1 + np.abs(p).max((1, 2)) + np.abs(q).max((1, 2)))[:, None, None]
+    inside = lambda x, base, edge: (cross(edge[:, None], x[:, :, None] - base[:, None]) >= -size * np.linalg.norm(edge, axis=2)[:, None]).all(2)
+    over = cross(ep[:, :, None], eq[:, None])
+    gap = q[:, None] - p[:, :, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t, u = cross(gap, eq[:, None]) / over, cross(gap, ep[:, :, None]) / over
+        hit = (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+        at = p[:, :, None] + np.where(hit, t, 0)[..., None] * ep[:, :, None]
+    points = np.concatenate([p, q, at.reshape(n, 16, 2)], 1)
+    there = np.concatenate([inside(p, q, eq), inside(q, p, ep), hit.reshape(n, 16)], 1)
+    count = there.sum(1)
+    middle = np.where(there[..., None], points, 0).sum(1) / np.maximum(count, 1)[:, None]
+    rel = points - middle[:, None]
+    order = np.argsort(np.where(there, np.arctan2(rel[..., 1], rel[..., 0]), np.inf), axis=1)
+    rel = np.take_along_axis(rel, order[..., None], 1)
+    # Places beyond the last corner repeat the first one and add nothing.
+    rel = np.where((np.arange(24) < count[:, None])[..., None], rel, rel[:, :1])
+    return np.where(count >= 3, np.abs(cross(rel, np.roll(rel, -1, 1)).sum(1)) / 2, 0.0)
+
+
+def rotated_ious(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """IoU of boxes (n, 7: x, y, z, l, w, h, yaw) turned about z; 0 for boxes that aren't boxes."""
+    out = np.zeros(len(a))
+    good = np.isfinite(a).all(1) & np.isfinite(b).all(1) & (a[:, 3:6] > 0).all(1) & (b[:, 3:6] > 0).all(1)
+    a, b = a[good], b[good]
+    if len(a):
+        tall = np.minimum(a[:, 2] + a[:, 5] / 2, b[:, 2] + b[:, 5] / 2) - np.maximum(a[:, 2] - a[:, 5] / 2, b[:, 2] - b[:, 5] / 2)
+        inter = shared_areas(footprints(a), footprints(b)) * np.maximum(tall, 0)
+        out[good] = inter / (np.prod(a[:, 3:6], 1) + np.prod(b[:, 3:6], 1) - inter)
+    return out
 
 
-def rotated_iou_of(a: np.ndarray, b: np.ndarray) -> float:
-    """IoU of boxes (x, y, z, l, w, h, yaw) turned about z; 0 for boxes that aren't boxes."""
-    if not (np.isfinite(a).all() and np.isfinite(b).all()) or (a[3:6] <= 0).any() or (b[3:6] <= 0).any():
-        return 0.0
-    plane = area(clip(footprint(*a[[0, 1, 3, 4, 6]]), footprint(*b[[0, 1, 3, 4, 6]])))
-    tall = max(0.0, min(a[2] + a[5] / 2, b[2] + b[5] / 2) - max(a[2] - a[5] / 2, b[2] - b[5] / 2))
-    inter = plane * tall
-    union = float(np.prod(a[3:6]) + np.prod(b[3:6])) - inter
-    return inter / union if union > 0 else 0.0
+def sevens(boxes: pa.Array) -> np.ndarray:
+    """An array of lists of seven numbers as a table; other lists and nulls are rows of NaN."""
+    size = np.asarray(pc.fill_null(pc.list_value_length(boxes), 0))
+    flat = boxes.flatten().to_numpy(zero_copy_only=False).astype(float)
+    out = np.full((len(boxes), 7), np.nan)
+    good = size == 7
+    out[good] = flat[(np.cumsum(size) - size)[good][:, None] + np.arange(7)]
+    return out
 
 
 def rotated_iou(a: Column, b: Column) -> Column:
     """Rotated IoU of two arrays of seven numbers."""
 
-    @F.pandas_udf("double")
-    def iou(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([rotated_iou_of(np.asarray(p, float), np.asarray(q, float)) for p, q in zip(left, right)])
+    @F.arrow_udf("double")
+    def iou(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array(rotated_ious(sevens(left), sevens(right)), pa.float64())
 
     return iou(a, b)
 
@@ -207,14 +231,3 @@ def farthest_points(points: DataFrame, n: int, *, skip_origin: bool = False) ->
         return {"scene_id": g["scene_id"][picked], "point_id": g["point_id"][picked], "place": np.arange(len(picked), dtype=np.int32)}
 
     return per_group(points.select("scene_id", "point_id", "idx", "x", "y", "z"), ["scene_id"], ["idx"], run, "scene_id bigint, point_id string, place int")
-
-
-def greedy_matches(truth: np.ndarray, score: np.ndarray, iou: np.ndarray, least: float) -> np.ndarray:
-    """1 for each prediction that is right: in order of score, on its best truth, which nothing took before."""
-    taken: set = set()
-    out = np.zeros(len(score), int)
-    for i in np.lexsort((np.arange(len(score)), -score)):
-        if iou[i] > least and truth[i] not in taken:
-            taken.add(truth[i])
-            out[i] = 1
-    return out

@@ -221,11 +221,9 @@ def match_precision(spark, sf_dir) -> DataFrame:
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE len([v FOR v IN embedding IF isnan(v)]) > 0) AS with_nan, round(min(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS least_norm, max(c) AS most_per_label FROM embeddings JOIN (SELECT label AS l, count(*) AS c FROM embeddings GROUP BY label) ON label = l")
 def token_stats(spark, sf_dir) -> DataFrame:
     """Row, NaN and norm statistics of a token table."""
-    e = table(spark, sf_dir, "embeddings")
-    c = F.count("*").over(Window.partitionBy("label"))
-    rows = e.select("embedding", c.alias("c"))
     norm = F.sqrt(G.dot(F.col("embedding"), F.col("embedding")))
-    return rows.agg(F.count("*").alias("n"), F.count_if(F.exists("embedding", lambda v: F.isnan(v))).alias("with_nan"), F.round(F.min(norm), 6).alias("least_norm"), F.max("c").alias("most_per_label"))
+    per = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("c"), F.count_if(F.exists("embedding", lambda v: F.isnan(v))).alias("bad"), F.min(norm).alias("norm")).where("label is not null")
+    return per.agg(F.sum("c").alias("n"), F.sum("bad").alias("with_nan"), F.round(F.min("norm"), 6).alias("least_norm"), F.max("c").alias("most_per_label"))
 
 
 @query("SELECT word_id, round(sum(score), 6) AS score FROM (SELECT l_orderkey * 8 + l_linenumber // 2 AS word_id, l_extendedprice / 1000 AS score FROM lineitem) GROUP BY word_id")

@@ -37,7 +37,7 @@ def audit_violations(spark, sf_dir) -> DataFrame:
     )
 
 
-@query("SELECT unnest(['empty_id', 'crossing_scene', 'same_object', 'unknown_split']) AS rule, unnest([0, 0, 0, 0])::BIGINT AS violations, count(*) AS n FROM (SELECT DISTINCT scene_id, a_id, b_id FROM pairs)", heads="p")
+@query("SELECT unnest(['empty_id', 'crossing_scene', 'same_object', 'unknown_split']) AS rule, unnest([count(*) FILTER (WHERE a_id = '' OR b_id = ''), count(*) FILTER (WHERE splits > 1), count(*) FILTER (WHERE a_id = b_id), count(*) FILTER (WHERE split NOT IN ('train', 'val', 'test'))]) AS violations, count(*) AS n FROM (SELECT scene_id, a_id, b_id, count(DISTINCT split) AS splits, min(split) AS split FROM pairs GROUP BY ALL)", heads="p")
 def strict_audit(spark, sf_dir) -> DataFrame:
     """Rules that must hold; a broken one ends the job."""
     rows = directed(spark, sf_dir).groupBy("scene_id", "a_id", "b_id").agg(F.countDistinct("split").alias("splits"), F.min("split").alias("split"))
@@ -50,14 +50,21 @@ def benchmark_leaks(spark, sf_dir) -> DataFrame:
     """Documents that hold a benchmark passage whole: a fixed small set of passages against all texts."""
     passages = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # Candidates meet on a word 5-gram, then the whole passage is checked; no text meets every passage.
-    grams = lambda words: F.transform(F.sequence(F.lit(1), F.size(words) - 4), lambda i: F.array_join(F.slice(words, i, 5), " "))
+    # Candidates meet on up to five words from inside the passage (its edge words may be part of longer ones), then the
+    # whole passage is checked; no text meets every passage. Passages of one or two words have none inside: few, sent whole.
     words = F.split("passage", " ")
-    key = passages.withColumn("gram", F.array_join(F.slice(words, F.greatest(F.lit(1), F.size(words) / 2 - 1).cast("int"), 5), " "))
+    inner = F.size(words) - 2
+    width = F.least(F.lit(5), inner)
+    passages = passages.withColumns({"width": width, "gram": F.when(inner > 0, F.array_join(F.slice(words, F.floor((inner - width) / 2).cast("int") + 2, width), " "))})
+    widths = [r["width"] for r in passages.where("width > 0").select("width").distinct().collect()]  # five numbers at most
+    grams = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
     cut = F.split("text", " ")
-    grammed = texts.withColumn("w", cut).where(F.size("w") >= 5).select("doc_id", F.explode(F.array_distinct(grams(F.col("w")))).alias("gram"))
-    met = grammed.join(key.select("item_id", "gram", "passage"), "gram").select("doc_id", "item_id", "passage").join(texts, "doc_id")
-    return met.where(F.contains("text", "passage")).groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
+    found = F.flatten(F.array(*[F.when(F.size("w") >= n, grams(F.col("w"), n)).otherwise(F.array().cast("array<string>")) for n in widths]))
+    grammed = texts.withColumn("w", cut).select("doc_id", F.explode(F.array_distinct(found)).alias("gram"))
+    met = grammed.join(passages.where("width > 0").select("item_id", "gram", "passage"), "gram").select("doc_id", "item_id", "passage").join(texts, "doc_id")
+    short = texts.join(F.broadcast(passages.where("width <= 0").select("item_id", "passage")), F.contains("text", "passage")).select("item_id", "doc_id")
+    held = met.where(F.contains("text", "passage")).select("item_id", "doc_id").unionByName(short)
+    return held.groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
 
 
 @query("SELECT leaked, count(*) AS n FROM (SELECT contains(lower('Where is the ' || a_caption || '?'), lower(b_caption)) AS leaked FROM pairs) GROUP BY leaked", heads="p")

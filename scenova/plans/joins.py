@@ -21,24 +21,11 @@ def numbered(objs: DataFrame) -> DataFrame:
 NUMBERED_SQL = "numbered AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY object_id) - 1 AS ord FROM objects)"
 
 
-@query(
-    "SELECT CASE WHEN o_orderkey IS NULL THEN 'no_scene' WHEN p_partkey IS NULL THEN 'no_caption' ELSE 'joined' END AS outcome, count(*) AS n FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0) ON l_orderkey = o_orderkey LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 5) ON l_partkey = p_partkey GROUP BY ALL"
-)
-def token_scene_join(spark, sf_dir) -> DataFrame:
-    """Two-step equality join, counting what is lost at either step."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    scenes = table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0").select("o_orderkey")
-    captions = table(spark, sf_dir, "part").where("p_size > 5").select("p_partkey")
-    met = line.join(scenes, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(captions, F.col("l_partkey") == F.col("p_partkey"), "left")
-    outcome = F.when(F.col("o_orderkey").isNull(), "no_scene").when(F.col("p_partkey").isNull(), "no_caption").otherwise("joined")
-    return met.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
-
-
 @query(
     "SELECT CASE WHEN o_orderkey IS NULL THEN 'no_scene' WHEN p_partkey IS NULL THEN 'no_caption' ELSE 'joined' END AS outcome, count(*) AS n FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey GROUP BY ALL"
 )
-def whole_token_scene_join(spark, sf_dir) -> DataFrame:
-    """``token_scene_join`` over whole tables: what is lost is what the tables lack."""
+def token_scene_join(spark, sf_dir) -> DataFrame:
+    """Two-step equality join, counting what is lost at either step: what the tables lack."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     scenes, captions = table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "part").select("p_partkey")
     met = line.join(scenes, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(captions, F.col("l_partkey") == F.col("p_partkey"), "left")
@@ -118,19 +105,9 @@ def set_key_join(spark, sf_dir) -> DataFrame:
     return n.select(F.concat(F.lit("["), F.array_join("key", ", "), F.lit("]")).alias("key"), "n")
 
 
-@query("SELECT l.side, count(*) AS n FROM (SELECT CASE WHEN a.o_custkey IS NULL THEN 'right_only' WHEN b.c_custkey IS NULL THEN 'left_only' ELSE 'both' END AS side FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 7 <> 0) a FULL JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0) b ON o_custkey = c_custkey) l GROUP BY ALL")
-def roster_diff(spark, sf_dir) -> DataFrame:
-    """Full outer roster check: both, left only and right only."""
-    a = table(spark, sf_dir, "orders").where("o_custkey % 7 <> 0").select("o_custkey").distinct()
-    b = table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select("c_custkey")
-    met = a.join(b, F.col("o_custkey") == F.col("c_custkey"), "full_outer")
-    side = F.when(F.col("o_custkey").isNull(), "right_only").when(F.col("c_custkey").isNull(), "left_only").otherwise("both")
-    return met.groupBy(side.alias("side")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT side, count(*) AS n FROM (SELECT CASE WHEN o_custkey IS NULL THEN 'right_only' WHEN c_custkey IS NULL THEN 'left_only' ELSE 'both' END AS side FROM (SELECT DISTINCT o_custkey FROM orders) a FULL JOIN customer ON o_custkey = c_custkey) GROUP BY ALL")
-def whole_roster_diff(spark, sf_dir) -> DataFrame:
-    """``roster_diff`` over whole tables; customers without orders are the missing keys."""
+def roster_diff(spark, sf_dir) -> DataFrame:
+    """Full outer roster check: both, left only and right only. Customers without orders are the missing keys."""
     a = table(spark, sf_dir, "orders").select("o_custkey").distinct()
     met = a.join(table(spark, sf_dir, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "full_outer")
     side = F.when(F.col("o_custkey").isNull(), "right_only").when(F.col("c_custkey").isNull(), "left_only").otherwise("both")

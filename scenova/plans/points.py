@@ -20,100 +20,69 @@ def cloud(spark, sf_dir) -> DataFrame:
     return rows.withColumn("idx", (F.row_number().over(Window.partitionBy("scene_id").orderBy("point_id")) - 1).cast("int"))
 
 
-def centres(points: DataFrame) -> DataFrame:
-    return points.where("idx % 4 = 0")
-
-
 def ball_sql(predicate: str, n: int = 8) -> str:
-    return f"""WITH {CLOUD_SQL}, h AS (SELECT a.scene_id, a.point_id, b.idx, row_number() OVER (PARTITION BY a.scene_id, a.point_id ORDER BY b.idx) AS rn FROM cloud a JOIN cloud b ON a.scene_id = b.scene_id AND a.idx % 4 = 0 AND {predicate}),
-    g AS (SELECT scene_id, point_id, list(idx ORDER BY idx) AS l FROM h WHERE rn <= {n} GROUP BY ALL)
-    SELECT c.scene_id, c.point_id, coalesce(array_to_string(l, ',') || repeat(',' || l[1], {n} - len(l)::INTEGER), '') AS neighbours FROM cloud c LEFT JOIN g ON c.scene_id = g.scene_id AND c.point_id = g.point_id WHERE c.idx % 4 = 0"""
-
-
-def whole_ball_sql(predicate: str, n: int = 8) -> str:
-    """``ball_sql`` with every point a centre, also where ids repeat."""
+    """Every point is a centre; its place tells it apart where ids repeat."""
     return f"""WITH {CLOUD_SQL}, h AS (SELECT a.scene_id, a.idx AS place, b.idx, row_number() OVER (PARTITION BY a.scene_id, a.idx ORDER BY b.idx) AS rn FROM cloud a JOIN cloud b ON a.scene_id = b.scene_id AND {predicate}),
     g AS (SELECT scene_id, place, list(idx ORDER BY idx) AS l FROM h WHERE rn <= {n} GROUP BY ALL)
     SELECT c.scene_id, c.idx, c.point_id, coalesce(array_to_string(l, ',') || repeat(',' || l[1], {n} - len(l)::INTEGER), '') AS neighbours FROM cloud c LEFT JOIN g ON c.scene_id = g.scene_id AND c.idx = g.place"""
 
 
-def shown(rows: DataFrame, *more: str) -> DataFrame:
-    return rows.select("scene_id", *more, "point_id", F.array_join("neighbours", ",").alias("neighbours"))
+def shown(rows: DataFrame) -> DataFrame:
+    return rows.select("scene_id", "idx", "point_id", F.array_join("neighbours", ",").alias("neighbours"))
 
 
 @query(ball_sql(f"{D2} < 16.0"), heads="o")
 def ball_query(spark, sf_dir) -> DataFrame:
-    """First eight points by index strictly within 4 m, padded with the first."""
+    """First eight points by index strictly within 4 m of each point, padded with the first."""
     p = cloud(spark, sf_dir)
-    return shown(N.ball_query(centres(p), p, 4.0, 8))
+    return shown(N.ball_query(p, p, 4.0, 8, key="idx"))
 
 
 @query(ball_sql(f"({D2} = 0 OR ({D2} >= 4.0 AND {D2} < 16.0))"), heads="o")
 def annulus_query(spark, sf_dir) -> DataFrame:
     """Points at 2 to 4 m, or at none."""
     p = cloud(spark, sf_dir)
-    return shown(N.ball_query(centres(p), p, 4.0, 8, least=2.0))
+    return shown(N.ball_query(p, p, 4.0, 8, least=2.0, key="idx"))
 
 
 @query(ball_sql(f"{D2} <= 16.0"), heads="o")
-def voxel_query(spark, sf_dir) -> DataFrame:
-    """Neighbours over voxel cells, the radius included."""
-    p = cloud(spark, sf_dir)
-    return shown(N.ball_query(centres(p), p, 4.0, 8, inclusive=True))
-
-
-NN_SQL = f"WITH {CLOUD_SQL}, n AS (SELECT a.scene_id, a.point_id, b.point_id AS p_point_id, b.f, {D2} AS d2, row_number() OVER (PARTITION BY a.scene_id, a.point_id ORDER BY {D2}, b.idx) AS rank FROM cloud a JOIN cloud b ON a.scene_id = b.scene_id AND a.idx % 4 = 0 AND b.idx % 4 <> 0)"
-
-
-@query(NN_SQL + " SELECT scene_id, point_id, rank, p_point_id, round(sqrt(d2), 6) AS d FROM n WHERE rank <= 3", heads="o")
-def three_nn(spark, sf_dir) -> DataFrame:
-    p = cloud(spark, sf_dir)
-    return N.three_nearest(centres(p), p.where("idx % 4 <> 0")).select("scene_id", "point_id", F.col("rank").cast("long").alias("rank"), "p_point_id", F.round("d", 6).alias("d"))
-
-
-@query(NN_SQL + " SELECT scene_id, point_id, round(sum(f / (sqrt(d2) + 1e-8)) / sum(1 / (sqrt(d2) + 1e-8)), 4) AS value FROM n WHERE rank <= 3 GROUP BY ALL", heads="o")
-def idw_interpolate(spark, sf_dir) -> DataFrame:
-    """Inverse-distance weighting over three neighbours."""
-    p = cloud(spark, sf_dir)
-    return N.interpolate(centres(p), p.where("idx % 4 <> 0"), "f").select("scene_id", "point_id", F.round("value", 4).alias("value"))
-
-
-@query(whole_ball_sql(f"{D2} < 16.0"), heads="o")
-def whole_ball_query(spark, sf_dir) -> DataFrame:
-    """``ball_query`` about every point of the cloud."""
+def whole_voxel_query(spark, sf_dir) -> DataFrame:
+    """``ball_query`` with the radius included."""
     p = cloud(spark, sf_dir)
-    return shown(N.ball_query(p, p, 4.0, 8, key="idx"), "idx")
+    return shown(N.ball_query(p, p, 4.0, 8, inclusive=True, key="idx"))
 
 
-@query(whole_ball_sql(f"({D2} = 0 OR ({D2} >= 4.0 AND {D2} < 16.0))"), heads="o")
-def whole_annulus_query(spark, sf_dir) -> DataFrame:
-    """``annulus_query`` about every point of the cloud."""
-    p = cloud(spark, sf_dir)
-    return shown(N.ball_query(p, p, 4.0, 8, least=2.0, key="idx"), "idx")
+VOXEL = "CAST(floor({0} / 2) AS INTEGER)"
+VOXELS_SQL = f"{CLOUD_SQL}, celled AS (SELECT *, {', '.join(f'{VOXEL.format(c)} AS c{c}' for c in 'xyz')} FROM cloud), v AS (SELECT *, row_number() OVER (PARTITION BY scene_id, cx, cy, cz ORDER BY idx) AS turn FROM celled)"
 
 
-@query(whole_ball_sql(f"{D2} <= 16.0"), heads="o")
-def whole_voxel_query(spark, sf_dir) -> DataFrame:
-    """``voxel_query`` about every point of the cloud."""
+@query(
+    f"""WITH {VOXELS_SQL}, h AS (SELECT a.scene_id, a.idx AS place, b.idx, row_number() OVER (PARTITION BY a.scene_id, a.idx ORDER BY b.cz, b.cy, b.cx) AS rn FROM celled a JOIN v b ON a.scene_id = b.scene_id AND b.turn = 1
+        AND abs(a.cx - b.cx) <= 2 AND abs(a.cy - b.cy) <= 2 AND abs(a.cz - b.cz) <= 2 AND {D2} <= 9.0),
+    g AS (SELECT scene_id, place, list(idx ORDER BY rn) AS l FROM h WHERE rn <= 8 GROUP BY ALL)
+    SELECT c.scene_id, c.idx, c.point_id, coalesce(array_to_string(l, ',') || repeat(',' || l[1], 8 - len(l)::INTEGER), '') AS neighbours FROM cloud c LEFT JOIN g ON c.scene_id = g.scene_id AND c.idx = g.place""",
+    heads="o",
+)
+def voxel_query(spark, sf_dir) -> DataFrame:
+    """Eight neighbours at most over voxels of 2 m in z, y, x order: the first point of each voxel counts, the radius of 3 m included."""
     p = cloud(spark, sf_dir)
-    return shown(N.ball_query(p, p, 4.0, 8, inclusive=True, key="idx"), "idx")
+    return shown(N.voxel_query(p, p, width=2.0, reach=2, radius=3.0, n=8))
 
 
-WHOLE_NN_SQL = f"WITH {CLOUD_SQL}, n AS (SELECT a.scene_id, a.idx, a.point_id, b.point_id AS p_point_id, b.f, {D2} AS d2, row_number() OVER (PARTITION BY a.scene_id, a.idx ORDER BY {D2}, b.idx) AS rank FROM cloud a JOIN cloud b ON a.scene_id = b.scene_id AND a.idx <> b.idx)"
+NN_SQL = f"WITH {CLOUD_SQL}, n AS (SELECT a.scene_id, a.idx, a.point_id, b.point_id AS p_point_id, b.f, {D2} AS d2, row_number() OVER (PARTITION BY a.scene_id, a.idx ORDER BY {D2}, b.idx) AS rank FROM cloud a JOIN cloud b ON a.scene_id = b.scene_id AND a.idx <> b.idx)"
 
 
-@query(WHOLE_NN_SQL + " SELECT scene_id, idx, point_id, rank, p_point_id, round(sqrt(d2), 6) AS d FROM n WHERE rank <= 3", heads="o")
-def whole_three_nn(spark, sf_dir) -> DataFrame:
-    """The three nearest of all other points of the cloud, for every point."""
+@query(NN_SQL + " SELECT scene_id, idx, point_id, rank, p_point_id, round(sqrt(d2), 6) AS d FROM n WHERE rank <= 3", heads="o")
+def three_nn(spark, sf_dir) -> DataFrame:
+    """The three nearest of all other points of the cloud, for every point; a smaller cloud gives fewer."""
     p = cloud(spark, sf_dir)
-    return N.three_nearest(p, p, others=True, key="idx").select("scene_id", "idx", "point_id", F.col("rank").cast("long").alias("rank"), "p_point_id", F.round("d", 6).alias("d"))
+    return N.three_nearest(p).select("scene_id", "idx", "point_id", F.col("rank").cast("long").alias("rank"), "p_point_id", F.round("d", 6).alias("d"))
 
 
-@query(WHOLE_NN_SQL + " SELECT scene_id, idx, point_id, round(sum(f / (sqrt(d2) + 1e-8)) / sum(1 / (sqrt(d2) + 1e-8)), 4) AS value FROM n WHERE rank <= 3 GROUP BY ALL", heads="o")
-def whole_idw_interpolate(spark, sf_dir) -> DataFrame:
+@query(NN_SQL + " SELECT scene_id, idx, point_id, round(sum(f / (sqrt(d2) + 1e-8)) / sum(1 / (sqrt(d2) + 1e-8)), 4) AS value FROM n WHERE rank <= 3 GROUP BY ALL", heads="o")
+def idw_interpolate(spark, sf_dir) -> DataFrame:
     """Inverse-distance weighting over the three nearest other points, for every point."""
-    p = cloud(spark, sf_dir)
-    return N.interpolate(p, p, "f", others=True, key="idx").select("scene_id", "idx", "point_id", F.round("value", 4).alias("value"))
+    return N.interpolate(cloud(spark, sf_dir), "f").select("scene_id", "idx", "point_id", F.round("value", 4).alias("value"))
 
 
 @query(f"WITH {CLOUD_SQL} SELECT scene_id, CAST(floor(x / 10) AS INTEGER) AS cx, CAST(floor(y / 10) AS INTEGER) AS cy, CAST(floor(z / 10) AS INTEGER) AS cz, count(*) AS n, round(avg(f), 7) AS mean, max(f) AS most, arg_min(f, idx) AS first FROM cloud GROUP BY ALL", heads="o")
@@ -131,17 +100,9 @@ def gather_features(spark, sf_dir) -> DataFrame:
     return met.groupBy("scene_id", "point_id").agg(F.round(F.avg("f"), 4).alias("mean"), F.count("*").alias("n"))
 
 
-@query(f"WITH {CLOUD_SQL} SELECT a.scene_id, a.point_id, count(*) AS n, round(avg(b.x - a.x), 6) + 0.0 AS mean_dx FROM cloud a JOIN cloud b ON a.scene_id = b.scene_id AND a.idx % 4 = 0 AND {D2} < 16.0 GROUP BY ALL", heads="o")
-def group_points(spark, sf_dir) -> DataFrame:
-    """Neighbourhoods with the centre subtracted."""
-    p = cloud(spark, sf_dir)
-    met = N.near_pairs(centres(p), p, 4.0).where("d2 < 16.0")
-    return met.groupBy("scene_id", "point_id").agg(F.count("*").alias("n"), (F.round(F.avg(F.col("p_x") - F.col("x")), 6) + 0.0).alias("mean_dx"))
-
-
 @query(f"WITH {CLOUD_SQL} SELECT a.scene_id, a.idx, a.point_id, count(*) AS n, round(avg(b.x - a.x), 6) + 0.0 AS mean_dx FROM cloud a JOIN cloud b ON a.scene_id = b.scene_id AND {D2} < 16.0 GROUP BY ALL", heads="o")
-def whole_group_points(spark, sf_dir) -> DataFrame:
-    """``group_points`` about every point of the cloud."""
+def group_points(spark, sf_dir) -> DataFrame:
+    """Neighbourhoods of every point with the centre subtracted."""
     p = cloud(spark, sf_dir)
     met = N.near_pairs(p, p, 4.0).where("d2 < 16.0")
     return met.groupBy("scene_id", "idx", "point_id").agg(F.count("*").alias("n"), (F.round(F.avg(F.col("p_x") - F.col("x")), 6) + 0.0).alias("mean_dx"))

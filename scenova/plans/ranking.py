@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from scenova.functions import geometry as G
 from scenova.functions.ids import hash_order, odd_digest, stable_id
+from scenova.operators.ranks import area_under, hash_rank, precision_recall
 from scenova.plans.aggregates import scored
 from scenova.plans.base import query
 from scenova.plans.geometry import IOU_SQL
 from scenova.plans.joins import NUMBERED_SQL, numbered
 from scenova.sources.scenes import objects, pairs, table
 
-UP = Window.unboundedPreceding
-
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "rn") -> DataFrame:
     """The first ``n`` rows of each group in an order, numbered from 1."""
@@ -46,29 +45,23 @@ def runner_up_gap(spark, sf_dir) -> DataFrame:
     return rows.where("rn = 1 and gap is not null").select("scene_id", (F.col("gap") >= 3.0).alias("clear"))
 
 
-AP_SQL = f"""WITH {IOU_SQL}, d AS (SELECT category, score, object_id, CASE WHEN iou > 0.5 THEN 1 ELSE 0 END AS tp FROM iou),
-n AS (SELECT category, count(*) AS npos FROM d GROUP BY category),
+CURVE_SQL = """n AS (SELECT category, count(*) AS npos FROM d GROUP BY category),
 c AS (SELECT category, row_number() OVER w AS pos, sum(tp) OVER w AS ctp FROM d WINDOW w AS (PARTITION BY category ORDER BY score DESC, object_id ROWS UNBOUNDED PRECEDING)),
 r AS (SELECT c.category, pos, ctp / (npos + 1e-8) AS recall, ctp / pos AS precision FROM c JOIN n ON c.category = n.category),
 e AS (SELECT category, pos, recall, max(precision) OVER (PARTITION BY category ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope FROM r)"""
+AP_SQL = f"WITH {IOU_SQL}, d AS (SELECT category, score, object_id, CASE WHEN iou > 0.5 THEN 1 ELSE 0 END AS tp FROM iou), {CURVE_SQL}"
+AREA_SQL = " SELECT category, count(*) AS n, round(sum((recall - prev) * envelope), 6) AS ap FROM (SELECT *, coalesce(lag(recall) OVER (PARTITION BY category ORDER BY pos), 0) AS prev FROM e) GROUP BY category"
 
 
 def ap_curve_rows(spark, sf_dir) -> DataFrame:
     """Recall and precision envelope by class, predictions in order of their score."""
-    rows = scored(spark, sf_dir).select("category", "score", "object_id", F.when(F.col("iou") > 0.5, 1).otherwise(0).alias("tp"))
-    order = Window.partitionBy("category").orderBy(F.desc("score"), "object_id")
-    run = rows.select("category", F.row_number().over(order).alias("pos"), F.sum("tp").over(order.rowsBetween(UP, 0)).alias("ctp"), F.count("*").over(Window.partitionBy("category")).alias("npos"))
-    curve = run.select("category", "pos", (F.col("ctp") / (F.col("npos") + 1e-8)).alias("recall"), (F.col("ctp") / F.col("pos")).alias("precision"))
-    # A running maximum from the far end: a frame that ends in "unbounded following" would be summed up anew for each row.
-    return curve.withColumn("envelope", F.max("precision").over(Window.partitionBy("category").orderBy(F.desc("pos")).rowsBetween(UP, 0)))
+    return precision_recall(scored(spark, sf_dir).select("category", "score", "object_id", F.when(F.col("iou") > 0.5, 1).otherwise(0).alias("tp")))
 
 
-@query(AP_SQL + " SELECT category, count(*) AS n, round(sum((recall - prev) * envelope), 6) AS ap FROM (SELECT *, coalesce(lag(recall) OVER (PARTITION BY category ORDER BY pos), 0) AS prev FROM e) GROUP BY category", heads="o")
+@query(AP_SQL + AREA_SQL, heads="o")
 def ap_curve(spark, sf_dir) -> DataFrame:
     """Area under the precision envelope."""
-    rows = ap_curve_rows(spark, sf_dir)
-    prev = F.coalesce(F.lag("recall").over(Window.partitionBy("category").orderBy("pos")), F.lit(0.0))
-    return rows.withColumn("prev", prev).groupBy("category").agg(F.count("*").alias("n"), F.round(F.sum((F.col("recall") - F.col("prev")) * F.col("envelope")), 6).alias("ap"))
+    return area_under(ap_curve_rows(spark, sf_dir))
 
 
 @query(AP_SQL + ", t AS (SELECT unnest(range(11)) / 10.0::DOUBLE AS t) SELECT category, round(avg(p), 6) AS ap11 FROM (SELECT c.category, t, coalesce(max(CASE WHEN recall >= t THEN precision END), 0) AS p FROM r c, t GROUP BY ALL) GROUP BY category", heads="o")
@@ -108,8 +101,8 @@ def category_quota(spark, sf_dir) -> DataFrame:
     rows = objects(spark, sf_dir).select("split", "category", "object_id")
     counts = rows.groupBy("split", "category").agg(F.count("*").alias("c"))
     quota = counts.groupBy("split").agg(F.min("c").alias("quota"))
-    w = Window.partitionBy("split", "category").orderBy(hash_order("balance", F.col("object_id")))
-    return rows.withColumn("rn", F.row_number().over(w)).join(quota, "split").where("rn <= quota").select("split", "category", "object_id")
+    ranked = hash_rank(rows, ["split", "category"], hash_order("balance", F.col("object_id")), "rn")
+    return ranked.join(quota, "split").where("rn <= quota").select("split", "category", "object_id")
 
 
 @query("SELECT scene_id, a_id, b_id FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY sha1('pairs|' || a_id || '|' || b_id)) AS rn FROM pairs) WHERE rn <= 30", heads="p")
@@ -157,10 +150,11 @@ def scene_split(spark, sf_dir) -> DataFrame:
 
 @query("SELECT sequence, CASE WHEN ntile(2) OVER (ORDER BY sha1('42|' || sequence)) = 1 THEN 'val' ELSE 'test' END AS part FROM (SELECT DISTINCT sequence FROM objects WHERE split <> 'train')", heads="o")
 def sequence_split(spark, sf_dir) -> DataFrame:
-    """Held-out sequences in two halves. Sequences are few and known beforehand, so one ordered window is small."""
+    """Held-out sequences in two halves of a hash order, the first one the larger."""
     rows = objects(spark, sf_dir).where("split <> 'train'").select("sequence").distinct()
-    half = F.ntile(2).over(Window.orderBy(hash_order("42", F.col("sequence"))))
-    return rows.select("sequence", F.when(half == 1, "val").otherwise("test").alias("part"))
+    total = rows.agg(F.count("*").alias("total"))
+    ranked = hash_rank(rows.withColumn("all", F.lit(1)), ["all"], hash_order("42", F.col("sequence")), "rn").join(F.broadcast(total))  # one row
+    return ranked.select("sequence", F.when(F.col("rn") <= F.ceil(F.col("total") / 2), "val").otherwise("test").alias("part"))
 
 
 @query("WITH c AS (SELECT category, count(*) AS n FROM objects GROUP BY category), q AS (SELECT max(n) AS quota FROM c) SELECT category, object_id, count(*) AS times FROM (SELECT o.category, object_id, row_number() OVER (PARTITION BY o.category ORDER BY g, sha1('over|' || g || '|' || object_id)) AS rn, quota FROM objects o JOIN c ON o.category = c.category, q, range(5) t(g) WHERE g < ceil(quota / n)) WHERE rn <= quota GROUP BY ALL", heads="o")
@@ -171,8 +165,9 @@ def oversample_quota(spark, sf_dir) -> DataFrame:
     quota = counts.agg(F.max("n").alias("quota"))
     need = counts.join(F.broadcast(quota)).withColumn("cycles", F.ceil(F.col("quota") / F.col("n")).cast("int"))
     cycled = rows.join(need, "category").withColumn("g", F.explode(F.sequence(F.lit(0), F.col("cycles") - 1)))
-    w = Window.partitionBy("category").orderBy("g", hash_order("over", F.col("g"), F.col("object_id")))
-    return cycled.withColumn("rn", F.row_number().over(w)).where("rn <= quota").groupBy("category", "object_id").agg(F.count("*").alias("times"))
+    # All rows of a class are in each whole cycle, so only places inside a cycle need an order.
+    ranked = hash_rank(cycled, ["category", "g"], hash_order("over", F.col("g"), F.col("object_id")), "rn")
+    return ranked.where("g * n + rn <= quota").groupBy("category", "object_id").agg(F.count("*").alias("times"))
 
 
 @query("SELECT sequence, object_id FROM (SELECT sequence, object_id, row_number() OVER (PARTITION BY sequence ORDER BY sha1('pick|' || object_id)) AS rn FROM objects) WHERE rn <= 3", heads="o")

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenova.functions import geometry as G
 from scenova.functions import text as T
+from scenova.functions.ids import hash_order
 from scenova.operators import sequential as S
+from scenova.operators.ranks import area_under, precision_recall
 from scenova.plans.aggregates import rate, scored
 from scenova.plans.base import query
 from scenova.plans.generators import directed
 from scenova.plans.geometry import IOU_SQL
+from scenova.plans.ranking import AREA_SQL, CURVE_SQL
 from scenova.sources.scenes import objects, pairs, table
 
 
@@ -45,21 +48,16 @@ def assign_queries(spark, sf_dir) -> DataFrame:
     return S.assign(left.join(right, "scene_id").withColumn("cost", cost), "cost", "truth", "guess")
 
 
-@query()
+@query(
+    f"WITH {IOU_SQL}, h AS (SELECT *, row_number() OVER (PARTITION BY scene_id, category, caption, iou > 0.5 ORDER BY score DESC, object_id) AS turn FROM iou), d AS (SELECT category, score, object_id, CASE WHEN iou > 0.5 AND turn = 1 THEN 1 ELSE 0 END AS tp FROM h), {CURVE_SQL} SELECT category, ap FROM ({AREA_SQL})",
+    heads="o",
+)
 def greedy_average_precision(spark, sf_dir) -> DataFrame:
-    """AP by class with one match for each truth: matching by scene in a helper, the curve in windows."""
-    rows = scored(spark, sf_dir).select("scene_id", "category", "object_id", "caption", "score", "iou")
-
-    def match(g: S.Columns) -> S.Columns:
-        return {c: g[c] for c in ("category", "object_id", "score")} | {"tp": S.greedy_matches(g["caption"], g["score"], g["iou"], 0.5)}
-
-    hits = S.per_group(rows, ["scene_id", "category"], ["object_id"], match, "category int, object_id string, score double, tp long")
-    order = Window.partitionBy("category").orderBy(F.desc("score"), "object_id")
-    run = hits.select("category", F.row_number().over(order).alias("pos"), F.sum("tp").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("ctp"), F.count("*").over(Window.partitionBy("category")).alias("npos"))
-    run = run.select("category", "pos", (F.col("ctp") / (F.col("npos") + 1e-8)).alias("recall"), (F.col("ctp") / F.col("pos")).alias("precision"))
-    by_pos = Window.partitionBy("category").orderBy("pos")
-    run = run.select("category", "recall", F.max("precision").over(Window.partitionBy("category").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)).alias("envelope"), F.coalesce(F.lag("recall").over(by_pos), F.lit(0.0)).alias("prev"))
-    return run.groupBy("category").agg(F.round(F.sum((F.col("recall") - F.col("prev")) * F.col("envelope")), 6).alias("ap"))
+    """AP by class with one match for each truth: the best-scored prediction above the threshold takes its truth."""
+    rows = scored(spark, sf_dir).select("scene_id", "category", "object_id", "caption", "score", (F.col("iou") > 0.5).alias("hit"))
+    turn = F.row_number().over(Window.partitionBy("scene_id", "category", "caption", "hit").orderBy(F.desc("score"), "object_id"))
+    hits = rows.select("category", "score", "object_id", F.when(F.col("hit") & (turn == 1), 1).otherwise(0).alias("tp"))
+    return area_under(precision_recall(hits)).select("category", "ap")
 
 
 @query(f"WITH {IOU_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY score DESC, object_id) AS rn FROM iou), t AS (SELECT unnest([0.25, 0.5]) AS threshold), k AS (SELECT unnest([1, 5, 10]) AS k) SELECT threshold::DOUBLE AS threshold, k, count(DISTINCT scene_id) AS scenes, count(DISTINCT CASE WHEN rn <= k AND iou - gap > threshold THEN scene_id END) AS right_n FROM r, t, k GROUP BY ALL", heads="o")
@@ -76,33 +74,65 @@ def grounding_accuracy(spark, sf_dir) -> DataFrame:
     return per.groupBy("threshold", "k").agg(F.count("*").alias("scenes"), F.count_if("ok").alias("right_n"))
 
 
+def side_phrase(relation: Column) -> Column:
+    return F.when(relation == "front", "in front of").when(relation == "behind", "behind").otherwise(F.concat(F.lit("to the "), relation, F.lit(" of")))
+
+
 def replay(spark, sf_dir) -> DataFrame:
     """Questions with their keys and the oracle's own sentences."""
     rows = directed(spark, sf_dir).withColumn("r", G.dominant_relation(F.col("dx"), F.col("dy"))).where("r is not null")
-    phrase = F.when(F.col("r") == "front", "in front of").when(F.col("r") == "behind", "behind").otherwise(F.concat(F.lit("to the "), F.col("r"), F.lit(" of")))
     a, b = (F.concat(F.lit("the "), F.col(c), F.lit(" in the front view")) for c in ("a_caption", "b_caption"))
-    return rows.select("scene_id", "a_id", "b_id", "r", a.alias("subject"), b.alias("object"), F.concat(T.capital(a), F.lit(" is "), phrase, F.lit(" "), b, F.lit(".")).alias("said"))
+    return rows.select("scene_id", "a_id", "b_id", "r", a.alias("subject"), b.alias("object"), F.concat(T.capital(a), F.lit(" is "), side_phrase(F.col("r")), F.lit(" "), b, F.lit(".")).alias("said"))
 
 
-@query("SELECT 'oracle' AS arm, count(*) AS n, 1.0::DOUBLE AS svo, 1.0::DOUBLE AS sentence FROM pairs WHERE greatest(abs(dx), abs(dy)) >= 1 UNION ALL SELECT 'swapped', count(*), 0.0, 1.0 FROM pairs WHERE greatest(abs(dx), abs(dy)) >= 1", heads="p")
+#: What a drawn digit makes of an answer: right, inverted, hedged, missing, empty or doubled.
+DRAW_SQL = "('0x' || substr(sha1('answer|' || a_id || '|' || b_id), 1, 4))::INTEGER % 6"
+DRAWN = ("right", "inverted", "hedged", "missing", "empty", "doubled")
+
+
+def drawn(rows: DataFrame) -> DataFrame:
+    """``rows`` of pairs with a drawn kind of answer."""
+    digit = F.conv(F.substr(hash_order("answer", F.col("a_id"), F.col("b_id")), F.lit(1), F.lit(4)), 16, 10).cast("int") % 6
+    return rows.withColumn("kind", F.element_at(F.array(*map(F.lit, DRAWN)), digit + 1))
+
+
+@query(
+    f"SELECT kind, count(*) AS n, CASE WHEN kind IN ('right', 'doubled') THEN 1.0 ELSE 0.0 END::DOUBLE AS svo, CASE WHEN kind IN ('right', 'inverted') THEN 1.0 ELSE 0.0 END::DOUBLE AS sentence FROM (SELECT ['right', 'inverted', 'hedged', 'missing', 'empty', 'doubled'][{DRAW_SQL} + 1] AS kind FROM pairs WHERE greatest(abs(dx), abs(dy)) >= 1) GROUP BY kind",
+    heads="p",
+)
 def oracle_replay(spark, sf_dir) -> DataFrame:
-    """The oracle's sentences score 1; the same sentences against the opposite key score 0."""
-    rows = replay(spark, sf_dir).withColumn("held", T.norm_decimal(F.col("said")))
+    """Strict scores of the oracle's sentences and of spoilt ones: inverted, holding both relations, missing, empty, or said twice."""
+    rows = drawn(replay(spark, sf_dir))
+    back = G.inverse_relation(F.col("r"))
+    opposite = F.concat(T.capital(F.col("subject")), F.lit(" is "), side_phrase(back), F.lit(" "), F.col("object"), F.lit("."))
+    hedge = F.concat(T.capital(F.col("subject")), F.lit(" is "), side_phrase(F.col("r")), F.lit(" or "), side_phrase(back), F.lit(" "), F.col("object"))
+    said = F.when(F.col("kind") == "right", F.col("said")).when(F.col("kind") == "inverted", opposite).when(F.col("kind") == "hedged", hedge).when(F.col("kind") == "empty", F.lit("")).when(F.col("kind") == "doubled", F.concat("said", F.lit(" "), F.col("said")))
+    rows = rows.withColumn("said", F.coalesce(said, F.lit("")))
+    rows = rows.withColumn("held", T.norm_decimal(F.col("said")))
     none = F.lit(None).cast("string")
-    arms = rows.withColumn("arm", F.lit("oracle")).unionByName(rows.withColumns({"arm": F.lit("swapped"), "r": G.inverse_relation(F.col("r"))}))
     ok = T.triple_ok(F.col("said"), F.lit("spatial_triple"), F.col("subject"), F.col("r"), F.col("object"), none, F.lit(None).cast("double"), none, F.col("held"))
-    return arms.groupBy("arm").agg(F.count("*").alias("n"), rate(ok).alias("svo"), rate(T.one_sentence(F.col("said"))).alias("sentence"))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), rate(ok).alias("svo"), rate(T.one_sentence(F.col("said"))).alias("sentence"))
 
 
-@query("SELECT scenario, count(*) AS n, 1.0::DOUBLE AS accuracy FROM (SELECT 'which_is_left' AS scenario FROM pairs WHERE a_id < b_id AND abs(dy) >= 2 UNION ALL SELECT 'relative_location' FROM pairs WHERE a_id < b_id AND abs(dx) >= 3 AND abs(dy) >= 1.5) GROUP BY scenario", heads="p")
+@query(
+    f"SELECT scenario, kind, count(*) AS n, round(avg(CASE WHEN kind IN ('right', 'doubled') OR kind = 'hedged' AND first_read THEN 1.0 ELSE 0 END), 6) AS accuracy FROM (SELECT ['right', 'inverted', 'hedged', 'missing', 'empty', 'doubled'][{DRAW_SQL} + 1] AS kind, scenario, first_read FROM (SELECT a_id, b_id, 'which_is_left' AS scenario, dy > 0 AS first_read FROM pairs WHERE a_id < b_id AND abs(dy) >= 2 UNION ALL SELECT a_id, b_id, 'relative_location', dy > 0 AND dx < 0 FROM pairs WHERE a_id < b_id AND abs(dx) >= 3 AND abs(dy) >= 1.5)) GROUP BY ALL",
+    heads="p",
+)
 def scenario_scores(spark, sf_dir) -> DataFrame:
-    """Keys read back from made sentences, by scenario."""
-    rows = directed(spark, sf_dir).where("a_id < b_id")
-    left = rows.where(F.abs("dy") >= 2).select(F.lit("which_is_left").alias("scenario"), F.when(F.col("dy") > 0, "A").otherwise("B").alias("key"), F.when(F.col("dy") > 0, "Object A is further left.").otherwise("Object B is further left.").alias("said"))
+    """Keys read back from sentences by scenario: right ones, inverted ones, ones that name both (the first counts), none, empty ones and repeated ones."""
+    rows = drawn(directed(spark, sf_dir).where("a_id < b_id"))
+    first = F.col("dy") > 0
+    wins = lambda a: F.when(a, "Object A is further left.").otherwise("Object B is further left.")
+    left = rows.where(F.abs("dy") >= 2).select("kind", F.lit("which_is_left").alias("scenario"), F.when(first, "A").otherwise("B").alias("key"), wins(first).alias("right"), wins(~first).alias("inverted"), F.lit("Object A and object B are further left.").alias("hedged"))
     place = rows.withColumn("key", G.dead_zone_relation(F.col("dx"), F.col("dy"))).where(F.col("key").contains("_"))
-    place = place.select(F.lit("relative_location").alias("scenario"), "key", F.concat(F.lit("It is to the "), F.split_part("key", F.lit("_"), F.lit(1)), F.lit(" and "), F.split_part("key", F.lit("_"), F.lit(2)), F.lit(".")).alias("said"))
+    tell = lambda k: F.concat(F.lit("It is to the "), F.split_part(k, F.lit("_"), F.lit(1)), F.lit(" and "), F.split_part(k, F.lit("_"), F.lit(2)), F.lit("."))
+    place = place.select("kind", F.lit("relative_location").alias("scenario"), "key", tell(F.col("key")).alias("right"), tell(G.inverse_relation(F.col("key"))).alias("inverted"), F.lit("It is left or right, front and behind.").alias("hedged"))
     both = left.unionByName(place)
-    return both.groupBy("scenario").agg(F.count("*").alias("n"), rate(T.parsed_key(F.col("scenario"), F.col("said")) == F.col("key")).alias("accuracy"))
+    said = F.when(F.col("kind") == "doubled", F.concat("right", F.lit(" "), F.col("right"))).when(F.col("kind") == "empty", F.lit(""))
+    for kind in ("right", "inverted", "hedged"):
+        said = said.when(F.col("kind") == kind, F.col(kind))
+    right = F.coalesce(T.parsed_key(F.col("scenario"), said) == F.col("key"), F.lit(False))
+    return both.groupBy("scenario", "kind").agg(F.count("*").alias("n"), F.round(rate(right), 6).alias("accuracy"))
 
 
 @query("SELECT count(*) AS groups, count(*) FILTER (WHERE n = 2) AS pairs_n FROM (SELECT least(a_id, b_id) AS l, greatest(a_id, b_id) AS g, count(*) AS n FROM pairs WHERE abs(dy) >= 1.5 AND abs(dx) >= 3 GROUP BY ALL)", heads="p")
@@ -117,8 +147,6 @@ def swap_consistency(spark, sf_dir) -> DataFrame:
 @query("SELECT CASE WHEN dx > 0 THEN 'front' ELSE 'behind' END AS truth, count(*) AS n, count(*) FILTER (WHERE ('0x' || substr(sha1('base|' || a_id || '|' || b_id), 1, 2))::INTEGER % 2 = CASE WHEN dx > 0 THEN 1 ELSE 0 END) AS hits FROM pairs GROUP BY ALL", heads="p")
 def random_baseline(spark, sf_dir) -> DataFrame:
     """Answers drawn from a hash, against the truth."""
-    from scenova.functions.ids import hash_order
-
     draw = F.conv(F.substr(hash_order("base", F.col("a_id"), F.col("b_id")), F.lit(1), F.lit(2)), 16, 10).cast("int") % 2
     truth = F.when(F.col("dx") > 0, "front").otherwise("behind")
     return directed(spark, sf_dir).groupBy(truth.alias("truth")).agg(F.count("*").alias("n"), F.count_if(draw == F.when(F.col("dx") > 0, 1).otherwise(0)).alias("hits"))

@@ -1,5 +1,6 @@
 """Readers, writers, scene algorithms and text rules on small fixtures."""
 
+import hashlib
 import itertools
 import json
 import random
@@ -12,7 +13,10 @@ from pyspark.sql import functions as F
 
 from scenova.functions import geometry as G
 from scenova.functions import text as T
+from scenova.operators import neighbours as N
 from scenova.operators import sequential as S
+from scenova.operators.ranks import area_under, hash_rank, precision_recall
+from scenova.plans.registry import QUERIES
 from scenova.sources import readers as R
 from scenova.sources import sinks as K
 from scenova.streaming import questions as Q
@@ -22,15 +26,81 @@ def value(spark, column):
     return spark.range(1).select(column.alias("v")).first()["v"]
 
 
+def iou(a, b):
+    return S.rotated_ious(np.array([a], float), np.array([b], float))[0]
+
+
 def test_unit_cubes():
-    cube = lambda x, s: np.array([x, 0, 0, s, s, s, 0.0])
-    assert S.rotated_iou_of(cube(0, 1), cube(0, 2)) == pytest.approx(1 / 8)
-    assert S.rotated_iou_of(cube(0, 1), cube(5, 1)) == 0
-    assert S.rotated_iou_of(cube(0, 1), np.array([0, 0, 0, 1, 1, 1, np.pi / 2])) == pytest.approx(1)
-    turned = S.rotated_iou_of(cube(0, 1), np.array([0, 0, 0, 1, 1, 1, np.pi / 4]))
+    cube = lambda x, s: [x, 0, 0, s, s, s, 0.0]
+    assert iou(cube(0, 1), cube(0, 2)) == pytest.approx(1 / 8)
+    assert iou(cube(0, 1), cube(5, 1)) == 0
+    assert iou(cube(0, 1), cube(0, 1)) == pytest.approx(1) and iou(cube(0, 1), cube(1, 1)) == pytest.approx(0)
+    assert iou(cube(0, 1), [0, 0, 0, 1, 1, 1, np.pi / 2]) == pytest.approx(1)
+    turned = iou(cube(0, 1), [0, 0, 0, 1, 1, 1, np.pi / 4])
     both = 2 * (np.sqrt(2) - 1)
     assert turned == pytest.approx(both / (2 - both))
-    assert S.rotated_iou_of(cube(0, 0), cube(0, 1)) == 0 and S.rotated_iou_of(np.full(7, np.nan), cube(0, 1)) == 0
+    assert iou(cube(0, 0), cube(0, 1)) == 0 and iou(np.full(7, np.nan), cube(0, 1)) == 0
+
+
+def clipped(subject, window):
+    """The part of a convex polygon inside another one, edge by edge."""
+    out = list(subject)
+    for a, b in zip(window, np.roll(window, -1, axis=0)):
+        held, out = out, []
+        side = [float(np.cross([*(b - a), 0], [*(p - a), 0])[2]) for p in held]
+        for k, p in enumerate(held):
+            if (side[k] >= 0) != (side[k - 1] >= 0):
+                out.append(held[k - 1] + (p - held[k - 1]) * (side[k - 1] / (side[k - 1] - side[k])))
+            if side[k] >= 0:
+                out.append(p)
+    x, y = np.array(out).T if len(out) > 2 else np.zeros((2, 1))
+    return abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2
+
+
+def test_shared_areas_are_those_of_clipping(spark):
+    rng = np.random.default_rng(5)
+    boxes = np.column_stack([rng.normal(size=(400, 3)), rng.uniform(0.3, 3, (400, 3)), rng.choice([*rng.uniform(-4, 4, 30), 0, np.pi / 2, np.pi / 4], 400)])
+    p, q = S.footprints(boxes[:200]), S.footprints(np.where(rng.random((200, 1)) < 0.2, boxes[:200] + [0.25, 0, 0, 0, 0, 0, 0], boxes[200:]))
+    assert np.allclose(S.shared_areas(p, q), [clipped(a, b) for a, b in zip(p, q)], atol=1e-6)
+    rows = [(boxes[0].tolist(), boxes[0].tolist()), (None, boxes[1].tolist()), ([1.0, 2.0], boxes[1].tolist()), (boxes[2].tolist(), boxes[2].tolist())]
+    found = spark.createDataFrame(rows, "a array<double>, b array<double>").select(S.rotated_iou(F.col("a"), F.col("b")).alias("v")).collect()
+    assert [round(r["v"], 9) for r in found] == [1, 0, 0, 1]
+
+
+def test_nearest_in_large_clouds(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k, n in enumerate((1, 3, 90, 200)):
+        x = np.concatenate([rng.normal(size=(n // 2, 3)), rng.normal(size=(n - n // 2, 3)) * 1e-3 + 5])
+        x[: n // 6] = x[0]
+        rows += [(k, i, f"{k}-{i}", *map(float, v)) for i, v in enumerate(x)]
+    points = spark.createDataFrame(rows, "scene_id long, idx int, point_id string, x double, y double, z double")
+    want = set()
+    for k, i, _, *v in rows:
+        others = sorted((sum((a - b) ** 2 for a, b in zip(v, w)), j) for q, j, _, *w in rows if q == k and j != i)
+        want |= {(k, i, rank, j) for rank, (_, j) in enumerate(others[:3], 1)}
+    for whole in (512, 3):
+        assert {(r["scene_id"], r["idx"], r["rank"], r["p_idx"]) for r in N.three_nearest(points, whole=whole).collect()} == want
+
+
+def test_curves_in_buckets_are_the_curves(spark):
+    rng = random.Random(2)
+    rows = [(c, float(rng.randint(0, 60)), f"o{i}", int(rng.random() < 0.4)) for c in range(3) for i in range(200)]
+    df = spark.createDataFrame(rows, "category int, score double, object_id string, tp int")
+    told = [sorted(map(tuple, area_under(precision_recall(df, n)).collect())) for n in (10**9, 7)]
+    assert told[0] == told[1]
+    ranked = hash_rank(df, ["category"], F.sha1("object_id"), "rn").collect()
+    by = {c: sorted((r for r in ranked if r["category"] == c), key=lambda r: r["rn"]) for c in range(3)}
+    assert all([r["rn"] for r in v] == list(range(1, 201)) and [r["object_id"] for r in v] == sorted((r["object_id"] for r in v), key=lambda o: hashlib.sha1(o.encode()).hexdigest()) for v in by.values())
+
+
+def test_short_passages_are_found(spark, tmp_path):
+    passages = ["one two", "a, b c d", "the quick brown fox jumps", "alone", "x y z u v w and more words here", "never there at all"]
+    texts = ["so one two-step", "(a, b c d)", "see:the quick brown fox jumps.", "standalone", "ax y z u v w and more words hereby", "x y z u v w", None, ""]
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["item_id"]: r["docs"] for r in QUERIES["benchmark_leaks"](spark, str(tmp_path)).collect()}
+    assert found == {i: n for i, p in enumerate(passages) if (n := sum(p in (t or "") for t in texts))}
 
 
 @settings(max_examples=60, deadline=None)
@@ -51,10 +121,9 @@ def test_farthest_points_by_brute_force():
     assert S.farthest(points, 10) == out
 
 
-def test_suppression_and_matching():
+def test_suppression():
     boxes = np.array([[0, 0, 0, 2, 2, 2], [0, 0, 0, 2, 2, 1.8], [5, 5, 5, 6, 6, 6]], float)
     assert S.kept_by_nms(boxes, np.array([0.5, 0.9, 0.1]), 0.25) == [1, 2]
-    assert S.greedy_matches(np.array(["a", "a", "b"]), np.array([0.9, 0.8, 0.7]), np.array([0.6, 0.9, 0.2]), 0.5).tolist() == [1, 0, 0]
 
 
 def test_scene_algorithms_stream_whole_groups(spark):

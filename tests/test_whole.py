@@ -9,10 +9,10 @@ from scenova.sources.scenes import table
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["whole_ball_query", "whole_annulus_query", "whole_voxel_query", "whole_group_points", "whole_three_nn", "whole_idw_interpolate"])
+@pytest.mark.parametrize("name", ["ball_query", "annulus_query", "voxel_query", "whole_voxel_query", "group_points", "three_nn", "idw_interpolate"])
 def test_every_point_is_a_centre(spark, name):
     points = cloud(spark, SF)
-    if name in ("whole_three_nn", "whole_idw_interpolate"):  # a lone point has no other
+    if name in ("three_nn", "idw_interpolate"):  # a lone point has no other
         points = points.join(points.groupBy("scene_id").count().where("count > 1"), "scene_id")
     want = {(r["scene_id"], r["idx"], r["point_id"]) for r in points.collect()}
     assert want and {(r["scene_id"], r["idx"], r["point_id"]) for r in QUERIES[name](spark, SF).collect()} == want
@@ -20,6 +20,6 @@ def test_every_point_is_a_centre(spark, name):
 
 def test_joins_count_every_row(spark):
     count = lambda name: sum(r["n"] for r in QUERIES[name](spark, SF).collect())
-    assert count("whole_token_scene_join") == table(spark, SF, "lineitem").count()
+    assert count("token_scene_join") == table(spark, SF, "lineitem").count()
     keys = {r[0] for r in table(spark, SF, "orders").select("o_custkey").collect()} | {r[0] for r in table(spark, SF, "customer").select("c_custkey").collect()}
-    assert count("whole_roster_diff") == len(keys)
+    assert count("roster_diff") == len(keys)
