@@ -253,7 +253,7 @@ def drop_repeated_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "
 
     chunks = slim.select("id", "key", F.explode(chunk_column(F.col("text"), reach, min_words)).alias("c")).select("id", "key", "c.*")
     place = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("i"), F.col("key").alias("k"), F.col("start").alias("s"))
-    firsts = chunks.groupBy("digest").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f != l")
+    firsts = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("f")).where("n > 1")
     # Written first, so that both sides of the join are plain exchanges and Spark can split a hot digest.
     firsts = cut(firsts.select("digest", F.col("f.i").alias("first_id"), F.col("f.k").alias("first_key"), F.col("f.s").alias("first_at")))
     later = ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")) & (F.col("start") == F.col("first_at")))
