@@ -3,13 +3,17 @@
 Texts are cut into pre-tokens; distinct pre-tokens that a worker has not met
 yet are merged together, as one ragged array: in each round every sequence
 applies its own lowest-rank pair at all places at once, until no sequence has
-a pair left. The counts of surviving symbols are kept in a bounded cache.
+a pair left. Pre-tokens of more than LONG bytes (text without blanks) go
+through the ranks in step instead, each round at the places of one rank alone,
+so that their time is nearly in proportion to their length. The counts of
+surviving symbols are kept in a bounded cache, long pre-tokens excepted.
 
 Null and empty texts have 0 tokens. Ties (repeated rows) give equal counts.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from functools import lru_cache
 
@@ -25,6 +29,7 @@ from scenova.llm.common import slices, text_bytes, utf8
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 NONE = np.int64(1) << 40
+LONG = 256
 
 
 def byte_symbols() -> list[str]:
@@ -59,6 +64,64 @@ class Merger:
 
     def count(self, words: list[bytes]) -> np.ndarray:
         """Symbols of each word that survive all merges."""
+        long = np.array([len(w) > LONG for w in words], bool)
+        out = np.zeros(len(words), np.int64)
+        for those, run in ((~long, self.count_by_rounds), (long, self.count_by_ranks)):
+            if those.any():
+                out[those] = run([words[i] for i in np.flatnonzero(those)])
+        return out
+
+    def count_by_ranks(self, words: list[bytes]) -> np.ndarray:
+        """All sequences in step: the places of the lowest rank that any of them holds, then of the next one."""
+        lengths = np.array([len(w) for w in words], np.int64)
+        symbols = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
+        n, ends = len(symbols), np.cumsum(lengths)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1], before[ends - lengths] = n, -1  # n and -1: nothing there
+        ranks = np.full(n, NONE)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def note(places: np.ndarray) -> None:
+            """Ranks of the pairs that begin at these places, dealt to the ranks' lists."""
+            ranks[places] = NONE
+            places = places[after[places] < n]
+            rank, _ = self.look_up(symbols[places], symbols[after[places]])
+            ranks[places] = rank
+            places, rank = places[rank < NONE], rank[rank < NONE]
+            order = np.argsort(rank, kind="stable")
+            places, rank = places[order], rank[order]
+            edges = np.r_[0, np.flatnonzero(np.diff(rank)) + 1, len(rank)] if len(rank) else [0]
+            for a, b in zip(edges[:-1], edges[1:]):
+                r = int(rank[a])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(heap, r)
+                waiting[r].append(places[a:b])
+
+        note(np.arange(n))
+        alive = np.ones(n, bool)
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[alive[at] & (ranks[at] == r)]
+            if not len(at):
+                continue
+            # In a run of overlapping equal pairs every second one, from the left, merges.
+            new = np.r_[True, after[at[:-1]] != at[1:]]
+            starts = np.flatnonzero(new)
+            at = at[(np.arange(len(at)) - starts[np.cumsum(new) - 1]) % 2 == 0]
+            gone = after[at]
+            symbols[at] = self.look_up(symbols[at[:1]], symbols[gone[:1]])[1]
+            alive[gone] = False
+            after[at] = after[gone]
+            follow = at[after[at] < n]
+            before[after[follow]] = follow
+            earlier = before[at]
+            note(np.unique(np.r_[at, earlier[earlier >= 0]]))
+        return np.add.reduceat(alive, ends - lengths, dtype=np.int64)
+
+    def count_by_rounds(self, words: list[bytes]) -> np.ndarray:
         lengths = np.array([len(w) for w in words], np.int64)
         symbols = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), lengths)
@@ -111,6 +174,12 @@ class Counter:
                 found.append(self.find(text))
         met = set().union(*found)
         new = sorted(met.difference(self.known))
+        once = [w for w in new if len(w) > LONG]
+        if once:
+            new = [w for w in new if len(w) <= LONG]
+            counted = dict(zip(once, self.merge.count([w.encode() for w in once]).tolist()))
+            extra = [e + sum(counted.get(w, 0) for w in words) for e, words in zip(extra, found)]
+            found = [[w for w in words if w not in counted] for words in found]
         if new:
             if len(self.known) + len(new) > self.most:  # words of these texts stay, the others go
                 self.known = {w: self.known[w] for w in met.intersection(self.known)}
