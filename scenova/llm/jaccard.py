@@ -37,12 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenova.llm.common import cut, slices, utf8
+from scenova.llm.common import cut, fresh, slices, utf8
 from scenova.llm.graph import components
 
 SKETCH = 64
 #: Up to this many rows (some 50 bytes each) the list of texts to read again is sent to every task; beyond, texts are shuffled to it.
-SENT_ROWS = 1_000_000
+SENT_ROWS = 250_000
+#: Up to this many large buckets (some 300 bytes each, with their pivot's sketch) are sent to every task.
+SENT_NODES = 50_000
 SET_ROW = "struct<a:bigint,b:bigint,n:int,sketch:binary>"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -308,17 +310,18 @@ def candidate_edges(classes: DataFrame, *, lam: float, runs: int, limit: int, de
         nodes = cut(rows.groupBy("path").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("path", "c").alias("h"), F.col("c").alias("c"))).alias("p")).where("size > 1").select("path", "size", F.col("p.c").alias("pivot")))
         met = rows.join(nodes.where(F.col("size") <= limit), "path")
         leaves.append(met.select("path", "c", F.lit(0).alias("i"), F.lit(0).alias("j")))
-        large = nodes.where(F.col("size") > limit)
-        if not large.limit(1).count():
+        pivots = sketches.select(F.col("c").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
+        large = cut(nodes.where(F.col("size") > limit).join(pivots, "pivot").select("path", "size", "pivot", "pivot_sketch"))
+        n_large = large.limit(SENT_NODES + 1).count()
+        if not n_large:
             break
-        members = rows.join(large, "path")
+        # One join on the path, with nothing behind it that needs its dealing, so Spark can split a hot path where nodes aren't sent.
+        members = rows.join(F.broadcast(large) if n_large <= SENT_NODES else large, "path")
         if level == depth:
             split = block_pairs(members, F.col("size"), F.xxhash64("c"), block)
             leaves.append(split.select("path", "c", "i", "j"))
             break
-        pivots = sketches.select(F.col("c").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
-        pivots = large.join(pivots, "pivot").select("path", "pivot", "pivot_sketch")
-        known = members.select("path", "c").join(pivots, "path").join(sketches, "c")
+        known = members.select("path", "c", "pivot", "pivot_sketch").join(sketches, "c")
         grown = known.withColumn("next", next_paths(lam, same, least)("path", "sketch", "pivot_sketch", F.col("c") == F.col("pivot"))).select("c", "pivot", "next")
         grown = cut(grown)
         edges.append(grown.where("next.near").select(F.col("c").alias("u"), F.col("pivot").alias("v")))
@@ -383,9 +386,9 @@ def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **how)
     groups = similar_groups(docs, id=id, text=text, **how)
     kept = groups.where(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key")))
     kept = kept.select(F.col("id").alias("_kept_id"), F.col("key").alias("_kept_key")).distinct()
-    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    told = docs.withColumn("_key", key)
-    met = told.join(kept, F.col(id).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key"))).drop("_kept_id", "_kept_key")
+    key, own = fresh("key"), fresh("own")
+    told = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    met = told.join(kept, F.col(id).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col(key) == F.col("_kept_key"))).drop("_kept_id", "_kept_key")
     # Rows that are repeated outright share id and text; those with words count as copies.
     blank = F.coalesce(F.btrim(F.col(text), F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == ""
-    return met.where(blank).unionByName(met.where(~blank).dropDuplicates([id, "_key"])).drop("_key")
+    return met.withColumn(own, F.when(blank, F.monotonically_increasing_id())).dropDuplicates([id, key, own]).drop(key, own)

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -220,6 +221,20 @@ def test_token_counts_are_the_library_s(spark, texts):
         assert counter.counts(hard) == [len(library.encode(t, add_special_tokens=False).ids) for t in hard]
 
 
+def test_long_pre_tokens(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rng = random.Random(7)
+    words = ["".join(rng.choices("etaoinshr", k=n)) for n in (255, 256, 257, 1000, 5000, 20_000)] + ["ab" * 3000, "a" * 2001, "aaab" * 500, "日本語中文" * 400, "".join(rng.choices("qxzjkabcdefgh", k=3000)) * 3]
+    words += ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(4000)), "=" * 999 + "-" * 1001]
+    texts = [*words, " ".join(words[:4]) + " short words too", f"{words[3]}<|endoftext|>{words[2]}"]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert token_counts.Counter(path).counts(texts) == want
+    began = time.time()
+    token_counts.Counter(path).counts(["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))])
+    assert time.time() - began < 20
+
+
 def brute_links(texts, width=5):
     sets = {}
     for i, t in texts.items():
@@ -274,9 +289,36 @@ def test_chosen_paths_find_all_links(spark, family, limit):
     assert sum(found.values()) >= 0.99 * sum(map(len, links.values())) and all(n <= len(links[i]) for i, n in found.items())
 
 
-def test_joined_documents(spark, texts):
+def test_large_families_with_default_parameters(spark):
+    """Families of more different near copies than a bucket compares at once, some at the threshold, and a chain."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9)))
+    rows = {}
+    for edits in (1, 3, 6):
+        base = [word() for _ in range(150)]
+        for _ in range(420):
+            mine = list(base)
+            for _ in range(rng.randint(1, edits)):
+                mine[rng.randrange(150)] = word()
+            rows[len(rows)] = " ".join(mine)
+    chain = [word() for _ in range(120)]
+    for _ in range(40):
+        chain = [*chain[10:], *(word() for _ in range(10))]
+        rows[len(rows)] = " ".join(chain)
+    links, name = brute_links(rows)
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    found = jaccard.similar_groups(docs).collect()
+    total = sum(map(len, links.values()))
+    assert total > 200_000 and sum(r["n_links"] for r in found) >= 0.99 * total and all(r["n_links"] <= len(links[r["id"]]) for r in found)
+    assert np.mean([r["class_id"] == name[r["id"]] for r in found]) >= 0.99
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_joined_documents(spark, sf):
+    sf = f"/root/testdata/{sf}"
+    texts = {r["doc_id"]: r["text"] for r in queries.read(spark, sf, "documents").select("doc_id", "text").collect()}
     links, name = brute_links(texts)
-    rows = queries.op6_chosen_path_join(spark, SF).collect()
+    rows = queries.op6_chosen_path_join(spark, sf).collect()
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows} == {i: (name[i], len(links[i])) for i in texts}
 
 
