@@ -30,7 +30,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,19 +47,15 @@ HEADS = (3, 4, 5, 6)
 TOKEN = re.compile(r"\w+")
 
 
-def slot(s: str, size: int) -> int:
-    return xxhash.xxh32_intdigest(s.encode("utf-8", "surrogatepass")) % size
-
-
-@lru_cache(maxsize=1 << 17)
-def gram_row(gram: str) -> int:
-    return 1 + slot(gram, GRAMS - 1)
-
-
-def grams_of(word: str) -> list[int]:
-    """Table rows of a word's character 3-grams."""
-    framed = f"<{word}>"
-    return [gram_row(framed[i : i + 3]) for i in range(len(framed) - 2)]
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Table rows of the character 3-grams of all words with their ends marked, one after the other, and how many each word has."""
+    counts = np.array([len(w) for w in words], np.int64)
+    c = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = c[:-2] * np.uint64(0x9E3779B97F4A7C15) + c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + c[2:] * np.uint64(0x165667B19E3779F9)
+    h = ((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
+    ends = np.cumsum(counts + 2)
+    at = np.repeat(ends - (counts + 2) - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    return (1 + h[at] % np.uint64(GRAMS - 1)).astype(np.int64), counts
 
 
 def heads_of(word: str) -> list[str]:
@@ -179,40 +174,38 @@ class Rows:
     """Table rows of words, ragged: those of word k are flat[ends[k]:ends[k + 1]]. Word 0 is padding and has none."""
 
     def __init__(self):
-        self.flat: list[int] = []
-        self.ends: list[int] = [0, 0]
-        self.arrays: tuple[np.ndarray, np.ndarray] | None = None
-
-    def add(self, rows: list[int]) -> None:
-        self.flat += rows
-        self.ends.append(len(self.flat))
-
-    def mean(self, table: np.ndarray, start: int) -> np.ndarray:
-        """Mean table row of each word from number ``start``; 0 where it has none."""
-        ends = np.array(self.ends[start:])
-        flat = np.array(self.flat[ends[0] :], np.int64)
-        ends = ends - ends[0]
-        total = np.concatenate([np.zeros((1, WIDE)), np.cumsum(table[flat], 0, dtype=np.float64)])
-        return (total[ends[1:]] - total[ends[:-1]]) / np.maximum(np.diff(ends), 1)[:, None]
+        self.flat, self.ends = np.zeros(0, np.int64), np.zeros(2, np.int64)
+
+    def add(self, rows: np.ndarray, counts: np.ndarray) -> None:
+        self.flat = np.concatenate([self.flat, rows])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+
+    def mean(self, table: np.ndarray, start: int, block: int = 8192) -> np.ndarray:
+        """Mean table row of each word from number ``start``; 0 where it has none. In blocks, to spare memory."""
+        out = np.zeros((len(self.ends) - 1 - start, WIDE), np.float32)
+        for k in range(0, len(out), block):
+            ends = self.ends[start + k : start + k + block + 1]
+            total = np.concatenate([np.zeros((1, WIDE)), np.cumsum(table[self.flat[ends[0] : ends[-1]]], 0, dtype=np.float64)])
+            ends = ends - ends[0]
+            out[k : k + block] = (total[ends[1:]] - total[ends[:-1]]) / np.maximum(np.diff(ends), 1)[:, None]
+        return out
 
     def spread(self, table: np.ndarray, words: np.ndarray, step: np.ndarray) -> None:
         """Add to the table rows of ``words`` their share of ``step``."""
-        if self.arrays is None or len(self.arrays[0]) != len(self.ends):
-            self.arrays = np.array(self.ends), np.array(self.flat, np.int64)
-        ends, flat = self.arrays
-        n = ends[words + 1] - ends[words]
-        at = np.repeat(ends[words] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        table += summed(np.repeat(step / np.maximum(n, 1)[:, None], n, axis=0), flat[at], len(table))
+        n = self.ends[words + 1] - self.ends[words]
+        at = np.repeat(self.ends[words] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        table += summed(np.repeat(step / np.maximum(n, 1)[:, None], n, axis=0), self.flat[at], len(table))
 
 
 class Reader:
     """Word numbers of texts; a word's table rows are found once and kept in a bounded cache."""
 
     def __init__(self, words: dict[str, int], heads: dict[str, int], most: int = 300_000):
-        self.words, self.heads, self.most = words, heads, most
+        self.words, self.heads, self.most, self.resets = words, heads, most, 0
         self.reset()
 
     def reset(self) -> None:
+        self.resets += 1
         self.number: dict[str, int] = {}
         self.tables = {"word": Rows(), "head": Rows(), "gram": Rows()}
 
@@ -224,17 +217,23 @@ class Reader:
         met = set().union(*found)
         if len(self.number) + len(met) > self.most:
             self.reset()
-        for w in sorted(met.difference(self.number)):
-            self.number[w] = len(self)
-            self.tables["word"].add([self.words[w]] if w in self.words else [])
-            self.tables["head"].add([self.heads[h] for h in heads_of(w) if h in self.heads])
-            self.tables["gram"].add(grams_of(w))
+        new = sorted(met.difference(self.number))
+        if new:
+            self.number.update(zip(new, range(len(self), len(self) + len(new))))
+            own = np.array([self.words.get(w, 0) for w in new], np.int64)
+            heads = np.array([[self.heads.get(w[:n], 0) if len(w) > n else 0 for n in HEADS] for w in new], np.int64)
+            self.tables["word"].add(own[own > 0], own > 0)
+            self.tables["head"].add(heads[heads > 0], (heads > 0).sum(1))
+            self.tables["gram"].add(*grams_of(new))
         get = self.number.__getitem__
-        return [np.fromiter(map(get, words), np.int64, len(words)) for words in found]
+        return [np.fromiter(map(get, words), np.int32, len(words)) for words in found]
 
     def vectors(self, net: Network, start: int = 0) -> np.ndarray:
         """Input of each word numbered from ``start``; number 0 is padding."""
-        return sum(rows.mean(net.p[k], start) for k, rows in self.tables.items()).astype(np.float32)
+        out = np.zeros((len(self) - start, WIDE), np.float32)
+        for k, rows in self.tables.items():
+            out += rows.mean(net.p[k], start)
+        return out
 
 
 def windows(numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -244,12 +243,12 @@ def windows(numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         if not len(n):
             continue
         count = 1 + max(0, -(-(len(n) - WINDOW) // STRIDE))
-        held = np.zeros((count - 1) * STRIDE + WINDOW, np.int64)
+        held = np.zeros((count - 1) * STRIDE + WINDOW, np.int32)
         held[: len(n)] = n
         rows.append(np.lib.stride_tricks.sliding_window_view(held, WINDOW)[::STRIDE])
         owner.append(np.full(count, k))
     if not rows:
-        return np.zeros((0, WINDOW), np.int64), np.zeros(0, np.int64)
+        return np.zeros((0, WINDOW), np.int32), np.zeros(0, np.int64)
     return np.concatenate(rows), np.concatenate(owner)
 
 
@@ -330,56 +329,75 @@ def train(texts: list[str], toxic: np.ndarray, *, steps: int = 400, batch: int =
 class Scorer:
     """Scores of whole texts by a trained network, without what training needs.
 
-    The products of the input with W are kept for each known word, so that a
-    step of the recurrent unit is one small product for the whole batch.
+    The products of the input with W are kept for each known word, and both
+    directions take a step at once, one from each end, so that a step is one
+    small product for the whole batch; windows are columns. Gates are taken as
+    tanh(x / 2), of which sigmoid(x) is a straight line; the halves are put
+    into the weights.
     """
 
     def __init__(self, net: Network):
-        self.net, self.reader = net, Reader(net.words, net.heads)
-        self.gates: np.ndarray | None = None
+        self.net, self.reader, self.known = net, Reader(net.words, net.heads), (0, 1)
+        if net.steps:
+            halves = np.repeat(np.float32([0.5, 0.5, 1]), HIDDEN)
+            self.inputs = [((net.p["W" + d] * halves).T, (net.p["c" + d] * halves)[:, None]) for d in "fb"]
+            self.gates = [np.zeros((3 * HIDDEN, 1 << 12), np.float32) for _ in "fb"]
+            # Rows: z, r and n of both directions.
+            u = np.zeros((3, 2, HIDDEN, 2 * HIDDEN), np.float32)
+            for k, d in enumerate("fb"):
+                u[:, k, :, HIDDEN * k : HIDDEN * (k + 1)] = net.p["U" + d].T.reshape(3, HIDDEN, HIDDEN) / 2
+            self.recurrent = u.reshape(6 * HIDDEN, 2 * HIDDEN)
 
     def refresh(self) -> None:
-        have = 0 if self.gates is None or len(self.gates) > len(self.reader) else len(self.gates)
-        if have == len(self.reader):
-            return
-        p, x = self.net.p, self.reader.vectors(self.net, have)
-        new = np.concatenate([x @ p["Wf"] + p["cf"], x @ p["Wb"] + p["cb"]], axis=1).astype(np.float32)
-        self.gates = np.concatenate([self.gates, new]) if have else new
+        """Products of the words that came since."""
+        n, start = len(self.reader), self.known[0] if self.known[1] == self.reader.resets else 0
+        for k, (w, c) in enumerate(self.inputs):
+            if n > self.gates[k].shape[1]:
+                more = np.zeros((3 * HIDDEN, 2 * n), np.float32)
+                more[:, :start] = self.gates[k][:, :start]
+                self.gates[k] = more
+        if start < n:
+            x = self.reader.vectors(self.net, start).T
+            for held, (w, c) in zip(self.gates, self.inputs):
+                held[:, start:n] = w @ x + c
+        self.known = (n, self.reader.resets)
 
     def logits(self, rows: np.ndarray) -> np.ndarray:
-        p, h2 = self.net.p, 2 * HIDDEN
-        time = rows.T
-        states = np.zeros((WINDOW, len(rows), h2), np.float32)
-        for k, d in enumerate("fb"):
-            h = np.zeros((len(rows), HIDDEN), np.float32)
-            gates = self.gates[:, 3 * HIDDEN * k : 3 * HIDDEN * (k + 1)]
-            for i in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
-                g = gates[time[i]]
-                u = h @ p["U" + d]
-                zr = g[:, :h2]
-                zr += u[:, :h2]
-                np.clip(zr, -30, 30, out=zr)
-                np.negative(zr, out=zr)
-                np.exp(zr, out=zr)
-                zr += 1
-                np.reciprocal(zr, out=zr)
-                n = u[:, h2:]
-                n *= zr[:, HIDDEN:]
-                n += g[:, h2:]
-                np.tanh(n, out=n)
-                # h + (1 - z)(n - h), and h alone at padding
-                n -= h
-                n *= 1 - zr[:, :HIDDEN]
-                n *= (time[i] > 0)[:, None]
-                h = h + n
-                states[i, :, HIDDEN * k : HIDDEN * (k + 1)] = h
-        e = np.tanh(states @ p["A"]) @ p["a"]
+        p, n, one, both = self.net.p, len(rows), HIDDEN, 2 * HIDDEN
+        time = np.ascontiguousarray(rows.T)
+        mask = (time > 0).astype(np.float32) / 2
+        states = np.empty((WINDOW, both, n), np.float32)
+        h, g = np.zeros((both, n), np.float32), np.empty((3 * both, n), np.float32)
+        zr, new = g[: 2 * both], g[2 * both :]
+        for i in range(WINDOW):
+            ends = (i, WINDOW - 1 - i)
+            for k, at in enumerate(ends):
+                for part in range(3):
+                    np.take(self.gates[k][one * part : one * (part + 1)], time[at], axis=1, out=g[both * part + one * k : both * part + one * (k + 1)], mode="clip")
+            u = self.recurrent @ h
+            zr += u[: 2 * both]
+            np.tanh(zr, out=zr)
+            # n = tanh(x + r u) with r = (1 + tanh) / 2
+            un = u[2 * both :]
+            new += un
+            un *= zr[both:]
+            new += un
+            np.tanh(new, out=new)
+            # h + (1 - z)(n - h), and h alone at padding
+            new -= h
+            new *= 1 - zr[:both]
+            for k, at in enumerate(ends):
+                new[one * k : one * (k + 1)] *= mask[at]
+            h += new
+            for k, at in enumerate(ends):
+                states[at, one * k : one * (k + 1)] = h[one * k : one * (k + 1)]
+        e = p["a"] @ np.tanh(p["A"].T @ states)
         e[time == 0] = -1e9
         e -= e.max(0)
         np.exp(e, out=e)
         e /= e.sum(0)
-        pooled = np.einsum("tb,tbh->bh", e, states)
-        return pooled @ p["v"] + p["b"][0]
+        pooled = np.einsum("tb,thb->hb", e, states)
+        return p["v"] @ pooled + p["b"][0]
 
     def scores(self, texts: list[str]) -> np.ndarray:
         net = self.net
@@ -391,7 +409,7 @@ class Scorer:
         best = np.full(len(texts), -np.inf)
         # Blocks of whole 64 rows, so that a window's result does not depend on its place in the block.
         n = len(rows)
-        rows = np.concatenate([rows, np.zeros((-n % 64, WINDOW), np.int64)])
+        rows = np.concatenate([rows, np.zeros((-n % 64, WINDOW), np.int32)])
         for i in range(0, n, 2048):
             held = owner[i : i + 2048]
             np.maximum.at(best, held, self.logits(rows[i : i + 2048])[: len(held)])

@@ -481,8 +481,9 @@ def test_scores_are_those_of_the_plain_network(spark):
     def vector(w):
         own = net.p["word"][net.words[w]] if w in net.words else 0
         heads = [net.p["head"][net.heads[h]] for h in (w[:n] for n in (3, 4, 5, 6) if len(w) > n) if h in net.heads]
-        framed = f"<{w}>"
-        grams = [net.p["gram"][toxicity.gram_row(framed[i : i + 3])] for i in range(len(framed) - 2)]
+        flat, counts = toxicity.grams_of(["other", w])
+        assert counts.tolist() == [5, len(w)]
+        grams = [net.p["gram"][k] for k in flat[5:]]
         return own + (np.mean(heads, axis=0) if heads else 0) + np.mean(grams, axis=0)
 
     for i, t, _ in rows:
@@ -498,6 +499,10 @@ def test_scores_are_those_of_the_plain_network(spark):
     again, _ = toxicity.windows(scorer.reader.numbers(texts))
     scorer.refresh()
     assert np.allclose(scorer.logits(again), logits, atol=1e-5)
+    few = toxicity.Scorer(net)
+    few.reader.most = 8  # a cache that is emptied again and again
+    many = [*texts, "other words than those before fill it up", *texts]
+    assert np.array_equal([few.scores([t])[0] for t in many], [toxicity.Scorer(net).scores([t])[0] for t in many])
 
 
 def test_training_texts_are_bounded_and_whole(spark, monkeypatch):
