@@ -145,14 +145,16 @@ def kept_by_nms(boxes: np.ndarray, score: np.ndarray, most: float, *, own_area:
     return out
 
 
-def nms(objs: DataFrame, *, most: float = 0.25, by_class: bool = False, own_area: bool = False) -> DataFrame:
-    """Objects that survive suppression within their scene, or their class of a scene."""
+def nms(objs: DataFrame, *, most: float = 0.25, by_class: bool = False, own_area: bool = False, flat: bool = False) -> DataFrame:
+    """Objects that survive suppression within their scene, or their class of a scene; ``flat`` compares areas in the plane."""
 
     def run(g: Columns) -> Columns:
         kept = [0]
         if len(g["score"]) > 1:
             half = np.column_stack([g["l"], g["w"], g["h"]]) / 2
             centre = np.column_stack([g["x"], g["y"], g["z"]])
+            if flat:
+                half[:, 2], centre[:, 2] = 0.5, 0
             kept = sorted(kept_by_nms(np.hstack([centre - half, centre + half]), g["score"], most, own_area=own_area))
         return {c: g[c][kept] for c in ("scene_id", "object_id")}
 
@@ -223,11 +225,11 @@ def farthest(points: np.ndarray, n: int, *, skip_origin: bool = False) -> list[i
     return out
 
 
-def farthest_points(points: DataFrame, n: int, *, skip_origin: bool = False) -> DataFrame:
-    """(scene_id, point_id, place) of each cloud's sample. Columns x, y, z and idx give the points and their order."""
+def farthest_points(points: DataFrame, n: int, *, skip_origin: bool = False, features: tuple[str, ...] = ()) -> DataFrame:
+    """(scene_id, point_id, place) of each cloud's sample. Columns x, y, z and idx give the points and their order; ``features`` count as further axes."""
 
     def run(g: Columns) -> Columns:
-        picked = farthest(np.column_stack([g["x"], g["y"], g["z"]]), n, skip_origin=skip_origin)
+        picked = farthest(np.column_stack([g[c] for c in ("x", "y", "z", *features)]), n, skip_origin=skip_origin)
         return {"scene_id": g["scene_id"][picked], "point_id": g["point_id"][picked], "place": np.arange(len(picked), dtype=np.int32)}
 
-    return per_group(points.select("scene_id", "point_id", "idx", "x", "y", "z"), ["scene_id"], ["idx"], run, "scene_id bigint, point_id string, place int")
+    return per_group(points.select("scene_id", "point_id", "idx", "x", "y", "z", *features), ["scene_id"], ["idx"], run, "scene_id bigint, point_id string, place int")

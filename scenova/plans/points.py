@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenova.functions.ids import hash_order
 from scenova.operators import neighbours as N
 from scenova.operators import sequential as S
 from scenova.plans.base import query
@@ -148,6 +149,56 @@ def strata_farthest_points(spark, sf_dir) -> DataFrame:
     return S.farthest_points(p, 2)
 
 
+@query(f"WITH {CLOUD_SQL} SELECT scene_id, point_id, stratum::INTEGER AS stratum FROM (SELECT *, ntile(4) OVER (PARTITION BY scene_id ORDER BY x / y, idx) AS stratum FROM cloud)", heads="o")
+def angle_strata(spark, sf_dir) -> DataFrame:
+    """Four equal strata of a cloud by the angle atan(x / y), whose order is that of x / y."""
+    w = Window.partitionBy("scene_id").orderBy(F.col("x") / F.col("y"), "idx")
+    return cloud(spark, sf_dir).select("scene_id", "point_id", F.ntile(4).over(w).alias("stratum"))
+
+
+@query()
+def angle_farthest_points(spark, sf_dir) -> DataFrame:
+    """Farthest-point sampling in each stratum of angle."""
+    p = cloud(spark, sf_dir).join(angle_strata(spark, sf_dir), ["scene_id", "point_id"])
+    return S.farthest_points(p.withColumn("scene_id", F.col("scene_id") * 4 + F.col("stratum") - 1), 2)
+
+
+@query()
+def feature_farthest_points(spark, sf_dir) -> DataFrame:
+    """Farthest-point sampling by coordinates with the feature (in thousands) as a fourth axis, and by coordinates alone."""
+    p = cloud(spark, sf_dir).withColumn("f", F.col("f") / 1000)
+    kinds = {"features": ("f",), "coordinates": ()}
+    both = [S.farthest_points(p, 4, features=f).withColumn("kind", F.lit(kind)) for kind, f in kinds.items()]
+    return both[0].unionByName(both[1])
+
+
+@query(f"WITH {CLOUD_SQL} SELECT scene_id, point_id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY f DESC, idx) AS rank FROM cloud) WHERE rank <= 8", heads="o")
+def score_sample(spark, sf_dir) -> DataFrame:
+    """The eight points of each cloud with the best class score; all points of a smaller cloud."""
+    w = Window.partitionBy("scene_id").orderBy(F.desc("f"), "idx")
+    return cloud(spark, sf_dir).select("scene_id", "point_id", F.row_number().over(w).alias("rank")).where("rank <= 8")
+
+
+@query(
+    f"""WITH {CLOUD_SQL}, h AS (SELECT a.scene_id, a.idx, a.point_id, b.idx AS other, (b.x - a.x) / 4 AS dx, row_number() OVER (PARTITION BY a.scene_id, a.idx ORDER BY b.idx) AS rn FROM cloud a JOIN cloud b ON a.scene_id = b.scene_id AND {D2} < 16.0),
+    u AS (SELECT scene_id, idx, point_id, count(*) AS unique_n FROM h WHERE rn <= 8 GROUP BY ALL),
+    k AS (SELECT *, unnest(range(8)) AS k FROM u),
+    d AS (SELECT *, 1 + ('0x' || substr(sha1('resample|' || point_id || '|' || k), 1, 4))::INTEGER % unique_n AS rn FROM k)
+    SELECT d.scene_id, d.idx, d.point_id, d.unique_n, string_agg(h.other::VARCHAR, ',' ORDER BY d.k) AS picks, round(avg(h.dx), 6) + 0.0 AS mean_dx FROM d JOIN h ON d.scene_id = h.scene_id AND d.idx = h.idx AND d.rn = h.rn GROUP BY ALL""",
+    heads="o",
+)
+def resampled_groups(spark, sf_dir) -> DataFrame:
+    """Eight draws by a hash from each point's first eight neighbours, their offsets in radii, and how many neighbours differ."""
+    p = cloud(spark, sf_dir)
+    met = N.near_pairs(p, p, 4.0).where("d2 < 16.0")
+    first = F.slice(F.sort_array(F.collect_list(F.struct(F.col("p_idx").alias("i"), ((F.col("p_x") - F.col("x")) / 4).alias("dx")))), 1, 8)
+    found = met.groupBy("scene_id", "idx", "point_id").agg(first.alias("held"))
+    drawn = lambda k: F.conv(F.substr(hash_order("resample", F.col("point_id"), k), F.lit(1), F.lit(4)), 16, 10).cast("int") % F.size("held")
+    found = found.withColumn("drawn", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.get("held", drawn(k))))
+    mean = F.aggregate("drawn", F.lit(0.0), lambda s, v: s + v["dx"]) / 8
+    return found.select("scene_id", "idx", "point_id", F.size("held").cast("long").alias("unique_n"), F.array_join(F.transform("drawn", lambda v: v["i"]), ",").alias("picks"), (F.round(mean, 6) + 0.0).alias("mean_dx"))
+
+
 @query()
 def seeded_point_sample(spark, sf_dir) -> DataFrame:
     """A numpy generator's sample of each cloud, seeded by the cloud's id; with replacement when it is short."""

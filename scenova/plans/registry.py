@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scenova.plans import aggregates, annotations, audits, generators, geometry, joins, points, ranking, scoring, texts  # noqa: F401
+from scenova.plans import aggregates, annotations, audits, files, generators, geometry, joins, points, ranking, scoring, texts  # noqa: F401
 from scenova.plans.base import ORACLE_SQL, QUERIES, also  # noqa: F401
 
 for name in ("ball_query", "annulus_query", "three_nn", "idw_interpolate", "group_points", "token_scene_join", "roster_diff"):

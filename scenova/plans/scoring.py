@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scenova.functions import geometry as G
 from scenova.functions import text as T
 from scenova.functions.ids import hash_order
+from scenova.operators import neighbours as N
 from scenova.operators import sequential as S
 from scenova.operators.ranks import area_under, precision_recall
 from scenova.plans.aggregates import rate, scored
@@ -38,6 +39,59 @@ def nms3d_by_class(spark, sf_dir) -> DataFrame:
     return S.nms(objects(spark, sf_dir), by_class=True, own_area=True)
 
 
+@query()
+def nms2d(spark, sf_dir) -> DataFrame:
+    """Greedy suppression by areas in the plane."""
+    return S.nms(objects(spark, sf_dir), flat=True)
+
+
+def occupied(spark, sf_dir) -> DataFrame:
+    """Boxes of four times the size in the plane that hold five points of their cloud or more; cells of 10 m are wider than any such box reaches."""
+    boxes = objects(spark, sf_dir).select(F.col("cloud").alias("scene_id"), "object_id", "category", "score", "x", "y", "z", "l", "w", "h", "yaw")
+    met = N.near_pairs(boxes, boxes.select("scene_id", "x", "y", "z"), 10.0)
+    met = met.where(G.in_box(F.col("p_x"), F.col("p_y"), F.col("p_z"), (F.col("x"), F.col("y"), F.col("z"), F.col("l") * 4, F.col("w") * 4, F.col("h"), F.col("yaw"))))
+    return met.groupBy(*boxes.columns).agg(F.count("*").alias("n")).where("n >= 5")
+
+
+def by_class(boxes: DataFrame) -> DataFrame:
+    """One proposal for each class: the further a class from the box's own, the lower the score."""
+    rows = boxes.withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    return rows.select("object_id", "class", F.round(F.col("score") / (1 + F.abs(F.col("category") - F.col("class"))), 4).alias("score"))
+
+
+@query(
+    """SELECT object_id, unnest(range(6))::INTEGER AS class, round(score / (1 + abs(category - unnest(range(6)))), 4) AS score FROM (
+    SELECT b.object_id, b.category, b.score FROM objects b JOIN objects p ON b.cloud = p.cloud WHERE abs((p.x - b.x) * cos(b.yaw) + (p.y - b.y) * sin(b.yaw)) < b.l * 2 + 1e-5 AND abs((p.y - b.y) * cos(b.yaw) - (p.x - b.x) * sin(b.yaw)) < b.w * 2 + 1e-5 AND abs(p.z - b.z) <= b.h / 2
+    GROUP BY ALL HAVING count(*) >= 5)""",
+    heads="o",
+)
+def occupied_boxes(spark, sf_dir) -> DataFrame:
+    """Proposals by class of the boxes that aren't nearly empty."""
+    return by_class(occupied(spark, sf_dir))
+
+
+@query()
+def class_proposals(spark, sf_dir) -> DataFrame:
+    """Proposals by class of the boxes that aren't nearly empty and survive suppression in their cloud."""
+    boxes = occupied(spark, sf_dir)
+    return by_class(boxes.join(S.nms(boxes), ["scene_id", "object_id"], "left_semi"))
+
+
+@query()
+def assign_by_cost(spark, sf_dir) -> DataFrame:
+    """Cheapest one-to-one assignment by class and generalised IoU (weights 1 and 2, 0 for L1)."""
+    objs = objects(spark, sf_dir)
+    sides = {"truth": "t", "guess": "g"}
+    left, right = (objs.select("scene_id", F.col("object_id").alias(name), *[F.col(c).alias(f"{at}_{c}") for c in ("category", *"xyzlwh", "shift")]) for name, at in sides.items())
+    met = left.join(right, "scene_id")
+    t, g = (tuple(F.col(f"{at}_{c}") for c in "xyzlwh") for at in "tg")
+    g = (g[0] + F.col("g_shift"), *g[1:])
+    weights = {"class": 1.0, "box": 0.0, "giou": 2.0}
+    likely = 1 / (1 + F.abs(F.col("t_category") - F.col("g_category")))
+    cost = -weights["class"] * likely + weights["box"] * sum(F.abs(a - b) for a, b in zip(t, g)) - weights["giou"] * G.aligned_iou(t, g)[1]
+    return S.assign(met.withColumn("cost", cost), "cost", "truth", "guess")
+
+
 @query()
 def assign_queries(spark, sf_dir) -> DataFrame:
     """Cheapest one-to-one assignment of objects to shifted predictions by L1 distance."""

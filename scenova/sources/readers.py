@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scenova.sources.sinks import shared_folder
+
 BOX = "array<double>"
 FRAME = f"ground_info array<struct<class:string,caption:string,bbox_3d:{BOX},bbox_2d_proj:{BOX},others:array<struct<class_other:string,bbox_3d_other:{BOX}>>,others_num:int>>, pose array<{BOX}>, image_extrinsic array<{BOX}>, image_intrinsic array<{BOX}>, timestamp string, _corrupt_record string"
 SCENE = "scene_id string, split string, platform string, sequence string, point_cloud_path string, image_path string, metadata_path string, frame struct<name:string,units:string,origin:string,right_axis:array<double>,forward_axis:array<double>,up_axis:array<double>>, objects array<struct<object_id:string,role:string,category:string,referring_expressions:array<struct<text:string,source:string,language:string>>,gt_box:struct<center:array<double>,size:array<double>,yaw_rad:double,frame:string>>>"
@@ -157,8 +159,14 @@ def log_metrics(spark: SparkSession, path: str, marker: str, pattern: str) -> Da
 
 
 def with_ordinal(df: DataFrame, order: list[str], name: str = "bank_index") -> DataFrame:
-    """``df`` with an ordinal by explicit sort columns, counted over ranges: no task holds all rows."""
-    bounded = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    """``df`` with an ordinal by explicit sort columns, counted over ranges: no task holds all rows.
+
+    The ranges are written to the shared folder first, so that places and sizes
+    come from the same ones even if an executor is lost in between.
+    """
+    path = shared_folder(df.sparkSession, "ranges")
+    df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).write.parquet(path)
+    bounded = df.sparkSession.read.parquet(path)
     w = Window.partitionBy("_p").orderBy(*order)
     inside = bounded.withColumn("_r", F.row_number().over(w) - 1)
     sizes = bounded.groupBy("_p").agg(F.count("*").alias("_n"))

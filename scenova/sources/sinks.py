@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GEOMETRY = ("gt_geometry", "gt_box", "center", "dx", "dy", "x", "y", "z")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the one the cluster names; only a local session without one gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="scenova-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def write_jsonl(df: DataFrame, path: str, order: list[str]) -> None:
     """JSON lines in order within and across part files."""
     df.orderBy(*order).write.mode("overwrite").json(path)
