@@ -80,6 +80,16 @@ def three_nn(spark, sf_dir) -> DataFrame:
     return N.three_nearest(p).select("scene_id", "idx", "point_id", F.col("rank").cast("long").alias("rank"), "p_point_id", F.round("d", 6).alias("d"))
 
 
+@query(
+    NN_SQL + ", g AS (SELECT scene_id, idx, point_id, list(p_point_id ORDER BY rank) AS l FROM n WHERE rank <= 3 GROUP BY ALL) SELECT scene_id, idx, point_id, l[1] AS first, coalesce(l[2], l[1]) AS second, coalesce(l[3], l[1]) AS third FROM g",
+    heads="o",
+)
+def three_nn_filled(spark, sf_dir) -> DataFrame:
+    """Three neighbours of every point that has one; the first stands in for a missing second or third."""
+    near = N.three_nearest(cloud(spark, sf_dir)).groupBy("scene_id", "idx", "point_id").agg(*[F.max(F.when(F.col("rank") == k, F.col("p_point_id"))).alias(c) for k, c in enumerate(("first", "second", "third"), 1)])
+    return near.withColumns({c: F.coalesce(c, "first") for c in ("second", "third")})
+
+
 @query(NN_SQL + " SELECT scene_id, idx, point_id, round(sum(f / (sqrt(d2) + 1e-8)) / sum(1 / (sqrt(d2) + 1e-8)), 4) AS value FROM n WHERE rank <= 3 GROUP BY ALL", heads="o")
 def idw_interpolate(spark, sf_dir) -> DataFrame:
     """Inverse-distance weighting over the three nearest other points, for every point."""
