@@ -45,23 +45,30 @@ WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6
 class WordEncoder:
     """Ids as little-endian unsigned 32-bit bytes; words are encoded once and kept in a bounded cache."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library, self.most, self.known = Tokenizer.from_file(path), most, {}
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # Words are in normal form and cut already, so the merges alone are left to the library.
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = None
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary, suffix = self.merges.get_vocab(), self.merges.model.end_of_word_suffix
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for word, i in vocabulary.items() if word.endswith(suffix)]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def words(self, words: list[str]) -> list[bytes]:
-        """Ids of single pre-tokens, many in one call: white space keeps them apart and has no ids."""
+        """Ids of single pre-tokens, many in one call: white space keeps them apart and has no ids, and a word's last id says so."""
         out = []
-        for i in range(0, len(words), 2000):
-            found = self.library.encode(" ".join(words[i : i + 2000]), add_special_tokens=False)
-            raw = np.array(found.ids, "<u4").tobytes()
-            ends = np.r_[0, np.flatnonzero(np.diff(np.array(found.word_ids))) + 1, len(found.ids)] * 4
+        for i in range(0, len(words), 200):
+            ids = np.array(self.merges.encode(" ".join(words[i : i + 200]), add_special_tokens=False).ids, "<u4")
+            raw = ids.tobytes()
+            ends = np.r_[0, np.flatnonzero(self.last[ids]) + 1] * 4
             out += [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
         return out
 
