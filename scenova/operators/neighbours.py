@@ -118,6 +118,86 @@ def voxel_pool(points: DataFrame, width: float, feature: str) -> DataFrame:
     return celled(points, width).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(feature).alias("mean"), F.max(feature).alias("most"), F.min_by(feature, "idx").alias("first"))
 
 
+def local_neighbours(centres: DataFrame, points: DataFrame, reach: float, *, cube: bool = False, most: int | None = None) -> DataFrame:
+    """Pairs of a centre and a point within ``reach`` of it, in a ball or a cube, the bound included.
+
+    With ``most`` a centre has its first points by index only, the size of a local list.
+    """
+    met = near_pairs(centres, points, reach)
+    inside = F.greatest(*[F.abs(F.col(f"p_{c}") - F.col(c)) for c in AXES]) <= reach if cube else F.col("d2") <= reach * reach
+    met = met.where(inside)
+    if most is None:
+        return met
+    return met.withColumn("_place", F.row_number().over(Window.partitionBy("scene_id", "idx").orderBy("p_idx"))).where(F.col("_place") <= most).drop("_place")
+
+
+def local_cell(reach: float, cells: int) -> Column:
+    """Place of a pair's point in the grid of ``cells`` a side about its centre; the packed place is clamped, not each axis."""
+    step = [F.floor((F.col(f"p_{c}") - F.col(c) + reach) / (2 * reach / cells)) for c in AXES]
+    packed = step[0] * (cells * cells) + step[1] * cells + step[2]
+    return F.least(F.greatest(packed, F.lit(0)), F.lit(cells**3 - 1)).cast("int")
+
+
+def local_grid_pool(centres: DataFrame, points: DataFrame, reach: float, cells: int, features: list[str], *, fold: int, cube: bool = False, first: bool = False) -> DataFrame:
+    """Rows (scene_id, idx, point_id, cell, n, c0.., dx, dy, dz) for each filled cell of each centre's grid.
+
+    Feature i goes to channel i % ``fold``. A cell has the mean of its points'
+    channel sums and offsets, or with ``first`` what its first point by index
+    has (of the features of a channel the last one).
+    """
+    met = local_neighbours(centres, points, reach, cube=cube).withColumn("cell", local_cell(reach, cells))
+    offset = {f"d{c}": F.col(f"p_{c}") - F.col(c) for c in AXES}
+    channels = {f"c{k}": [F.col(f"p_{f}") for f in features[k::fold]] for k in range(fold)}
+    keys = ["scene_id", "idx", "point_id", "cell"]
+    if first:
+        values = [v[-1].alias(k) for k, v in channels.items()] + [v.alias(k) for k, v in offset.items()]
+        held = met.groupBy(*keys).agg(F.min_by(F.struct(*values), "p_idx").alias("_v"))
+        return held.select(*keys, F.lit(1).cast("long").alias("n"), "_v.*")
+    means = [F.avg(sum(v[1:], v[0])).alias(k) for k, v in channels.items()] + [F.avg(v).alias(k) for k, v in offset.items()]
+    return met.groupBy(*keys).agg(F.count("*").alias("n"), *means)
+
+
+def local_three_nearest(centres: DataFrame, points: DataFrame, reach: float, cells: int, *, most: int = 1000) -> DataFrame:
+    """The three points of a centre's local list nearest to each sub-voxel centre of its grid: (scene_id, idx, point_id, cell, first, second, third).
+
+    Sub-voxels are numbered in x, y, z order. The first neighbour stands in for a missing second or third.
+    """
+    step = 2 * reach / cells
+    at = [-reach + step / 2 + k * step for k in range(cells)]
+    centre = F.array(*[F.struct(F.lit(i).alias("cell"), *[F.lit(v).alias(f"o{c}") for c, v in zip(AXES, o)]) for i, o in enumerate((a, b, c) for a in at for b in at for c in at)])
+    met = local_neighbours(centres, points, reach, most=most).withColumn("_g", F.explode(centre))
+    apart = [F.col(c) + F.col(f"_g.o{c}") - F.col(f"p_{c}") for c in AXES]
+    nearest = F.slice(F.sort_array(F.collect_list(F.struct(sum(a * a for a in apart).alias("d2"), F.col("p_idx").alias("i")))), 1, 3)
+    found = met.groupBy("scene_id", "idx", "point_id", F.col("_g.cell").alias("cell")).agg(nearest.alias("l"))
+    place = lambda k: F.coalesce(F.get("l", F.lit(k)), F.get("l", F.lit(0)))["i"]
+    return found.select("scene_id", "idx", "point_id", "cell", place(0).alias("first"), place(1).alias("second"), place(2).alias("third"))
+
+
+def box_pool(boxes: DataFrame, points: DataFrame, cells: int, feature: str, *, width: float, slots: int) -> DataFrame:
+    """Rows (scene_id, idx, point_id, code, n, most, mean) for every voxel of every turned box; empty voxels have 0.
+
+    Boxes have x, y, z, l, w, h and yaw. A voxel takes its first ``slots`` - 1
+    points by index. Boxes and points of a scene meet on grid cells of ``width``
+    that the box's ball covers.
+    """
+    grid = [f"c{c}" for c in AXES]
+    near = boxes.withColumn("_r", F.sqrt(F.col("l") * F.col("l") + F.col("w") * F.col("w") + F.col("h") * F.col("h")) / 2 + 1e-4)
+    for c in AXES:
+        near = near.withColumn(f"c{c}", F.explode(F.sequence(F.floor((F.col(c) - F.col("_r")) / width).cast("int"), F.floor((F.col(c) + F.col("_r")) / width).cast("int"))))
+    held = celled(points, width).select("scene_id", *grid, *[F.col(c).alias(f"p_{c}") for c in (*AXES, "idx", feature)])
+    sx, sy, sz = [F.col(f"p_{c}") - F.col(c) for c in AXES]
+    met = near.join(held, ["scene_id", *grid]).withColumns({"_u": sx * F.cos("yaw") + sy * F.sin("yaw"), "_v": sy * F.cos("yaw") - sx * F.sin("yaw"), "_t": sz})
+    met = met.where((F.abs("_t") <= F.col("h") / 2) & (F.abs("_u") < F.col("l") / 2 + 1e-5) & (F.abs("_v") < F.col("w") / 2 + 1e-5))
+    met = met.withColumn("code", roi_code(*[F.col(a) / F.col(b) + 0.5 for a, b in (("_u", "l"), ("_v", "w"), ("_t", "h"))], cells))
+    place = F.row_number().over(Window.partitionBy("scene_id", "idx", "code").orderBy("p_idx"))
+    kept = met.withColumn("_place", place).where(F.col("_place") < slots)
+    pooled = kept.groupBy("scene_id", "idx", "code").agg(F.count("*").alias("n"), F.max(f"p_{feature}").alias("most"), F.avg(f"p_{feature}").alias("mean"))
+    side = range(cells)
+    every = boxes.select("scene_id", "idx", "point_id", F.explode(F.array(*[F.lit((a << 16) + (b << 8) + c) for a in side for b in side for c in side])).alias("code"))
+    full = every.join(pooled, ["scene_id", "idx", "code"], "left")
+    return full.select("scene_id", "idx", "point_id", "code", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("most", F.lit(0.0)).alias("most"), F.coalesce("mean", F.lit(0.0)).alias("mean"))
+
+
 def roi_code(u: Column, v: Column, t: Column, cells: int) -> Column:
     """Place of a local coordinate (0 to 1 on each axis) in a box's voxels, packed in one number."""
     cell = [F.least(F.greatest(F.floor(a * cells), F.lit(0)), F.lit(cells - 1)).cast("int") for a in (u, v, t)]

@@ -233,3 +233,22 @@ def farthest_points(points: DataFrame, n: int, *, skip_origin: bool = False, fea
         return {"scene_id": g["scene_id"][picked], "point_id": g["point_id"][picked], "place": np.arange(len(picked), dtype=np.int32)}
 
     return per_group(points.select("scene_id", "point_id", "idx", "x", "y", "z", *features), ["scene_id"], ["idx"], run, "scene_id bigint, point_id string, place int")
+
+
+def farthest_by_distance(distances: DataFrame, n: int) -> DataFrame:
+    """(scene_id, place, pick): farthest-point sampling where the distances are given as rows (scene_id, i, j, d).
+
+    ``i`` and ``j`` count from 0 and all pairs of a scene are there. Sampling
+    begins at 0, the lowest number wins ties, and a scene gives no more than it has.
+    """
+
+    def run(g: Columns) -> Columns:
+        size = int(round(len(g["d"]) ** 0.5))
+        d = g["d"].reshape(size, size)
+        least, picked = d[0].copy(), [0]
+        while len(picked) < min(n, size):
+            picked.append(int(least.argmax()))
+            least = np.minimum(least, d[picked[-1]])
+        return {"scene_id": np.repeat(g["scene_id"][:1], len(picked)), "place": np.arange(len(picked), dtype=np.int32), "pick": np.array(picked, np.int32)}
+
+    return per_group(distances.select("scene_id", "i", "j", "d"), ["scene_id"], ["i", "j"], run, "scene_id bigint, place int, pick int")
