@@ -155,16 +155,16 @@ def mention_spans(spark, sf_dir) -> DataFrame:
     return rows.select("object_id", F.explode("m").alias("m")).select("object_id", "m.*")
 
 
-@query()
+@query("SELECT object_id, format('{:.1f}', y) AS said FROM objects", heads="o")
 def half_even_numbers(spark, sf_dir) -> DataFrame:
     """One-decimal numbers by their exact binary value."""
     rows = objects(spark, sf_dir)
     return rows.select("object_id", T.half_even(F.col("y")).alias("said"))
 
 
-@query()
+@query("SELECT 'A ' || CASE WHEN dx > 0 THEN 'front' ELSE 'behind' END || ' B; B ' || CASE WHEN dy > 0 THEN 'right' ELSE 'left' END || ' A' AS triples, count(*) AS n FROM pairs GROUP BY ALL", heads="p")
 def triple_grammar(spark, sf_dir) -> DataFrame:
-    """Relations of the canonical grammar, read back from made sentences; the look-ahead has no SQL twin."""
+    """Relations of the canonical grammar, read back from made sentences; the SQL twin has what the sentences say."""
     from scenova.plans.generators import directed
 
     said = F.concat(F.lit("Object A is "), F.when(F.col("dx") > 0, "in front of").otherwise("behind"), F.lit(" Object B and Object B is to the "), F.when(F.col("dy") > 0, "right").otherwise("left"), F.lit(" of Object A."))
