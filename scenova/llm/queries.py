@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scenova.llm import twins
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     # Python workers of a session that was started elsewhere find this package too.
@@ -85,6 +87,25 @@ def op10_block_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenova.llm.fingerprints import fingerprint_edits
+
+    return fingerprint_edits(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenova.llm.conversations import repair
+
+    return repair(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenova.llm.negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read(spark, sf_dir, "embeddings"), label=label, is_anchor=F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_content_defined_dedup": op2_content_defined_dedup,
@@ -96,6 +117,9 @@ QUERIES = {
     "op8_poisson_mixing": op8_poisson_mixing,
     "op9_recurrent_toxicity": op9_recurrent_toxicity,
     "op10_block_nearest": op10_block_nearest,
+    "op11_piecewise_fingerprints": op11_piecewise_fingerprints,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -109,4 +133,6 @@ ORACLE_SQL: dict[str, str] = {
         ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM met)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
+    "op12_conversation_repair": twins.CONVERSATION_REPAIR,
+    "op13_hard_negatives": twins.HARD_NEGATIVES,
 }
