@@ -209,15 +209,6 @@ def unpivoted_sides(spark, sf_dir) -> DataFrame:
     return wide.unpivot("split", ["left", "right"], "side", "n").where("n is not null")
 
 
-@query(f"WITH {IOU_SQL}, m AS (SELECT a.scene_id, a.object_id, bool_or(a.object_id = b.object_id AND b.iou >= 0.5) AS tp FROM iou a JOIN iou b ON a.scene_id = b.scene_id GROUP BY ALL) SELECT count(*) FILTER (WHERE tp) AS tp, count(*) FILTER (WHERE NOT tp) AS fp, round(count(*) FILTER (WHERE tp) / count(*), 6) AS precision FROM m", heads="o")
-def match_precision(spark, sf_dir) -> DataFrame:
-    """True and false positives by any match in the scene."""
-    rows = scored(spark, sf_dir).select("scene_id", "object_id", "iou")
-    met = rows.select("scene_id", F.col("object_id").alias("p")).join(rows, "scene_id")
-    per = met.groupBy("scene_id", "p").agg(F.bool_or((F.col("p") == F.col("object_id")) & (F.col("iou") >= 0.5)).alias("tp"))
-    return per.agg(F.count_if("tp").alias("tp"), F.count_if(~F.col("tp")).alias("fp"), F.round(F.count_if("tp") / F.count("*"), 6).alias("precision"))
-
-
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE len([v FOR v IN embedding IF isnan(v)]) > 0) AS with_nan, round(min(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS least_norm, max(c) AS most_per_label FROM embeddings JOIN (SELECT label AS l, count(*) AS c FROM embeddings GROUP BY label) ON label = l")
 def token_stats(spark, sf_dir) -> DataFrame:
     """Row, NaN and norm statistics of a token table."""

@@ -26,8 +26,3 @@ def query(sql: str | None = None, *, heads: str = ""):
         return f
 
     return keep
-
-
-def also(name: str, known: str) -> None:
-    """Register a query under an earlier name too."""
-    QUERIES[name], ORACLE_SQL[name] = QUERIES[known], ORACLE_SQL[known]

@@ -61,7 +61,7 @@ def ap_curve_rows(spark, sf_dir) -> DataFrame:
 @query(AP_SQL + AREA_SQL, heads="o")
 def ap_curve(spark, sf_dir) -> DataFrame:
     """Area under the precision envelope."""
-    return area_under(ap_curve_rows(spark, sf_dir))
+    return area_under(ap_curve_rows(spark, sf_dir)).select("category", "n", "ap")
 
 
 @query(AP_SQL + ", t AS (SELECT unnest(range(11)) / 10.0::DOUBLE AS t) SELECT category, round(avg(p), 6) AS ap11 FROM (SELECT c.category, t, coalesce(max(CASE WHEN recall >= t THEN precision END), 0) AS p FROM r c, t GROUP BY ALL) GROUP BY category", heads="o")

@@ -2,8 +2,5 @@
 
 from __future__ import annotations
 
-from scenova.plans import aggregates, annotations, audits, files, generators, geometry, joins, points, pooling, ranking, scoring, texts  # noqa: F401
-from scenova.plans.base import ORACLE_SQL, QUERIES, also  # noqa: F401
-
-for name in ("ball_query", "annulus_query", "three_nn", "idw_interpolate", "group_points", "token_scene_join", "roster_diff"):
-    also(f"whole_{name}", name)
+from scenova.plans import aggregates, annotations, audits, detection, files, generators, geometry, joins, points, pooling, ranking, scoring, texts  # noqa: F401
+from scenova.plans.base import ORACLE_SQL, QUERIES  # noqa: F401

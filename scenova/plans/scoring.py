@@ -12,12 +12,9 @@ from scenova.functions import text as T
 from scenova.functions.ids import hash_order
 from scenova.operators import neighbours as N
 from scenova.operators import sequential as S
-from scenova.operators.ranks import area_under, precision_recall
-from scenova.plans.aggregates import rate, scored
+from scenova.plans.aggregates import rate
 from scenova.plans.base import query
 from scenova.plans.generators import directed
-from scenova.plans.geometry import IOU_SQL
-from scenova.plans.ranking import AREA_SQL, CURVE_SQL
 from scenova.sources.scenes import objects, pairs, table
 
 
@@ -102,32 +99,6 @@ def assign_queries(spark, sf_dir) -> DataFrame:
     return S.assign(left.join(right, "scene_id").withColumn("cost", cost), "cost", "truth", "guess")
 
 
-@query(
-    f"WITH {IOU_SQL}, h AS (SELECT *, row_number() OVER (PARTITION BY scene_id, category, caption, iou > 0.5 ORDER BY score DESC, object_id) AS turn FROM iou), d AS (SELECT category, score, object_id, CASE WHEN iou > 0.5 AND turn = 1 THEN 1 ELSE 0 END AS tp FROM h), {CURVE_SQL} SELECT category, ap FROM ({AREA_SQL})",
-    heads="o",
-)
-def greedy_average_precision(spark, sf_dir) -> DataFrame:
-    """AP by class with one match for each truth: the best-scored prediction above the threshold takes its truth."""
-    rows = scored(spark, sf_dir).select("scene_id", "category", "object_id", "caption", "score", (F.col("iou") > 0.5).alias("hit"))
-    turn = F.row_number().over(Window.partitionBy("scene_id", "category", "caption", "hit").orderBy(F.desc("score"), "object_id"))
-    hits = rows.select("category", "score", "object_id", F.when(F.col("hit") & (turn == 1), 1).otherwise(0).alias("tp"))
-    return area_under(precision_recall(hits)).select("category", "ap")
-
-
-@query(f"WITH {IOU_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY score DESC, object_id) AS rn FROM iou), t AS (SELECT unnest([0.25, 0.5]) AS threshold), k AS (SELECT unnest([1, 5, 10]) AS k) SELECT threshold::DOUBLE AS threshold, k, count(DISTINCT scene_id) AS scenes, count(DISTINCT CASE WHEN rn <= k AND iou - gap > threshold THEN scene_id END) AS right_n FROM r, t, k GROUP BY ALL", heads="o")
-def grounding_accuracy(spark, sf_dir) -> DataFrame:
-    """Scenes right at 1, 5 and 10 candidates by generalised IoU."""
-    w = Window.partitionBy("scene_id").orderBy(F.desc("score"), "object_id")
-    from scenova.plans.geometry import box
-
-    _, giou = G.aligned_iou(box(), box(shift=True))
-    points = F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(k).alias("k")) for t in (0.25, 0.5) for k in (1, 5, 10)])
-    rows = objects(spark, sf_dir).withColumns({"giou": giou}).withColumn("rn", F.row_number().over(w))
-    rows = rows.select("scene_id", "rn", "giou", F.explode(points).alias("p")).select("scene_id", "rn", "giou", "p.*")
-    per = rows.groupBy("threshold", "k", "scene_id").agg(F.bool_or((F.col("rn") <= F.col("k")) & (F.col("giou") > F.col("threshold"))).alias("ok"))
-    return per.groupBy("threshold", "k").agg(F.count("*").alias("scenes"), F.count_if("ok").alias("right_n"))
-
-
 def side_phrase(relation: Column) -> Column:
     return F.when(relation == "front", "in front of").when(relation == "behind", "behind").otherwise(F.concat(F.lit("to the "), relation, F.lit(" of")))
 
