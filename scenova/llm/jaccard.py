@@ -22,7 +22,10 @@ Documents are sets of hashed 5-word shingles; two link at similarity 0.8.
 Defined cases: a text of one to four words has one shingle, all its words; a
 text without words (null, empty, blank) is in no group and has no links; rows
 of equal sets are linked; repeated rows count as documents of their own; a
-group is named by its smallest document id (null ids last).
+group is named by its smallest document id (null ids last; rows of one id go by
+a hash of their text). Very long texts are sets like others, none of their
+shingles is left out. Other columns, of any name, stay as they are and no helper
+column can clash with them. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -385,10 +388,10 @@ def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **how)
     """``docs`` with one row of each group: the one that names it. Rows without words all stay."""
     groups = similar_groups(docs, id=id, text=text, **how)
     kept = groups.where(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key")))
-    kept = kept.select(F.col("id").alias("_kept_id"), F.col("key").alias("_kept_key")).distinct()
-    key, own = fresh("key"), fresh("own")
+    key, own, kept_id, kept_key = (fresh(name) for name in ("key", "own", "kept_id", "kept_key"))
+    kept = kept.select(F.col("id").alias(kept_id), F.col("key").alias(kept_key)).distinct()
     told = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    met = told.join(kept, F.col(id).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col(key) == F.col("_kept_key"))).drop("_kept_id", "_kept_key")
+    met = told.join(kept, F.col(id).cast("long").eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_key))).drop(kept_id, kept_key)
     # Rows that are repeated outright share id and text; those with words count as copies.
     blank = F.coalesce(F.btrim(F.col(text), F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == ""
     return met.withColumn(own, F.when(blank, F.monotonically_increasing_id())).dropDuplicates([id, key, own]).drop(key, own)

@@ -15,8 +15,11 @@
    repeated outright) and from the plan its sequence and its place there. The
    counts of buckets are summed up in two levels.
 
-Defined cases: a null text is empty and has the end id alone. Rows with equal
-ids and texts are packed each on its own. An empty table gives no rows.
+Defined cases: a null text is empty and has the end id alone; null ids stay null.
+Very long texts are cut into pieces, none is dropped. Pieces of equal length are
+interchangeable: which one goes where follows from a hash of their place. Rows
+with equal ids and texts are packed each on its own. Other columns, of any name,
+are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,10 +39,10 @@ from scenova.llm.common import cut, slices, utf8
 
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 
-#: Characters whose lower case, normal form and class (letter, number, other) are plain; other texts go to the library whole.
-PLAIN = re.compile("[^\t\n\r -~\xa1-\xac\xae-įı-ɏ]")
+#: Characters whose lower case (itself admitted), normal form and class (letter, number, other) are plain; other texts go to the library whole.
+PLAIN = re.compile("[^\t\n\r -~\xa1-\xac\xae-\u012f\u0131-\u017f]")
 #: The pre-token classes of the vocabulary, for plain characters.
-WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-zA-Z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-ɏ]+")
+WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-zA-Z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-\u017f]+")
 
 
 class WordEncoder:

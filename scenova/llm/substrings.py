@@ -272,9 +272,9 @@ def drop_repeated_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "
     same = held["first_id"].eqNullSafe(right["_first_id"]) & (held["first_key"] == right["_first_key"]) & (held["first_at"] == right["_first_at"]) & (held["size"] == right["_size"])
     known = held.join(right, same).groupBy("id", "key").agg(F.collect_list(F.struct("start", "end", "first_id", "first_key", "first_at", F.col("_before").alias("before"), F.col("_after").alias("after"))).alias("known"))
 
-    cleaned, known_name = fresh("cleaned"), fresh("known")
-    known = cut(known).select(F.col("id").alias("_i"), F.col("key").alias("_k"), F.col("known").alias(known_name))
-    out = told.join(known, told[name].eqNullSafe(known["_i"]) & (told[key] == known["_k"]), "left")
+    cleaned, known_name, known_id, known_key = (fresh(c) for c in ("cleaned", "known", "known_id", "known_key"))
+    known = cut(known).select(F.col("id").alias(known_id), F.col("key").alias(known_key), F.col("known").alias(known_name))
+    out = told.join(known, F.col(name).eqNullSafe(F.col(known_id)) & (F.col(key) == F.col(known_key)), "left")
     out = out.withColumn(cleaned, without_repeats(F.col(text), F.col(known_name), min_words))
     out = out.withColumns({text: F.col(cleaned)["text"], spans: F.col(cleaned)["spans"]})
     return out.select(*dict.fromkeys([*docs.columns, spans]))

@@ -400,6 +400,18 @@ def test_poisson_inverse(spark):
             assert found == want or u < 1e-15 or u > 1 - 1e-9, (m, u)
 
 
+def test_every_admitted_character_has_the_librarys_ids():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = [t for c in map(chr, range(0x250)) if not packing.PLAIN.search(c) for t in (c, c + c, f"a{c}b", f"b{c}a A{c}B {c}9{c}", f"ab{c}")]
+    assert len(texts) > 1500
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert packing.encoder(path).ids(texts) == want
+    rng = random.Random(12)
+    beyond = ["".join(rng.choices([chr(x) for x in range(0x20, 0x250)], k=rng.randrange(1, 30))) for _ in range(4000)] + ["\u0181arna \u018aa", "\u01b2\u0244x"]
+    assert packing.encoder(path).ids(beyond) == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(beyond, add_special_tokens=False)]
+
+
 def test_the_seventeenth_first_term_fills():
     # Each of the seventeen largest first terms needs the 5 that the open sequence has.
     counts = np.zeros(1001, np.int64)
@@ -574,7 +586,7 @@ def test_pipeline_is_its_stages_by_brute_force(spark, texts):
     gone = {i: len(WORD.findall(t)) - len(WORD.findall(held[3].get(i, ""))) for i, t in held[2].items()}
     assert all(sum(cover[i][0]) <= n <= sum(cover[i][1]) for i, n in gone.items())
     assert all(not collections.Counter(WORD.findall(t)) - collections.Counter(WORD.findall(held[2][i])) for i, t in held[3].items())
-    rates = {r["source"]: r["rate"] for r in mixing.source_rates(steps[3], source="source", text=F.col("text"), weights=None, flatten=0.5, budget=1.0).collect()}
+    rates = {r["source"]: r["rate"] for r in mixing.source_rates(mixing.tallied(steps[3], id="doc_id", source="source", text="text"), weights=None, flatten=0.5, budget=1.0).collect()}
     assert set(rates) == {r["source"] for r in steps[3].select("source").distinct().collect()}
     assert {r["doc_id"] for r in steps[4].collect()} <= set(held[3])
     assert steps[5].where("piece = 0").count() == steps[4].count()

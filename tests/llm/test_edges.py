@@ -8,6 +8,7 @@ import corpus_pipeline
 from scenova.llm import jaccard, mixing, nearest, packing, quality, rules, sharding, substrings, token_counts, toxicity
 
 CLASH = ["size", "shard", "score", "kept", "copy", "piece", "length", "n_tokens", "n_words", "c", "path", "id", "key", "rate", "count", "start"]
+CLASH += ["_i", "_k", "_kept_id", "_kept_key", "_before", "_spans", "_copy", "_was_kept", "_was_tail_prob", "expected_grade", "tail_prob", "repeated_spans", "number", "n", "digest", "place", "mass"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)
 PROSE = "The quick brown fox jumps over the lazy dog while seven wizards watch from the old stone tower near the river bank and count passing boats slowly"
 
@@ -57,7 +58,7 @@ def test_quality(docs, labels):
 
 def test_substrings(docs):
     out = substrings.drop_repeated_passages(docs)
-    assert out.count() == 13 and out.columns == [*docs.columns, "repeated_spans"]
+    assert out.count() == 13 and out.columns == docs.columns
     assert substrings.drop_repeated_passages(empty(docs)).count() == 0
     nulls = out.where("text is null").count()
     assert nulls == 2
@@ -174,6 +175,8 @@ def test_stages(spark, docs, labels, tmp_path, name, stage):
     out = stage(spark, docs, str(tmp_path))
     assert out.columns == docs.columns
     out.write.parquet(str(tmp_path / "out"))
+    kept = spark.read.parquet(str(tmp_path / "out"))
+    assert kept.count() and {tuple(r) for r in kept.select(*CLASH).collect()} == {("x",) * len(CLASH)}
     assert stage(spark, empty(docs), str(tmp_path)).count() == 0
 
 
@@ -182,8 +185,27 @@ def test_mixing_of_repeated_rows_and_large_means(spark, docs):
     held = spark.createDataFrame(rows, "doc_id long, text string, source string")
     out = mixing.mix(held, weights={"a": 1.0, "b": 1.0}).collect()
     copies = [r["copy"] for r in out if r["source"] == "a"]
-    # Equal rows draw equal counts, near their rate of 500,000 characters to 360.
-    assert len(copies) == 40 * (max(copies) + 1) and abs(max(copies) + 1 - 500_180 / 360) < 200
+    # Each of the equal rows draws its own count, near their rate of 500,000 characters to 360.
+    first = copies.count(0)
+    assert first == 40 and abs(len(copies) / 40 - 500_180 / 360) < 40 and 0 < sum(c == max(copies) for c in copies) < 40
+
+
+def test_repeated_rows_are_dealt_all_over(spark, monkeypatch):
+    rows = [(5, "the same row", "a")] * 3000 + [(i, f"another row {i}", "a") for i in range(100, 3100)]
+    held = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    results = []
+    for sent in (200_000, 0):
+        monkeypatch.setattr(mixing, "SENT_REPEATS", sent)
+        out = mixing.mix(held.repartition(3 + len(results)), flatten=1.0).withColumn("task", F.spark_partition_id()).collect()
+        results.append(sorted((r["doc_id"], r["text"], r["copy"]) for r in out))
+        runs, run = [], 0
+        for r in out:
+            run = run + 1 if r["doc_id"] == 5 else 0
+            runs.append(run)
+        tasks = [sum(r["task"] == t and r["doc_id"] == 5 for r in out) for t in {r["task"] for r in out}]
+        # Half of all rows: a run of 30 has a chance of 6,000 to 2**30.
+        assert max(runs) < 30 and max(tasks) < 2 * sum(tasks) / len(tasks) and abs(sum(tasks) - 3000) < 300
+    assert results[0] == results[1]
 
 
 def test_last_stage(spark, docs, tmp_path):
