@@ -20,9 +20,10 @@ def query(sql: str | None = None, *, heads: str = ""):
         if sql:
             ctes = [OBJECTS_SQL] * ("o" in heads or "p" in heads) + [PAIRS_SQL] * ("p" in heads)
             body = sql.strip()
-            if ctes and body[:5].upper() == "WITH ":
-                body = ", " + body[5:]
-            ORACLE_SQL[f.__name__] = ("WITH " + ", ".join(ctes) + "\n" if ctes else "") + body
+            head = "WITH RECURSIVE " if body.startswith("WITH RECURSIVE ") else "WITH "
+            if ctes and body.startswith(head):
+                body = ", " + body[len(head) :]
+            ORACLE_SQL[f.__name__] = (head + ", ".join(ctes) + "\n" if ctes else "") + body
         return f
 
     return keep
