@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenova.functions.ids import hash_order
+from scenova.operators.ranks import hash_rank
 from scenova.plans.base import query
 from scenova.plans.generators import directed
+from scenova.sources import npz
 from scenova.sources import readers as R
+from scenova.sources import scans as V
 from scenova.sources import sinks as K
 from scenova.sources.scenes import objects, table
 
@@ -61,14 +67,29 @@ def split_files(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(path).where("split = 'val'").groupBy("sequence").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean"))
 
 
-@query("SELECT variant, answer, count(*) AS n FROM (SELECT 'original' AS variant, CASE WHEN dy > 0 THEN 'left' ELSE 'right' END AS answer FROM pairs WHERE a_id < b_id AND dy <> 0 UNION ALL SELECT 'swap_eval', CASE WHEN dy > 0 THEN 'right' ELSE 'left' END FROM pairs WHERE a_id < b_id AND dy <> 0) GROUP BY ALL", heads="p")
+@query(
+    "SELECT variant, n_refs, answer, count(*) AS n, count(DISTINCT donor) > 1 AS moved FROM ("
+    "WITH q AS (SELECT a_id, b_id, CASE WHEN dy > 0 THEN 'left' ELSE 'right' END AS answer, CASE WHEN dy > 0 THEN 'right' ELSE 'left' END AS other FROM pairs WHERE a_id < b_id AND dy <> 0), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY answer ORDER BY sha1('shuffled|' || a_id || '|' || b_id), a_id, b_id) AS place, count(*) OVER (PARTITION BY answer) AS size FROM q) "
+    "SELECT 'original' AS variant, 2 AS n_refs, answer, a_id AS donor FROM q UNION ALL SELECT 'swap_eval', 2, other, b_id FROM q UNION ALL SELECT 'joint', 2, answer, a_id FROM q UNION ALL SELECT 'joint', 2, other, b_id FROM q "
+    "UNION ALL SELECT 'shuffled', 2, r.answer, d.a_id FROM r JOIN r d ON d.answer = r.answer AND d.place = r.place % r.size + 1) GROUP BY variant, n_refs, answer",
+    heads="p",
+)
 def variant_files(spark, sf_dir) -> DataFrame:
-    """Original and swapped questions as one table with a folder for each variant."""
+    """One question set as four variants in a folder each: original, swapped, both jointly, and with the references of the next question of the same answer in a shuffled order."""
     rows = directed(spark, sf_dir).where("a_id < b_id and dy <> 0")
     first, second = F.when(F.col("dy") > 0, "left").otherwise("right"), F.when(F.col("dy") > 0, "right").otherwise("left")
+    refs = lambda a, b: F.array(F.col(a), F.col(b)).alias("refs")
+    original = rows.select("a_id", "b_id", refs("a_id", "b_id"), first.alias("answer"))
+    swapped = rows.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"), refs("b_id", "a_id"), second.alias("answer"))
+    placed = hash_rank(original, ["answer"], F.concat(hash_order("shuffled", F.col("a_id"), F.col("b_id")), "a_id", "b_id"), "place")
+    sizes = original.groupBy("answer").agg(F.count("*").alias("size"))
+    asks = placed.drop("refs").join(sizes, "answer").withColumn("place", F.col("place") % F.col("size") + 1)
+    shuffled = asks.join(placed.select("answer", "place", "refs"), ["answer", "place"]).select("a_id", "b_id", "refs", "answer")
     path = K.shared_folder(spark, "variants")
-    K.write_variants({"original": rows.select("a_id", "b_id", first.alias("answer")), "swap_eval": rows.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"), second.alias("answer"))}, path)
-    return spark.read.parquet(path).groupBy("variant", "answer").agg(F.count("*").alias("n"))
+    K.write_variants({"original": original, "swap_eval": swapped, "joint": original.unionByName(swapped), "shuffled": shuffled}, path)
+    held = spark.read.parquet(path)
+    return held.groupBy("variant", F.size("refs").alias("n_refs"), "answer").agg(F.count("*").alias("n"), (F.countDistinct(F.col("refs")[0]) > 1).alias("moved"))
 
 
 @query("SELECT o_orderkey::VARCHAR AS qa_id, CASE WHEN o_totalprice > 150000 THEN 'far' ELSE 'near' END AS prediction FROM orders")
@@ -123,3 +144,100 @@ def checked_write(spark, sf_dir) -> DataFrame:
     """Rows that a sink has on disk once it has read them again."""
     n = K.write_checked(objects(spark, sf_dir), K.shared_folder(spark, "checked"))
     return spark.range(1).select(F.lit(n).cast("long").alias("n"))
+
+
+@query("SELECT scene_id, count(*) AS n, round(sum(x), 6) AS sum_x, round(max(y), 6) AS far, CAST(round(min(l), 4) AS DOUBLE) AS least_l FROM objects GROUP BY scene_id", heads="o")
+def npz_shards(spark, sf_dir) -> DataFrame:
+    """Scenes as array shards with ragged boxes, written behind a manifest and read with one of their members left out."""
+    one = F.struct("object_id", F.array("x", "y", "z", "l", "w", "h", "yaw").alias("box"))
+    rows = objects(spark, sf_dir).groupBy("scene_id", "split").agg(F.transform(F.sort_array(F.collect_list(one)), lambda o: o["box"]).alias("boxes"))
+    path = K.shared_folder(spark, "shards")
+    npz.register(spark)
+    rows.write.format("npz").mode("append").save(path)
+    held = spark.read.format("npz").schema("scene_id long, boxes array<array<double>>").load(path)
+    boxes = held.select("scene_id", F.explode("boxes").alias("b"))
+    return boxes.groupBy("scene_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("b")[0]), 6).alias("sum_x"), F.round(F.max(F.col("b")[1]), 6).alias("far"), F.round(F.min(F.col("b")[3]), 4).alias("least_l"))
+
+
+@query(
+    "SELECT platform, 'frame' || (cloud % 7) AS sequence, CASE WHEN cloud % 11 = 0 THEN 'unreadable' WHEN cloud % 13 = 0 THEN 'empty' ELSE 'ok' END AS status, CASE WHEN cloud % 11 = 0 OR cloud % 13 = 0 THEN 'none' WHEN category = 5 THEN 'short_box' WHEN category = 4 THEN 'bad_box' ELSE 'ok' END AS reason, count(DISTINCT cloud) AS frames, count(*) AS n FROM objects GROUP BY ALL",
+    heads="o",
+)
+def frame_documents(spark, sf_dir) -> DataFrame:
+    """Raw frames as one document each under platform, sequence and frame; broken and empty ones are rows, and boxes have the reason why they can't be used."""
+    box = F.array("x", "y", "z", "l", "w", F.when(F.col("category") == 4, -F.col("h")).otherwise(F.col("h")), "yaw")
+    one = F.struct(F.lit("Car").alias("class"), "caption", F.when(F.col("category") == 5, F.slice(box, 1, 6)).otherwise(box).alias("bbox_3d"))
+    rows = objects(spark, sf_dir).groupBy("platform", "cloud").agg(F.sort_array(F.collect_list(F.struct("object_id", one.alias("o")))).alias("held"), F.count("*").alias("n"))
+    info = F.to_json(F.struct(F.transform("held", lambda h: h["o"]).alias("ground_info")))
+    text = F.when(F.col("cloud") % 11 == 0, F.substr(info, F.lit(1), F.length(info) - 5)).when(F.col("cloud") % 13 == 0, F.lit('{"ground_info": []}')).otherwise(info)
+    name = F.concat_ws("/", "platform", F.concat(F.lit("frame"), F.col("cloud") % 7), F.col("cloud").cast("string"), F.lit("meta_info.json"))
+    path = K.shared_folder(spark, "frames")
+    K.write_documents(rows.select(name.alias("name"), text.alias("content")), path)
+    frames = R.raw_frames(spark, path)
+    reasons = R.frame_objects(frames).select("platform", "sequence", "frame", F.lit("ok").alias("status"), "reason")
+    odd = frames.where("status <> 'ok'").select("platform", "sequence", "frame", "status", F.lit("none").alias("reason"))
+    sizes = rows.select("platform", F.concat(F.lit("frame"), F.col("cloud") % 7).alias("sequence"), F.col("cloud").cast("string").alias("frame"), "n")
+    odd = odd.join(sizes, ["platform", "sequence", "frame"])  # what broken frames would have held
+    both = reasons.withColumn("n", F.lit(1).cast("long")).unionByName(odd)
+    return both.groupBy("platform", "sequence", "status", "reason").agg(F.countDistinct("frame").alias("frames"), F.sum("n").alias("n"))
+
+
+@query("SELECT CAST(cloud AS VARCHAR) AS frame, count(*) AS n, CAST(max(CAST(x AS FLOAT)) AS DOUBLE) AS far, CAST(min(CAST(y AS FLOAT)) AS DOUBLE) AS near, count(DISTINCT CAST(z AS FLOAT)) AS heights FROM objects GROUP BY cloud", heads="o")
+def lidar_files(spark, sf_dir) -> DataFrame:
+    """Clouds as raw float32 files of four columns, one file a frame, read back point by point."""
+    point = F.struct("object_id", *[F.col(c).cast("float").alias(c) for c in "xyz"])
+    rows = objects(spark, sf_dir).groupBy("cloud").agg(F.sort_array(F.collect_list(point)).alias("p"))
+
+    @F.arrow_udf("binary")
+    def packed(clouds: pa.Array) -> pa.Array:
+        return pa.array([np.array([[p["x"], p["y"], p["z"], 0.5] for p in c], "<f4").tobytes() for c in clouds.to_pylist()], pa.binary())
+
+    path = K.shared_folder(spark, "lidar")
+    K.write_documents(rows.select(F.concat(F.col("cloud").cast("string"), F.lit("/cloud.bin")).alias("name"), packed("p").alias("content")), path)
+    points = R.lidar(spark, path).withColumn("frame", V.scan_of(F.col("path")))
+    return points.groupBy("frame").agg(F.count("*").alias("n"), F.max("x").cast("double").alias("far"), F.min("y").cast("double").alias("near"), F.countDistinct("z").alias("heights"))
+
+
+#: A scan is a cloud: each object has eight corners in two segments, and every fifth object is listed twice.
+SCAN_SQL = """numbered AS (SELECT *, row_number() OVER (PARTITION BY cloud ORDER BY object_id, x, y) - 1 AS k FROM objects),
+corners AS (
+    SELECT cloud, k, caption, k * 8 + c AS vertex, CAST(CAST(x + (c % 2 - 0.5::DOUBLE) * l AS FLOAT) AS DOUBLE) AS vx, CAST(CAST(y + (c // 2 % 2 - 0.5::DOUBLE) * w AS FLOAT) AS DOUBLE) AS vy, CAST(CAST(z + (c // 4 - 0.5::DOUBLE) * h AS FLOAT) AS DOUBLE) AS vz
+    FROM numbered, (SELECT unnest(range(8)) AS c)
+),
+drawn AS (SELECT * FROM corners QUALIFY row_number() OVER (PARTITION BY cloud ORDER BY sha1('1184|' || cloud || '|' || vertex)) <= 200)"""
+
+
+@query(
+    f"WITH {SCAN_SQL} SELECT CAST(cloud AS VARCHAR) AS scan, CAST(k AS INTEGER) AS object_id, caption AS label, count(*) AS points, round(min(vx), 5) AS low_x, round(max(vz), 5) AS high_z, round(max(vy) - min(vy), 5) AS width FROM drawn GROUP BY ALL",
+    heads="o",
+)
+def indoor_scans(spark, sf_dir) -> DataFrame:
+    """Scans in their three files: vertices meet segments and objects, 200 points of a scan are drawn, and objects listed twice count once."""
+    order = Window.partitionBy("cloud").orderBy("object_id", "x", "y")
+    rows = objects(spark, sf_dir).withColumn("k", F.row_number().over(order) - 1)
+    half = lambda c, i, s: (F.col(c) + (i - 0.5) * F.col(s)).cast("float").alias(c)
+    corners = F.array(*[F.struct(half("x", c % 2, "l"), half("y", c // 2 % 2, "w"), half("z", c // 4, "h")) for c in range(8)])
+    held = rows.groupBy("cloud").agg(F.sort_array(F.collect_list(F.struct("k", corners.alias("corners"), "caption"))).alias("o"))
+
+    @F.arrow_udf("binary")
+    def ply(clouds: pa.Array) -> pa.Array:
+        out = []
+        for c in clouds.to_pylist():
+            xyz = np.array([[p["x"], p["y"], p["z"]] for o in c for p in o["corners"]], "<f4")
+            head = f"ply\nformat binary_little_endian 1.0\nelement vertex {len(xyz)}\nproperty float x\nproperty float y\nproperty float z\nproperty uchar red\nend_header\n"
+            body = np.concatenate([xyz.view(np.uint8).reshape(len(xyz), 12), np.full((len(xyz), 1), 9, np.uint8)], axis=1)
+            out.append(head.encode() + body.tobytes())
+        return pa.array(out, pa.binary())
+
+    parts = F.flatten(F.transform("o", lambda o: F.concat(F.array_repeat(o["k"] * 2, 4), F.array_repeat(o["k"] * 2 + 1, 4))))
+    group = lambda o, id: F.struct(id.alias("objectId"), o["caption"].alias("label"), F.array(o["k"] * 2, o["k"] * 2 + 1).alias("segments"))
+    twice = F.transform(F.filter("o", lambda o: o["k"] % 5 == 0), lambda o: group(o, o["k"] + 10_000))
+    groups = F.concat(F.transform("o", lambda o: group(o, o["k"])), twice)
+    at = lambda name: F.concat(F.col("cloud").cast("string"), F.lit(f"/scan{name}")).alias("name")
+    path = K.shared_folder(spark, "scans")
+    K.write_documents(held.select(at("_clean_2.ply"), ply("o").alias("content")), path)
+    K.write_documents(held.select(at(".segs.json"), F.to_json(F.struct(parts.alias("segIndices"))).alias("content")), path)
+    K.write_documents(held.select(at(".aggregation.json"), F.to_json(F.struct(groups.alias("segGroups"))).alias("content")), path)
+    found = V.object_boxes(V.sampled(V.vertices(spark, path), 200), V.segments(spark, path), V.scan_objects(spark, path))
+    box = F.col("box")
+    return found.select("scan", "object_id", "label", "points", F.round(box[0] - box[3] / 2, 5).alias("low_x"), F.round(box[2] + box[5] / 2, 5).alias("high_z"), F.round(box[4], 5).alias("width"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import struct
 import zipfile
 from collections.abc import Iterator
 
@@ -190,4 +189,5 @@ def ply_points(content: bytes) -> np.ndarray:
         if not line.startswith("property") or line.startswith("property list"):
             break
         step += sizes[line.split()[1]]
-    return np.array([struct.unpack_from("<fff", body, i * step) for i in range(n)], np.float32).reshape(-1, 3)
+    rows = np.frombuffer(body, np.uint8, n * step).reshape(n, step)
+    return np.ascontiguousarray(rows[:, :12]).view("<f4").reshape(n, 3)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import posixpath
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +61,30 @@ def write_checked(df: DataFrame, path: str) -> int:
     return n
 
 
+def write_documents(df: DataFrame, root: str) -> int:
+    """One file for each row (name, content): a name may have folders. The number of files.
+
+    A task that runs again writes the same names. Names that are not alone would
+    overwrite each other, so they end the job.
+    """
+    if df.groupBy("name").count().where("count > 1").limit(1).count():
+        raise ValueError("names of documents are not unique")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(root)
+        n = 0
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                files.create_dir(posixpath.dirname(f"{base}/{name}"), recursive=True)
+                with files.open_output_stream(f"{base}/{name}") as f:
+                    f.write(content)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    written = df.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(put, "n bigint")
+    return written.agg(F.sum("n")).first()[0] or 0
+
+
 def markdown(df: DataFrame, most: int = 1000) -> str:
     """A small report table as text; ``most`` rows at most, since reports are short."""
     rows = df.limit(most).collect()
