@@ -35,6 +35,20 @@ def word_offsets(text: Column) -> Column:
     return F.aggregate(F.split(text, " "), none, add)
 
 
+def subword_offsets(text: Column, most: int = 3) -> Column:
+    """Pieces of up to ``most`` letters or digits and single signs, as structs (start, end, word), places from 0."""
+    none = F.array().cast("array<struct<start:int,end:int,word:string>>")
+    pieces = F.regexp_extract_all(text, F.lit(f"[A-Za-z0-9]{{1,{most}}}|[^A-Za-z0-9\\s]"), F.lit(0))
+
+    def add(done: Column, piece: Column) -> Column:
+        past = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0))
+        start = F.position(piece, text, past + 1) - 1
+        found = F.struct(start.alias("start"), (start + F.length(piece)).alias("end"), piece.alias("word"))
+        return F.array_append(done, found.cast("struct<start:int,end:int,word:string>"))
+
+    return F.aggregate(pieces, none, add)
+
+
 def target_span(caption: Column, name: Column) -> Column:
     """Struct (start, end) of a name in a blank-padded caption; null where it does not occur.
 

@@ -125,6 +125,24 @@ def project(x: Column, y: Column, z: Column, focal: tuple[float, float], centre:
     return F.when(x > 0, centre[0] - focal[0] * y / x), F.when(x > 0, centre[1] - focal[1] * z / x), x
 
 
+def distort(x: Column, y: Column, radial: tuple[float, float, float], tangential: tuple[float, float]) -> tuple[Column, Column]:
+    """Image-plane coordinates (at depth 1) through a lens: radial terms of r^2, r^4 and r^6, and two tangential ones."""
+    r2 = x * x + y * y
+    grow = 1.0 + r2 * (radial[0] + r2 * (radial[1] + r2 * radial[2]))
+    p, q = tangential
+    return x * grow + 2.0 * p * x * y + q * (r2 + 2.0 * x * x), y * grow + p * (r2 + 2.0 * y * y) + 2.0 * q * x * y
+
+
+def undistort(u: Column, v: Column, radial: tuple[float, float, float], tangential: tuple[float, float], steps: int = 12) -> Column:
+    """Struct (x, y) that ``distort`` sends to (u, v), by fixed-point steps from there."""
+
+    def step(s: Column, _: Column) -> Column:
+        bent_x, bent_y = distort(s["x"], s["y"], radial, tangential)
+        return F.struct((s["x"] + (u - bent_x)).alias("x"), (s["y"] + (v - bent_y)).alias("y"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(u.alias("x"), v.alias("y")), step)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 

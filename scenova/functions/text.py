@@ -275,30 +275,39 @@ def plan_phrase_ok(text: Column, kind: Column, safe: Column, steer: Column, pass
     return F.coalesce(F.when(kind == "candidate_maneuver_safety", verdict).when(steer == "stop", has(F.lit("should stop"))).otherwise(moving), F.lit(False))
 
 
-# Words that introduce another entity, and words that end such an introduction.
-INTRODUCTIONS = ["relationship with the surrounding environment:", "there is", "there are", "there was", "there were", "another", "with", "beside", "alongside", "near", *(f"{a} {b}" for a in ("and", "while") for b in ("a", "an", "the", "another"))]
-BREAKERS = {"is", "are", "was", "were", "to", "of", "on", "in", "from", "than", "behind", "front", "left", "right", "ahead", "near", "beside", "adjacent"}
-
-
-def introduced(before: str, most: int = 7) -> bool:
-    """Whether a clause ends in an introduction and ``most`` plain words at most."""
-    words = re.sub(r"\s*:\s*", ": ", before.lower()).split()
-    for fill in range(min(most, len(words)) + 1):
-        tail = words[len(words) - fill :]
-        if any(w in BREAKERS or not re.fullmatch(r"[a-z0-9-]+", w) for w in tail):
-            return False
-        head = " ".join(words[: len(words) - fill])
-        if any(re.search(rf"{re.escape(i)}$", head) for i in INTRODUCTIONS):
-            return True
-    return False
-
-
-def find_secondary(caption: str | None, words: list[str], main: tuple[int, int]) -> list[tuple[int, int, str]]:
-    """Mentions behind the main one that their own clause introduces as another entity."""
-    out = []
-    for start, end, word in find_mentions(caption, words):
-        if start > main[1]:
-            clause = re.split(r"[.;!?]", caption[max(main[1], start - 180) : start])[-1]
-            if introduced(clause):
-                out.append((start, end, word))
-    return out
+# What introduces another entity, and words that no introduction has between itself and the entity.
+INTRODUCTIONS = [
+    "relationship with the surrounding environment:", "there is", "there are", "there was", "there were", "another", "with", "beside", "alongside", "near",
+    "and a", "and an", "and the", "and another", "while a", "while an", "while the", "while another",
+]
+BREAKERS = ["is", "are", "was", "were", "to", "of", "on", "in", "from", "than", "behind", "front", "left", "right", "ahead", "near", "beside", "adjacent"]
+MOST_FILL, MOST_CLAUSE = 7, 180
+
+
+def introduced(clause: Column) -> Column:
+    """Whether a clause ends in an introduction and up to MOST_FILL plain words.
+
+    Its last words are counted while they are plain; after each of the first so
+    many the rest is tried against the introductions.
+    """
+    held = F.regexp_replace(F.lower(clause), r"\s*:\s*", ": ")
+    words = F.filter(F.split(held, r"\s+"), lambda w: w != "")
+    plain = F.transform(F.reverse(words), lambda w: F.rlike(w, F.lit("^[a-z0-9-]+$")) & ~w.isin(BREAKERS))
+    first_odd = F.array_position(plain, F.lit(False))
+    fill = F.least(F.lit(MOST_FILL), F.when(first_odd > 0, (first_odd - 1).cast("int")).otherwise(F.size(words)))
+
+    def ends(n: Column) -> Column:
+        head = F.array_join(F.slice(words, F.lit(1), F.size(words) - n), " ")
+        return F.exists(F.array(*map(F.lit, INTRODUCTIONS)), lambda i: F.endswith(head, i))
+
+    return F.exists(F.sequence(F.lit(0), fill), ends)
+
+
+def secondary_mentions(caption: Column, mentions: Column, main_end: Column) -> Column:
+    """Of structs (start, end, word), those behind the main mention that their own clause introduces as another entity."""
+
+    def clause(m: Column) -> Column:
+        start = F.greatest(main_end, m["start"] - MOST_CLAUSE)
+        return F.element_at(F.split(F.substr(caption, start + 1, m["start"] - start), "[.;!?]"), -1)
+
+    return F.filter(mentions, lambda m: (m["start"] > main_end) & introduced(clause(m)))

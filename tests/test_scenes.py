@@ -173,11 +173,13 @@ def test_mentions():
     assert T.find_mentions(None, ["car"]) == [] and T.find_mentions("carpet", ["car"]) == []
 
 
-def test_secondary_mentions():
+def test_secondary_mentions(spark):
     text = "a red truck is parked; the truck is tall. There is a small white truck. It stands behind the truck."
     main = T.find_mentions(text, ["truck"])[0]
-    assert [text[a - 6 : b] for a, b, _ in T.find_secondary(text, ["truck"], main[:2])] == ["white truck"]
-    assert T.introduced(" and a big") and not T.introduced(" a guardrail is behind the") and not T.introduced("")
+    found = value(spark, T.secondary_mentions(F.lit(text), T.category_mentions(F.lit(text), F.array(F.lit("truck"))), F.lit(main[1])))
+    assert [text[m["start"] - 6 : m["end"]] for m in found] == ["white truck"]
+    for clause, yes in ((" and a big", True), (" a guardrail is behind the", False), ("", False), (" with one two three four five six seven", True), (" with one two three four five six seven eight", False), (" near ", True), (" near the left", False), ("Relationship with the surrounding environment : big", True)):
+        assert value(spark, T.introduced(F.lit(clause))) == yes, clause
 
 
 def test_plan_phrases(spark):
