@@ -128,41 +128,6 @@ def box_array(prefix: str = "", shift: float | Column = 0.0) -> Column:
     return F.array(F.col(f"{prefix}x") + shift, *[F.col(f"{prefix}{c}") for c in ("y", "z", "l", "w", "h", "yaw")])
 
 
-def kept_by_nms(boxes: np.ndarray, score: np.ndarray, most: float, *, own_area: bool = False) -> list[int]:
-    """Greedy suppression of boxes (min corner, max corner): the best score first. ``own_area`` divides by the suppressed box."""
-    size = np.prod(boxes[:, 3:] - boxes[:, :3], axis=1)
-    left = list(np.lexsort((np.arange(len(score)), -score)))
-    out = []
-    while left:
-        i = left.pop(0)
-        out.append(int(i))
-        rest = np.array(left, int)
-        low = np.maximum(boxes[rest, :3], boxes[i, :3])
-        high = np.minimum(boxes[rest, 3:], boxes[i, 3:])
-        inter = np.prod(np.maximum(high - low, 0), axis=1)
-        share = inter / (size[rest] if own_area else size[i] + size[rest] - inter)
-        left = [int(k) for k in rest[share <= most]]
-    return out
-
-
-def nms(objs: DataFrame, *, most: float = 0.25, by_class: bool = False, own_area: bool = False, flat: bool = False) -> DataFrame:
-    """Objects that survive suppression within their scene, or their class of a scene; ``flat`` compares areas in the plane."""
-
-    def run(g: Columns) -> Columns:
-        kept = [0]
-        if len(g["score"]) > 1:
-            half = np.column_stack([g["l"], g["w"], g["h"]]) / 2
-            centre = np.column_stack([g["x"], g["y"], g["z"]])
-            if flat:
-                half[:, 2], centre[:, 2] = 0.5, 0
-            kept = sorted(kept_by_nms(np.hstack([centre - half, centre + half]), g["score"], most, own_area=own_area))
-        return {c: g[c][kept] for c in ("scene_id", "object_id")}
-
-    keys = ["scene_id", "category"] if by_class else ["scene_id"]
-    rows = objs.select("scene_id", "category", "object_id", "x", "y", "z", "l", "w", "h", "score")
-    return per_group(rows, keys, ["object_id"], run, "scene_id bigint, object_id string")
-
-
 def assignment(cost: np.ndarray) -> np.ndarray:
     """Column of each row in the cheapest one-to-one assignment (rows no more than columns), by shortest augmenting paths."""
     n, m = cost.shape

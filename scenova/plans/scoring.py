@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from scenova.functions import geometry as G
 from scenova.functions import text as T
 from scenova.functions.ids import hash_order
-from scenova.operators import neighbours as N
+from scenova.operators import matching as M
 from scenova.operators import sequential as S
+from scenova.operators.suppression import survivors
 from scenova.plans.aggregates import rate
 from scenova.plans.base import query
 from scenova.plans.generators import directed
@@ -25,29 +26,59 @@ def rotated_iou(spark, sf_dir) -> DataFrame:
     return rows.select("object_id", F.round(S.rotated_iou(S.box_array(), S.box_array(shift=F.col("shift"))), 6).alias("iou"))
 
 
-@query()
+def survivors_sql(source: str, keys: str, share: str, select: str, *, head: str = "") -> str:
+    """A walk down the scores of each group with a list of what is kept."""
+    return (
+        f"WITH RECURSIVE {head}r AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, object_id, x, y) AS rn, dense_rank() OVER (ORDER BY {keys}) AS grp FROM {source}), "
+        "k(grp, rn, kept) AS (SELECT grp, 1, [{'n': rn, 'x': x, 'y': y, 'z': z, 'l': l, 'w': w, 'h': h}] FROM r WHERE rn = 1 UNION ALL "
+        f"SELECT r.grp, r.rn::INTEGER, CASE WHEN len(list_filter(k.kept, lambda b: {share} > 0.25)) = 0 THEN list_append(k.kept, {{'n': r.rn, 'x': r.x, 'y': r.y, 'z': r.z, 'l': r.l, 'w': r.w, 'h': r.h}}) ELSE k.kept END FROM k JOIN r ON r.grp = k.grp AND r.rn = k.rn + 1), "
+        "e AS (SELECT grp, unnest(kept).n AS n FROM k QUALIFY rn = max(rn) OVER (PARTITION BY grp)), "
+        f"s AS (SELECT r.* FROM r JOIN e ON r.grp = e.grp AND r.rn = e.n) {select}"
+    )
+
+
+def shared_sql(axes: str) -> str:
+    return " * ".join(f"greatest(0.0::DOUBLE, least(b.{c} + b.{s} / 2, r.{c} + r.{s} / 2) - greatest(b.{c} - b.{s} / 2, r.{c} - r.{s} / 2))" for c, s in zip("xyz", "lwh") if c in axes)
+
+
+INTER_3D, INTER_2D = shared_sql("xyz"), shared_sql("xy")
+IOU_3D = f"{INTER_3D} / (b.l * b.w * b.h + r.l * r.w * r.h - {INTER_3D})"
+KEPT = "SELECT scene_id, object_id FROM s"
+
+
+@query(survivors_sql("objects", "scene_id", IOU_3D, KEPT), heads="o")
 def nms3d(spark, sf_dir) -> DataFrame:
     """Greedy suppression inside each scene."""
-    return S.nms(objects(spark, sf_dir))
+    return survivors(objects(spark, sf_dir), ["scene_id"]).select("scene_id", "object_id")
 
 
-@query()
+@query(survivors_sql("objects", "scene_id, category", f"{INTER_3D} / (r.l * r.w * r.h)", KEPT), heads="o")
 def nms3d_by_class(spark, sf_dir) -> DataFrame:
-    return S.nms(objects(spark, sf_dir), by_class=True, own_area=True)
+    """Suppression among the boxes of a class, by the share of the suppressed box."""
+    return survivors(objects(spark, sf_dir), ["scene_id", "category"], own_area=True).select("scene_id", "object_id")
 
 
-@query()
+@query(survivors_sql("objects", "scene_id", f"{INTER_2D} / (b.l * b.w + r.l * r.w - {INTER_2D})", KEPT), heads="o")
 def nms2d(spark, sf_dir) -> DataFrame:
     """Greedy suppression by areas in the plane."""
-    return S.nms(objects(spark, sf_dir), flat=True)
+    return survivors(objects(spark, sf_dir), ["scene_id"], flat=True).select("scene_id", "object_id")
+
+
+OCCUPIED_SQL = """o AS (
+    SELECT b.cloud AS scene_id, b.object_id, b.category, b.score, b.x, b.y, b.z, b.l, b.w, b.h FROM objects b JOIN objects p ON b.cloud = p.cloud WHERE abs((p.x - b.x) * cos(b.yaw) + (p.y - b.y) * sin(b.yaw)) < b.l * 2 + 1e-5 AND abs((p.y - b.y) * cos(b.yaw) - (p.x - b.x) * sin(b.yaw)) < b.w * 2 + 1e-5 AND abs(p.z - b.z) <= b.h / 2
+    GROUP BY ALL HAVING count(*) >= 5)"""
 
 
 def occupied(spark, sf_dir) -> DataFrame:
-    """Boxes of four times the size in the plane that hold five points of their cloud or more; cells of 10 m are wider than any such box reaches."""
+    """Boxes of four times the size in the plane that hold five points of their cloud or more; boxes meet the points of the cells that they touch, however large they are."""
     boxes = objects(spark, sf_dir).select(F.col("cloud").alias("scene_id"), "object_id", "category", "score", "x", "y", "z", "l", "w", "h", "yaw")
-    met = N.near_pairs(boxes, boxes.select("scene_id", "x", "y", "z"), 10.0)
-    met = met.where(G.in_box(F.col("p_x"), F.col("p_y"), F.col("p_z"), (F.col("x"), F.col("y"), F.col("z"), F.col("l") * 4, F.col("w") * 4, F.col("h"), F.col("yaw"))))
-    return met.groupBy(*boxes.columns).agg(F.count("*").alias("n")).where("n >= 5")
+    wide = boxes.select("scene_id", "object_id", "category", "score", "x", "y", "z", (F.col("l") * 4).alias("l"), (F.col("w") * 4).alias("w"), "h", "yaw", F.col("l").alias("own_l"), F.col("w").alias("own_w"))
+    cell = lambda c: F.floor(F.col(c) / F.lit(8.0))
+    points = boxes.select("scene_id", *[F.col(c).alias(f"p{c}") for c in "xyz"], cell("x").alias("_cx"), cell("y").alias("_cy"))
+    met = points.join(M.spread(wide, ["scene_id"], "t", True, 8.0), ["scene_id", "_cx", "_cy"]).where(G.in_box(F.col("px"), F.col("py"), F.col("pz"), M.of("t")))
+    own = {"l": "own_l", "w": "own_w"}
+    named = ["object_id", "category", "score", "x", "y", "z", "l", "w", "h", "yaw"]
+    return met.groupBy("scene_id", *[F.col(f"t_{own.get(c, c)}").alias(c) for c in named]).agg(F.count("*").alias("n")).where("n >= 5")
 
 
 def by_class(boxes: DataFrame) -> DataFrame:
@@ -67,11 +98,10 @@ def occupied_boxes(spark, sf_dir) -> DataFrame:
     return by_class(occupied(spark, sf_dir))
 
 
-@query()
+@query(survivors_sql("o", "scene_id", IOU_3D, "SELECT object_id, unnest(range(6))::INTEGER AS class, round(score / (1 + abs(category - unnest(range(6)))), 4) AS score FROM s", head=f"{OCCUPIED_SQL}, "), heads="o")
 def class_proposals(spark, sf_dir) -> DataFrame:
     """Proposals by class of the boxes that aren't nearly empty and survive suppression in their cloud."""
-    boxes = occupied(spark, sf_dir)
-    return by_class(boxes.join(S.nms(boxes), ["scene_id", "object_id"], "left_semi"))
+    return by_class(survivors(occupied(spark, sf_dir), ["scene_id"]))
 
 
 @query()

@@ -26,6 +26,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in a new shared folder: what is read from it stays the same, and its plan begins there."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_jsonl(df: DataFrame, path: str, order: list[str]) -> None:
     """JSON lines in order within and across part files."""
     df.orderBy(*order).write.mode("overwrite").json(path)

@@ -5,6 +5,7 @@ from itertools import permutations
 import numpy as np
 
 from scenova.operators import sequential as S
+from scenova.operators.suppression import survivors
 from scenova.plans import points, scoring
 from scenova.sources import readers as R
 from scenova.sources.scenes import objects
@@ -36,6 +37,32 @@ def test_nms_in_the_plane(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_suppression_in_rounds(spark):
+    rng = np.random.default_rng(6)
+    # A row of boxes, each over its neighbours, with falling scores is a chain of many rounds; the rest is random.
+    rows = [(0, f"c{k:02}", 50.0 - k, 1.2 * k, 0.0, 0.0, 2.0, 2.0, 2.0) for k in range(25)]
+    rows += [(f, f"b{k:02}", float(rng.integers(0, 12)), *rng.uniform(-4, 4, 3).round(2).tolist(), *rng.uniform(1, 4, 3).round(2).tolist()) for f in range(1, 9) for k in range(25)]
+    held = spark.createDataFrame(rows, "frame long, object_id string, score double, x double, y double, z double, l double, w double, h double").repartition(3)
+    for own_area, flat in ((False, False), (True, False), (False, True)):
+        axes = 2 if flat else 3
+        want = set()
+        for f in range(9):
+            left = sorted((r for r in rows if r[0] == f), key=lambda r: (-r[2], r[1]))
+            while left:
+                a, *left = left
+                want.add((f, a[1]))
+                keep = []
+                for b in left:
+                    inter = np.prod([max(0.0, min(a[3 + k] + a[6 + k] / 2, b[3 + k] + b[6 + k] / 2) - max(a[3 + k] - a[6 + k] / 2, b[3 + k] - b[6 + k] / 2)) for k in range(axes)])
+                    size = [np.prod(r[6 : 6 + axes]) for r in (a, b)]
+                    if inter / (size[1] if own_area else sum(size) - inter) <= 0.25:
+                        keep.append(b)
+                left = keep
+        got = survivors(held, ["frame"], own_area=own_area, flat=flat).select("frame", "object_id").collect()
+        assert len(got) == len(want) and set(map(tuple, got)) == want
+    assert survivors(held.where("false"), ["frame"]).count() == 0
+
+
 def test_assignment_by_class_and_giou(spark):
     rows = distinct(objects(spark, SF).toPandas())
     found = scoring.assign_by_cost(spark, SF).toPandas()
@@ -77,7 +104,7 @@ def test_farthest_points_with_features_and_strata(spark):
 def test_proposals_survive_both_steps(spark):
     full = scoring.occupied(spark, SF).toPandas()
     assert (full["n"] >= 5).all()
-    alive = S.nms(scoring.occupied(spark, SF)).toPandas()["object_id"]
+    alive = survivors(scoring.occupied(spark, SF), ["scene_id"]).toPandas()["object_id"]
     got = scoring.class_proposals(spark, SF).toPandas()
     assert got.groupby("object_id").size().eq(6).all() and set(got["object_id"]) == set(alive) <= set(full["object_id"])
 

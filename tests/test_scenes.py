@@ -121,11 +121,6 @@ def test_farthest_points_by_brute_force():
     assert S.farthest(points, 10) == out
 
 
-def test_suppression():
-    boxes = np.array([[0, 0, 0, 2, 2, 2], [0, 0, 0, 2, 2, 1.8], [5, 5, 5, 6, 6, 6]], float)
-    assert S.kept_by_nms(boxes, np.array([0.5, 0.9, 0.1]), 0.25) == [1, 2]
-
-
 def test_scene_algorithms_stream_whole_groups(spark):
     rows = [(s, f"p{i}", i, float(i), float((i * 7) % 5), 0.0) for s in range(30) for i in range(10)]
     df = spark.createDataFrame(rows, "scene_id long, point_id string, idx int, x double, y double, z double")
