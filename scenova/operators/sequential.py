@@ -177,43 +177,3 @@ def assign(pairs: DataFrame, cost: str, row: str, column: str) -> DataFrame:
         return {"scene_id": np.repeat(g["scene_id"][:1], len(a)), row: a, column: b}
 
     return per_group(pairs.select("scene_id", row, column, cost), ["scene_id"], [row, column], run, f"scene_id bigint, {row} string, {column} string")
-
-
-def farthest(points: np.ndarray, n: int, *, skip_origin: bool = False) -> list[int]:
-    """Indices of farthest-point sampling from the first point, the lowest index on ties."""
-    near = np.full(len(points), np.inf)
-    live = (points**2).sum(1) > 1e-3 if skip_origin else np.ones(len(points), bool)
-    out = [0]
-    while len(out) < min(n, len(points)):
-        near = np.minimum(near, ((points - points[out[-1]]) ** 2).sum(1))
-        out.append(int(np.argmax(np.where(live, near, -1))))
-    return out
-
-
-def farthest_points(points: DataFrame, n: int, *, skip_origin: bool = False, features: tuple[str, ...] = ()) -> DataFrame:
-    """(scene_id, point_id, place) of each cloud's sample. Columns x, y, z and idx give the points and their order; ``features`` count as further axes."""
-
-    def run(g: Columns) -> Columns:
-        picked = farthest(np.column_stack([g[c] for c in ("x", "y", "z", *features)]), n, skip_origin=skip_origin)
-        return {"scene_id": g["scene_id"][picked], "point_id": g["point_id"][picked], "place": np.arange(len(picked), dtype=np.int32)}
-
-    return per_group(points.select("scene_id", "point_id", "idx", "x", "y", "z", *features), ["scene_id"], ["idx"], run, "scene_id bigint, point_id string, place int")
-
-
-def farthest_by_distance(distances: DataFrame, n: int) -> DataFrame:
-    """(scene_id, place, pick): farthest-point sampling where the distances are given as rows (scene_id, i, j, d).
-
-    ``i`` and ``j`` count from 0 and all pairs of a scene are there. Sampling
-    begins at 0, the lowest number wins ties, and a scene gives no more than it has.
-    """
-
-    def run(g: Columns) -> Columns:
-        size = int(round(len(g["d"]) ** 0.5))
-        d = g["d"].reshape(size, size)
-        least, picked = d[0].copy(), [0]
-        while len(picked) < min(n, size):
-            picked.append(int(least.argmax()))
-            least = np.minimum(least, d[picked[-1]])
-        return {"scene_id": np.repeat(g["scene_id"][:1], len(picked)), "place": np.arange(len(picked), dtype=np.int32), "pick": np.array(picked, np.int32)}
-
-    return per_group(distances.select("scene_id", "i", "j", "d"), ["scene_id"], ["i", "j"], run, "scene_id bigint, place int, pick int")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scenova.functions.ids import hash_order
 from scenova.operators import neighbours as N
+from scenova.operators import sampling
 from scenova.operators import sequential as S
 from scenova.plans.base import query
 from scenova.sources.scenes import objects
@@ -141,44 +142,70 @@ def square_distances(spark, sf_dir) -> DataFrame:
 @query(f"WITH {CLOUD_SQL} SELECT scene_id, point_id, stratum::INTEGER AS stratum FROM (SELECT *, ntile(4) OVER (PARTITION BY scene_id ORDER BY sqrt(x * x + y * y), idx) AS stratum FROM cloud)", heads="o")
 def radius_strata(spark, sf_dir) -> DataFrame:
     """Four equal strata of a cloud by radius, for stratified sampling."""
-    w = Window.partitionBy("scene_id").orderBy(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")), "idx")
-    return cloud(spark, sf_dir).select("scene_id", "point_id", F.ntile(4).over(w).alias("stratum"))
+    return cloud(spark, sf_dir).select("scene_id", "point_id", F.ntile(4).over(by_radius()).alias("stratum"))
 
 
-@query()
+def by_radius() -> Window:
+    return Window.partitionBy("scene_id").orderBy(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")), "idx")
+
+
+def by_angle() -> Window:
+    return Window.partitionBy("scene_id").orderBy(F.col("x") / F.col("y"), "idx")
+
+
+def farthest_sql(group: str, source: str, n: int, *, head: str = "", feature: str = "") -> str:
+    """CTEs q1 to qn: the picks so far of each group of (grp, idx, point_id, x, y, z)."""
+    far = "(p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) + (p.z - c.z) * (p.z - c.z)" + (f" + (p.{feature} - c.{feature}) * (p.{feature} - c.{feature})" if feature else "")
+    out = [f"{head}c AS (SELECT *, {group} AS grp FROM {source})", "q1 AS (SELECT grp, 0 AS place, min(idx) AS idx FROM c GROUP BY grp)"]
+    for k in range(1, n):
+        near = f"SELECT c.grp, c.idx, min({far}) AS near FROM c JOIN q{k} q ON q.grp = c.grp JOIN c p ON p.grp = q.grp AND p.idx = q.idx GROUP BY ALL"
+        out.append(f"q{k + 1} AS (SELECT * FROM q{k} UNION ALL SELECT grp, {k} AS place, arg_max(idx, {{'near': near, 'first': -idx}}) AS idx FROM ({near}) GROUP BY grp HAVING count(*) > {k})")
+    return ", ".join(out)
+
+
+def picks_sql(n: int) -> str:
+    return f"SELECT q.grp AS scene_id, c.point_id, q.place FROM q{n} q JOIN c ON c.grp = q.grp AND c.idx = q.idx"
+
+
+STRATUM = "scene_id * 4 + stratum - 1"
+
+
+@query(f"WITH {CLOUD_SQL}, {farthest_sql('scene_id', 'cloud', 8)} {picks_sql(8)}", heads="o")
 def farthest_points(spark, sf_dir) -> DataFrame:
-    """Farthest-point sampling: sequential in a cloud, so a helper on each cloud; tests hold it against brute force."""
-    return S.farthest_points(cloud(spark, sf_dir), 8)
+    """Farthest-point sampling of eight points of each cloud."""
+    return sampling.farthest_points(cloud(spark, sf_dir), 8)
 
 
-@query()
+@query(f"WITH {CLOUD_SQL}, {farthest_sql(STRATUM, 's', 2, head='s AS (SELECT *, ntile(4) OVER (PARTITION BY scene_id ORDER BY sqrt(x * x + y * y), idx) AS stratum FROM cloud), ')} {picks_sql(2)}", heads="o")
 def strata_farthest_points(spark, sf_dir) -> DataFrame:
     """Farthest-point sampling in each stratum of a cloud."""
-    p = cloud(spark, sf_dir).join(radius_strata(spark, sf_dir), ["scene_id", "point_id"])
+    p = cloud(spark, sf_dir).withColumn("stratum", F.ntile(4).over(by_radius()))
     p = p.withColumn("scene_id", F.col("scene_id") * 4 + F.col("stratum") - 1)
-    return S.farthest_points(p, 2)
+    return sampling.farthest_points(p, 2)
 
 
 @query(f"WITH {CLOUD_SQL} SELECT scene_id, point_id, stratum::INTEGER AS stratum FROM (SELECT *, ntile(4) OVER (PARTITION BY scene_id ORDER BY x / y, idx) AS stratum FROM cloud)", heads="o")
 def angle_strata(spark, sf_dir) -> DataFrame:
     """Four equal strata of a cloud by the angle atan(x / y), whose order is that of x / y."""
-    w = Window.partitionBy("scene_id").orderBy(F.col("x") / F.col("y"), "idx")
-    return cloud(spark, sf_dir).select("scene_id", "point_id", F.ntile(4).over(w).alias("stratum"))
+    return cloud(spark, sf_dir).select("scene_id", "point_id", F.ntile(4).over(by_angle()).alias("stratum"))
 
 
-@query()
+@query(f"WITH {CLOUD_SQL}, {farthest_sql(STRATUM, 's', 2, head='s AS (SELECT *, ntile(4) OVER (PARTITION BY scene_id ORDER BY x / y, idx) AS stratum FROM cloud), ')} {picks_sql(2)}", heads="o")
 def angle_farthest_points(spark, sf_dir) -> DataFrame:
     """Farthest-point sampling in each stratum of angle."""
-    p = cloud(spark, sf_dir).join(angle_strata(spark, sf_dir), ["scene_id", "point_id"])
-    return S.farthest_points(p.withColumn("scene_id", F.col("scene_id") * 4 + F.col("stratum") - 1), 2)
+    p = cloud(spark, sf_dir).withColumn("stratum", F.ntile(4).over(by_angle()))
+    return sampling.farthest_points(p.withColumn("scene_id", F.col("scene_id") * 4 + F.col("stratum") - 1), 2)
 
 
-@query()
+@query(
+    f"SELECT scene_id, point_id, place, 'features' AS kind FROM (WITH {CLOUD_SQL}, {farthest_sql('scene_id', '(SELECT * REPLACE (f / 1000 AS f) FROM cloud)', 4, feature='f')} {picks_sql(4)}) UNION ALL SELECT scene_id, point_id, place, 'coordinates' FROM (WITH {CLOUD_SQL}, {farthest_sql('scene_id', 'cloud', 4)} {picks_sql(4)})",
+    heads="o",
+)
 def feature_farthest_points(spark, sf_dir) -> DataFrame:
     """Farthest-point sampling by coordinates with the feature (in thousands) as a fourth axis, and by coordinates alone."""
     p = cloud(spark, sf_dir).withColumn("f", F.col("f") / 1000)
     kinds = {"features": ("f",), "coordinates": ()}
-    both = [S.farthest_points(p, 4, features=f).withColumn("kind", F.lit(kind)) for kind, f in kinds.items()]
+    both = [sampling.farthest_points(p, 4, features=f).withColumn("kind", F.lit(kind)) for kind, f in kinds.items()]
     return both[0].unionByName(both[1])
 
 

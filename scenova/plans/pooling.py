@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scenova.functions import geometry as G
 from scenova.operators import neighbours as N
-from scenova.operators import sequential as S
+from scenova.operators import sampling
 from scenova.plans.base import query
 from scenova.plans.points import CLOUD_SQL, D2, cloud
 from scenova.sources.scenes import objects, table
@@ -94,7 +94,7 @@ def matrix_farthest_points(spark, sf_dir) -> DataFrame:
     m = n.select("scene_id", *[F.col(c).alias(f"b_{c}") for c in ("category", "x", "y", "z")], F.col("i").alias("j"))
     d2 = sum((F.col(c) - F.col(f"b_{c}")) * (F.col(c) - F.col(f"b_{c}")) for c in "xyz")
     apart = F.when(F.col("category") != F.col("b_category"), 25.0).otherwise(0.0)
-    return S.farthest_by_distance(n.join(m, "scene_id").select("scene_id", "i", "j", (d2 + apart).alias("d")), 4)
+    return sampling.farthest_by_distance(n.join(m, "scene_id").select("scene_id", "i", "j", (d2 + apart).alias("d")), 4)
 
 
 @query(

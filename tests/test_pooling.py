@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from scenova.operators import neighbours as N
-from scenova.operators import sequential as S
+from scenova.operators import sampling
 from scenova.plans import pooling
 
 SF = "/root/testdata/sf0.001"
@@ -55,7 +55,7 @@ def test_given_distances(spark, n):
             least = [min(d[p, j] for p in picked) for j in range(size)]
             picked.append(least.index(max(least)))
         want[scene] = picked
-    got = S.farthest_by_distance(spark.createDataFrame(rows, "scene_id long, i long, j long, d double"), n).orderBy("scene_id", "place").collect()
+    got = sampling.farthest_by_distance(spark.createDataFrame(rows, "scene_id long, i long, j long, d double"), n).orderBy("scene_id", "place").collect()
     assert {s: [r["pick"] for r in got if r["scene_id"] == s] for s in want} == want
 
 

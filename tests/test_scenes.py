@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from scenova.functions import geometry as G
 from scenova.functions import text as T
 from scenova.operators import neighbours as N
+from scenova.operators import sampling
 from scenova.operators import sequential as S
 from scenova.operators.ranks import area_under, hash_rank, precision_recall
 from scenova.plans.registry import QUERIES
@@ -112,21 +113,24 @@ def test_assignment_is_cheapest(n, more, seed):
     assert len(set(found)) == n and sum(cost[i, j] for i, j in enumerate(found)) == best
 
 
-def test_farthest_points_by_brute_force():
+def test_farthest_points_by_brute_force(spark):
     rng = np.random.default_rng(2)
     points = rng.normal(size=(60, 3))
+    held = spark.createDataFrame([(7, f"p{i}", i, *map(float, p)) for i, p in enumerate(points)], "scene_id long, point_id string, idx int, x double, y double, z double")
     out = [0]
     while len(out) < 10:
         out.append(max(range(60), key=lambda i: (min(((points[i] - points[j]) ** 2).sum() for j in out), -i)))
-    assert S.farthest(points, 10) == out
+    assert [int(r["point_id"][1:]) for r in sampling.farthest_points(held, 10).orderBy("place").collect()] == out
+    near = held.withColumns({c: F.when(F.col("idx") == 5, 0.01).otherwise(F.col(c)) for c in "xyz"})
+    assert 5 not in [int(r["point_id"][1:]) for r in sampling.farthest_points(near, 30, skip_origin=True).collect()]
 
 
-def test_scene_algorithms_stream_whole_groups(spark):
+def test_farthest_points_of_many_scenes(spark):
     rows = [(s, f"p{i}", i, float(i), float((i * 7) % 5), 0.0) for s in range(30) for i in range(10)]
     df = spark.createDataFrame(rows, "scene_id long, point_id string, idx int, x double, y double, z double")
-    found = S.farthest_points(df, 3).collect()
+    found = sampling.farthest_points(df, 3).collect()
     assert len(found) == 90 and {r["point_id"] for r in found if r["place"] == 0} == {"p0"}
-    assert S.farthest_points(df.where("false"), 3).count() == 0
+    assert sampling.farthest_points(df.where("false"), 3).count() == 0
 
 
 def test_local_plan(spark):
