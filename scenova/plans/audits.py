@@ -45,25 +45,48 @@ def strict_audit(spark, sf_dir) -> DataFrame:
     return demand(violations(rows, rules))
 
 
-@query("SELECT b.item_id, count(*) AS docs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
-def benchmark_leaks(spark, sf_dir) -> DataFrame:
-    """Documents that hold a benchmark passage whole: a fixed small set of passages against all texts."""
-    passages = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # Candidates meet on up to five words from inside the passage (its edge words may be part of longer ones), then the
-    # whole passage is checked; no text meets every passage. Passages of one or two words have none inside: few, sent whole.
+#: Up to so many hashed grams of passages go to every task as one array; beyond that texts' grams are shuffled.
+SENT_GRAMS = 20_000
+
+
+def hashed_grams(words: Column, widths: list[int]) -> Column:
+    """Distinct hashes of all runs of so many words."""
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
+    none = F.array().cast("array<bigint>")
+    return F.array_distinct(F.flatten(F.array(none, *[F.when(F.size(words) >= n, runs(n)).otherwise(none) for n in widths])))
+
+
+def passages_held(texts: DataFrame, passages: DataFrame) -> DataFrame:
+    """(item_id, doc_id) of texts (doc_id, text) that hold a passage (item_id, passage) whole.
+
+    Candidates meet on up to five words from inside the passage (its edge words
+    may be part of longer ones) by their hash; then the whole passage is looked
+    for in the same row, so no text travels. Passages of one or two words have
+    none inside: those few are sent whole.
+    """
     words = F.split("passage", " ")
     inner = F.size(words) - 2
     width = F.least(F.lit(5), inner)
-    passages = passages.withColumns({"width": width, "gram": F.when(inner > 0, F.array_join(F.slice(words, F.floor((inner - width) / 2).cast("int") + 2, width), " "))})
+    passages = passages.withColumns({"width": width, "gram": F.when(inner > 0, F.xxhash64(F.array_join(F.slice(words, F.floor((inner - width) / 2).cast("int") + 2, width), " ")))})
+    long = passages.where("width > 0").select("item_id", "gram", "passage")
     widths = [r["width"] for r in passages.where("width > 0").select("width").distinct().collect()]  # five numbers at most
-    grams = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
-    cut = F.split("text", " ")
-    found = F.flatten(F.array(*[F.when(F.size("w") >= n, grams(F.col("w"), n)).otherwise(F.array().cast("array<string>")) for n in widths]))
-    grammed = texts.withColumn("w", cut).select("doc_id", F.explode(F.array_distinct(found)).alias("gram"))
-    met = grammed.join(passages.where("width > 0").select("item_id", "gram", "passage"), "gram").select("doc_id", "item_id", "passage").join(texts, "doc_id")
+    told = texts.withColumn("grams", hashed_grams(F.split("text", " "), widths))
+    if long.limit(SENT_GRAMS + 1).count() <= SENT_GRAMS:
+        known = long.agg(F.collect_set("gram").alias("known"))  # one row of SENT_GRAMS numbers at most
+        hits = told.join(F.broadcast(known)).withColumn("grams", F.array_intersect("grams", "known")).where(F.size("grams") > 0)
+        met = hits.withColumn("gram", F.explode("grams")).join(F.broadcast(long), "gram")
+    else:
+        found = told.select("doc_id", F.explode("grams").alias("gram")).join(long, "gram")
+        met = found.select("doc_id", "item_id", "passage").join(texts, "doc_id")
     short = texts.join(F.broadcast(passages.where("width <= 0").select("item_id", "passage")), F.contains("text", "passage")).select("item_id", "doc_id")
-    held = met.where(F.contains("text", "passage")).select("item_id", "doc_id").unionByName(short)
+    return met.where(F.contains("text", "passage")).select("item_id", "doc_id").unionByName(short)
+
+
+@query("SELECT b.item_id, count(*) AS docs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
+def benchmark_leaks(spark, sf_dir) -> DataFrame:
+    """Documents that hold a benchmark passage whole."""
+    passages = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
+    held = passages_held(table(spark, sf_dir, "documents").select("doc_id", "text"), passages)
     return held.groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
 
 

@@ -209,27 +209,32 @@ def random_baseline(spark, sf_dir) -> DataFrame:
 
 @query()
 def ridge_probe(spark, sf_dir) -> DataFrame:
-    """Closed-form ridge on standardised token arrays: moments are summed on the executors, a 64 x 64 system is solved."""
+    """Closed-form ridge on standardised token arrays: moments are summed on the executors, a system of as many unknowns as a token is long is solved."""
     e = table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("double").alias("y"), (F.col("vec_id") % 7 == 0).alias("held"))
+    # Tokens of the commonest length count; others have no place in the system.
+    lengths = e.where("v is not null and y is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    d = lengths[0]["d"] if lengths else 0
+    e = e.where((F.size("v") == d) & F.col("y").isNotNull())
     train = e.where(~F.col("held"))
 
     def moments(batches):
         total = None
         for pdf in batches:
-            x = np.column_stack([np.stack(pdf["v"].to_numpy()), np.ones(len(pdf)), pdf["y"].to_numpy()])
-            total = x.T @ x if total is None else total + x.T @ x
+            if len(pdf):
+                x = np.column_stack([np.stack(pdf["v"].to_numpy()), np.ones(len(pdf)), pdf["y"].to_numpy()])
+                total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
             yield pd.DataFrame({"k": np.arange(total.size), "s": total.ravel()})
 
-    sums = train.mapInPandas(moments, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).orderBy("k").collect()  # 66 x 66 numbers
-    m = np.array([r["s"] for r in sums]).reshape(66, 66)
-    n, mean = m[64, 64], m[64, :64] / m[64, 64]
-    cov = m[:64, :64] / n - np.outer(mean, mean)
+    sums = train.mapInPandas(moments, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).orderBy("k").collect()  # (d + 2) squared numbers
+    m = np.array([r["s"] for r in sums]).reshape(d + 2, d + 2) if sums else np.eye(d + 2)
+    n, mean = m[d, d], m[d, :d] / m[d, d]
+    cov = m[:d, :d] / n - np.outer(mean, mean)
     scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-    y_mean = m[64, 65] / n
-    xy = (m[:64, 65] / n - mean * y_mean) / scale
-    w = np.linalg.solve(cov / np.outer(scale, scale) + 1.0 / n * np.eye(64), xy) / scale
-    guess = G.dot(F.col("v"), F.array(*[F.lit(float(a)) for a in w])) + F.lit(float(y_mean - mean @ w))
+    y_mean = m[d, d + 1] / n
+    xy = (m[:d, d + 1] / n - mean * y_mean) / scale
+    w = np.linalg.solve(cov / np.outer(scale, scale) + 1.0 / n * np.eye(d), xy) / scale
+    guess = G.dot(F.col("v"), F.array(*[F.lit(float(a)) for a in w]).cast("array<double>")) + F.lit(float(y_mean - mean @ w))
     return e.groupBy("held").agg(F.count("*").alias("n"), F.round(1 - F.sum((F.col("y") - guess) ** 2) / (F.var_pop("y") * F.count("*")), 6).alias("r2"))
 
 
