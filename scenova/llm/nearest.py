@@ -17,7 +17,9 @@ scores go by the smaller id; rows with equal ids are candidates each on its
 own, and a query leaves out one row of its own id and vector, itself. Query
 rows of equal id and vector are one query, answered once; those of equal id
 and other vectors are answered each on its own. With fewer than k candidates
-all are returned; an empty table gives no rows.
+all are returned; long vectors are compared whole, in double precision where
+float32 sums would round; other columns, of any name, are not read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

@@ -15,6 +15,8 @@ Defined cases: a null, empty or very short text has x = 0 and gets the
 probabilities of the thresholds alone. Ratings that are null, or whose
 document is missing, are left out. With no ratings, or one grade only, the
 model knows no difference: the tail probability is 1 and every row is kept.
+Very long texts are read whole, in slices; repeated rows get equal scores; ties
+of the hash among rated rows go by id and grade; an empty table stays empty.
 Output columns replace input columns of the same name.
 """
 

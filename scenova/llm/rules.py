@@ -7,7 +7,7 @@ estimate, their exact quantile (on a fixed grid of logarithms, so that its
 memory is bounded and its value does not depend on task order), and estimates
 over the rows within it. Two starts are followed for ``steps`` steps (one from
 medians and spreads, one from the plain mean), the one with the lower
-determinant is kept, group by group, and steps go on from there until no
+determinant is kept, group by group (both go through the same passes), and steps go on from there until no
 group's determinant falls any more. Covariances are then scaled to be
 consistent for normal rows, and a row is rejected when its squared Mahalanobis
 distance exceeds the chi-square quantile of ``level``.
@@ -23,7 +23,9 @@ rules; null lang and null source are values of their own; groups of fewer than
 ``least_rows`` rows that pass the base rules share one estimate per lang, and
 where that has too few rows still, the base rules alone decide; a statistic
 that does not vary over ``share`` of a group's rows (by TINY or less) gets the
-floor of its scale there, and no other does.
+floor of its scale there, and no other does; very long texts are read whole;
+repeated rows and ties of a distance share a verdict; other columns, of any
+name, are not read; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -215,13 +217,14 @@ def spread_start(rows: DataFrame, floors: DataFrame | None = None) -> DataFrame:
 
 
 def robust_estimates(rows: DataFrame, share: float, steps: int, sent: bool = True, floors: DataFrame | None = None) -> DataFrame:
-    """The estimate of the lower determinant of two starts, per group."""
-    found = []
-    for start in (spread_start(rows, floors), moments(rows, F.lit(True), floors)):
-        for _ in range(steps):
-            start = cut(concentrate(rows, start, share, sent, floors))
-        found.append(start)
-    return lower(found[0].unionByName(found[1]))
+    """The estimate of the lower determinant of two starts, per group. Both are followed in the same passes, as groups of their own."""
+    both = F.explode(F.array(F.lit(0), F.lit(1)))
+    named = lambda df, start: df.withColumn("start", start).withColumn("group", F.struct("group", "start")).drop("start")
+    rows2, floors2 = named(rows, both), None if floors is None else named(floors, both)
+    found = named(spread_start(rows, floors), F.lit(0)).unionByName(named(moments(rows, F.lit(True), floors), F.lit(1)))
+    for _ in range(steps):
+        found = cut(concentrate(rows2, found, share, sent, floors2))
+    return lower(found.withColumn("group", F.col("group.group")))
 
 
 def lower(estimates: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ through the ranks in step instead, each round at the places of one rank alone,
 so that their time is nearly in proportion to their length. The counts of
 surviving symbols are kept in a bounded cache, long pre-tokens excepted.
 
-Null and empty texts have 0 tokens. Ties (repeated rows) give equal counts.
+Defined cases: null and empty texts have 0 tokens; repeated rows give equal
+counts; very long texts are counted whole, in slices; output columns replace
+input columns of the same name; an empty table stays empty.
 """
 
 from __future__ import annotations

@@ -22,7 +22,10 @@ pooled states alone.
 Defined cases: null, empty and blank texts have no window and score the logit
 bias alone; with no labels, or one label only, every score is the share of
 toxic labels; repeated rows score alike (scores
-have six digits); an empty table stays empty.
+have six digits); a null id is never held out and never trained on; all windows
+of a very long text are scored, in slices; equal window scores need no order,
+since the largest counts; output columns replace input columns of the same
+name; an empty table stays empty.
 """
 
 from __future__ import annotations

@@ -74,6 +74,16 @@ def test_sharding(docs):
     assert sharding.shard_rows(empty(docs)).count() == 0
 
 
+def test_sharding_of_one_id(spark):
+    rows = [(7, "the same row")] * 5000 + [(7, f"text {i}") for i in range(2000)] + [(i, f"text {i}") for i in range(100, 1100)]
+    held = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for most in (300, 10_000):
+        found = sharding.shard_rows(held, shards=4, most_in_cell=most).collect()
+        assert len(found) == 8000 and sorted(r["doc_id"] for r in found) == sorted(i for i, _ in rows)
+        for s in range(4):
+            assert sorted(r["slot"] for r in found if r["shard"] == s) == list(range(2000))
+
+
 def test_packing(docs):
     rows = packing.pack(docs, path=public_tokenizers.path("word_bpe_49k.json")).collect()
     assert sum(r["length"] for r in rows if r["doc_id"] == 1) == 1
