@@ -4,7 +4,6 @@ from itertools import permutations
 
 import numpy as np
 
-from scenova.operators import sequential as S
 from scenova.operators.suppression import survivors
 from scenova.plans import points, scoring
 from scenova.sources import readers as R
