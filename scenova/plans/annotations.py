@@ -138,13 +138,13 @@ def success_criteria(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    f"WITH {NUMBERED_SQL}, r AS (SELECT sequence, score, row_number() OVER (PARTITION BY sequence ORDER BY object_id) AS i, row_number() OVER (PARTITION BY sequence ORDER BY object_id DESC) AS j FROM objects) SELECT sequence, round(first, 4) AS first, round(last, 4) AS last, round((first - last) / first, 4) AS drop_share FROM (SELECT sequence, avg(CASE WHEN i <= 3 THEN score END) AS first, avg(CASE WHEN j <= 3 THEN score END) AS last FROM r GROUP BY sequence)",
+    f"WITH {NUMBERED_SQL}, r AS (SELECT sequence, score, row_number() OVER (PARTITION BY sequence ORDER BY object_id, score) AS i, row_number() OVER (PARTITION BY sequence ORDER BY object_id DESC, score DESC) AS j FROM objects) SELECT sequence, round(first, 4) AS first, round(last, 4) AS last, round((first - last) / first, 4) AS drop_share FROM (SELECT sequence, avg(CASE WHEN i <= 3 THEN score END) AS first, avg(CASE WHEN j <= 3 THEN score END) AS last FROM r GROUP BY sequence)",
     heads="o",
 )
 def loss_drop(spark, sf_dir) -> DataFrame:
     """Mean of the first and of the last three points of each series, and the drop between them."""
     rows = objects(spark, sf_dir).select("sequence", "object_id", "score")
-    ends = [first_rows(rows, ["sequence"], [order], 3).groupBy("sequence").agg(F.avg("score").alias(name)) for order, name in ((F.asc("object_id"), "first"), (F.desc("object_id"), "last"))]
+    ends = [first_rows(rows, ["sequence"], [order(c) for c in ("object_id", "score")], 3).groupBy("sequence").agg(F.avg("score").alias(name)) for order, name in ((F.asc, "first"), (F.desc, "last"))]
     drop = F.try_divide(F.col("first") - F.col("last"), F.col("first"))
     return ends[0].join(ends[1], "sequence").select("sequence", F.round("first", 4).alias("first"), F.round("last", 4).alias("last"), F.round(drop, 4).alias("drop_share"))
 

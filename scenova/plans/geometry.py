@@ -132,7 +132,7 @@ def image_projection(spark, sf_dir) -> DataFrame:
 
 @query(
     """
-    WITH r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY object_id) - 1 AS ord FROM objects),
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY object_id, x, y) - 1 AS ord FROM objects),
     a AS (SELECT * FROM r WHERE x > 1.0 AND x < 22.0),
     c AS (SELECT scene_id,
             min(abs(y) - greatest(w / 2, 0.3) - 1.2) AS s,

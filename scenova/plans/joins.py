@@ -8,17 +8,16 @@ from pyspark.sql import functions as F
 from scenova.functions import geometry as G
 from scenova.functions.ids import hash_order
 from scenova.plans.base import query
-from scenova.sources.scenes import objects, pairs, table
-
-REFERRED = "row_number() OVER (PARTITION BY scene_id ORDER BY object_id) % 2 = 1"
+from scenova.sources.scenes import ORDER, ORDER_SQL, objects, pairs, table
 
 
 def numbered(objs: DataFrame) -> DataFrame:
-    """``objs`` with ord: place in its scene by id, from 0."""
-    return objs.withColumn("ord", F.row_number().over(Window.partitionBy("scene_id").orderBy("object_id")) - 1)
+    """``objs`` with ord: place in its scene by id, from 0; repeated ids go by place and score, as far as ``objs`` has them."""
+    order = [c for c in ORDER if c in objs.columns]
+    return objs.withColumn("ord", F.row_number().over(Window.partitionBy("scene_id").orderBy(*order)) - 1)
 
 
-NUMBERED_SQL = "numbered AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY object_id) - 1 AS ord FROM objects)"
+NUMBERED_SQL = f"numbered AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY {ORDER_SQL}) - 1 AS ord FROM objects)"
 
 
 @query(

@@ -11,15 +11,15 @@ from scenova.operators import neighbours as N
 from scenova.operators import sampling
 from scenova.operators import sequential as S
 from scenova.plans.base import query
-from scenova.sources.scenes import objects
+from scenova.sources.scenes import ORDER_SQL, objects
 
-CLOUD_SQL = "cloud AS (SELECT cloud AS scene_id, object_id AS point_id, CAST(row_number() OVER (PARTITION BY cloud ORDER BY object_id) - 1 AS INTEGER) AS idx, x, y, z, score AS f FROM objects)"
+CLOUD_SQL = f"cloud AS (SELECT cloud AS scene_id, object_id AS point_id, CAST(row_number() OVER (PARTITION BY cloud ORDER BY {ORDER_SQL}) - 1 AS INTEGER) AS idx, x, y, z, score AS f FROM objects)"
 D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
 
 
 def cloud(spark, sf_dir) -> DataFrame:
     rows = objects(spark, sf_dir).select(F.col("cloud").alias("scene_id"), F.col("object_id").alias("point_id"), "x", "y", "z", F.col("score").alias("f"))
-    return rows.withColumn("idx", (F.row_number().over(Window.partitionBy("scene_id").orderBy("point_id")) - 1).cast("int"))
+    return rows.withColumn("idx", (F.row_number().over(Window.partitionBy("scene_id").orderBy("point_id", "x", "y", "z", "f")) - 1).cast("int"))
 
 
 def ball_sql(predicate: str, n: int = 8) -> str:

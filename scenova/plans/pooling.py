@@ -13,7 +13,7 @@ from scenova.operators import neighbours as N
 from scenova.operators import sampling
 from scenova.plans.base import query
 from scenova.plans.points import CLOUD_SQL, D2, cloud
-from scenova.sources.scenes import objects, table
+from scenova.sources.scenes import ORDER, ORDER_SQL, objects, table
 
 CELL = "least(greatest(floor((dx + 4) / 4) * 4 + floor((dy + 4) / 4) * 2 + floor((dz + 4) / 4), 0), 7)::INTEGER"
 LOCAL_SQL = f"{CLOUD_SQL}, m AS (SELECT a.scene_id, a.idx, a.point_id, b.idx AS i, b.f, b.x AS px, b.y AS py, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM cloud a JOIN cloud b ON a.scene_id = b.scene_id AND {{}}), g AS (SELECT *, {CELL} AS cell FROM m)"
@@ -57,7 +57,7 @@ def local_three_nn(spark, sf_dir) -> DataFrame:
     return N.local_three_nearest(p, p, 4.0, 2)
 
 
-BOX_SQL = "b AS (SELECT cloud AS scene_id, object_id AS point_id, CAST(row_number() OVER (PARTITION BY cloud ORDER BY object_id) - 1 AS INTEGER) AS idx, x, y, z, l * 4 AS l, w * 4 AS w, h * 4 AS h, yaw FROM objects)"
+BOX_SQL = f"b AS (SELECT cloud AS scene_id, object_id AS point_id, CAST(row_number() OVER (PARTITION BY cloud ORDER BY {ORDER_SQL}) - 1 AS INTEGER) AS idx, x, y, z, l * 4 AS l, w * 4 AS w, h * 4 AS h, yaw FROM objects)"
 
 
 @query(
@@ -70,8 +70,8 @@ BOX_SQL = "b AS (SELECT cloud AS scene_id, object_id AS point_id, CAST(row_numbe
 )
 def box_pool(spark, sf_dir) -> DataFrame:
     """Largest and mean feature in eight voxels of every object's box (four times as large), over the points of its cloud."""
-    rows = objects(spark, sf_dir).select(F.col("cloud").alias("scene_id"), F.col("object_id").alias("point_id"), "x", "y", "z", *[(F.col(c) * 4).alias(c) for c in "lwh"], "yaw")
-    boxes = rows.withColumn("idx", (F.row_number().over(Window.partitionBy("scene_id").orderBy("point_id")) - 1).cast("int"))
+    place = F.row_number().over(Window.partitionBy("cloud").orderBy(*ORDER)) - 1
+    boxes = objects(spark, sf_dir).select(F.col("cloud").alias("scene_id"), F.col("object_id").alias("point_id"), "x", "y", "z", *[(F.col(c) * 4).alias(c) for c in "lwh"], "yaw", place.cast("int").alias("idx"))
     pooled = N.box_pool(boxes, cloud(spark, sf_dir), 2, "f", width=8.0, slots=4)
     return pooled.withColumn("mean", F.round("mean", 4))
 

@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A total order of objects. Ids may repeat with other places and scores; rows equal in all of these are equal.
+ORDER = ["object_id", "x", "y", "z", "score"]
+ORDER_SQL = ", ".join(ORDER)
+
+
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each object of each scene."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
