@@ -265,6 +265,11 @@ def summary_part(text: Column) -> Column:
     return F.trim(F.element_at(F.split(text, "Summary:"), -1))
 
 
+def platform_utterance(text: Column, platform: Column, summarised: list[str]) -> Column:
+    """The summary alone for platforms whose texts carry one, the text as it is for others."""
+    return F.when(platform.isin(summarised), summary_part(text)).otherwise(text)
+
+
 def plan_phrase_ok(text: Column, kind: Column, safe: Column, steer: Column, pass_side: Column, blocker: Column) -> Column:
     """Whether an answer says what a plan key asks: a verdict on safety, a stop, or a steer with its passing side."""
     held = norm_plain(text)

@@ -130,6 +130,40 @@ def training_log(spark, sf_dir) -> DataFrame:
     return R.log_metrics(spark, path, "Epoch ", r"(rows|quantity): (\d+)")
 
 
+ARRAY_NAME_SQL = "CASE category WHEN 0 THEN split_part(caption, ' ', 1) || ' ' || split_part(caption, ' ', 2) WHEN 1 THEN 'old ' || split_part(caption, ' ', 2) WHEN 2 THEN 'old thing' WHEN 3 THEN NULL ELSE split_part(caption, ' ', 2) END"
+
+
+@query(
+    f"WITH n AS (SELECT scene_id::VARCHAR AS scene_id, object_id, caption AS utterance, {ARRAY_NAME_SQL} AS name FROM objects WHERE split <> 'val'), "
+    "t AS (SELECT *, CASE WHEN contains(utterance, name) THEN name WHEN contains(utterance, split_part(name, ' ', -1)) THEN split_part(name, ' ', -1) END AS target FROM n) SELECT scene_id, object_id, utterance, target FROM t WHERE target IS NOT NULL",
+    heads="o",
+)
+def array_annotations(spark, sf_dir) -> DataFrame:
+    """Annotations as JSON arrays, one for each cloud: scans of a split kept, and the target taken from what the utterance says."""
+    word = lambda nth: F.split_part("caption", F.lit(" "), F.lit(nth))
+    kind = F.col("category")
+    name = F.when(kind == 0, F.concat(word(1), F.lit("_"), word(2))).when(kind == 1, F.concat(F.lit("old_"), word(2))).when(kind == 2, "old_thing").when(kind > 3, word(2))
+    one = F.struct(F.col("scene_id").cast("string").alias("scene_id"), "object_id", name.alias("object_name"), F.split("caption", " ").alias("token"))
+    rows = objects(spark, sf_dir).groupBy("cloud").agg(F.to_json(F.collect_list(one)).alias("content"))
+    path = K.shared_folder(spark, "arrays")
+    K.write_documents(rows.select(F.concat(F.col("cloud").cast("string"), F.lit(".json")).alias("name"), "content"), path)
+    known = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").cast("string").alias("scene_id"))
+    return R.json_array(spark, path, known).select("scene_id", "object_id", "utterance", "target")
+
+
+@query("SELECT cloud::VARCHAR AS id, count(*) AS n, round(max(score), 2) AS best, arg_max(object_id, {'s': score, 'o': object_id}) AS chosen FROM objects GROUP BY cloud", heads="o")
+def prediction_folders(spark, sf_dir) -> DataFrame:
+    """One prediction.json for each sample in a folder of its own, found again at any depth; other files beside them are passed over."""
+    rows = objects(spark, sf_dir).groupBy("cloud").agg(F.count("*").alias("n"), F.max(F.struct("score", "object_id")).alias("top"))
+    content = F.to_json(F.struct(F.col("cloud").cast("string").alias("id"), "n", F.col("top.score").alias("best"), F.col("top.object_id").alias("chosen")))
+    at = lambda name: F.concat_ws("/", F.concat(F.lit("part"), F.col("cloud") % 5), F.col("cloud").cast("string"), F.lit(name)).alias("name")
+    path = K.shared_folder(spark, "samples")
+    K.write_documents(rows.select(at("prediction.json"), content.alias("content")), path)
+    K.write_documents(rows.where("cloud % 10 = 0").select(at("notes.json"), content.alias("content")), path)
+    held = R.predictions(spark, path, "id string, n long, best double, chosen string")
+    return held.withColumn("best", F.round("best", 2))
+
+
 @query("SELECT p_brand AS key, min(p_type) AS value FROM part GROUP BY p_brand")
 def label_files(spark, sf_dir) -> DataFrame:
     """A tab-separated dictionary of labels."""

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenova.functions import geometry as G
+from scenova.functions import text as T
+from scenova.functions.ids import hash_order
 from scenova.plans.base import query
 from scenova.sources.scenes import objects, pairs
 
+
 def deltas() -> tuple[Column, Column, Column]:
     return tuple(F.col(f"a_{c}") - F.col(f"b_{c}") for c in "xyz")
 
@@ -130,8 +133,7 @@ def image_projection(spark, sf_dir) -> DataFrame:
     return objects(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(depth > 0).alias("ahead"), F.count_if(inside).alias("inside"))
 
 
-@query(
-    """
+PLAN_SQL = """
     WITH r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY object_id, x, y) - 1 AS ord FROM objects),
     a AS (SELECT * FROM r WHERE x > 1.0 AND x < 22.0),
     c AS (SELECT scene_id,
@@ -145,9 +147,10 @@ def image_projection(spark, sf_dir) -> DataFrame:
         CASE WHEN best >= -0.5 THEN CASE WHEN CASE WHEN s = best THEN 0.0 WHEN l = best THEN 3.0 ELSE -3.0 END > b.y THEN 'left' ELSE 'right' END END AS pass_side,
         CAST(b.ord AS INTEGER) AS blocker, round(best, 6) AS clearance
     FROM d
-    """,
-    heads="o",
-)
+    """
+
+
+@query(PLAN_SQL, heads="o")
 def local_plan(spark, sf_dir) -> DataFrame:
     """Corridor choice per scene: three paths against all boxes ahead."""
     boxes = objects(spark, sf_dir).groupBy("scene_id").agg(F.sort_array(F.collect_list(F.struct("object_id", "x", "y", "w"))).alias("b"))
@@ -156,6 +159,46 @@ def local_plan(spark, sf_dir) -> DataFrame:
     return plan.select("scene_id", "p.steer", "p.pass_side", "p.blocker", F.round("p.clearance", 6).alias("clearance"))
 
 
+SPOILT = ("right", "turned", "short", "empty", "both")
+
+
+@query(
+    f"""WITH p AS ({PLAN_SQL.strip()}), k AS (SELECT *, ['right', 'turned', 'short', 'empty', 'both'][('0x' || substr(sha1('plan|' || scene_id), 1, 4))::INTEGER % 5 + 1] AS answer FROM p)
+    SELECT 'local_plan' AS kind, answer, steer, count(*) AS n, CASE WHEN answer = 'right' OR answer = 'both' THEN 1.0 ELSE 0.0 END::DOUBLE AS rate FROM k GROUP BY ALL
+    UNION ALL SELECT 'candidate_maneuver_safety', answer, CASE WHEN clearance >= 0 THEN 'safe' ELSE 'unsafe' END, count(*), CASE WHEN answer = 'right' OR answer = 'both' AND clearance < 0 THEN 1.0 ELSE 0.0 END::DOUBLE FROM k GROUP BY ALL""",
+    heads="o",
+)
+def plan_answers(spark, sf_dir) -> DataFrame:
+    """Answers about plans, right and spoilt, scored by the words that their plan asks for: steer, going on and the passing side, a stop, or a verdict on safety."""
+    digit = F.conv(F.substr(hash_order("plan", F.col("scene_id")), F.lit(1), F.lit(4)), 16, 10).cast("int") % 5
+    rows = local_plan(spark, sf_dir).withColumns({"answer": F.element_at(F.array(*map(F.lit, SPOILT)), digit + 1), "role": F.char(F.col("blocker") + 65)})
+    safe = F.col("clearance") >= 0
+    other = F.when(F.col("pass_side") == "left", "right").otherwise("left")
+    passing = lambda side: F.concat(F.lit("Steer "), "steer", F.lit(" and continue forward, passing to the "), side, F.lit(" of Object "), "role", F.lit("."))
+    stop = F.col("steer") == "stop"
+    move = {
+        "right": F.when(stop, "The ego should stop.").otherwise(passing(F.col("pass_side"))),
+        "turned": F.when(stop, "The ego should stoop.").otherwise(passing(other)),
+        "short": F.when(stop, "Stop.").otherwise(F.concat(F.lit("Steer "), "steer", F.lit("."))),
+        "both": F.when(stop, "It should not wait, it should stop!").otherwise(F.concat(passing(other), F.lit(" "), passing(F.col("pass_side")))),
+    }
+    verdict = {
+        "right": F.when(safe, "It is safe.").otherwise("It is unsafe."),
+        "turned": F.when(safe, "It is unsafe.").otherwise("It is safe."),
+        "short": F.lit("Safe."),
+        "both": F.lit("It is safe, or it is unsafe."),
+    }
+
+    def told(texts: dict[str, Column]) -> Column:
+        return F.coalesce(*[F.when(F.col("answer") == name, text) for name, text in texts.items()], F.lit(""))
+
+    moves = rows.select(F.lit("local_plan").alias("kind"), "answer", "steer", "pass_side", "role", safe.alias("safe"), told(move).alias("said"))
+    verdicts = rows.select(F.lit("candidate_maneuver_safety").alias("kind"), "answer", F.when(safe, "safe").otherwise("unsafe").alias("steer"), "pass_side", "role", safe.alias("safe"), told(verdict).alias("said"))
+    ok = T.plan_phrase_ok(F.col("said"), F.col("kind"), F.col("safe"), F.col("steer"), F.col("pass_side"), F.col("role"))
+    scored = moves.unionByName(verdicts).withColumn("ok", ok)
+    return scored.groupBy("kind", "answer", "steer").agg(F.count("*").alias("n"), F.avg(F.col("ok").cast("double")).alias("rate"))
+
+
 @query(
     """
     SELECT direction, closer, count(*) AS n FROM (

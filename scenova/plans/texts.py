@@ -26,6 +26,16 @@ def normalize_caption(spark, sf_dir) -> DataFrame:
     return turns(spark, sf_dir).select("conv_id", "turn", T.normalize_caption(F.col("text")).alias("norm"), F.length(T.format_caption(F.col("text"))).cast("long").alias("padded"))
 
 
+SUMMED_SQL = "CASE category WHEN 0 THEN caption || '. Summary: a ' || split_part(caption, ' ', 2) || ' ' WHEN 1 THEN 'Summary: one Summary:  ' || caption WHEN 2 THEN caption || ' Summary:' ELSE ' ' || caption END"
+
+
+@query(f"SELECT object_id, platform, CASE WHEN platform IN ('platform1', 'platform2') THEN trim(string_split(said, 'Summary:')[-1]) ELSE said END AS utterance FROM (SELECT object_id, platform, {SUMMED_SQL} AS said FROM objects)", heads="o")
+def summary_utterances(spark, sf_dir) -> DataFrame:
+    """What follows the last summary mark on two platforms; the third one's texts stay as they are."""
+    rows = objects(spark, sf_dir).select("object_id", "platform", F.expr(SUMMED_SQL).alias("said"))
+    return rows.select("object_id", "platform", T.platform_utterance(F.col("said"), F.col("platform"), ["platform1", "platform2"]).alias("utterance"))
+
+
 @query("SELECT l_orderkey AS k, l_linenumber AS n, replace(regexp_replace('part ,' || l_partkey || ' . not mentioned', ' \\. not mentioned$', ''), ' ,', ',') AS clean FROM lineitem")
 def clean_utterance(spark, sf_dir) -> DataFrame:
     said = F.concat(F.lit("part ,"), F.col("l_partkey").cast("string"), F.lit(" . not mentioned"))

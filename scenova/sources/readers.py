@@ -136,10 +136,25 @@ def csv_annotations(spark: SparkSession, path: str, scans: DataFrame) -> DataFra
     return kept.withColumn("tokens", F.from_json(F.translate("tokens", "'", '"'), "array<string>"))
 
 
-def json_array(spark: SparkSession, path: str) -> DataFrame:
-    """Annotations of one JSON array, with their tokens joined."""
-    rows = spark.read.schema("scene_id string, object_id string, object_name string, token array<string>").option("multiLine", True).json(path)
-    return rows.withColumn("utterance", F.array_join("token", " ")).withColumn("target", F.coalesce(F.replace("object_name", F.lit("_"), F.lit(" ")), F.lit("object")))
+def json_array(spark: SparkSession, path: str, known: DataFrame | None = None, *, keep_all: bool = False) -> DataFrame:
+    """Annotations of JSON arrays, with their tokens joined and a target that the utterance says.
+
+    The target is the object's name with blanks for underscores, or its last word
+    where only that is said. Rows that say neither (or have no name) go; with
+    ``keep_all`` their target is the utterance's first word, without commas at
+    its ends. ``known`` (scene_id) keeps the scans of a split.
+    """
+    rows = spark.read.schema("scene_id string, object_id string, object_name string, token array<string>").option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    if known is not None:
+        rows = rows.join(known.select("scene_id").distinct(), "scene_id", "left_semi")
+    rows = rows.withColumn("utterance", F.coalesce(F.array_join("token", " "), F.lit("")))
+    word = lambda text, nth: F.element_at(F.split(F.trim(text), r"\s+"), nth)
+    name = F.replace("object_name", F.lit("_"), F.lit(" "))
+    said = lambda text: F.when(F.contains("utterance", text), text)
+    target = F.coalesce(said(name), said(word(name, -1)))
+    if keep_all:
+        return rows.withColumn("target", F.coalesce(target, F.btrim(word(F.col("utterance"), 1), F.lit(","))))
+    return rows.withColumn("target", target).where("target is not null")
 
 
 def synonyms(spark: SparkSession, tables: dict[str, dict[str, list[str]]]) -> DataFrame:

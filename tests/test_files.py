@@ -10,10 +10,15 @@ from scenova.sources import readers as R
 
 def test_json_array_and_its_target(spark, tmp_path):
     rows = [{"scene_id": "s1", "object_id": "4", "object_name": "office_chair", "token": ["the", "chair"]}, {"scene_id": "s2", "object_id": "5", "token": []}]
+    rows += [{"scene_id": "s3", "object_id": "6", "object_name": "trash_can", "token": ["blue,", "box"]}, {"scene_id": "s4", "object_id": "7", "object_name": "trash_can", "token": ["a", "trash", "can"]}]
     path = tmp_path / "all.json"
     path.write_text(json.dumps(rows, indent=1))
-    got = R.json_array(spark, str(path)).orderBy("scene_id").collect()
-    assert [(r["utterance"], r["target"]) for r in got] == [("the chair", "office chair"), ("", "object")]
+    told = lambda **how: [(r["scene_id"], r["utterance"], r["target"]) for r in R.json_array(spark, str(path), **how).orderBy("scene_id").collect()]
+    # The whole name where it is said, else its last word; rows that say neither go, or take their first word.
+    assert told() == [("s1", "the chair", "chair"), ("s4", "a trash can", "trash can")]
+    assert told(keep_all=True) == [("s1", "the chair", "chair"), ("s2", "", ""), ("s3", "blue, box", "blue"), ("s4", "a trash can", "trash can")]
+    known = spark.createDataFrame([("s4",), ("s4",), ("s9",)], "scene_id string")
+    assert told(known=known) == [("s4", "a trash can", "trash can")]
 
 
 def test_prediction_folders(spark, tmp_path):
