@@ -253,10 +253,31 @@ def multi_scale_pool(spark, sf_dir) -> DataFrame:
     """Local grids of two scales about every point, side by side in one row."""
     p = cloud(spark, sf_dir)
     scales = {"near": 2.0, "far": 4.0}
-    pooled = [N.local_grid_pool(p, p, r, 2, ["f", "x", "y"], fold=2).select("scene_id", "idx", F.lit(name).alias("scale"), F.col("c0").alias("v")) for name, r in scales.items()]
-    both = pooled[0].unionByName(pooled[1])
     of = lambda name: F.when(F.col("scale") == name, F.col("v"))
-    return both.groupBy("scene_id", "idx").agg(*[F.count(of(n)).alias(f"{n}_cells") for n in scales], *[(F.coalesce(F.round(F.sum(of(n)), 6), F.lit(0.0)) + 0.0).alias(f"{n}_sum") for n in scales])
+
+    keys = ["scene_id", "idx"]
+
+    def lists(rows: DataFrame) -> DataFrame:
+        one = lambda p: F.struct(N.apart(p).alias("d2"), (p["f"] + p["y"]).alias("v"), *[N.local_cell(r, 2, p.__getitem__).alias(n) for n, r in scales.items()])
+        rows = rows.where(F.size("_near") > 0).select(*keys, F.transform("_near", one).alias("_near"))
+        rows = rows.select(*keys, *[F.filter("_near", lambda v: v["d2"] <= r * r).alias(n) for n, r in scales.items()])
+
+        def means(n: str) -> Column:
+            held = F.transform(F.array_distinct(F.transform(n, lambda v: v[n])), lambda c: N.mean(F.transform(F.filter(n, lambda v: v[n] == c), lambda v: v["v"])))
+            return F.filter(held, lambda v: v.isNotNull())
+
+        rows = rows.select(*keys, *[means(n).alias(n) for n in scales])
+        total = lambda n: F.when(F.size(n) > 0, F.aggregate(n, F.lit(0.0), lambda s, v: s + v))
+        return rows.select(*keys, *[F.size(n).cast("long").alias(f"{n}_cells") for n in scales], *[(F.coalesce(F.round(total(n), 6), F.lit(0.0)) + 0.0).alias(f"{n}_sum") for n in scales])
+
+    def pairs(met: DataFrame) -> DataFrame:
+        held = F.array(*[F.struct(F.lit(n).alias("scale"), (F.col("d2") <= r * r).alias("near"), N.local_cell(r, 2).alias("cell")) for n, r in scales.items()])
+        met = met.withColumn("s", F.explode(F.filter(held, lambda h: h["near"])))
+        cells = met.groupBy(*keys, F.col("s.scale").alias("scale"), F.col("s.cell").alias("cell")).agg(F.avg(F.col("p_f") + F.col("p_y")).alias("v"))
+        return cells.groupBy(*keys).agg(*[F.count(of(n)).alias(f"{n}_cells") for n in scales], *[(F.coalesce(F.round(F.sum(of(n)), 6), F.lit(0.0)) + 0.0).alias(f"{n}_sum") for n in scales])
+
+    far = max(scales.values())
+    return N.near_lists(p, p, far, N.local(far), lists, pairs)
 
 
 @query(
