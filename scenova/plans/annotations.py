@@ -9,10 +9,12 @@ from scenova.functions import annotations as A
 from scenova.functions import geometry as G
 from scenova.functions import text as T
 from scenova.operators.annotations import assign_spans, unambiguous_targets
+from scenova.operators.ranks import score_rank
 from scenova.plans.base import query
 from scenova.plans.joins import NUMBERED_SQL, numbered
 from scenova.plans.ranking import first_rows
 from scenova.sources.scenes import objects, table
+from scenova.sources.sinks import written
 
 #: A scene's caption is those of its first three objects; an object's class is its caption's second word.
 MENTIONS_SQL = f"""{NUMBERED_SQL}, c AS (SELECT scene_id, split_part(caption, ' ', 2) AS class, object_id, ord FROM numbered),
@@ -157,14 +159,16 @@ p3 AS (SELECT e.platform, arg_max(object_id, pos) AS worst FROM e JOIN p1 ON e.p
 
 @query(f"WITH {PICK_SQL} SELECT p1.platform, best, median, worst FROM p1 LEFT JOIN p2 ON p1.platform = p2.platform LEFT JOIN p3 ON p1.platform = p3.platform", heads="o")
 def distinct_picks(spark, sf_dir) -> DataFrame:
-    """Best, median and worst row of each group, each of a file that has none yet: three passes that give one row each."""
-    w = Window.partitionBy("platform")
-    rows = objects(spark, sf_dir).select("platform", "sequence", "object_id", "score")
-    rows = rows.select("platform", "sequence", "object_id", (F.row_number().over(w.orderBy("score", "object_id")) - 1).alias("pos"), F.count("*").over(w).alias("n"))
-    chosen = rows.select("platform").distinct().withColumn("used", F.array().cast("array<string>"))
-    for name, to in (("best", F.lit(0)), ("median", F.floor(F.col("n") / 2)), ("worst", F.col("n") - 1)):
-        free = rows.join(chosen.select("platform", "used"), "platform").where(~F.array_contains("used", F.col("sequence")))
-        pick = free.groupBy("platform").agg(F.min_by(F.struct("object_id", "sequence"), F.struct(F.abs(F.col("pos") - to).alias("d"), F.col("pos"))).alias("_p"))
+    """Best, median and worst row of each group, each of a file that has none yet: rows are ranked in buckets, and a file's nearest row to each place stands for it."""
+    rows = written(objects(spark, sf_dir).select("platform", "sequence", "object_id", "score"), "picks")
+    rows = score_rank(rows, ["platform"], "score", "object_id")
+    places = {"best": F.lit(0), "median": F.floor(F.col("n") / 2), "worst": F.col("n") - 1}
+    nearest = [F.min(F.struct(F.abs(F.col("pos") - to).alias("d"), "pos", "object_id", "sequence")).alias(f"_{name}") for name, to in places.items()]
+    files = written(rows.groupBy("platform", "sequence").agg(*nearest), "picks")
+    chosen = files.select("platform").distinct().withColumn("used", F.array().cast("array<string>"))
+    for name in places:
+        free = files.join(chosen.select("platform", "used"), "platform").where(~F.array_contains("used", F.col("sequence")))
+        pick = free.groupBy("platform").agg(F.min(f"_{name}").alias("_p"))
         chosen = chosen.join(pick, "platform", "left").withColumns({name: F.col("_p.object_id"), "used": F.array_compact(F.array_append("used", F.col("_p.sequence")))}).drop("_p")
     return chosen.select("platform", "best", "median", "worst")
 

@@ -3,6 +3,7 @@
 import pytest
 
 from scenova.operators import neighbours as N
+from scenova.operators.ranks import score_rank
 from scenova.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +21,14 @@ def test_small_clouds_stay_where_they_are(spark, name, monkeypatch):
     want = sorted(map(str, found.collect()))
     monkeypatch.setattr(N, "WHOLE", 3 if name == "matrix_farthest_points" else 30)
     assert sorted(map(str, QUERIES[name](spark, SF).collect())) == want
+
+
+def test_ranks_in_buckets(spark):
+    """No window holds a whole group: places over many buckets are those of one sort; equal scores go by the tie."""
+    rows = [(g, float(i * 7 % 50 // 2), f"o{i:03d}") for g in "ab" for i in range(200)]
+    df = spark.createDataFrame(rows, "platform string, score double, object_id string")
+    got = score_rank(df, ["platform"], "score", "object_id", 20)
+    found = {(r["platform"], r["object_id"]): (r["pos"], r["n"]) for r in got.collect()}
+    for g in "ab":
+        want = sorted((s, o) for k, s, o in rows if k == g)
+        assert [found[g, o] for _, o in want] == [(i, 200) for i in range(200)]
