@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,6 +29,11 @@ RELATION_PHRASES = {"left": "to the left of", "right": "to the right of", "front
 OPPOSITE = {"left": "right", "right": "left", "front": "behind", "behind": "front", "gets_closer_to": "does_not_get_closer_to", "does_not_get_closer_to": "gets_closer_to"}
 
 
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value computed once a row, however often ``of`` names it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def normalize_caption(text: Column) -> Column:
     """A blank before each comma, single blanks elsewhere."""
     return F.trim(F.regexp_replace(F.replace(text, F.lit(","), F.lit(" ,")), r"\s+", " "))
@@ -296,16 +304,17 @@ def introduced(clause: Column) -> Column:
     many the rest is tried against the introductions.
     """
     held = F.regexp_replace(F.lower(clause), r"\s*:\s*", ": ")
-    words = F.filter(F.split(held, r"\s+"), lambda w: w != "")
-    plain = F.transform(F.reverse(words), lambda w: F.rlike(w, F.lit("^[a-z0-9-]+$")) & ~w.isin(BREAKERS))
-    first_odd = F.array_position(plain, F.lit(False))
-    fill = F.least(F.lit(MOST_FILL), F.when(first_odd > 0, (first_odd - 1).cast("int")).otherwise(F.size(words)))
+    split = F.filter(F.split(held, r"\s+"), lambda w: w != "")
 
-    def ends(n: Column) -> Column:
-        head = F.array_join(F.slice(words, F.lit(1), F.size(words) - n), " ")
-        return F.exists(F.array(*map(F.lit, INTRODUCTIONS)), lambda i: F.endswith(head, i))
+    def told(words: Column) -> Column:
+        plain = F.transform(F.reverse(words), lambda w: F.rlike(w, F.lit("^[a-z0-9-]+$")) & ~w.isin(BREAKERS))
+        first_odd = F.array_position(plain, F.lit(False))
+        fill = F.least(F.lit(MOST_FILL), F.when(first_odd > 0, (first_odd - 1).cast("int")).otherwise(F.size(words)))
+        head = lambda n: F.array_join(F.slice(words, F.lit(1), F.size(words) - n), " ")
+        ends = lambda said: reduce(or_, [F.endswith(said, F.lit(i)) for i in INTRODUCTIONS])
+        return F.exists(F.transform(F.sequence(F.lit(0), fill), head), ends)
 
-    return F.exists(F.sequence(F.lit(0), fill), ends)
+    return bound(split, told)
 
 
 def secondary_mentions(caption: Column, mentions: Column, main_end: Column) -> Column:
