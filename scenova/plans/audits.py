@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scenova.functions.text import bound
 from scenova.plans.base import query
 from scenova.plans.generators import directed
 from scenova.sources.scenes import objects, table
@@ -51,9 +52,13 @@ SENT_GRAMS = 20_000
 
 def hashed_grams(words: Column, widths: list[int]) -> Column:
     """Distinct hashes of all runs of so many words."""
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
     none = F.array().cast("array<bigint>")
-    return F.array_distinct(F.flatten(F.array(none, *[F.when(F.size(words) >= n, runs(n)).otherwise(none) for n in widths])))
+
+    def told(held: Column) -> Column:
+        runs = lambda n: F.transform(F.sequence(F.lit(1), F.size(held) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(held, i, n), " ")))
+        return F.array_distinct(F.flatten(F.array(none, *[F.when(F.size(held) >= n, runs(n)).otherwise(none) for n in widths])))
+
+    return bound(words, told)
 
 
 def passages_held(texts: DataFrame, passages: DataFrame) -> DataFrame:
