@@ -178,7 +178,9 @@ def triple_grammar(spark, sf_dir) -> DataFrame:
     from scenova.plans.generators import directed
 
     said = F.concat(F.lit("Object A is "), F.when(F.col("dx") > 0, "in front of").otherwise("behind"), F.lit(" Object B and Object B is to the "), F.when(F.col("dy") > 0, "right").otherwise("left"), F.lit(" of Object A."))
-    return directed(spark, sf_dir).select(F.array_join(T.extract_triples(said), "; ").alias("triples")).groupBy("triples").agg(F.count("*").alias("n"))
+    # A sentence that many pairs say is parsed once.
+    sentences = directed(spark, sf_dir).groupBy(said.alias("said")).agg(F.count("*").alias("n"))
+    return sentences.groupBy(F.array_join(T.extract_triples(F.col("said")), "; ").alias("triples")).agg(F.sum("n").alias("n"))
 
 
 @query("SELECT substr(sha1(conv_id || '|' || turn || '|' || role), 1, 16) AS id FROM conversations")
