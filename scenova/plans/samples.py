@@ -288,6 +288,9 @@ def multi_scale_pool(spark, sf_dir) -> DataFrame:
 def lateral_mentions(spark, sf_dir) -> DataFrame:
     """Mentions of nouns as rows, by SQL text that calls a table function for each caption."""
     SQL.register(spark)
-    rows = objects(spark, sf_dir).dropDuplicates(["object_id"]).select("object_id", F.concat("caption", F.lit(" and one more "), F.split_part("caption", F.lit(" "), F.lit(2))).alias("said"))
+    said = F.concat("caption", F.lit(" and one more "), F.split_part("caption", F.lit(" "), F.lit(2)))
+    rows = objects(spark, sf_dir).select("object_id", said.alias("said"))
     nouns = ", ".join(f"'{n}'" for n in NOUNS)
-    return spark.sql(f"SELECT c.object_id, m.nth, m.start, m.word FROM {{captions}} c, LATERAL mentions_of(c.said, array({nouns})) m", captions=rows)
+    # A caption that many objects share is searched once.
+    found = spark.sql(f"SELECT c.said, m.nth, m.start, m.word FROM {{captions}} c, LATERAL mentions_of(c.said, array({nouns})) m", captions=rows.select("said").distinct())
+    return rows.distinct().join(found, "said").select("object_id", "nth", "start", "word")
