@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scenova.functions import geometry as G
 from scenova.functions.ids import hash_order, odd_digest, stable_id
+from scenova.operators.neighbours import clouds
 from scenova.operators.ranks import area_under, hash_rank, precision_recall
 from scenova.plans.aggregates import scored
 from scenova.plans.base import query
@@ -105,12 +106,29 @@ def category_quota(spark, sf_dir) -> DataFrame:
     return ranked.join(quota, "split").where("rn <= quota").select("split", "category", "object_id")
 
 
+#: Pairs of scenes of up to so many objects are made and sorted inside the scene's row.
+PAIRED = 64
+
+
+def first_pairs(objs: DataFrame, n: int, whole: int = PAIRED) -> DataFrame:
+    """The first ``n`` ordered pairs (scene_id, a_id, b_id) of each scene in hash order; pairs of scenes of more than ``whole`` objects meet in a join."""
+    place = F.row_number().over(Window.partitionBy("scene_id").orderBy("object_id"))
+    few, many = clouds(objs.select("scene_id", "object_id", place.alias("idx")), whole)
+    one = lambda a, b: F.struct(hash_order("pairs", a, b).alias("h"), a.alias("a_id"), b.alias("b_id"))
+    of = lambda a: F.transform(F.filter("_ids", lambda b: b != a), lambda b: one(a, b))
+    rows = few.select("scene_id", F.transform("_cloud", lambda o: o["object_id"]).alias("_ids"))
+    rows = rows.select("scene_id", F.explode(F.slice(F.sort_array(F.flatten(F.transform("_ids", of))), 1, n)).alias("p")).select("scene_id", "p.a_id", "p.b_id")
+    if many is None:
+        return rows
+    met = first_rows(pairs(many.select("scene_id", "object_id")), ["scene_id"], [hash_order("pairs", F.col("a_object_id"), F.col("b_object_id"))], n)
+    return rows.unionByName(met.select("scene_id", F.col("a_object_id").alias("a_id"), F.col("b_object_id").alias("b_id")))
+
+
 @query("SELECT scene_id, a_id, b_id FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY sha1('pairs|' || a_id || '|' || b_id)) AS rn FROM pairs) WHERE rn <= 30", heads="p")
 def pair_cap(spark, sf_dir) -> DataFrame:
     """Thirty ordered pairs of each scene at most, in hash order: a sampling operator."""
-    met = pairs(objects(spark, sf_dir).select("scene_id", "object_id"))
-    rows = first_rows(met, ["scene_id"], [hash_order("pairs", F.col("a_object_id"), F.col("b_object_id"))], 30)
-    return rows.select("scene_id", F.col("a_object_id").alias("a_id"), F.col("b_object_id").alias("b_id"))
+    return first_pairs(objects(spark, sf_dir).select("scene_id", "object_id"), 30)
+
 
 
 @query("SELECT scene_id, caption, min(object_id) AS object_id FROM objects GROUP BY ALL", heads="o")
