@@ -211,7 +211,7 @@ def frame_documents(spark, sf_dir) -> DataFrame:
     reasons = R.frame_objects(frames).select("platform", "sequence", "frame", F.lit("ok").alias("status"), "reason")
     odd = frames.where("status <> 'ok'").select("platform", "sequence", "frame", "status", F.lit("none").alias("reason"))
     sizes = rows.select("platform", F.concat(F.lit("frame"), F.col("cloud") % 7).alias("sequence"), F.col("cloud").cast("string").alias("frame"), "n")
-    odd = odd.join(sizes, ["platform", "sequence", "frame"])  # what broken frames would have held
+    odd = odd.hint("merge").join(sizes, ["platform", "sequence", "frame"])  # what broken frames would have held
     both = reasons.withColumn("n", F.lit(1).cast("long")).unionByName(odd)
     return both.groupBy("platform", "sequence", "status", "reason").agg(F.countDistinct("frame").alias("frames"), F.sum("n").alias("n"))
 
@@ -224,7 +224,9 @@ def lidar_files(spark, sf_dir) -> DataFrame:
 
     @F.arrow_udf("binary")
     def packed(clouds: pa.Array) -> pa.Array:
-        return pa.array([np.array([[p["x"], p["y"], p["z"], 0.5] for p in c], "<f4").tobytes() for c in clouds.to_pylist()], pa.binary())
+        points, sizes = clouds.flatten(), clouds.value_lengths().to_numpy(zero_copy_only=False).astype(int)
+        rows = np.stack([*[points.field(c).to_numpy(zero_copy_only=False) for c in "xyz"], np.full(len(points), 0.5)], axis=1).astype("<f4")
+        return pa.array([c.tobytes() for c in np.split(rows, np.cumsum(sizes)[:-1])][: len(sizes)], pa.binary())
 
     path = K.shared_folder(spark, "lidar")
     K.write_documents(rows.select(F.concat(F.col("cloud").cast("string"), F.lit("/cloud.bin")).alias("name"), packed("p").alias("content")), path)
@@ -255,13 +257,14 @@ def indoor_scans(spark, sf_dir) -> DataFrame:
 
     @F.arrow_udf("binary")
     def ply(clouds: pa.Array) -> pa.Array:
-        out = []
-        for c in clouds.to_pylist():
-            xyz = np.array([[p["x"], p["y"], p["z"]] for o in c for p in o["corners"]], "<f4")
-            head = f"ply\nformat binary_little_endian 1.0\nelement vertex {len(xyz)}\nproperty float x\nproperty float y\nproperty float z\nproperty uchar red\nend_header\n"
-            body = np.concatenate([xyz.view(np.uint8).reshape(len(xyz), 12), np.full((len(xyz), 1), 9, np.uint8)], axis=1)
-            out.append(head.encode() + body.tobytes())
-        return pa.array(out, pa.binary())
+        held = clouds.flatten().field("corners")
+        points = held.flatten()
+        xyz = np.stack([points.field(c).to_numpy(zero_copy_only=False) for c in "xyz"], axis=1).astype("<f4")
+        ends = np.concatenate([[0], np.cumsum(held.value_lengths().to_numpy(zero_copy_only=False).astype(int))])
+        ends = ends[np.concatenate([[0], np.cumsum(clouds.value_lengths().to_numpy(zero_copy_only=False).astype(int))])]
+        body = np.concatenate([xyz.view(np.uint8).reshape(len(xyz), 12), np.full((len(xyz), 1), 9, np.uint8)], axis=1)
+        head = "ply\nformat binary_little_endian 1.0\nelement vertex {}\nproperty float x\nproperty float y\nproperty float z\nproperty uchar red\nend_header\n"
+        return pa.array([head.format(b - a).encode() + body[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
 
     parts = F.flatten(F.transform("o", lambda o: F.concat(F.array_repeat(o["k"] * 2, 4), F.array_repeat(o["k"] * 2 + 1, 4))))
     group = lambda o, id: F.struct(id.alias("objectId"), o["caption"].alias("label"), F.array(o["k"] * 2, o["k"] * 2 + 1).alias("segments"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scenova.functions.ids import hash_order
-from scenova.sources.readers import ply_points
+from scenova.sources.readers import documents, json_documents, ply_points
 
 #: How many points a scan keeps, and the seed of the draw.
 KEPT_POINTS, SEED = 50_000, "1184"
@@ -33,21 +33,21 @@ def vertices(spark: SparkSession, root: str, glob: str = "*_clean_2.ply") -> Dat
                 columns = [pa.array([scan] * len(xyz), pa.string()), pa.array(range(len(xyz)), pa.int32()), *[pa.array(xyz[:, k].astype(float)) for k in range(3)]]
                 yield pa.RecordBatch.from_arrays(columns, ["scan", "vertex", "x", "y", "z"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root)
+    files = documents(spark, root, glob)
     return files.select(scan_of(F.col("path")).alias("scan"), "content").mapInArrow(unpack, "scan string, vertex int, x double, y double, z double")
 
 
 def segments(spark: SparkSession, root: str) -> DataFrame:
     """(scan, vertex, segment)."""
-    rows = spark.read.schema("segIndices array<int>").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.segs.json").json(root)
-    return rows.select(scan_of(F.col("_metadata.file_path")).alias("scan"), F.posexplode("segIndices").alias("vertex", "segment"))
+    rows = json_documents(spark, root, "segIndices array<int>", "*.segs.json")
+    return rows.select(scan_of(F.col("path")).alias("scan"), F.posexplode("segIndices").alias("vertex", "segment"))
 
 
 def scan_objects(spark: SparkSession, root: str) -> DataFrame:
     """(scan, place, object_id, label, segment), a row for each segment of an object."""
     group = "struct<objectId:int,label:string,segments:array<int>>"
-    rows = spark.read.schema(f"segGroups array<{group}>").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.aggregation.json").json(root)
-    rows = rows.select(scan_of(F.col("_metadata.file_path")).alias("scan"), F.posexplode("segGroups").alias("place", "g"))
+    rows = json_documents(spark, root, f"segGroups array<{group}>", "*.aggregation.json")
+    rows = rows.select(scan_of(F.col("path")).alias("scan"), F.posexplode("segGroups").alias("place", "g"))
     return rows.select("scan", "place", F.col("g.objectId").alias("object_id"), F.col("g.label").alias("label"), F.explode(F.array_distinct("g.segments")).alias("segment"))
 
 
@@ -69,7 +69,8 @@ def object_boxes(points: DataFrame, parts: DataFrame, owners: DataFrame) -> Data
     Of objects with the same points the first by place stays. Sets of points are
     told apart by their number and two sums of hashes, so no object is gathered.
     """
-    met = points.join(parts, ["scan", "vertex"]).join(owners, ["scan", "segment"])
+    # What tasks read from files has no size that Spark knows, so no side may be taken for a small one.
+    met = points.join(parts.hint("merge"), ["scan", "vertex"]).join(owners.hint("merge"), ["scan", "segment"])
     low, high = ([f(c).alias(f"{name}_{c}") for c in "xyz"] for name, f in (("low", F.min), ("high", F.max)))
     digest = [F.bit_xor(F.xxhash64("vertex")).alias("d1"), F.sum(F.xxhash64(F.lit(1), "vertex").cast("decimal(38,0)")).alias("d2")]
     held = met.groupBy("scan", "place", "object_id", "label").agg(F.count("*").alias("points"), *digest, *low, *high)

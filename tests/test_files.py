@@ -34,3 +34,17 @@ def test_ply_vertices():
     head = b"ply\nformat binary_little_endian 1.0\nelement vertex 2\nproperty float x\nproperty float y\nproperty float z\nproperty uchar red\nelement face 0\nproperty list uchar int vertex_indices\nend_header\n"
     body = struct.pack("<fffB", 1, 2, 3, 9) + struct.pack("<fffB", 4, 5, 6, 9)
     assert np.array_equal(R.ply_points(head + body), np.array([[1, 2, 3], [4, 5, 6]], np.float32))
+
+
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    for k in range(7):
+        (tmp_path / f"p{k % 2}" / "seq" / str(k)).mkdir(parents=True)
+        (tmp_path / f"p{k % 2}" / "seq" / str(k) / "meta_info.json").write_text('{"ground_info": [{"class": "Car"}]}' if k else '{"ground_info": [')
+        (tmp_path / f"p{k % 2}" / "seq" / str(k) / "cloud.bin").write_bytes(struct.pack("<4f", k, 1, 2, 3) * k)
+    (tmp_path / "_log.bin").write_bytes(b"x")
+    frames = R.raw_frames(spark, str(tmp_path))
+    assert not frames.inputFiles() or all("listing" in f for f in frames.inputFiles())  # no file of the layout is known to the driver
+    assert sorted((r["platform"], r["sequence"], r["frame"], r["status"]) for r in frames.collect()) == sorted((f"p{k % 2}", "seq", str(k), "ok" if k else "unreadable") for k in range(7))
+    points = R.lidar(spark, str(tmp_path)).collect()
+    assert sorted((r["x"], r["point_idx"], r["intensity"]) for r in points) == sorted((float(k), i, 3.0) for k in range(7) for i in range(k))
+    assert R.lidar(spark, str(tmp_path / "p1" / "seq" / "3" / "cloud.bin")).count() == 3
