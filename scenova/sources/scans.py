@@ -59,7 +59,7 @@ def sampled(points: DataFrame, keep: int = KEPT_POINTS) -> DataFrame:
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("scan").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = sizes.select("scan", "_b", before.alias("_before")).where(F.col("_before") < keep)
     inside = F.row_number().over(Window.partitionBy("scan", "_b").orderBy("_h"))
-    met = rows.join(cut, ["scan", "_b"]).withColumn("_r", inside)
+    met = rows.join(cut.hint("merge"), ["scan", "_b"]).withColumn("_r", inside)
     return met.where(F.col("_before") + F.col("_r") <= keep).drop("_h", "_b", "_r", "_before")
 
 
