@@ -1,13 +1,14 @@
 """Hard negatives from a two-dimensional block matrix product.
 
 Vectors become whole numbers, floor(scale * x). Anchors and candidates are cut
-into row shards and every vector into chunks of its dimensions; a shard's chunk
-is one panel, written as one row. A panel of anchors meets a panel of candidates
-of the same chunk, and their product is a tile of partial scores. The tiles of
-one pair of shards are shuffled to one place and added; what leaves that place
-is not the tile but the few best candidates of each anchor. So every task holds
-one pair of panels, or the partial tiles of one pair of shards (at most
-``MOST_CHUNKS`` of them), however large the table is.
+into row shards, and a shard is written as one row that holds a panel for each
+chunk of its dimensions. Every shard of anchors meets every shard of candidates
+where the two are read: panels of the same chunk give a tile of partial scores,
+and the tiles of a pair are added there. What leaves that place is not the tile
+but the few best candidates of each anchor. So no tile and no copy of a panel is
+shuffled or written, and what is written grows with the rows. A task holds the
+pairs of at most ``ANCHOR_SHARDS`` and ``CANDIDATE_SHARDS`` shards, however
+large the table is; long vectors have fewer rows in a shard.
 
 1. Positives: shards hold the rows of a hash of labels, so anchors meet the
    shards that can hold their label and no others. A label that fills many
@@ -27,12 +28,13 @@ after scaling reaches 2**62, since its scores don't fit a long. Zero vectors
 take part; empty vectors score 0 among themselves; vectors of different lengths
 never meet. Rows with equal ids are rows of their own, as anchors (each is
 answered) and as candidates (an anchor leaves out its own row alone). Ties go by
-the smaller id. Other columns, of any name, are not read. Long vectors have
-wider chunks. An empty table gives no rows.
+the smaller id. Other columns, of any name, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -40,13 +42,13 @@ from pyspark.sql import functions as F
 
 from scenova.llm.common import cut
 
-#: Partial tiles that are added in one place, at most; longer vectors get wider chunks.
-MOST_CHUNKS = 16
+#: Shards that a task reads of either side, about.
+ANCHOR_SHARDS, CANDIDATE_SHARDS = 4, 8
+#: Components in a shard, about.
+MOST_CELLS = 1 << 20
 #: Groups of labels: their sizes are a table of at most so many rows, which is sent to every task.
 MOST_GROUPS = 1 << 16
-PANEL = "n int, rn binary, id binary, label binary, windows binary, v binary"
-TILE = "n int, m int, scores binary, rn binary, anchor_label binary, windows binary, crn binary, id binary, label binary"
-META = ("rn", "anchor_label", "windows", "crn", "id", "label")
+PANEL = "n int, rn binary, id binary, label binary, windows binary, v array<binary>"
 
 
 def whole_numbers(vector: Column, scale: int) -> Column:
@@ -65,13 +67,14 @@ def wide(raw: bytes, rows: int) -> np.ndarray:
     return held.reshape(rows, -1).astype(np.int64)
 
 
-def panel(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row that holds a shard's chunk; rows stand in the order of their numbers."""
+def panel(pdf: pd.DataFrame, chunk: int) -> pd.DataFrame:
+    """One row that holds a shard, its vectors in chunks; rows stand in the order of their numbers."""
     pdf = pdf.sort_values("rn")
-    v = np.stack(pdf["v"].to_numpy()) if len(pdf["v"].iloc[0]) else np.zeros((len(pdf), 0))
+    v = np.stack(pdf["v"].to_numpy()).astype(np.int64) if len(pdf["v"].iloc[0]) else np.zeros((len(pdf), 0), np.int64)
     raw = [pdf[c].to_numpy(np.int64).tobytes() for c in ("rn", "id", "label")]
     windows = np.stack(pdf["windows"].to_numpy()).astype(np.int64).tobytes()
-    return pd.DataFrame([(len(pdf), *raw, windows, narrow(v.astype(np.int64)))], columns=[f.split()[0] for f in PANEL.split(", ")])
+    chunks = [narrow(v[:, at : at + chunk]) for at in range(0, max(1, v.shape[1]), chunk)]
+    return pd.DataFrame([(len(pdf), *raw, windows, chunks)], columns=[f.split()[0] for f in PANEL.split(", ")])
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -83,25 +86,14 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def partial_tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """The product of two panels; what tells rows apart goes with the first chunk alone."""
-    names = [f.split()[0] for f in TILE.split(", ")]
-    if not len(left) or not len(right):
-        return pd.DataFrame({c: [] for c in names})
-    a, b = left.iloc[0], right.iloc[0]
-    scores = narrow(product(wide(a["v"], a["n"]), wide(b["v"], b["n"])))
-    meta = (a["rn"], a["label"], a["windows"], b["rn"], b["id"], b["label"]) if a["chunk"] == 0 else (None,) * len(META)
-    return pd.DataFrame([(a["n"], b["n"], scores, *meta)], columns=names)
-
-
-def summed(pdf: pd.DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Scores of two shards, added up over their chunks, and what tells rows apart."""
-    n, total = int(pdf["n"].iloc[0]), 0
-    for raw in pdf["scores"]:
-        total = total + wide(raw, n)
-    first = pdf[pdf["rn"].notna()].iloc[0]
-    held = {c: np.frombuffer(first[c], np.int64) for c in META}
-    return total, held | {"windows": held["windows"].reshape(n, -1, 2)}
+def summed(row) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Scores of two shards, added up over the tiles of their chunks, and what tells rows apart."""
+    total = 0
+    for a, b in zip(row.v, row.c_v):
+        total = total + product(wide(a, row.n), wide(b, row.c_n))
+    held = {"rn": row.rn, "anchor_label": row.label, "windows": row.windows, "crn": row.c_rn, "id": row.c_id, "label": row.c_label}
+    held = {c: np.frombuffer(raw, np.int64) for c, raw in held.items()}
+    return total, held | {"windows": held["windows"].reshape(row.n, -1, 2)}
 
 
 def best(scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
@@ -114,60 +106,60 @@ def best(scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) -> np
 
 
 def positives_of(k: int):
-    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        scores, of = summed(pdf)
-        rows = []
-        for i, rn in enumerate(of["rn"].tolist()):
-            same = (of["label"] == of["anchor_label"][i]) & (of["crn"] != rn)
-            rows += [(rn, int(of["crn"][j]), int(of["id"][j]), int(scores[i, j])) for j in best(scores[i], of["id"], same, k)]
-        return pd.DataFrame(rows, columns=["rn", "crn", "positive_id", "positive_score"])
+    def reduce(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row in (row for pdf in pairs for row in pdf.itertuples(index=False)):
+            scores, of = summed(row)
+            rows = []
+            for i, rn in enumerate(of["rn"].tolist()):
+                same = (of["label"] == of["anchor_label"][i]) & (of["crn"] != rn)
+                rows += [(rn, int(of["crn"][j]), int(of["id"][j]), int(scores[i, j])) for j in best(scores[i], of["id"], same, k)]
+            yield pd.DataFrame(rows, columns=["rn", "crn", "positive_id", "positive_score"])
 
     return reduce
 
 
 def negatives_of(k: int):
-    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        scores, of = summed(pdf)
-        rows = []
-        for i, rn in enumerate(of["rn"].tolist()):
-            other = of["label"] != of["anchor_label"][i]
-            for slot, (low, high) in enumerate(of["windows"][i].tolist()):
-                if low > high:
+    def reduce(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row in (row for pdf in pairs for row in pdf.itertuples(index=False)):
+            scores, of = summed(row)
+            rows = []
+            for i, rn in enumerate(of["rn"].tolist()):
+                windows = [(slot, low, high) for slot, (low, high) in enumerate(of["windows"][i].tolist()) if low <= high]
+                if not windows:
                     continue
-                inside = other & (scores[i] >= low) & (scores[i] <= high)
-                rows += [(rn, slot, int(of["id"][j]), int(scores[i, j])) for j in best(scores[i], of["id"], inside, k)]
-        return pd.DataFrame(rows, columns=["rn", "slot", "negative_id", "negative_score"])
+                any_of = (scores[i] >= min(w[1] for w in windows)) & (scores[i] <= max(w[2] for w in windows))
+                at = np.flatnonzero(any_of & (of["label"] != of["anchor_label"][i]))
+                ids, held = of["id"][at], scores[i, at]
+                for slot, low, high in windows:
+                    rows += [(rn, slot, int(ids[j]), int(held[j])) for j in best(held, ids, (held >= low) & (held <= high), k)]
+            yield pd.DataFrame(rows, columns=["rn", "slot", "negative_id", "negative_score"])
 
     return reduce
 
 
-def panels(rows: DataFrame, shard: Column, chunk: int) -> DataFrame:
-    """(dim, grp, shard, chunk) and a panel for each shard and chunk of rows (rn, id, label, v, dim, grp, windows)."""
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("dim") / F.lit(chunk))).cast("int")
-    cells = rows.withColumn("shard", shard).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    cells = cells.withColumn("v", F.slice("v", F.col("chunk") * chunk + 1, F.lit(chunk)))
-    keys = ["dim", "grp", "shard", "chunk"]
-    return cells.groupBy(*keys).applyInPandas(lambda key, pdf: panel(pdf).assign(dim=key[0], grp=key[1], shard=key[2], chunk=key[3]), PANEL + ", dim int, grp int, shard int, chunk int")
+def panels(rows: DataFrame, shard: Column, chunk: int, parts: int) -> DataFrame:
+    """(dim, grp, shard) and a panel for each shard of rows (rn, id, label, v, dim, grp, windows), written in ``parts`` even parts."""
+    keys = ["dim", "grp", "shard"]
+    made = rows.withColumn("shard", shard).groupBy(*keys).applyInPandas(lambda key, pdf: panel(pdf, chunk).assign(dim=key[0], grp=key[1], shard=key[2]), PANEL + ", dim int, grp int, shard int")
+    part = F.pmod(F.col("grp") + F.col("shard"), F.lit(parts)).cast("int")
+    return cut(made.repartitionById(parts, part))
 
 
 def shards_of(sizes: Column, rows: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(sizes / F.lit(rows))).cast("int")
 
 
-def tiles(anchors: DataFrame, rows: DataFrame, chunk: int, anchor_rows: int, candidate_rows: int) -> DataFrame:
-    """Partial tiles of every anchor shard and candidate shard of one length and group; both sides know their group's sizes (n_anchors, n_rows)."""
+def pairs_of_shards(anchors: DataFrame, rows: DataFrame, chunk: int, anchor_rows: int, candidate_rows: int) -> DataFrame:
+    """Every anchor shard beside every candidate shard (c_*) of its length and group; both sides know their group's sizes (n_anchors, n_rows)."""
     dealt = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "rn"), n).cast("int")
     n_left, n_right = shards_of(F.col("n_anchors"), anchor_rows), shards_of(F.col("n_rows"), candidate_rows)
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    sizes = rows.select("dim", "grp", n_left.alias("lefts"), n_right.alias("rights")).distinct()
-    left = panels(anchors, dealt(1, n_left), chunk).withColumnRenamed("shard", "i")
-    right = panels(rows, dealt(2, n_right), chunk).withColumnRenamed("shard", "j")
-    # Panels are few and large: each is copied for the shards that it meets only now.
-    left = left.join(F.broadcast(sizes), ["dim", "grp"]).withColumn("j", every(F.col("rights"))).drop("lefts", "rights")
-    right = right.join(F.broadcast(sizes), ["dim", "grp"]).withColumn("i", every(F.col("lefts"))).drop("lefts", "rights")
-    keys = ["dim", "grp", "i", "j", "chunk"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys))
-    return met.applyInPandas(lambda key, a, b: partial_tile(a, b).assign(dim=key[0], grp=key[1], i=key[2], j=key[3]), TILE + ", dim int, grp int, i int, j int")
+    sizes = rows.select("dim", "grp", n_left.alias("lefts"), n_right.alias("rights")).distinct().agg(F.sum("lefts"), F.sum("rights")).first()
+    lefts, rights = (max(-(-(n or 0) // most), min(n or 1, 4)) for n, most in zip(sizes, (ANCHOR_SHARDS, CANDIDATE_SHARDS)))
+    left = panels(anchors, dealt(1, n_left), chunk, lefts)
+    right = panels(rows, dealt(2, n_right), chunk, rights)
+    right = right.select("dim", "grp", *[F.col(f.split()[0]).alias(f"c_{f.split()[0]}") for f in PANEL.split(", ")])
+    # A task reads a part of either side from where they are written: nothing is exchanged.
+    return left.drop("shard").hint("shuffle_replicate_nl").join(right, ["dim", "grp"])
 
 
 def hard_negatives(
@@ -202,14 +194,14 @@ def hard_negatives(
     of_dim = by_dim.where("n_anchors > 0").orderBy("dim").collect()  # lengths, not rows
     found, closed = None, F.array(F.lit(1).cast("long"), F.lit(0).cast("long"))  # a window that holds nothing
     for d in of_dim:
-        width = max(chunk, -(-d["dim"] // MOST_CHUNKS))
+        most = max(1, MOST_CELLS // max(1, d["dim"]))
+        sides = (chunk, min(anchor_rows, most), min(candidate_rows, most))
         alike = held.where(F.col("dim") == d["dim"]).withColumn("windows", closed)
         groups = min(MOST_GROUPS, -(-d["n_rows"] // candidate_rows))
         alike = alike.withColumn("grp", F.pmod(F.xxhash64("label"), F.lit(groups)).cast("int"))
         sizes = alike.groupBy("grp").agg(F.count("*").alias("n_rows"), F.count_if("anchor").alias("n_anchors")).where("n_anchors > 0")
         alike = alike.join(F.broadcast(sizes), "grp")
-        by_shards = ["dim", "grp", "i", "j"]
-        met = tiles(alike.where("anchor"), alike, width, anchor_rows, candidate_rows).groupBy(*by_shards).applyInPandas(positives_of(positives), "rn bigint, crn bigint, positive_id bigint, positive_score bigint")
+        met = pairs_of_shards(alike.where("anchor"), alike, *sides).mapInPandas(positives_of(positives), "rn bigint, crn bigint, positive_id bigint, positive_score bigint")
         order = Window.partitionBy("rn").orderBy(F.desc("positive_score"), "positive_id", "crn")
         chosen = cut(met.withColumn("slot", F.row_number().over(order) - 1).where(F.col("slot") < positives))
 
@@ -224,7 +216,7 @@ def hard_negatives(
         whole_table = {"grp": F.lit(0), "n_rows": F.lit(d["n_rows"]), "n_anchors": F.lit(d["n_anchors"])}
         asking = alike.where("anchor").drop("windows").join(windows, "rn").withColumn("windows", padded).drop("w").withColumns(whole_table)
         offered = held.where(F.col("dim") == d["dim"]).withColumn("windows", closed).withColumns(whole_table)
-        met = tiles(asking, offered, width, anchor_rows, candidate_rows).groupBy(*by_shards).applyInPandas(negatives_of(negatives), "rn bigint, slot int, negative_id bigint, negative_score bigint")
+        met = pairs_of_shards(asking, offered, *sides).mapInPandas(negatives_of(negatives), "rn bigint, slot int, negative_id bigint, negative_score bigint")
         order = Window.partitionBy("rn", "slot").orderBy(F.desc("negative_score"), "negative_id")
         mined = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
         names = held.where("anchor").select("rn", F.col("id").alias("anchor_id"))

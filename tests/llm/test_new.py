@@ -248,3 +248,14 @@ def test_large_scores_take_no_part(spark):
 
 def test_odd_products():
     assert list(itertools.chain(negatives.best(np.array([5, 7, 7, 1]), np.array([4, 9, 2, 3]), np.array([True, True, True, False]), 2))) == [2, 1]
+
+
+def test_tiles_stay_where_they_are_made(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(i), int(i) % 3, rng.normal(size=4).round(1).tolist()) for i in range(0, 300, 5)]
+    vectors = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    found = negatives.hard_negatives(vectors, is_anchor=F.col("vec_id") % 50 == 0, anchor_rows=2, candidate_rows=5)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    made = plan[plan.index("MapInPandas") :]
+    assert "CartesianProduct" in made and "Exchange" not in made[: made.index("Scan")] and "FlatMapCoGroups" not in plan
+    assert plain(found.collect()) == plain(brute_negatives(rows))
