@@ -3,19 +3,26 @@
 Every prediction meets every truth of its frame that it can overlap: both are
 spread over the grid cells that their extents touch, and a pair is taken in one
 of its shared cells only, the one where the later of the two begins. So frames
-with many boxes are many keys, and no pair comes twice.
+with many boxes are many keys, and no pair comes twice. Where a frame's boxes
+are a few hundred and one row already, they are matched in that row instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenova.functions import geometry as G
+from scenova.operators.sequential import rotated_ious
 
 BOX = ("x", "y", "z", "l", "w", "h", "yaw")
+#: Pairs of boxes that a task compares at once.
+PAIRS = 1 << 16
 
 
 def extents(turned: bool) -> tuple[Column, Column]:
@@ -73,6 +80,91 @@ def greedy_hits(best: DataFrame, keys: list[str], thresholds: list[float]) -> Da
     return rows.withColumn("hit", hit).withColumn("tp", F.when(F.col("hit") & (turn == 1), 1).otherwise(0)).drop("hit")
 
 
+def greedy_masks(best: DataFrame, keys: list[str], thresholds: list[float]) -> DataFrame:
+    """``greedy_hits`` with one row for each guess: bit k of ``tp`` is that of threshold k."""
+    bits = F.lit(0)
+    for k, threshold in enumerate(thresholds):
+        best = best.withColumn(f"_hit{k}", F.coalesce(F.col("iou") > threshold, F.lit(False)))
+        turn = F.row_number().over(Window.partitionBy(*keys, "truth_id", f"_hit{k}").orderBy(F.desc("score"), "guess_id"))
+        bits = bits + F.when(F.col(f"_hit{k}") & (turn == 1), 1 << k).otherwise(0)
+    return best.withColumn("tp", bits).drop(*[f"_hit{k}" for k in range(len(thresholds))])
+
+
+def box_ious(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``aligned`` of boxes (n, 6: x, y, z, l, w, h)."""
+    shared = [np.maximum(0.0, np.minimum(a[:, c] + a[:, c + 3] / 2, b[:, c] + b[:, c + 3] / 2) - np.maximum(a[:, c] - a[:, c + 3] / 2, b[:, c] - b[:, c + 3] / 2)) for c in range(3)]
+    inter = shared[0] * shared[1] * shared[2]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return inter / (a[:, 3] * a[:, 4] * a[:, 5] + b[:, 3] * b[:, 4] * b[:, 5] - inter)
+
+
+def may_meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the extents of turned boxes (n, 7) meet, or nearly."""
+    c, s = zip(*[(np.abs(np.cos(v[:, 6])), np.abs(np.sin(v[:, 6]))) for v in (a, b)])
+    half = [[(v[:, 3] * c[k] + v[:, 4] * s[k]) / 2, (v[:, 3] * s[k] + v[:, 4] * c[k]) / 2, v[:, 5] / 2] for k, v in enumerate((a, b))]
+    return np.logical_and.reduce([np.abs(a[:, k] - b[:, k]) <= (half[0][k] + half[1][k]) * (1 + 1e-9) + 1e-9 for k in range(3)])
+
+
+def first_alike(ids: pa.Array, starts: np.ndarray) -> np.ndarray:
+    """For each element the first one of its list with the same id; lists are in the order of ids and begin at ``starts``."""
+    code = pc.fill_null(ids.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+    fresh = np.r_[True, code[1:] != code[:-1]][: len(code)]
+    fresh[starts[starts < len(code)]] = True
+    return np.maximum.accumulate(np.where(fresh, np.arange(len(code)), 0))
+
+
+def masks_in_rows(guesses: Column, truths: Column, thresholds: list[float], *, turned: bool = False) -> Column:
+    """``greedy_masks`` of frames that are one row each: arrays of structs (idx, score, box) and (idx, box) in the order of the ids idx, a number for each guess.
+
+    A box with a null or NaN meets none. Rows should hold a few hundred boxes at most.
+    """
+    axes = BOX if turned else BOX[:6]
+
+    def fields(lists: pa.Array) -> tuple[dict[str, pa.Array], np.ndarray, np.ndarray, np.ndarray]:
+        n = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten()
+        held = dict(zip([f.name for f in flat.type], flat.flatten()))
+        box = np.stack([held[c].to_numpy(zero_copy_only=False).astype(float) for c in axes], 1)
+        starts = np.cumsum(n) - n
+        return held, box, n, starts
+
+    @F.arrow_udf("array<int>")
+    def masks(g: pa.Array, t: pa.Array) -> pa.Array:
+        (mine, gbox, gn, g0), (theirs, tbox, tn, t0) = fields(g), fields(t)
+        pairs, met = gn * tn, []
+        ends = np.cumsum(pairs)
+        at = 0
+        while at < len(pairs):
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] - pairs[at] + PAIRS, "right")))
+            row = np.repeat(np.arange(at, end), pairs[at:end])
+            place = np.arange(len(row)) - np.repeat(ends[at:end] - pairs[at:end], pairs[at:end]) + ends[at] - pairs[at]
+            i, j = g0[row] + place // np.maximum(tn[row], 1), t0[row] + place % np.maximum(tn[row], 1)
+            if turned:
+                near = may_meet(gbox[i], tbox[j])
+                i, j = i[near], j[near]
+            iou = (rotated_ious if turned else box_ious)(gbox[i], tbox[j])
+            over = iou > 0
+            met.append((i[over], j[over], iou[over]))
+            at = end
+        out = np.zeros(len(gbox), np.int32)
+        if met and len(gbox) and len(tbox):
+            i, j, iou = (np.concatenate(c) for c in zip(*met))
+            of, truth = first_alike(mine["idx"], g0), first_alike(theirs["idx"], t0)
+            order = np.lexsort((truth[j], -iou, of[i]))
+            order = order[np.r_[True, np.diff(of[i][order]) != 0][: len(order)]]
+            best, reach = np.full(len(gbox), -1), np.zeros(len(gbox))
+            best[of[i][order]], reach[of[i][order]] = truth[j][order], iou[order]
+            best, reach = best[of], reach[of]
+            score = mine["score"].to_numpy(zero_copy_only=False).astype(float)
+            for k, threshold in enumerate(thresholds):
+                hit = np.flatnonzero((best >= 0) & (reach > threshold))
+                hit = hit[np.lexsort((hit, -score[hit], best[hit]))]
+                out[hit[np.r_[True, np.diff(best[hit]) != 0][: len(hit)]]] |= 1 << k
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(gn)].astype("i4")), pa.array(out))
+
+    return masks(guesses, truths)
+
+
 def any_match(guesses: DataFrame, truths: DataFrame, keys: list[str], *, thresholds: list[float], confidence: float, iou: Callable[[DataFrame], Column] = aligned) -> DataFrame:
     """(threshold, tp, fp, fn, precision, recall): guesses above ``confidence`` that reach any truth, those that reach none, and truths that none reaches.
 

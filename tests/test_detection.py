@@ -91,3 +91,31 @@ def test_any_match(boxes):
         assert (r["tp"], r["fp"], r["fn"]) == (tp, len(sure) - tp, fn) and r["recall"] == round(tp / (tp + fn), 6)
     none = M.any_match(g.where("false"), t, ["frame"], thresholds=[0.5], confidence=0.0).collect()[0]
     assert (none["tp"], none["fp"], none["fn"], none["precision"]) == (0, 0, len(truths), 0.0)
+
+
+@pytest.mark.parametrize("is_turned", [False, True])
+def test_frames_in_rows_match_as_the_join_does(boxes, is_turned):
+    _, _, g, t = boxes
+    keys, cuts = ["frame", "category"], [0.25, 0.5]
+    best = M.best_overlaps(g, t, keys, turned=is_turned, iou=D.turned_iou if is_turned else M.aligned)
+    hits = {(r["frame"], r["category"], r["guess_id"], r["threshold"]): r["tp"] for r in M.greedy_hits(best, keys, cuts).collect()}
+    listed = lambda df, *c: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(c[0]).alias("idx"), *c[1:], *M.BOX))).alias(c[0][0]))
+    rows = listed(g, "guess_id", "score").join(listed(t, "truth_id"), keys, "left")
+    masks = rows.withColumn("tp", M.masks_in_rows(F.col("g"), F.col("t"), cuts, turned=is_turned)).collect()
+    found = {(r["frame"], r["category"], v["idx"], c): m >> k & 1 for r in masks for v, m in zip(r["g"], r["tp"]) for k, c in enumerate(cuts)}
+    assert found == hits and sum(hits.values()) > 20
+    assert {(*[r[c] for c in (*keys, "guess_id")], r["tp"]) for r in M.greedy_masks(best, keys, cuts).collect()} == {(r["frame"], r["category"], v["idx"], m) for r in masks for v, m in zip(r["g"], r["tp"])}
+
+
+def test_large_frames_and_many_buckets_give_the_same(spark, monkeypatch):
+    plain = D.detection_ap(spark, "/root/testdata/sf0.001").orderBy("threshold", "category").collect()
+    monkeypatch.setattr(D.N, "WHOLE", 6)
+    whole = D.areas_of_masks
+    monkeypatch.setattr(D, "areas_of_masks", lambda *a: whole(*a, rows_in_bucket=90))
+    assert D.detection_ap(spark, "/root/testdata/sf0.001").orderBy("threshold", "category").collect() == plain and len(plain) > 4
+
+
+def test_objects_are_read_once(spark):
+    """Files read for all steps of one call: objects are joined once, not once for each use."""
+    plan = D.detection_ap(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and "l_orderkey" not in plan
