@@ -1,10 +1,15 @@
 """Readers of layouts that Spark's own writers don't make, on small files."""
 
+import hashlib
 import json
 import struct
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from scenova.functions.ids import hash_order
+from scenova.operators.ranks import next_in_order
+from scenova.plans import files
 from scenova.sources import readers as R
 
 
@@ -48,3 +53,25 @@ def test_files_are_listed_and_read_by_tasks(spark, tmp_path):
     points = R.lidar(spark, str(tmp_path)).collect()
     assert sorted((r["x"], r["point_idx"], r["intensity"]) for r in points) == sorted((float(k), i, 3.0) for k in range(7) for i in range(k))
     assert R.lidar(spark, str(tmp_path / "p1" / "seq" / "3" / "cloud.bin")).count() == 3
+
+
+def test_next_in_order_of_a_hash(spark):
+    rows = [(g, f"a{i % 40}", f"b{i}") for g, n in (("left", 90), ("right", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "answer string, a string, b string")
+    for digits in (1, 3):
+        found = next_in_order(df, ["answer"], lambda: hash_order("s", F.col("a")), ["a", "b"], digits).collect()
+        assert len(found) == len(rows)
+        for g in ("left", "right"):
+            line = sorted((r for r in rows if r[0] == g), key=lambda r: (hashlib.sha1(f"s|{r[1]}".encode()).hexdigest(), r[1], r[2]))
+            want = {r[1:]: line[(k + 1) % len(line)][1:] for k, r in enumerate(line)}
+            assert {(r["a"], r["b"]): tuple(r["_next"]) for r in found if r["answer"] == g} == want
+
+
+def test_variants_are_exchanged_once(spark, monkeypatch):
+    """Three numbered exchanges of questions before: the order is found with one, the buckets' first rows apart."""
+    seen = []
+    monkeypatch.setattr(files.K, "write_variants", lambda v, path: (seen.append(v), spark.createDataFrame([("a", ["x", "y"], "left")], "variant string, refs array<string>, answer string").write.parquet(path)))
+    files.variant_files(spark, "/root/testdata/sf0.001")
+    plans = {name: df._jdf.queryExecution().executedPlan().toString() for name, df in seen[0].items()}
+    assert all("lineitem" not in p and "l_orderkey" not in p for p in plans.values())
+    assert "Exchange" not in plans["original"] + plans["swap_eval"] + plans["joint"] and plans["shuffled"].count("REPARTITION_BY_COL") == 1
