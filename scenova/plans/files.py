@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenova.functions.ids import hash_order
@@ -256,12 +256,17 @@ drawn AS (SELECT * FROM corners QUALIFY row_number() OVER (PARTITION BY cloud OR
     heads="o",
 )
 def indoor_scans(spark, sf_dir) -> DataFrame:
-    """Scans in their three files: vertices meet segments and objects, 200 points of a scan are drawn, and objects listed twice count once."""
-    order = Window.partitionBy("cloud").orderBy("object_id", "x", "y")
-    rows = objects(spark, sf_dir).withColumn("k", F.row_number().over(order) - 1)
-    half = lambda c, i, s: (F.col(c) + (i - 0.5) * F.col(s)).cast("float").alias(c)
-    corners = F.array(*[F.struct(half("x", c % 2, "l"), half("y", c // 2 % 2, "w"), half("z", c // 4, "h")) for c in range(8)])
-    held = rows.groupBy("cloud").agg(F.sort_array(F.collect_list(F.struct("k", corners.alias("corners"), "caption"))).alias("o"))
+    """Scans in their three files: vertices meet segments and objects, 200 points of a scan are drawn, and objects listed twice count once.
+
+    A scan's objects are gathered and written once, and its files are read together.
+    """
+    one = F.struct("object_id", *"xyzlwh", "caption")
+    rows = objects(spark, sf_dir).groupBy("cloud").agg(F.array_sort(F.collect_list(one)).alias("o"))
+    short = F.transform("o", lambda o: F.struct(*[o[c].alias(c) for c in (*"xyzlwh", "caption")]))
+    held = K.written(rows.select("cloud", short.alias("o")), "scenes")
+    half = lambda o, c, i, s: (o[c] + (i - 0.5) * o[s]).cast("float").alias(c)
+    corners = lambda o: F.array(*[F.struct(half(o, "x", c % 2, "l"), half(o, "y", c // 2 % 2, "w"), half(o, "z", c // 4, "h")) for c in range(8)])
+    held = held.select("cloud", F.transform("o", lambda o, k: F.struct(k.alias("k"), corners(o).alias("corners"), o["caption"].alias("caption"))).alias("o"))
 
     @F.arrow_udf("binary")
     def ply(clouds: pa.Array) -> pa.Array:
@@ -283,6 +288,6 @@ def indoor_scans(spark, sf_dir) -> DataFrame:
     K.write_documents(held.select(at("_clean_2.ply"), ply("o").alias("content")), path)
     K.write_documents(held.select(at(".segs.json"), F.to_json(F.struct(parts.alias("segIndices"))).alias("content")), path)
     K.write_documents(held.select(at(".aggregation.json"), F.to_json(F.struct(groups.alias("segGroups"))).alias("content")), path)
-    found = V.object_boxes(V.sampled(V.vertices(spark, path), 200), V.segments(spark, path), V.scan_objects(spark, path))
+    found = V.object_boxes(spark, path, 200)
     box = F.col("box")
     return found.select("scan", "object_id", "label", "points", F.round(box[0] - box[3] / 2, 5).alias("low_x"), F.round(box[2] + box[5] / 2, 5).alias("high_z"), F.round(box[4], 5).alias("width"))

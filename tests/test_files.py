@@ -11,6 +11,7 @@ from scenova.functions.ids import hash_order
 from scenova.operators.ranks import next_in_order
 from scenova.plans import files
 from scenova.sources import readers as R
+from scenova.sources import scans as V
 
 
 def test_json_array_and_its_target(spark, tmp_path):
@@ -75,3 +76,33 @@ def test_variants_are_exchanged_once(spark, monkeypatch):
     plans = {name: df._jdf.queryExecution().executedPlan().toString() for name, df in seen[0].items()}
     assert all("lineitem" not in p and "l_orderkey" not in p for p in plans.values())
     assert "Exchange" not in plans["original"] + plans["swap_eval"] + plans["joint"] and plans["shuffled"].count("REPARTITION_BY_COL") == 1
+
+
+def scan_files(folder, xyz, segs, groups):
+    folder.mkdir(parents=True)
+    head = f"ply\nformat binary_little_endian 1.0\nelement vertex {len(xyz)}\nproperty float x\nproperty float y\nproperty float z\nend_header\n"
+    (folder / "a_clean_2.ply").write_bytes(head.encode() + np.array(xyz, "<f4").tobytes())
+    (folder / "a.segs.json").write_text(json.dumps({"segIndices": segs}))
+    (folder / "a.aggregation.json").write_text(json.dumps({"segGroups": [{"objectId": i, "label": w, "segments": s} for i, w, s in groups]}))
+
+
+def test_scans_meet_their_files_in_one_task(spark, tmp_path):
+    xyz = [(k, -k, 2 * k) for k in range(6)]
+    # A vertex without a segment, a segment twice in a list, one that two objects share, an object listed again and one without points.
+    scan_files(tmp_path / "s1", xyz, [0, 0, 1, None, 2], [(7, "one", [0, 0]), (8, "both", [0, 1]), (9, "again", [1, 0]), (10, None, [5]), (11, "none", None)])
+    scan_files(tmp_path / "deep" / "s2", xyz, [3] * 6, [(1, "all", [3])])
+    (tmp_path / "s3").mkdir()
+    (tmp_path / "s3" / "a.segs.json").write_text("{}")  # no points: no scan
+    got = {(r["scan"], r["object_id"], r["label"], r["points"]): r["box"] for r in V.object_boxes(spark, str(tmp_path)).collect()}
+    assert got == {("s1", 7, "one", 2): [0.5, -0.5, 1.0, 1.0, 1.0, 2.0], ("s1", 8, "both", 3): [1.0, -1.0, 2.0, 2.0, 2.0, 4.0], ("s2", 1, "all", 6): [2.5, -2.5, 5.0, 5.0, 5.0, 10.0]}
+    rows = spark.createDataFrame([("s2", k) for k in range(6)], "scan string, vertex int")
+    kept = sorted(r["vertex"] for r in V.sampled(rows, 4).collect())
+    assert V.drawn_places("s2", 6, 4).tolist() == kept
+    few = V.object_boxes(spark, str(tmp_path / "deep"), 4).first()
+    assert (few["points"], few["box"][3]) == (4, kept[-1] - kept[0])
+
+
+def test_no_vertex_travels(spark):
+    """Before, vertices, segments and objects of all scans were exchanged for two joins, and objects were joined once for each file."""
+    plan = files.indoor_scans(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and "lineitem" not in plan
