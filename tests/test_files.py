@@ -106,3 +106,9 @@ def test_no_vertex_travels(spark):
     """Before, vertices, segments and objects of all scans were exchanged for two joins, and objects were joined once for each file."""
     plan = files.indoor_scans(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Window" not in plan and "lineitem" not in plan
+
+
+def test_variants_are_added_up_without_a_sort(spark):
+    """Before, the least and largest donors were aggregated behind a sort of all written rows, which spilled."""
+    plan = files.variant_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan and "Sort [" not in plan
