@@ -62,7 +62,12 @@ def assigned(scores: DataFrame, keys: list[str], most: int = 5) -> DataFrame:
     Fewer candidates than targets leave a record without an assignment.
     """
     lists = record_lists(scores, keys, most)
-    rows = lists.select(*keys, "lists", F.posexplode(picks(F.col("lists"), most)).alias("place", "candidate"))
+    return told(lists.withColumn("won", picks(F.col("lists"), most)), keys)
+
+
+def told(lists: DataFrame, keys: list[str]) -> DataFrame:
+    """The assigned candidates ``won`` of each record's ``lists`` with their scores, one row for each target."""
+    rows = lists.select(*keys, "lists", F.posexplode("won").alias("place", "candidate"))
     of = F.get("lists", "place")
     score = F.get(F.filter(of["held"], lambda c: c["candidate"] == F.col("candidate")), F.lit(0))["score"]
     return rows.select(*keys, of["target"].alias("target"), "candidate", score.alias("score"))

@@ -1,9 +1,16 @@
 """Assignment by columns against all permutations."""
 
 import itertools
+import math
 import random
 
+import pyarrow as pa
+import pytest
+
 from scenova.operators import assignment as A
+from scenova.operators import neighbours as N
+from scenova.plans import spans
+from scenova.plans.registry import QUERIES
 
 
 def test_contested_candidates(spark):
@@ -32,3 +39,24 @@ def test_largest_sums(spark):
     few = held.where("frame = 0 and candidate = 0 and target < 2")
     assert A.assigned(few.where("target = 0").unionByName(few.where("target = 0").selectExpr("frame", "1 as target", "candidate", "score")), ["frame"]).count() == 0
     assert A.assigned(held.where("false"), ["frame"]).count() == 0
+
+
+@pytest.mark.parametrize("name", ["span_evaluator", "span_assignment"])
+def test_records_are_judged_in_their_row(spark, name, monkeypatch):
+    """Before, objects were joined anew for targets, words, candidates and boxes, and every score was exchanged. Larger records still take that way, with the same results."""
+    found = QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and plan.count("Exchange") <= 1
+    want = sorted(map(str, found.collect()))
+    monkeypatch.setattr(N, "WHOLE", 30)
+    assert sorted(map(str, QUERIES[name](spark, "/root/testdata/sf0.001").collect())) == want and want
+
+
+def test_shares_of_spans_without_words_or_draws():
+    words, said = pa.array([[["a", "b"], ["c"], []], [["z"]]]), pa.array([[["a", "x"], None], [["y"]]], pa.list_(pa.list_(pa.string())))
+    powers = [[math.exp(met * 2.0 + k * 0.2) for met in (0, 1) for k in range(-4, 5)]] * 2
+    got = spans.span_shares(words, said, pa.array([[7, -3], [None]], pa.list_(pa.int64())), pa.array(powers)).to_pylist()
+    p = lambda draw, at, met: math.exp(met * 2.0 + math.fmod(draw + at * 3, 5) * 0.2)
+    rows = [[p(7, 0, 1), p(7, 1, 0), p(7, 2, 0)], [p(-3, 0, 0), p(-3, 1, 0), p(-3, 2, 0)]]
+    assert got[0][0] == pytest.approx([(r[0] + r[1]) / sum(r) / 2 for r in rows]) and got[0][1] == pytest.approx([r[2] / sum(r) for r in rows])
+    assert got[0][2] == [] and got[1] == [[None]]
