@@ -9,7 +9,7 @@ from scenova.functions import annotations as A
 from scenova.functions import geometry as G
 from scenova.functions import text as T
 from scenova.operators.annotations import assign_spans, unambiguous_targets
-from scenova.operators.ranks import score_rank
+from scenova.operators.ranks import row_at
 from scenova.plans.base import query
 from scenova.plans.joins import NUMBERED_SQL, numbered
 from scenova.plans.ranking import first_rows
@@ -159,18 +159,36 @@ p3 AS (SELECT e.platform, arg_max(object_id, pos) AS worst FROM e JOIN p1 ON e.p
 
 @query(f"WITH {PICK_SQL} SELECT p1.platform, best, median, worst FROM p1 LEFT JOIN p2 ON p1.platform = p2.platform LEFT JOIN p3 ON p1.platform = p3.platform", heads="o")
 def distinct_picks(spark, sf_dir) -> DataFrame:
-    """Best, median and worst row of each group, each of a file that has none yet: rows are ranked in buckets, and a file's nearest row to each place stands for it."""
-    rows = written(objects(spark, sf_dir).select("platform", "sequence", "object_id", "score"), "picks")
-    rows = score_rank(rows, ["platform"], "score", "object_id")
-    places = {"best": F.lit(0), "median": F.floor(F.col("n") / 2), "worst": F.col("n") - 1}
-    nearest = [F.min(F.struct(F.abs(F.col("pos") - to).alias("d"), "pos", "object_id", "sequence")).alias(f"_{name}") for name, to in places.items()]
-    files = written(rows.groupBy("platform", "sequence").agg(*nearest), "picks")
-    chosen = files.select("platform").distinct().withColumn("used", F.array().cast("array<string>"))
-    for name in places:
-        free = files.join(chosen.select("platform", "used"), "platform").where(~F.array_contains("used", F.col("sequence")))
-        pick = free.groupBy("platform").agg(F.min(f"_{name}").alias("_p"))
-        chosen = chosen.join(pick, "platform", "left").withColumns({name: F.col("_p.object_id"), "used": F.array_compact(F.array_append("used", F.col("_p.sequence")))}).drop("_p")
-    return chosen.select("platform", "best", "median", "worst")
+    """Best, median and worst row of each group, each of a file that has none yet.
+
+    Ends come from files' least and greatest rows, the median from the row that
+    stands there; only where that is the best one's file are the nearest rows of
+    other files looked for. So rows are counted in place and never exchanged.
+    """
+    row = F.struct(F.col("score").isNull().alias("none"), "score", "object_id").alias("row")
+    rows = written(objects(spark, sf_dir).select("platform", "sequence", row), "picks")
+    keys = ["platform"]
+    files = written(rows.groupBy(*keys, "sequence").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("n")), "files")
+    best = files.groupBy(*keys).agg(F.min(F.struct("low", "sequence")).alias("b"), F.sum("n").alias("n"))
+    best = best.select(*keys, "n", F.col("b.low.object_id").alias("best"), F.col("b.sequence").alias("s1"))
+
+    middle = written(row_at(rows, keys, best.select(*keys, F.floor(F.col("n") / 2).alias("at"))), "middle")
+    # Groups are few: what goes to all tasks is a row for each.
+    met = rows.join(F.broadcast(best.select(*keys, "s1").join(middle, keys).where("sequence = s1").select(*keys, "s1", F.col("row").alias("m"))), keys)
+    other = F.col("sequence") != F.col("s1")
+    near = written(met.where(other).groupBy(*keys).agg(F.max(F.when(F.col("row") < F.col("m"), F.struct("row", "sequence"))).alias("before"), F.min(F.when(F.col("row") > F.col("m"), F.struct("row", "sequence"))).alias("after")), "near")
+    met = met.join(F.broadcast(near), keys)
+    # Places of the two, by counts of the rows up to one and before the other; of equal steps the earlier row's wins.
+    counts = met.groupBy(*keys).agg(F.count_if(F.col("row") <= F.col("before.row")).alias("upto"), F.count_if(F.col("row") < F.col("after.row")).alias("under"))
+    counts = counts.join(best, keys).withColumn("at", F.floor(F.col("n") / 2))
+    down = F.col("after").isNull() | (F.col("at") - F.col("upto") + 1 <= F.col("under") - F.col("at"))
+    nearest = near.join(counts, keys).select(*keys, F.when(F.col("before").isNotNull() & down, F.col("before")).otherwise(F.col("after")).alias("_p"))
+    own = middle.select(*keys, F.struct("row", "sequence").alias("_own"))
+    chosen = best.join(own, keys, "left").join(nearest, keys, "left")
+    chosen = chosen.withColumn("_m", F.when(F.col("_own.sequence") != F.col("s1"), F.col("_own")).otherwise(F.col("_p")))
+    chosen = chosen.select(*keys, "best", "s1", F.col("_m.row.object_id").alias("median"), F.col("_m.sequence").alias("s2"))
+    last = files.join(chosen, keys).where("sequence <> s1 AND sequence <> s2").groupBy(*keys).agg(F.max("high").alias("_w"))
+    return chosen.join(last, keys, "left").select(*keys, "best", "median", F.col("_w.object_id").alias("worst"))
 
 
 @query("SELECT object_id, round(cos(yaw) - 2 * sin(yaw) + x, 6) + 0.0 AS px, round(sin(yaw) + 2 * cos(yaw) + y, 6) + 0.0 AS py, round(3 + z, 6) + 0.0 AS pz, 1.0::DOUBLE AS bx, 2.0::DOUBLE AS back_y, 3.0::DOUBLE AS bz FROM objects", heads="o")

@@ -1,9 +1,12 @@
 """Clouds as one row each: no copies travel, and clouds that are larger take the way over grids and rounds with the same results."""
 
+import random
+
 import pytest
 
 from scenova.operators import neighbours as N
 from scenova.operators.ranks import score_rank
+from scenova.plans import annotations
 from scenova.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +35,31 @@ def test_ranks_in_buckets(spark):
     for g in "ab":
         want = sorted((s, o) for k, s, o in rows if k == g)
         assert [found[g, o] for _, o in want] == [(i, 200) for i in range(200)]
+
+
+def picked(rows):
+    """Best, median and worst of a group's rows (score, id, file), by a walk over all places."""
+    line = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    used, out = [], []
+    for to in (0, len(line) // 2, len(line) - 1):
+        free = [(abs(k - to), k) for k, r in enumerate(line) if r[2] not in used]
+        out.append(line[min(free)[1]] if free else None)
+        used.append(out[-1] and out[-1][2])
+    return tuple(r and r[1] for r in out)
+
+
+def test_picks_without_ranks(spark, monkeypatch):
+    """Before, every row was ranked behind an exchange. Groups with one file, ties, repeated rows, nulls and few rows give what a walk does."""
+    rng, rows = random.Random(8), []
+    for g in range(60):
+        n, most = rng.randrange(1, 30), rng.choice([1, 2, 3, 8])
+        held = [(f"g{g}", f"s{rng.choice([0, 0, rng.randrange(most)])}", f"o{k:02}", rng.choice([None, *map(float, range(6))]) if g % 3 else float(k)) for k in range(n)]
+        rows += held + held[: n // 3]
+    rows += [("wide", f"s{0 if 1_500 < k < 6_400 else k % 3}", f"o{k:05}", float(k // 3)) for k in range(7_000)]
+    df = spark.createDataFrame([*rows, (None, None, "o", 1.0)], "platform string, sequence string, object_id string, score double").repartition(5).localCheckpoint()
+    monkeypatch.setattr(annotations, "objects", lambda *_: df)
+    found = annotations.distinct_picks(spark, SF)
+    got = {r["platform"]: (r["best"], r["median"], r["worst"]) for r in found.collect()}
+    assert got.pop(None) == ("o", None, None)
+    # Rows of one id lie in one file.
+    assert got == {g: picked([(s, o, f) for p, f, o, s in rows if p == g]) for g in {r[0] for r in rows}}
