@@ -9,7 +9,7 @@ are a few hundred and one row already, they are matched in that row instead.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +113,27 @@ def first_alike(ids: pa.Array, starts: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(fresh, np.arange(len(code)), 0))
 
 
+def row_boxes(lists: pa.Array, axes: tuple[str, ...]) -> tuple[dict[str, pa.Array], np.ndarray, np.ndarray, np.ndarray]:
+    """Fields of lists of structs, their boxes as a table, the lists' lengths and where they begin."""
+    n = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    held = dict(zip([f.name for f in flat.type], flat.flatten()))
+    return held, np.stack([held[c].to_numpy(zero_copy_only=False).astype(float) for c in axes], 1), n, np.cumsum(n) - n
+
+
+def row_pairs(gn: np.ndarray, tn: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of all pairs of each row's elements, in parts of about ``PAIRS``."""
+    g0, t0, pairs = np.cumsum(gn) - gn, np.cumsum(tn) - tn, gn * tn
+    ends = np.cumsum(pairs)
+    at = 0
+    while at < len(pairs):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] - pairs[at] + PAIRS, "right")))
+        row = np.repeat(np.arange(at, end), pairs[at:end])
+        place = np.arange(len(row)) - np.repeat(ends[at:end] - pairs[at:end], pairs[at:end]) + ends[at] - pairs[at]
+        yield g0[row] + place // np.maximum(tn[row], 1), t0[row] + place % np.maximum(tn[row], 1)
+        at = end
+
+
 def masks_in_rows(guesses: Column, truths: Column, thresholds: list[float], *, turned: bool = False) -> Column:
     """``greedy_masks`` of frames that are one row each: arrays of structs (idx, score, box) and (idx, box) in the order of the ids idx, a number for each guess.
 
@@ -120,32 +141,17 @@ def masks_in_rows(guesses: Column, truths: Column, thresholds: list[float], *, t
     """
     axes = BOX if turned else BOX[:6]
 
-    def fields(lists: pa.Array) -> tuple[dict[str, pa.Array], np.ndarray, np.ndarray, np.ndarray]:
-        n = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = lists.flatten()
-        held = dict(zip([f.name for f in flat.type], flat.flatten()))
-        box = np.stack([held[c].to_numpy(zero_copy_only=False).astype(float) for c in axes], 1)
-        starts = np.cumsum(n) - n
-        return held, box, n, starts
-
     @F.arrow_udf("array<int>")
     def masks(g: pa.Array, t: pa.Array) -> pa.Array:
-        (mine, gbox, gn, g0), (theirs, tbox, tn, t0) = fields(g), fields(t)
-        pairs, met = gn * tn, []
-        ends = np.cumsum(pairs)
-        at = 0
-        while at < len(pairs):
-            end = max(at + 1, int(np.searchsorted(ends, ends[at] - pairs[at] + PAIRS, "right")))
-            row = np.repeat(np.arange(at, end), pairs[at:end])
-            place = np.arange(len(row)) - np.repeat(ends[at:end] - pairs[at:end], pairs[at:end]) + ends[at] - pairs[at]
-            i, j = g0[row] + place // np.maximum(tn[row], 1), t0[row] + place % np.maximum(tn[row], 1)
+        (mine, gbox, gn, g0), (theirs, tbox, tn, t0) = row_boxes(g, axes), row_boxes(t, axes)
+        met = []
+        for i, j in row_pairs(gn, tn):
             if turned:
                 near = may_meet(gbox[i], tbox[j])
                 i, j = i[near], j[near]
             iou = (rotated_ious if turned else box_ious)(gbox[i], tbox[j])
             over = iou > 0
             met.append((i[over], j[over], iou[over]))
-            at = end
         out = np.zeros(len(gbox), np.int32)
         if met and len(gbox) and len(tbox):
             i, j, iou = (np.concatenate(c) for c in zip(*met))
@@ -165,11 +171,65 @@ def masks_in_rows(guesses: Column, truths: Column, thresholds: list[float], *, t
     return masks(guesses, truths)
 
 
+def best_in_rows(guesses: Column, truths: Column) -> Column:
+    """``best_overlaps`` of frames that are one row each: arrays of structs (idx, box) in the order of the ids idx; for each guess the place of its truth, null where none overlaps, and the IoU."""
+
+    @F.arrow_udf("array<struct<at:int,iou:double>>")
+    def best(g: pa.Array, t: pa.Array) -> pa.Array:
+        (mine, gbox, gn, g0), (theirs, tbox, tn, t0) = row_boxes(g, BOX[:6]), row_boxes(t, BOX[:6])
+        at, reach = np.full(len(gbox), -1), np.zeros(len(gbox))
+        of, truth = first_alike(mine["idx"], g0), first_alike(theirs["idx"], t0)
+        met = []
+        for i, j in row_pairs(gn, tn):
+            iou = box_ious(gbox[i], tbox[j])
+            over = iou > 0
+            met.append((i[over], j[over], iou[over]))
+        if met:
+            i, j, iou = (np.concatenate(c) for c in zip(*met))
+            order = np.lexsort((truth[j], -iou, of[i]))
+            order = order[np.r_[True, np.diff(of[i][order]) != 0][: len(order)]]
+            at[of[i][order]], reach[of[i][order]] = truth[j][order], iou[order]
+            at, reach = at[of], reach[of]
+        none = at < 0
+        place = at - np.repeat(t0, gn)
+        held = pa.StructArray.from_arrays([pa.array(place.astype("i4"), mask=none), pa.array(reach, mask=none)], ["at", "iou"])
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(gn)].astype("i4")), held)
+
+    return best(guesses, truths)
+
+
+def reached_in_rows(guesses: Column, truths: Column, thresholds: list[float]) -> Column:
+    """Of frames that are one row each: how many ids of guesses, then of truths, reach each threshold with any other."""
+
+    @F.arrow_udf("array<bigint>")
+    def reached(g: pa.Array, t: pa.Array) -> pa.Array:
+        (mine, gbox, gn, g0), (theirs, tbox, tn, t0) = row_boxes(g, BOX[:6]), row_boxes(t, BOX[:6])
+        ids = first_alike(mine["idx"], g0), first_alike(theirs["idx"], t0)
+        most = [np.full(len(gbox), -1.0), np.full(len(tbox), -1.0)]
+        for i, j in row_pairs(gn, tn):
+            iou = box_ious(gbox[i], tbox[j])
+            over = iou > 0
+            for held, of, k in zip(most, ids, (i, j)):
+                np.maximum.at(held, of[k[over]], iou[over])
+        row_of = np.repeat(np.arange(len(gn)), gn), np.repeat(np.arange(len(tn)), tn)
+        counts = [np.bincount(row[held >= cut], minlength=len(gn)) for held, row in zip(most, row_of) for cut in thresholds]
+        table = np.stack(counts, 1) if counts else np.zeros((len(gn), 0), int)
+        ends = np.arange(len(gn) + 1) * table.shape[1]
+        return pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(table.ravel().astype("i8")))
+
+    return reached(guesses, truths)
+
+
 def any_match(guesses: DataFrame, truths: DataFrame, keys: list[str], *, thresholds: list[float], confidence: float, iou: Callable[[DataFrame], Column] = aligned) -> DataFrame:
     """(threshold, tp, fp, fn, precision, recall): guesses above ``confidence`` that reach any truth, those that reach none, and truths that none reaches.
 
     Not one to one: a truth may serve many guesses.
     """
+    return any_rates(any_counts(guesses, truths, keys, thresholds=thresholds, confidence=confidence, iou=iou), thresholds)
+
+
+def any_counts(guesses: DataFrame, truths: DataFrame, keys: list[str], *, thresholds: list[float], confidence: float, iou: Callable[[DataFrame], Column] = aligned) -> DataFrame:
+    """One row: numbers of guesses above ``confidence`` and of truths, and of those that reach each threshold, as arrays."""
     sure = guesses.where(F.col("score") > confidence)
     met = overlapping(sure, truths, keys)
     met = met.select(*keys, F.col("g_guess_id").alias("guess_id"), F.col("t_truth_id").alias("truth_id"), iou(met).alias("iou"))
@@ -181,7 +241,11 @@ def any_match(guesses: DataFrame, truths: DataFrame, keys: list[str], *, thresho
     sizes = sure.agg(F.count("*").alias("guesses")).crossJoin(truths.agg(F.count("*").alias("truths")))
     hits = sides["guess_id"].select(F.array(*[f"n{k}" for k in range(len(thresholds))]).alias("by_guess"))
     found = sides["truth_id"].select(F.array(*[f"n{k}" for k in range(len(thresholds))]).alias("by_truth"))
-    one = sizes.crossJoin(hits).crossJoin(found)  # one row each
+    return sizes.crossJoin(hits).crossJoin(found)  # one row each
+
+
+def any_rates(one: DataFrame, thresholds: list[float]) -> DataFrame:
+    """``any_match`` of its counts."""
     rows = one.select("guesses", "truths", F.explode(F.arrays_zip(F.array(*map(F.lit, thresholds)).alias("threshold"), "by_guess", "by_truth")).alias("r"))
     tp, fn = F.col("r.by_guess"), F.col("truths") - F.col("r.by_truth")
     precision = F.coalesce(F.try_divide(tp, F.col("guesses")), F.lit(0.0))

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenova.operators import matching as M
+from scenova.operators import neighbours as N
 from scenova.operators import sequential as S
 from scenova.operators.ranks import area_under, precision_recall
 from scenova.plans import detection as D
+from scenova.plans.registry import QUERIES
 
 
 def plain_iou(a, b):
@@ -119,3 +121,25 @@ def test_objects_are_read_once(spark):
     """Files read for all steps of one call: objects are joined once, not once for each use."""
     plan = D.detection_ap(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "lineitem" not in plan and "l_orderkey" not in plan
+
+
+@pytest.mark.parametrize("name", ["best_overlap"])
+def test_frames_are_matched_in_their_row(spark, name, monkeypatch):
+    """Before, both sides were joined anew, spread over grid cells and exchanged. Larger frames still are, with the same results."""
+    found = QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "lineitem" not in plan and plan.count("Exchange") <= 1
+    want = sorted(map(str, found.collect()))
+    monkeypatch.setattr(N, "WHOLE", 6)
+    assert sorted(map(str, QUERIES[name](spark, "/root/testdata/sf0.001").collect())) == want and want
+
+
+def test_rows_reach_as_the_join_does(boxes):
+    _, _, g, t = boxes
+    cuts = [0.25, 0.5]
+    listed = lambda df, *c: df.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct(F.col(c[0]).alias("idx"), *c[1:], *M.BOX))).alias(c[0][0]))
+    for one in (g, g.unionByName(g.withColumn("x", F.col("x") + 0.5))):  # ids that repeat count once
+        rows = listed(one, "guess_id", "score").join(listed(t, "truth_id"), "frame", "left")
+        got = [sum(r["n"][k] for r in rows.select(M.reached_in_rows(F.col("g"), F.col("t"), cuts).alias("n")).collect()) for k in range(4)]
+        want = M.any_counts(one, t, ["frame"], thresholds=cuts, confidence=-1.0).first()
+        assert got == [*want["by_guess"], *want["by_truth"]] and min(got) > 5
