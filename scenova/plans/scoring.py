@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from scenova.functions import geometry as G
 from scenova.functions import text as T
 from scenova.functions.ids import hash_order
 from scenova.operators import matching as M
+from scenova.operators import neighbours as N
 from scenova.operators import sequential as S
 from scenova.operators.suppression import survivors
 from scenova.plans.aggregates import rate
@@ -69,16 +71,58 @@ OCCUPIED_SQL = """o AS (
     GROUP BY ALL HAVING count(*) >= 5)"""
 
 
-def occupied(spark, sf_dir) -> DataFrame:
-    """Boxes of four times the size in the plane that hold five points of their cloud or more; boxes meet the points of the cells that they touch, however large they are."""
-    boxes = objects(spark, sf_dir).select(F.col("cloud").alias("scene_id"), "object_id", "category", "score", "x", "y", "z", "l", "w", "h", "yaw")
+def points_in_rows(clouds: Column, margin: float = 1e-5) -> Column:
+    """For each box (x, y, z, l, w, h, cos, sin, fresh) of a cloud that is one row how many of the cloud's centres lie in it, at four times its size in the plane.
+
+    Boxes that aren't fresh count for the one before, and have 0.
+    """
+
+    @F.arrow_udf("array<bigint>")
+    def held(rows: pa.Array) -> pa.Array:
+        fields, box, n, _ = M.row_boxes(rows, ("x", "y", "z", "l", "w", "h", "cos", "sin"))
+        count = np.zeros(len(box), np.int64)
+        for i, j in M.row_pairs(n, n):
+            b, p = box[i], box[j]
+            dx, dy = p[:, 0] - b[:, 0], p[:, 1] - b[:, 1]
+            inside = (np.abs(dx * b[:, 6] + dy * b[:, 7]) < b[:, 3] * 2 + margin) & (np.abs(dy * b[:, 6] - dx * b[:, 7]) < b[:, 4] * 2 + margin) & (np.abs(p[:, 2] - b[:, 2]) <= b[:, 5] / 2)
+            count += np.bincount(i[inside], minlength=len(box))
+        first = np.flatnonzero(fields["fresh"].to_numpy(zero_copy_only=False))
+        full = np.zeros(len(box), np.int64)
+        if len(first):
+            full[first] = np.add.reduceat(count, first)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype("i4")), pa.array(full))
+
+    return held(clouds)
+
+
+NAMED = ["object_id", "category", "score", "x", "y", "z", "l", "w", "h", "yaw"]
+
+
+def occupied(spark, sf_dir, alike: list[str] = NAMED[:-1]) -> DataFrame:
+    """Boxes of four times the size in the plane that hold five points of their cloud or more, counted in the cloud's row; those of larger clouds meet the points of the cells that they touch.
+
+    Boxes equal in ``alike``, the first names of a box, are one.
+    """
+    few, many = N.clouds(objects(spark, sf_dir).where("cloud IS NOT NULL").select(F.col("cloud").alias("scene_id"), F.col("object_id").alias("idx"), *NAMED[1:]))
+    key = lambda p: F.struct(*[p["idx" if c == "object_id" else c].alias(c) for c in alike])
+    fresh = lambda p, i: ~key(p).eqNullSafe(key(F.get("_cloud", i - 1)))
+    one = lambda p, i: F.struct(*[p[c].alias(c) for c in "xyzlwh"], F.cos(p["yaw"]).alias("cos"), F.sin(p["yaw"]).alias("sin"), fresh(p, i).alias("fresh"))
+    rows = few.select("scene_id", "_cloud", points_in_rows(F.transform("_cloud", one)).alias("_n"))
+    box = lambda p, n: F.struct(p["idx"].alias("object_id"), *[p[c].alias(c) for c in NAMED[1:]], n.alias("n"))
+    rows = rows.select("scene_id", F.explode(F.filter(F.zip_with("_cloud", "_n", box), lambda v: v["n"] >= 5)).alias("_v")).select("scene_id", "_v.*")
+    return rows if many is None else rows.unionByName(counted(many.withColumnRenamed("idx", "object_id"), alike))
+
+
+def counted(boxes: DataFrame, alike: list[str]) -> DataFrame:
+    """``occupied`` of clouds of any size, over grid cells."""
     wide = boxes.select("scene_id", "object_id", "category", "score", "x", "y", "z", (F.col("l") * 4).alias("l"), (F.col("w") * 4).alias("w"), "h", "yaw", F.col("l").alias("own_l"), F.col("w").alias("own_w"))
     cell = lambda c: F.floor(F.col(c) / F.lit(8.0))
     points = boxes.select("scene_id", *[F.col(c).alias(f"p{c}") for c in "xyz"], cell("x").alias("_cx"), cell("y").alias("_cy"))
     met = points.join(M.spread(wide, ["scene_id"], "t", True, 8.0), ["scene_id", "_cx", "_cy"]).where(G.in_box(F.col("px"), F.col("py"), F.col("pz"), M.of("t")))
     own = {"l": "own_l", "w": "own_w"}
-    named = ["object_id", "category", "score", "x", "y", "z", "l", "w", "h", "yaw"]
-    return met.groupBy("scene_id", *[F.col(f"t_{own.get(c, c)}").alias(c) for c in named]).agg(F.count("*").alias("n")).where("n >= 5")
+    of = lambda c: F.col(f"t_{own.get(c, c)}").alias(c)
+    held = met.groupBy("scene_id", *map(of, alike)).agg(F.min(F.struct(*[of(c) for c in NAMED if c not in alike])).alias("_rest"), F.count("*").alias("n"))
+    return held.where("n >= 5").select("scene_id", *alike, "_rest.*", "n")
 
 
 def by_class(boxes: DataFrame) -> DataFrame:

@@ -3,9 +3,13 @@
 from itertools import permutations
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from scenova.operators import neighbours as N
 from scenova.operators.suppression import survivors
 from scenova.plans import points, scoring
+from scenova.plans.registry import QUERIES
 from scenova.sources import readers as R
 from scenova.sources.scenes import objects
 
@@ -113,3 +117,25 @@ def test_ordinals_of_ties_and_empty_tables(spark):
     got = R.with_ordinal(rows, ["a", "b"]).toPandas().sort_values("bank_index")
     assert list(got["bank_index"]) == list(range(500)) and got[["a", "b"]].apply(tuple, axis=1).is_monotonic_increasing
     assert R.with_ordinal(rows.where("a > 5"), ["a", "b"]).count() == 0
+
+
+@pytest.mark.parametrize("name", ["class_proposals"])
+def test_points_are_counted_in_their_cloud(spark, name, monkeypatch):
+    """Before, boxes and points were joined on all cells that a box touches. Larger clouds still are, with the same results, and boxes that repeat are one."""
+    boxes = QUERIES[name](spark, SF)
+    plan = scoring.occupied(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and "lineitem" not in plan
+    want = sorted(map(str, boxes.collect()))
+    monkeypatch.setattr(N, "WHOLE", 30)
+    assert sorted(map(str, QUERIES[name](spark, SF).collect())) == want and want
+
+
+def test_boxes_that_repeat_are_one(spark, monkeypatch):
+    objs = objects(spark, SF).where("cloud % 3 = 0")
+    row = objs.orderBy("object_id").limit(40).localCheckpoint()
+    rows = objs.unionByName(row).unionByName(row.withColumn("x", F.col("x") + 0.5)).unionByName(row.withColumn("score", F.lit(None).cast("double"))).localCheckpoint()
+    monkeypatch.setattr(scoring, "objects", lambda *_: rows)
+    for alike in (scoring.NAMED[:3], scoring.NAMED[:-1]):
+        told = lambda df: sorted(map(str, df.select("scene_id", *alike, "n").collect()))
+        want = told(scoring.counted(rows.withColumn("scene_id", F.col("cloud")), alike))
+        assert told(scoring.occupied(spark, SF, alike)) == want and want
