@@ -139,7 +139,7 @@ def by_class(boxes: DataFrame) -> DataFrame:
 )
 def occupied_boxes(spark, sf_dir) -> DataFrame:
     """Proposals by class of the boxes that aren't nearly empty."""
-    return by_class(occupied(spark, sf_dir))
+    return by_class(occupied(spark, sf_dir, NAMED[:3]))
 
 
 @query(survivors_sql("o", "scene_id", IOU_3D, "SELECT object_id, unnest(range(6))::INTEGER AS class, round(score / (1 + abs(category - unnest(range(6)))), 4) AS score FROM s", head=f"{OCCUPIED_SQL}, "), heads="o")

@@ -119,7 +119,7 @@ def test_ordinals_of_ties_and_empty_tables(spark):
     assert R.with_ordinal(rows.where("a > 5"), ["a", "b"]).count() == 0
 
 
-@pytest.mark.parametrize("name", ["class_proposals"])
+@pytest.mark.parametrize("name", ["occupied_boxes", "class_proposals"])
 def test_points_are_counted_in_their_cloud(spark, name, monkeypatch):
     """Before, boxes and points were joined on all cells that a box touches. Larger clouds still are, with the same results, and boxes that repeat are one."""
     boxes = QUERIES[name](spark, SF)
