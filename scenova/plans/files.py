@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenova.functions.ids import hash_order
@@ -19,20 +19,28 @@ from scenova.sources.scenes import objects, table
 
 
 def scene_documents(objs: DataFrame) -> DataFrame:
-    """Nested scene documents, the objects by id; even categories are referred to, odd ones are context."""
-    role = F.when(F.col("category") % 2 == 0, "referred").otherwise("context")
-    said = F.array(F.struct(F.col("caption").alias("text"), F.lit("catalogue").alias("source"), F.lit("en").alias("language")))
-    box = F.struct(F.array("x", "y", "z").alias("center"), F.array("l", "w", "h").alias("size"), F.col("yaw").alias("yaw_rad"), F.lit("ego").alias("frame"))
-    one = F.struct("object_id", role.alias("role"), F.col("category").cast("string").alias("category"), said.alias("referring_expressions"), box.alias("gt_box"))
+    """Nested scene documents in order of their ids, the objects by id; even categories are referred to, odd ones are context.
+
+    What is gathered and put in order are the objects' own values; documents are made of them where they are written.
+    """
+    own = F.struct("object_id", "category", "caption", *"xyzlwh", "yaw")
+    rows = objs.groupBy("scene_id", "split", "platform", "sequence").agg(F.collect_list(own).alias("_of"))
+    rows = rows.withColumn("scene_id", F.col("scene_id").cast("string")).orderBy("scene_id")
+
+    def one(o: Column) -> Column:
+        role = F.when(o["category"] % 2 == 0, "referred").otherwise("context")
+        said = F.array(F.struct(o["caption"].alias("text"), F.lit("catalogue").alias("source"), F.lit("en").alias("language")))
+        box = F.struct(F.array(o["x"], o["y"], o["z"]).alias("center"), F.array(o["l"], o["w"], o["h"]).alias("size"), o["yaw"].alias("yaw_rad"), F.lit("ego").alias("frame"))
+        return F.struct(o["object_id"].alias("object_id"), role.alias("role"), o["category"].cast("string").alias("category"), said.alias("referring_expressions"), box.alias("gt_box"))
+
     axis = lambda *v: F.array(*[F.lit(float(a)) for a in v])
     frame = F.struct(F.lit("ego").alias("name"), F.lit("metre").alias("units"), F.lit("sensor").alias("origin"), axis(0, -1, 0).alias("right_axis"), axis(1, 0, 0).alias("forward_axis"), axis(0, 0, 1).alias("up_axis"))
-    rows = objs.groupBy(F.col("scene_id").cast("string").alias("scene_id"), "split", "platform", "sequence").agg(F.sort_array(F.collect_list(one)).alias("objects"))
-    return rows.withColumn("frame", frame)
+    return rows.select("scene_id", "split", "platform", "sequence", F.sort_array(F.transform("_of", one)).alias("objects"), frame.alias("frame"))
 
 
 def written_scenes(spark, sf_dir) -> DataFrame:
     path = K.shared_folder(spark, "scenes")
-    K.write_jsonl(scene_documents(objects(spark, sf_dir)), path, ["scene_id"])
+    K.write_lines(scene_documents(objects(spark, sf_dir)), path)
     return R.scene_objects(R.scenes(spark, path))
 
 

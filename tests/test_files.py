@@ -1,5 +1,6 @@
 """Readers of layouts that Spark's own writers don't make, on small files."""
 
+import gzip
 import hashlib
 import json
 import struct
@@ -12,6 +13,7 @@ from scenova.operators.ranks import next_in_order
 from scenova.plans import files
 from scenova.sources import readers as R
 from scenova.sources import scans as V
+from scenova.sources import sinks as K
 
 
 def test_json_array_and_its_target(spark, tmp_path):
@@ -112,3 +114,19 @@ def test_variants_are_added_up_without_a_sort(spark):
     """Before, the least and largest donors were aggregated behind a sort of all written rows, which spilled."""
     plan = files.variant_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan and "Sort [" not in plan
+
+
+def test_scene_documents_are_made_where_they_are_written(spark, tmp_path):
+    """Before, whole documents were put in order and written unpacked: their names and constants were most of what was exchanged and written."""
+    df = files.scene_documents(files.objects(spark, "/root/testdata/sf0.001"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("rangepartitioning", 1)
+    assert "referred" in above and "referred" not in below and "catalogue" not in below
+    K.write_lines(df, str(tmp_path / "scenes"))
+    parts = sorted((tmp_path / "scenes").glob("part-*"))
+    lines = [json.loads(line) for p in parts for line in gzip.decompress(p.read_bytes()).decode().splitlines()]
+    ids = [r["scene_id"] for r in lines]
+    assert ids == sorted(ids) and len(ids) == len(set(ids)) > 100
+    for r in lines:
+        assert [o["object_id"] for o in r["objects"]] == sorted(o["object_id"] for o in r["objects"]) and r["frame"]["units"] == "metre"
+    assert R.scene_objects(R.scenes(spark, str(tmp_path / "scenes"))).count() == files.objects(spark, "/root/testdata/sf0.001").count()
