@@ -6,6 +6,7 @@ import json
 import struct
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from scenova.functions.ids import hash_order
@@ -130,3 +131,12 @@ def test_scene_documents_are_made_where_they_are_written(spark, tmp_path):
     for r in lines:
         assert [o["object_id"] for o in r["objects"]] == sorted(o["object_id"] for o in r["objects"]) and r["frame"]["units"] == "metre"
     assert R.scene_objects(R.scenes(spark, str(tmp_path / "scenes"))).count() == files.objects(spark, "/root/testdata/sf0.001").count()
+
+
+@pytest.mark.parametrize("name", ["scene_jsonl", "scene_caption_index"])
+def test_scenes_are_written_packed(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(K, "shared_folder", lambda spark, name: str(tmp_path / name))
+    found = getattr(files, name)(spark, "/root/testdata/sf0.001")
+    parts = list((tmp_path / "scenes").glob("part-*"))
+    assert parts and all(p.name.endswith(".json.gz") for p in parts) and found.count() > 1_000
+    assert sum(p.stat().st_size for p in parts) * 5 < sum(len(gzip.decompress(p.read_bytes())) for p in parts)
